@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograil.llm import fingerprints, line_dedup, mixing, near_dedup, quality
+from lograil.llm import fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from lograil.llm.common import shared_dir
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,34 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_docs(spark, sf_dir), shingle=4, percent=80)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(_docs(spark, sf_dir), tokenizer_path()))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = warc.write_archives(pages, warc.fresh_path(shared_dir(spark)))
+    return warc.resolved(warc.read_archives(spark, path))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = toxicity.bucket("doc_id", 5) == 0
+    net = toxicity.train(docs, labels.filter(~held))
+    out = toxicity.score(docs, net)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
@@ -36,8 +65,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.coalesce(runs, F.lit("")).alias("keep_runs"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    held = toxicity.bucket("doc_id", 3) == 1
+    net = langid.train(docs.filter(~held))
+    return langid.identify(docs, net).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_near_dedup, op7_mixing, op8_quality, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_near_dedup, op3_suffix_dedup, op4_packing, op5_warc, op6_toxicity, op7_mixing, op8_quality, op9_line_dedup, op10_language)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -119,5 +155,26 @@ from marked left join runs using (doc_id) group by doc_id
 """
 
 
+_OP3 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, ''))) n from documents),
+strings as (select doc_id, p, md5(substr(x, 2 * p + 1, 200)) s from (select doc_id, x, unnest(range(0, n - 99)) p from d where n >= 100)),
+again as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) r from strings) where r > 1),
+spans as (select doc_id, min(p) lo, max(p) + 100 hi from (select doc_id, p, sum(new) over (partition by doc_id order by p) g from
+  (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end new from again)) group by doc_id, g),
+sums as (select doc_id, sum(hi - lo) n_removed, count(*) n_spans from spans group by 1),
+kept as (select doc_id, lo, lead(lo) over (partition by doc_id order by lo) next, hi from spans),
+pieces as (select doc_id, hi lo, coalesce(next, n) hi from kept join d using (doc_id) union all select doc_id, 0, min(lo) from spans group by 1),
+texts as (select doc_id, string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' order by lo) y from pieces join d using (doc_id) group by 1)
+select d.doc_id, n n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(y, x))) kept_sha256 from d left join sums using (doc_id) left join texts using (doc_id)
+"""
+
+_LETTERS = " || ".join(f"substr('{warc.BASE32}', ((('0x' || substr(d, {5 * g + 1}, 5))::bigint >> {15 - 5 * k}) & 31)::int + 1, 1)" for g in range(8) for k in range(4))
+_OP5 = f"""
+with d as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) d from pages),
+heads as (select page_id, payload_bytes, {_LETTERS} payload_digest, max(page_id) over (partition by d) top from d)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end record_type, case when page_id <> top then top end refers_to from heads
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2, "op7_mixing": _OP7, "op8_quality": _OP8, "op9_line_dedup": _OP9}
+    return {"op2_near_dedup": _OP2, "op3_suffix_dedup": _OP3, "op5_warc": _OP5, "op7_mixing": _OP7, "op8_quality": _OP8, "op9_line_dedup": _OP9}

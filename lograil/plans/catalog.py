@@ -5,11 +5,357 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lograil.functions import kinds, times
+from lograil.functions import predicates as P
+from lograil.operators import blocked, detect, ingest, records, rules, sinks, stats
+from lograil.plans.fixtures import document_lines, event_fields, event_lines, table, with_continuations
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+#: Lines of a block here; small, so that small tables have many blocks.
+BLOCK = 4096
+
+_EVENTS = """(select *, 'app-' || (user_id % 4) source, event_id * 4 line_no, json_extract_string(props, '$.k') k,
+  case event_type when 'error' then 'ERROR' when 'purchase' then 'WARN' when 'signup' then 'INFO' when 'click' then 'DEBUG' else 'TRACE' end level,
+  case event_type when 'error' then 4 when 'purchase' then 3 when 'signup' then 2 when 'click' then 1 else 0 end level_rank,
+  case event_type when 'error' then '500' when 'purchase' then '404' when 'signup' then '301' else '200' end status from events)"""
+_LINES = "(select doc_id source, unnest(l) raw, unnest(range(0, len(l)))::bigint line_no from (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+LOGFMT = ("ts", "level", "user", "dur", "k", "msg")
+
+
+@query(f"""select level, count(*) n, count(distinct user_id) users, round(quantile_disc(value, 0.5) * 1e6, 3) p50, round(quantile_disc(value, 0.9) * 1e6, 3) p90, round(quantile_disc(value, 0.99) * 1e6, 3) p99
+from {_EVENTS} where level_rank >= 3 and value > 250 group by level""")
+def q_level_duration(spark, d):
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), LOGFMT)
+    r = r.filter(P.all_of(P.compare(F.col("level"), ">=", "warn", "level"), P.compare(F.col("dur"), ">", "250ms", "duration")))
+    r = r.withColumns({"label": kinds.level_label(F.col("level")), "ns": kinds.duration_ns(F.col("dur"))})
+    pct = [F.round(F.expr(f"percentile_disc({p}) within group (order by ns)"), 3).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]
+    return r.groupBy(F.col("label").alias("level")).agg(F.count("*").alias("n"), F.count_distinct("user").alias("users"), *pct)
+
+
+@query(f"select source, line_no, epoch_us(ts) us, level_rank, user_id::varchar \"user\", round(value * 1e6, 3) ns, k, 'event ' || event_id || ' \"' || event_type || '\"' msg from {_EVENTS}")
+def q_ingest_logfmt(spark, d):
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), LOGFMT).filter("is_record")
+    return r.select("source", "line_no", F.unix_micros(times.cell_instant(F.col("ts"))).alias("us"), kinds.level_rank(F.col("level")).alias("level_rank"), "user", F.round(kinds.duration_ns(F.col("dur")), 3).alias("ns"), "k", "msg")
+
+
+@query(f"select source, line_no, epoch_us(ts) us, level_rank, user_id::varchar user_id, round(value, 2) dur, k, 'event ' || event_id msg from {_EVENTS}")
+def q_ingest_jsonl(spark, d):
+    r = ingest.json_lines(event_lines(spark, d, "jsonl"), ("ts", "level", "user.id", "dur", "props.k", "msg")).filter("is_record")
+    return r.select("source", "line_no", F.unix_micros(times.cell_instant(F.col("ts"))).alias("us"), kinds.level_rank(F.col("level")).alias("level_rank"), F.col("`user.id`").alias("user_id"), F.round(F.col("dur").cast("double"), 2).alias("dur"), F.col("`props.k`").alias("k"), "msg")
+
+
+@query(f"select source, line_no, level, user_id::varchar \"user\", round(value, 2) dur, 'event ' || event_id || ', \"' || event_type || '\"' message from {_EVENTS}")
+def q_ingest_csv(spark, d):
+    r = ingest.delimited(event_lines(spark, d, "csv"), ("ts", "level", "user", "duration", "message")).filter("is_record")
+    return r.select("source", "line_no", "level", "user", F.round(kinds.number(F.col("duration")), 2).alias("dur"), "message")
+
+
+@query(f"select source, line_no, '10.0.0.' || user_id remote, epoch_us(date_trunc('second', ts)) us, 'GET' \"method\", '/' || event_type || '/' || event_id \"path\", status, floor(value)::bigint::varchar \"size\", 'agent/1.0' agent from {_EVENTS}")
+def q_ingest_access(spark, d):
+    r = ingest.access(event_lines(spark, d, "access")).filter("is_record")
+    return r.select("source", "line_no", "remote", F.unix_micros(times.cell_instant(F.col("ts"))).alias("us"), "method", "path", "status", "size", "agent")
+
+
+@query(f"select source, line_no, '11' pri, epoch_us(date_trunc('second', ts)) us, source host, 'svc' tag, user_id::varchar pid, 'event ' || event_id msg from {_EVENTS}")
+def q_ingest_syslog(spark, d):
+    r = ingest.syslog_3164(event_lines(spark, d, "syslog_3164")).filter("is_record")
+    return r.select("source", "line_no", "pri", F.unix_micros(times.line_instant(F.col("raw"), "syslog", "2024-12-31")).alias("us"), "host", "tag", "pid", "msg")
+
+
+@query(f"select source, line_no, '131' pri, epoch_us(ts) us, source host, 'svc' app, user_id::varchar procid, 'ID' || event_id msgid, '[m@1 k=\"' || k || '\"]' sd, 'event ' || event_id msg from {_EVENTS}")
+def q_ingest_syslog5424(spark, d):
+    r = ingest.syslog_5424(event_lines(spark, d, "syslog_5424")).filter("is_record")
+    return r.select("source", "line_no", "pri", F.unix_micros(times.cell_instant(F.col("ts"))).alias("us"), "host", "app", "procid", "msgid", "sd", "msg")
+
+
+@query(f"select source, line_no, epoch_ms(ts) ms, level, 'worker-' || user_id thread, 'app.Svc' logger, 'event ' || event_id msg from {_EVENTS}")
+def q_ingest_log4j(spark, d):
+    r = ingest.log4j(event_lines(spark, d, "log4j"), "%d %-5p [%t] %c - %m%n").filter("is_record")
+    return r.select("source", "line_no", F.unix_millis(times.cell_instant(F.col("ts"))).alias("ms"), "level", "thread", "logger", "msg")
+
+
+@query(f"select source, line_no, strftime(ts, '%Y-%m-%d') \"date\", strftime(ts, '%H:%M:%S') \"time\", case when user_id % 10 <> 0 then user_id::varchar end \"user\", status, floor(value)::bigint::varchar taken from {_EVENTS}")
+def q_ingest_w3c(spark, d):
+    r = ingest.w3c(event_lines(spark, d, "w3c"), ("date", "time", "user", "sc-status", "time-taken")).filter("is_record")
+    return r.select("source", "line_no", "date", "time", "user", F.col("sc-status").alias("status"), F.col("time-taken").alias("taken"))
+
+
+@query(f"select source, line_no, level, user_id::varchar \"user\", round(value, 2) dur, 'event ' || event_id msg from {_EVENTS}")
+def q_ingest_fixed(spark, d):
+    r = ingest.fixed_width(event_lines(spark, d, "fixed"), (("level", 0, 6), ("user", 6, 13), ("dur", 13, 24), ("msg", 24, None))).filter("is_record")
+    return r.select("source", "line_no", "level", "user", F.round(kinds.number(F.col("dur")), 2).alias("dur"), "msg")
+
+
+@query(f"select source, line_no, user_id::varchar \"user\" from {_EVENTS} where user_id % 10 = 3 and length(user_id::varchar) = 2")
+def q_ingest_regex(spark, d):
+    r = ingest.by_regex(event_lines(spark, d, "logfmt"), r"user=(?P<user>\d3) ").filter("is_record")
+    return r.select("source", "line_no", "user")
+
+
+@query(f"select k, count(*) n from {_EVENTS} where k::int >= 50 group by k")
+def q_extra_keys(spark, d):
+    r = ingest.json_lines(event_lines(spark, d, "jsonl"), ("ts", "level")).filter("is_record")
+    k = P.extra(F.col("extra"), "PROPS.K")
+    return r.filter(P.compare(k, ">=", "50", "number")).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("select 'app-' || (user_id % 4) source, name, nth from (select distinct user_id % 4 user_id from events), (values ('ts', 1), ('level', 2), ('user', 3), ('dur', 4), ('k', 5), ('msg', 6)) v(name, nth)")
+def q_discover_keys(spark, d):
+    lines = event_lines(spark, d, "logfmt")
+    return ingest.discover_columns(lines, ingest.logfmt_pairs(F.col("raw")), sample=1 << 40)
+
+
+@query(f"select source, line_no, raw from {_LINES} where contains(lower(raw), 'the') and regexp_matches(raw, '[0-9]{{3}}') and not contains(raw, '!!')")
+def q_filter_stack(spark, d):
+    raw = F.col("raw")
+    return document_lines(spark, d).filter(P.filter_stack([P.text(raw, "the"), P.regex(raw, "[0-9]{3}")], [P.text(raw, "!!")]))
+
+
+@query(f"select source, line_no from {_LINES} where regexp_matches(lower(raw), '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}])(of)([^\\w\\x{{80}}-\\x{{10FFFF}}]|$)')")
+def q_whole_word(spark, d):
+    return document_lines(spark, d).filter(P.text(F.col("raw"), "of", whole_word=True)).select("source", "line_no")
+
+
+@query(f"select count(*) filter (contains(lower(raw), 'license')) insensitive, count(*) filter (contains(raw, 'License')) \"sensitive\" from {_LINES}")
+def q_smart_case(spark, d):
+    raw = F.col("raw")
+    return document_lines(spark, d).agg(F.count_if(P.text(raw, "license")).alias("insensitive"), F.count_if(P.text(raw, "License")).alias("sensitive"))
+
+
+@query(f"select source, count(*) n from {_LINES} where contains(lower(raw), 'license') or contains(lower(raw), 'copyright') or contains(lower(raw), 'the ') group by source")
+def q_any_literal(spark, d):
+    return document_lines(spark, d).filter(P.any_literal(F.col("raw"), ["license", "copyright", "the "])).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderpriority, count(*) n from orders where lower(o_orderpriority) like '%-%medium%' or lower(o_orderpriority) like '1-%' group by 1")
+def q_wildcard(spark, d):
+    c = F.col("o_orderpriority")
+    return table(spark, d, "orders").filter(P.one_of(c, ["*-*MEDIUM*", "1-*"])).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+_ALL = f"(select source, line_no, level_rank, 0 o from {_EVENTS} union all select source, line_no + o, null, o from {_EVENTS}, (values (1), (2), (3)) v(o) where event_type = 'error' and event_id % 7 = 0)"
+
+
+@query(f"select count(*) n, count(*) filter (o > 0) continuations from {_ALL} where not coalesce(level_rank = 4, false)")
+def q_not_keeps_continuations(spark, d):
+    r = ingest.logfmt(with_continuations(event_lines(spark, d, "logfmt")), LOGFMT)
+    r = r.filter(P.not_(P.equals(F.col("level"), "E", "level")))
+    return r.agg(F.count("*").alias("n"), F.count_if(~F.col("is_record")).alias("continuations"))
+
+
+@query(f"select count(*) n, sum(value) total from {_EVENTS} where ts >= (select min(ts) from events) and ts >= timestamp '2024-01-02' and ts <= timestamp '2024-01-03 06:00:00'")
+def q_time_range(spark, d):
+    e = table(spark, d, "events")
+    return e.filter(P.time_range(F.col("ts"), "2024-01-02", "+30h")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(f"""with l as {_LINES}, h as (select source, line_no from l where contains(lower(raw), 'license')),
+m as (select l.source, l.line_no, min(case when l.line_no = h.line_no then 0 else 1 end) c from l join h on l.source = h.source and l.line_no between h.line_no - 2 and h.line_no + 1 group by 1, 2)
+select source, line_no, c = 1 is_context, raw from m join l using (source, line_no)""")
+def q_context(spark, d):
+    lines = document_lines(spark, d)
+    return records.with_context(lines, P.text(F.col("raw"), "license"), 2, 1).select("source", "line_no", "is_context", "raw")
+
+
+RULES = (
+    rules.Rule("shout", "!!", priority=1, tag="noise", hide=True), rules.Rule("license", "license", priority=5, tag="legal"), rules.Rule("digits", r"[0-9]{4}", kind="regex", priority=5, tag="number", bookmark=True),
+    rules.Rule("the", "the", whole_word=True, tag="word", alert=True), rules.Rule("off", "a", enabled=False),
+)
+_HITS = f"""(select *, contains(raw, '!!') r1, contains(lower(raw), 'license') r2, regexp_matches(raw, '[0-9]{{4}}') r3,
+  regexp_matches(lower(raw), '(^|[^\\w\\x{{80}}-\\x{{10FFFF}}])the([^\\w\\x{{80}}-\\x{{10FFFF}}]|$)') r4 from {_LINES})"""
+
+
+@query(f"select source, count(*) n from {_HITS} where not r1 group by source")
+def q_hide_rules(spark, d):
+    return rules.tag_lines(document_lines(spark, d), RULES).filter("not hidden").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(" union all ".join(f"select '{n}' \"rule\", count(*) n from {_HITS} where {r}" for n, r in (("shout", "r1"), ("license", "r2"), ("digits", "r3"), ("the", "r4"))))
+def q_rule_hits(spark, d):
+    return rules.rule_hits(rules.tag_lines(document_lines(spark, d), RULES))
+
+
+@query(f"select tag, count(*) n, count(*) filter (r3) bookmarks, count(*) filter (r4) alerts from (select *, case when r3 then 'number' when r2 then 'legal' when r1 then 'noise' when r4 then 'word' end tag from {_HITS}) group by tag")
+def q_rule_priority(spark, d):
+    t = rules.tag_lines(document_lines(spark, d), RULES)
+    return t.groupBy("tag").agg(F.count("*").alias("n"), F.count_if("bookmark").alias("bookmarks"), F.count_if("alert").alias("alerts"))
+
+
+@query(f"""with v as (select unnest(regexp_extract_all(raw, '{rules.ENTITIES["ipv4"]}')) "value" from {_LINES}), c as (select "value", count(*) n from v group by 1)
+select "value", n, row_number() over (order by n desc, "value") nth from c qualify nth <= 20""")
+def q_entities_top(spark, d):
+    e = rules.entities(document_lines(spark, d), ["ipv4"])
+    return stats.top_values(e, {"value": "text"}, 20).select("value", F.col("count").alias("n"), "nth")
+
+
+@query(f"""select source, line_no rec_id, case when event_type = 'error' and event_id % 7 = 0 then 4 else 1 end n_lines from {_EVENTS}""")
+def q_multiline(spark, d):
+    lines = ingest.logfmt(with_continuations(event_lines(spark, d, "logfmt")), LOGFMT)
+    return records.bodies(records.with_record(lines, F.col("is_record"), BLOCK)).select("source", "rec_id", "n_lines")
+
+
+_PROFILE = " union all ".join(
+    f"select '{n}' \"name\", '{k}' kind, count({c}) \"count\", count(*) - count({c}) missing, count({v}) numeric_count, min({v}) \"min\", max({v}) \"max\", round(avg({v}), 6) mean, quantile_disc({v}, 0.5) p50, quantile_disc({v}, 0.9) p90, quantile_disc({v}, 0.99) p99 from lineitem"
+    for n, k, c, v in (("l_quantity", "number", "l_quantity", "l_quantity::double"), ("l_extendedprice", "number", "l_extendedprice", "l_extendedprice::double"), ("l_returnflag", "text", "l_returnflag", "null::double"), ("l_discount", "duration", "l_discount", "(l_discount * 1e6)::double"))
+)
+
+
+@query(f"select \"name\", kind, \"count\", missing, numeric_count, round(\"min\", 6) \"min\", round(\"max\", 6) \"max\", mean, round(p50, 6) p50, round(p90, 6) p90, round(p99, 6) p99 from ({_PROFILE})")
+def q_profile(spark, d):
+    p = stats.profile(table(spark, d, "lineitem"), {"l_quantity": "number", "l_extendedprice": "number", "l_returnflag": "text", "l_discount": "duration"})
+    return p.select("name", "kind", "count", "missing", "numeric_count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "p50", "p90", "p99")])
+
+
+@query()
+def q_distinct_approx(spark, d):
+    p = stats.profile(table(spark, d, "events"), {"user_id": "text", "event_type": "text"}, exact=False)
+    return p.select("name", "distinct_estimate")
+
+
+@query("""with c as (select 'o_orderstatus' "name", o_orderstatus "value", count(*) "count" from orders group by 2 union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by 2 union all select 'o_custkey', o_custkey::varchar, count(*) from orders group by 2)
+select *, row_number() over (partition by "name" order by "count" desc, "value") nth from c qualify nth <= 10""")
+def q_top_values(spark, d):
+    return stats.top_values(table(spark, d, "orders"), {"o_orderstatus": "text", "o_orderpriority": "text", "o_custkey": "text"}, 10)
+
+
+@query(f"""with l as (select *, coalesce(sum(strlen(raw) + 1) over (partition by source order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint off from {_LINES}),
+t as (select source, sum(strlen(raw) + 1) size from l group by 1),
+b as (select source, least(off * 10 // size, 9)::int bin, count(*) n from l join t using (source) where contains(lower(raw), 'the') group by 1, 2)
+select source, bin, n, round(greatest(0.35, sqrt(n / max(n) over (partition by source))), 6) intensity from b""")
+def q_density(spark, d):
+    size = (F.octet_length("raw") + 1).cast("long")
+    lines = blocked.running_sum(document_lines(spark, d), size, "byte_off", BLOCK)
+    totals = lines.groupBy("source").agg(F.sum(size).alias("size"))
+    return stats.density(lines.filter(P.text(F.col("raw"), "the")), totals, 10).withColumn("intensity", F.round("intensity", 6))
+
+
+@query("select c_custkey, c_acctbal, row_number() over (order by c_acctbal desc nulls last, c_mktsegment, c_custkey) nth from customer qualify nth <= 500")
+def q_sorted(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("line_no"), F.col("c_acctbal").cast("string").alias("cell"), "c_custkey", "c_acctbal")
+    top = records.sorted_by(c, kinds.number(F.col("cell")), descending=True).limit(500)
+    from pyspark.sql import Window as W
+
+    return top.withColumn("nth", F.row_number().over(W.orderBy(F.col("c_acctbal").desc_nulls_last(), "source", "line_no"))).select("c_custkey", "c_acctbal", "nth")
+
+
+@query(f"""select source, n, line_no, nth from (select source, line_no, row_number() over (partition by source order by line_no) nth, count(*) over (partition by source) n from
+(select 'role-' || role source, conv_id * 1000 + turn line_no, text raw from conversations) where contains(lower(raw), 'the')) where nth <= 100""")
+def q_cross_search(spark, d):
+    c = table(spark, d, "conversations").select(F.concat(F.lit("role-"), "role").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.col("text").alias("raw"))
+    counts, first = stats.search_sources(c, P.text(F.col("raw"), "the"))
+    return first.join(counts, "source").select("source", "n", "line_no", F.col("nth").cast("long").alias("nth"))
+
+
+_MERGE = f"(select source, line_no, max(case when event_id % 5 <> 0 then ts end) over (partition by source order by line_no) eff from {_EVENTS})"
+
+
+@query(f"select source, line_no, epoch_us(eff) us, row_number() over (order by eff nulls first, source, line_no) nth from {_MERGE}")
+def q_merge(spark, d):
+    from pyspark.sql import Window as W
+
+    e = event_fields(spark, d).select("source", "line_no", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("t"))
+    m = records.effective_time(e, F.col("t"), BLOCK)
+    return m.select("source", "line_no", F.unix_micros("eff_ts").alias("us"), F.row_number().over(W.orderBy(F.col("eff_ts").asc_nulls_first(), "source", "line_no")).cast("long").alias("nth"))
+
+
+@query(f"select source, min(line_no) line_no from {_EVENTS} where ts >= timestamp '2024-01-02 12:00:00' group by source")
+def q_goto_time(spark, d):
+    return records.first_at_or_after(event_fields(spark, d), F.col("ts"), F.lit("2024-01-02 12:00:00").cast("timestamp"))
+
+
+_LAG = f"(select source, line_no, epoch_us(ts) - epoch_us(lag(ts) over (partition by source order by line_no)) us from {_EVENTS})"
+
+
+@query(f"select source, line_no, us gap_us from {_LAG} where us >= 600000000")
+def q_gaps(spark, d):
+    return records.gaps(event_fields(spark, d), F.col("ts"), 600, BLOCK).select("source", "line_no", "gap_us")
+
+
+@query(f"""select source, line_no, '+' || case when us < 3600000000 then printf('%02d:%02d.%03d', us // 60000000, us // 1000000 % 60, us // 1000 % 1000) else printf('%dh%02dm', us // 3600000000, us // 60000000 % 60) end label from {_LAG} where us < 86400000000 and us >= 0""")
+def q_relative(spark, d):
+    r = records.since_previous(event_fields(spark, d), F.col("ts"), BLOCK)
+    return r.filter("delta_us < 86400000000 and delta_us >= 0").select("source", "line_no", times.show_relative(F.col("delta_us")).alias("label"))
+
+
+@query(f"""select source, coalesce(min(line_no) filter (line_no > 3), min(line_no)) next_line, coalesce(max(line_no) filter (line_no < 3), max(line_no)) previous_line, count(*) filter (line_no <= 3) "rank", count(*) total
+from {_LINES} where contains(lower(raw), 'the') group by source""")
+def q_next_prev(spark, d):
+    return records.neighbours(document_lines(spark, d).filter(P.text(F.col("raw"), "the")), 3)
+
+
+@query(f"select source, line_no, raw from (select *, max(line_no) over (partition by source) hi from {_LINES}) where line_no > hi - 3")
+def q_tail(spark, d):
+    return records.tail(document_lines(spark, d), 3).select("source", "line_no", "raw")
+
+
+@query()
+def q_detect(spark, d):
+    parts = [event_lines(spark, d, k).withColumn("source", F.concat(F.col("source"), F.lit(f".{k}"))) for k in ("logfmt", "jsonl", "csv", "access", "syslog_3164", "syslog_5424", "log4j")]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    return detect.detect_formats(lines, 4000).filter("nth = 1").select("source", "format", F.round("score", 6).alias("score"))
+
+
+@query("select distinct 'app-' || (user_id % 4) source, case user_id % 4 when 1 then 'one' else 'logfmt' end profile from events")
+def q_route(spark, d):
+    return detect.route(event_lines(spark, d, "logfmt"), [detect.Profile("any", glob="app-*"), detect.Profile("logfmt", content="level="), detect.Profile("one", glob="app-1", content="level=")], 1 << 30)
+
+
+@query()
+def q_alert_limit(spark, d):
+    e = event_fields(spark, d)
+    hits = e.filter("event_type = 'error'").select("source", F.lit("error").alias("rule"), "ts")
+    return rules.limit_alerts(hits, 300).select("source", "rule", F.unix_micros("ts").alias("us"), "suppressed")
+
+
+@query(f"""select source, line_no, '{{"level":"' || lower(level) || '","user":' || user_id || ',"k":' || k || ',"none":null}}' line from {_EVENTS}""")
+def q_export_json(spark, d):
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), LOGFMT).withColumn("none", F.lit(None).cast("string"))
+    return r.select("source", "line_no", sinks.json_line({"level": "level", "user": "number", "k": "json", "none": "text"}).alias("line"))
+
+
+@query(f"select event_type, regexp_replace(printf('%.2f', min(value)), '\\.?0+$', '') || ' ms' lo, regexp_replace(printf('%.2f', max(value)), '\\.?0+$', '') || ' ms' hi from {_EVENTS} where value > 1 and value < 999 group by event_type")
+def q_readable(spark, d):
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), ("level", "dur", "msg")).withColumn("ns", kinds.duration_ns(F.col("dur"))).filter("ns > 1e6 and ns < 999e6")
+    kind = F.regexp_extract("msg", '"(.*)"', 1).alias("event_type")
+    return r.groupBy(kind).agg(kinds.show_duration(F.min("ns")).alias("lo"), kinds.show_duration(F.max("ns")).alias("hi"))
+
+
+@query(f"select source, 'iso' format from {_EVENTS} group by source")
+def q_learn_formats(spark, d):
+    return times.learn_formats(event_lines(spark, d, "logfmt"), 1 << 40)
+
+
+@query(f"select source, line_no, nth, \"name\", \"value\" from (select source, line_no, 0 nth, 'level' \"name\", lower(level) \"value\" from {_EVENTS} union all select source, line_no, 1, 'user', user_id::varchar from {_EVENTS})")
+def q_key_value_rows(spark, d):
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), ("level", "user")).filter("is_record")
+    return stats.as_rows(r, ["level", "user"]).select("source", "line_no", "nth", "name", "value")
+
+
+@query(f"select source, line_no, len(regexp_extract_all(raw, '[0-9]+')) n from {_LINES} where regexp_matches(raw, '[0-9]')")
+def q_match_positions(spark, d):
+    return stats.match_positions(document_lines(spark, d), "[0-9]+").groupBy("source", "line_no").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

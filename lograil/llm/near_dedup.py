@@ -234,7 +234,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    members = placed.join(texts, "node").select("grp", F.col("node").alias("id"), "text")
+    # The same join at every size: members grow with the corpus, so they are never broadcast.
+    members = placed.hint("merge").join(texts, "node").select("grp", F.col("node").alias("id"), "text")
     links = components(exact_links(members, shingle, percent), name="confirmed")
     # Copies of one digest follow the least of them; most digests are single and in no link.
     heads = sets.select("digest", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))

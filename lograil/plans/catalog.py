@@ -83,7 +83,7 @@ def q_ingest_syslog5424(spark, d):
     return r.select("source", "line_no", "pri", F.unix_micros(times.cell_instant(F.col("ts"))).alias("us"), "host", "app", "procid", "msgid", "sd", "msg")
 
 
-@query(f"select source, line_no, epoch_ms(ts) ms, level, 'worker-' || user_id thread, 'app.Svc' logger, 'event ' || event_id msg from {_EVENTS}")
+@query(f"select source, line_no, epoch_us(ts) // 1000 ms, level, 'worker-' || user_id thread, 'app.Svc' logger, 'event ' || event_id msg from {_EVENTS}")
 def q_ingest_log4j(spark, d):
     r = ingest.log4j(event_lines(spark, d, "log4j"), "%d %-5p [%t] %c - %m%n").filter("is_record")
     return r.select("source", "line_no", F.unix_millis(times.cell_instant(F.col("ts"))).alias("ms"), "level", "thread", "logger", "msg")

@@ -8,8 +8,10 @@ among documents of equal length, which is counted in buckets, without a global s
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.llm.common import materialize, small_batches, text_buffers
+from lograil.llm.common import chunks, materialize, small_batches, text_buffers
 
 #: Lengths above this share of the capacity are large; equal-cardinality groups of large lengths.
 LARGE_SHARE, GROUPS = 0.125, 512
@@ -34,44 +36,45 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tok, new, old = Tokenizer.from_file(tokenizer_path), {}, {}
         end = np.array([end_id], "<u4").tobytes()
 
-        def ids_of(words):
+        def learn(words: set) -> None:
             nonlocal new, old
-            try:
-                return b"".join(map(new.__getitem__, words))
-            except KeyError:
-                pass
             if len(new) > REMEMBERED:
                 new, old = {}, new
-            missing = [w for w in dict.fromkeys(words) if w not in new]
-            for w in missing:
-                if w in old:
-                    new[w] = old[w]
-            missing = [w for w in missing if w not in new]
-            for k in range(0, len(missing), 4096):
-                part = missing[k : k + 4096]
-                for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    new[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(new.__getitem__, words))
+            missing = words.difference(new)
+            again = missing.intersection(old)
+            new.update({w: old[w] for w in again})
+            missing = list(missing.difference(again))
+            for k in range(0, len(missing), 8192):
+                part = missing[k : k + 8192]
+                ids = [e.ids for e in tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+                flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+                at = 0
+                for w, x in zip(part, ids):
+                    stop = at + 4 * len(x)
+                    new[w] = flat[at:stop]
+                    at = stop
 
         for b in batches:
             raw, bounds = text_buffers(b.column(1))
-            raw = raw.tobytes()
             rows, piece, start, length, crc = [], [], [], [], []
-            for i in range(b.num_rows):
-                words = raw[bounds[i] : bounds[i + 1]].split()
-                ids = b"".join(ids_of(words[k : k + 100_000]) for k in range(0, len(words), 100_000)) + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append(i)
-                    piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for lo, hi in chunks(bounds):
+                texts = [raw[bounds[i] : bounds[i + 1]].tobytes().split() for i in range(lo, hi)]
+                learn(set(chain.from_iterable(texts)))
+                for i, words in enumerate(texts, lo):
+                    ids = b"".join(map(new.__getitem__, words)) + end
+                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append(i)
+                        piece.append(p)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     small_batches(docs.sparkSession)

@@ -27,7 +27,7 @@ def _clock(date: Column, text: Column) -> Column:
 
 #: Name -> (pattern, expression of the matched text and the reference date). In the order in which ties are decided.
 FORMATS = {
-    "iso": (rf"{_ISO}(?:\.\d{{1,9}})?{_ZONE}", lambda t, ref: _iso(t)),
+    "iso": (rf"{_ISO}(?:\.\d{{1,9}})?{_ZONE}(?!,\d)", lambda t, ref: _iso(t)),
     "iso_comma": (rf"{_ISO},\d{{1,9}}{_ZONE}", lambda t, ref: _iso(t)),
     "slashed": (r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,9})?", lambda t, ref: _iso(F.translate(t, "/", "-"))),
     "compact": (r"\d{8}T\d{6}(?:\.\d{1,9})?Z?", lambda t, ref: _iso(F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)", "$1-$2-$3 $4:$5:$6"))),

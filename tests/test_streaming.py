@@ -4,10 +4,12 @@ from lograil.functions import predicates as P
 from lograil.streaming import live
 
 
-def run(df, name, mode="append"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def run(df, name, mode="append", ends=True):
+    """A query with idle timers never ends by itself, so it is stopped after its first batches."""
+    writer = df.writeStream.outputMode(mode).format("memory").queryName(name)
+    q = (writer.trigger(availableNow=True) if ends else writer.trigger(processingTime="1 second")).start()
+    q.awaitTermination(60 if ends else 15)
+    q.stop()
 
 
 def test_live_filter_and_alerts(spark, tmp_path):
@@ -21,7 +23,7 @@ def test_live_filter_and_alerts(spark, tmp_path):
     hits = live.live_filter(lines, P.text(F.col("raw"), "error")).select("source", F.lit("r").alias("rule"), F.timestamp_micros("us").alias("ts"))
     run(live.live_alerts(hits, 5), "alerts")
     assert spark.table("alerts").filter("suppressed = 0").count() >= 1
-    run(live.live_records(lines, P.text(F.col("raw"), "error")), "recs")
+    run(live.live_records(lines, P.text(F.col("raw"), "error")), "recs", ends=False)
     assert spark.table("recs").filter("n_lines = 3").count() >= 9
 
 

@@ -21,9 +21,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a text's UTF-8 bytes: five hexadecimal digits make four letters."""
-    digits = F.sha1(payload.cast("binary"))
+def hex_sha1(payload: Column) -> Column:
+    return F.sha1(payload.cast("binary"))
+
+
+def base32(digits: Column) -> Column:
+    """Bare upper-case base32 of 40 hexadecimal digits: five digits make four letters."""
     letters = []
     for g in range(8):
         bits = F.conv(F.substring(digits, 5 * g + 1, 5), 16, 10).cast("int")
@@ -32,17 +35,17 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, refers_to_url): no payloads.
+    """(page_id, url, payload_bytes, sha1, payload_digest, record_type, refers_to, refers_to_url): no payloads.
 
     Of equal payloads of min_bytes or more, the one with the largest id is response and the others revisit it; rows that repeat that id
     are responses too. A null payload is empty. A row of a null id is a response unless another has its payload.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    heads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
-    first = heads.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("o"))
-    out = heads.join(first, "payload_digest", "left")
+    heads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), hex_sha1(payload).alias("sha1"))
+    first = heads.filter(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("o"))
+    out = heads.join(first, "sha1", "left").withColumn("payload_digest", base32(F.col("sha1")))
     revisit = F.col("o.page_id").isNotNull() & ~F.col("o.page_id").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_bytes)
-    return out.select("page_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("o.page_id")).alias("refers_to"), F.when(revisit, F.col("o.url")).alias("refers_to_url"))
+    return out.select("page_id", "url", "payload_bytes", "sha1", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("o.page_id")).alias("refers_to"), F.when(revisit, F.col("o.url")).alias("refers_to_url"))
 
 
 def record_id(page_id: Column) -> Column:
@@ -55,9 +58,9 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
     heads = resolve(pages, min_bytes, id_col, url_col, payload_col)
     # The payload travels with the id, url and digest of its own row; repeated rows meet once each.
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    heads = heads.groupBy("page_id", "payload_digest").agg(F.first(F.struct("payload_bytes", "record_type", "refers_to", "refers_to_url")).alias("h")).select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "h.*")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.join(heads, rows["page_id"].eqNullSafe(heads["_id"]) & (base32_sha1(F.col("payload")) == heads["_digest"]))
+    heads = heads.groupBy("page_id", "sha1").agg(F.first(F.struct(F.col("payload_digest").alias("_digest"), "payload_bytes", "record_type", "refers_to", "refers_to_url")).alias("h")).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "h.*")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), hex_sha1(payload).alias("sha1"))
+    rows = rows.join(heads, rows["page_id"].eqNullSafe(heads["_id"]) & (rows["sha1"] == heads["_sha1"]))
     one_line = lambda c: F.regexp_replace(c, r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     revisit = F.col("record_type") == "revisit"

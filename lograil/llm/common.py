@@ -158,7 +158,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         got[np.repeat(full, out_counts)] = runs[keep]
     for m in range(1, size):
         at = np.flatnonzero(counts == m)
-        acc = np.full(len(at), np.uint64(m) * WORD_FACTORS[14])
+        acc = np.full(len(at), WORD_FACTORS[14]) * np.uint64(m)
         for j in range(m):
             acc += words[first[at] + j] * WORD_FACTORS[j]
         got[out[at]] = acc

@@ -23,8 +23,8 @@ from lograil.llm.common import chunks, materialize, small_batches, text_buffers
 
 #: Lengths above this share of the capacity are large; equal-cardinality groups of large lengths.
 LARGE_SHARE, GROUPS = 0.125, 512
-#: Words whose ids a task remembers, in each of two generations.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 500_000
 #: Documents of one rank bucket, about.
 RANK_BUCKET = 50_000
 
@@ -37,15 +37,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        tok, new, old = Tokenizer.from_file(tokenizer_path), {}, {}
+        tok = tokenizers.Tokenizer.from_file(tokenizer_path)
+        # A worker runs many tasks; what it has learned stays with it.
+        held = tokenizers.__dict__.setdefault("_ids_of_words", {}).setdefault(tokenizer_path, [{}, {}])
+        new, old = held
         end = np.array([end_id], "<u4").tobytes()
 
         def learn(words: set) -> None:
             nonlocal new, old
             if len(new) > REMEMBERED:
                 new, old = {}, new
+                held[:] = new, old
             missing = words.difference(new)
             again = missing.intersection(old)
             new.update({w: old[w] for w in again})

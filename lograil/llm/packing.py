@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,10 +26,33 @@ from lograil.llm.common import chunks, materialize, small_batches, text_buffers
 LARGE_SHARE, GROUPS = 0.125, 512
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 500_000
+#: Words encoded as one text, and what may stand between them: the first that the tokenizer has one id for.
+RUN, MARKS = 256, "|~§¶"
 #: Documents of one rank bucket, about.
 RANK_BUCKET = 50_000
 
 
+def run_ids(tok, runs: list[list[str]]) -> Iterator[list[bytes]]:
+    """The ids of each word, as little-endian unsigned 32-bit integers, for each run of words.
+
+    A run is encoded as one text, with a mark of one id between its words. Blanks keep the mark apart, so each mark gives its
+    id. If the id comes more often, words have it too, and they are encoded one by one.
+    """
+    mark, mark_id = next(((c, e.ids[0]) for c in MARKS if len(e := tok.encode(c, add_special_tokens=False)) == 1), (None, None))
+    for k in range(0, len(runs), 32):
+        some = runs[k : k + 32]
+        whole = tok.encode_batch_fast([f" {mark} ".join(words) for words in some], add_special_tokens=False) if mark else [None] * len(some)
+        for words, e in zip(some, whole):
+            if e is not None:
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == mark_id)
+            if e is None or len(cuts) != len(words) - 1:
+                yield [np.array(x.ids, "<u4").tobytes() for x in tok.encode_batch_fast(words, add_special_tokens=False)]
+                continue
+            flat, lo = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+            yield [flat[a:b] for a, b in zip(lo, [*(4 * cuts).tolist(), len(flat)])]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of each text and the end id, cut at capacity. A null text is empty.
 
@@ -54,15 +78,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             again = missing.intersection(old)
             new.update({w: old[w] for w in again})
             missing = list(missing.difference(again))
-            for k in range(0, len(missing), 8192):
-                part = missing[k : k + 8192]
-                ids = [e.ids for e in tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-                flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-                at = 0
-                for w, x in zip(part, ids):
-                    stop = at + 4 * len(x)
-                    new[w] = flat[at:stop]
-                    at = stop
+            runs = [missing[k : k + RUN] for k in range(0, len(missing), RUN)]
+            for part, ids in zip(runs, run_ids(tok, [[w.decode("utf-8", "replace") for w in part] for part in runs])):
+                new.update(zip(part, ids))
 
         for b in batches:
             raw, bounds = text_buffers(b.column(1))

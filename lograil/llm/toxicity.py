@@ -8,6 +8,8 @@ gradient of a document's loss goes to its highest window (multiple-instance lear
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,6 +137,17 @@ class GatedNet:
         self.word_kinds, self.gram_kinds = words, grams
         self.words, self.grams = np.zeros((len(words.hashes) + 1, EMBED), np.float32), np.zeros((len(grams.hashes) + 1, EMBED), np.float32)
 
+    def state(self) -> tuple:
+        """All that was learned, as plain arrays."""
+        return self.p, self.word_kinds.hashes, self.gram_kinds.hashes, self.words, self.grams
+
+    @staticmethod
+    def of(state: tuple) -> GatedNet:
+        net = GatedNet()
+        net.p, words, grams, net.words, net.grams = state
+        net.word_kinds, net.gram_kinds = Vocabulary(words), Vocabulary(grams)
+        return net
+
     def vectors(self, word: np.ndarray, grams: np.ndarray, n_grams: np.ndarray) -> np.ndarray:
         """Input vectors of words from their numbers, the numbers of their n-grams, and how many each has."""
         sums = np.add.reduceat(self.grams[grams], np.concatenate([[0], np.cumsum(n_grams)[:-1]]).astype(int), axis=0) if len(grams) else np.zeros((0, EMBED), np.float32)
@@ -286,10 +299,15 @@ def train(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, id_c
                 keep.append(b" ".join(b" ".join(words[k * WINDOW : (k + 1) * WINDOW]) for k in part).decode("utf-8", "replace") if len(part) < n else x or "")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keep, pa.string())], ["label", "text"])
 
+    def fit(batches):
+        got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x.strip())
+        net = GatedNet().learn([x for _, x in got], np.array([k for k, _ in got], int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.state())], pa.binary())], ["net"])
+
     small_batches(docs.sparkSession)
-    got = sorted(map(tuple, rows.mapInArrow(run, "label int, text string").collect()))
-    got = [x for x in got if x[1].strip()]
-    return GatedNet().learn([x for _, x in got], np.array([k for k, _ in got], int))
+    # The sample is bounded, so one task learns from it; the driver gets the network only.
+    got = rows.mapInArrow(run, "label int, text string").repartition(1).mapInArrow(fit, "net binary").first()
+    return GatedNet.of(pickle.loads(got["net"])) if got else GatedNet().learn([], np.zeros(0, int))
 
 
 def score(docs: DataFrame, net: GatedNet, id_col: str = "doc_id", text_col: str = "text", out_col: str = "score") -> DataFrame:

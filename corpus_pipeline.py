@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograil.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from lograil.llm.common import materialize
+from lograil.llm.common import materialize, numbered
 from lograil.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    gone = near_dedup.near_groups(docs, shingle=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs.select(*COLUMNS), "near-texts")
+    gone = near_dedup.near_rows(rows, shingle=5, percent=80).filter(~F.col("kept")).select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

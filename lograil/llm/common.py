@@ -35,6 +35,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with _row, a number of its own for each row. Written to the shared folder, so that every later read finds the same numbers."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts must fit a Python worker: lower the default row count, keep a smaller one."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,9 +1,10 @@
 """Line deduplication with keep bitmaps, native.
 
-Keys of long lines are hashed (two 64-bit hashes) and range-partitioned by (hash, document, position), which Spark does with sampled
+Keys of long lines are hashed (two 64-bit hashes) and range-partitioned by (hash, document, text, position), which Spark does with sampled
 splitters; a hash that a third of the lines share spreads over partitions. Each partition is summed to one row for each of
 its hashes, the sums of a hash meet, and the verdict goes back to the rows of that hash by (partition, hash). What comes
 out is one keep bitmap for each document that loses lines, as run lengths; the texts are not moved until they are rewritten.
+Rows may share an id: a 64-bit digest of the text goes along with it, so each text loses its own lines only.
 """
 
 from __future__ import annotations
@@ -24,26 +25,31 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(SPACES)))
 
 
+def text_digest(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos) of every line to drop: its key has min_chars code points, is found in min_docs documents, and a larger id holds it too."""
+    """(id, text, pos) of every line to drop (text: its text's digest): its key has min_chars code points, is found in min_docs documents, and a larger id holds it too."""
     spark = docs.sparkSession
-    lines = docs.filter(f"{id_col} is not null").select(F.col(id_col).alias("id"), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"))
-    lines = lines.filter(F.length("key") >= min_chars).select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    lines = docs.filter(f"{id_col} is not null").select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text"), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"))
+    lines = lines.filter(F.length("key") >= min_chars).select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = lines.repartitionByRange(parts, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos")
+    ranged = lines.repartitionByRange(parts, "h1", "h2", "id", "text", "pos").sortWithinPartitions("h1", "h2", "id", "text", "pos")
     ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "line-keys")
-    # Documents of a key: rows of one document are neighbours, and at most its last one lies in another partition.
+    # Documents of a key: rows of one id are neighbours, so a partition can share only its first id with those before.
     sums = ranged.groupBy("h1", "h2", "part", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2", "part").agg(F.count("*").alias("docs"), F.min("id").alias("low"), F.max("id").alias("top"))
     key = W.partitionBy("h1", "h2")
     again = (F.lag("top").over(key.orderBy("part")) == F.col("low")).cast("int")
     sums = sums.withColumn("docs", F.col("docs") - F.coalesce(again, F.lit(0)))
     sums = sums.withColumns({"all_docs": F.sum("docs").over(key), "last": F.max("top").over(key)}).filter(F.col("all_docs") >= min_docs).select("h1", "h2", "part", "last")
-    return ranged.join(sums, ["h1", "h2", "part"]).filter("id < last").select("id", "pos")
+    return ranged.join(sums, ["h1", "h2", "part"]).filter("id < last").select("id", "text", "pos")
 
 
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:
-    """(id, drops, runs): the sorted dropped positions, and the bitmap as run lengths: kept, dropped, kept, ... lines, ending with a dropped run; all later lines are kept."""
-    drops = dropped.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    """(id, text, drops, runs): the sorted dropped positions, and the bitmap as run lengths: kept, dropped, kept, ... lines, ending with a dropped run; all later lines are kept."""
+    drops = dropped.groupBy("id", "text").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
     drops = drops.withColumn("_starts", F.filter("drops", lambda x, i: F.coalesce(F.get("drops", i - 1) < x - 1, F.lit(True))))
     drops = drops.withColumn("_ends", F.filter("drops", lambda x, i: F.coalesce(F.get("drops", i + 1) > x + 1, F.lit(True))))
     gaps = F.zip_with("_starts", F.slice(F.concat(F.array(F.lit(-1)), "_ends"), 1, F.size("_ends")), lambda a, b: a - b - 1)
@@ -56,10 +62,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
 
     Lines are split at \\n; a null or empty text is one empty line, and its kept_text is empty. A key of min_chars code points or more
     found in min_docs or more documents loses all its lines except in the largest id that holds it. Rows that repeat an id are one
-    document for the count, and all lose the same positions. Rows of a null id are kept as they are and not counted. All columns of docs are returned.
+    document for the count, and each loses the lines of its own text. Rows of a null id are kept as they are and not counted. All columns of docs are returned.
     """
-    marks = keep_bitmaps(dropped_lines(docs, min_chars, min_docs, id_col, text_col)).select(F.col("id").alias("_mark_id"), F.col("drops").alias("_drops"), F.col("runs").alias("keep_runs"))
-    out = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text").join(marks, F.col(id_col) == F.col("_mark_id"), "left")
+    marks = keep_bitmaps(dropped_lines(docs, min_chars, min_docs, id_col, text_col)).select(F.col("id").alias("_mark_id"), F.col("text").alias("_mark_text"), F.col("drops").alias("_drops"), F.col("runs").alias("keep_runs"))
+    out = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text").join(marks, (F.col(id_col) == F.col("_mark_id")) & (text_digest(F.col(text_col)) == F.col("_mark_text")), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     bounds = F.zip_with(F.concat(F.array(F.lit(-1)), "_drops"), F.concat("_drops", F.array(F.size("_lines"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -67,4 +73,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     out = out.withColumn("n_lines", (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size(F.filter("_drops", lambda x: x < F.col("n_lines"))), F.lit(0)).cast("long"))
     out = out.withColumn("_lines", F.when(F.col("_drops").isNotNull(), lines))
-    return out.withColumn("kept_text", F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("_mark_id", "_drops", "_lines")
+    return out.withColumn("kept_text", F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("_mark_id", "_mark_text", "_drops", "_lines")

@@ -1,7 +1,7 @@
 """Near-duplicate groups of documents by an LSH forest, confirmed on whole shingle sets.
 
 1. Every text becomes a set of word shingles, a MinHash signature of 64 values and a digest of the set. Documents of one
-   digest are copies; only the one of the least id goes on.
+   digest are copies; only the one of the least id goes on. Rows are numbered, so rows that share an id stay apart.
 2. The forest has 16 sorted orders of the signatures. Order t sorts by the values 4t, 4t+1, ... (8 of them, cyclically).
    Orders are range-partitioned by (label, id), so a label that a third of the rows share spreads over tasks.
    Neighbours whose longest common prefix has 4 values or more are candidates. A region (run of one 4-value prefix) that
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lograil.llm.common import LOWER, Powers, binary_column, chunks, key_groups, materialize, shingle_hashes, small_batches, span_hashes, text_buffers, word_bounds
+from lograil.llm.common import LOWER, Powers, binary_column, chunks, key_groups, materialize, numbered, shingle_hashes, small_batches, span_hashes, text_buffers, word_bounds
 from lograil.llm.components import components
 
 TREES, DEPTH, LABEL = 16, 4, 8
@@ -59,20 +59,20 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, sig) of every row; digest and sig are null for an empty set."""
+    """(row, id, n, digest, sig) of every row of docs, which has _row; digest and sig are null for an empty set."""
 
     def run(batches):
         p = Powers()
         for b in batches:
             n, digests, sigs = [], [], []
-            for s in text_sets(b.column(1), size, p):
+            for s in text_sets(b.column(2), size, p):
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["row", "id", "n", "digest", "sig"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, digest binary, sig binary")
+    return docs.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, id long, n long, digest binary, sig binary")
 
 
 def forest_rows(reps: DataFrame) -> DataFrame:
@@ -210,18 +210,12 @@ def exact_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "src long, dst long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row of docs.
-
-    Words are runs of bytes that are no white space, A-Z lower-cased. Documents are linked if 100 times the intersection
-    of their shingle sets is percent times the union or more; a component is named by its least id, and that document
-    is kept. Null and empty texts, and texts without words, have n_shingles 0 and are linked with nothing. Rows that repeat an
-    id count as one document for the links. A null id stays alone: component_id is null and the row is kept. Other columns
-    are ignored.
-    """
+def near_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, n_shingles, component_id, kept) of every row of docs, which is numbered(); see near_groups."""
     sk = materialize(sketches(docs, shingle, id_col, text_col), "sketches")
-    sets = sk.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
-    sets = materialize(sets, "sets")
+    # A set is named by the row that comes first by (id, row); first also has the digest, which orders the sets of one id.
+    sets = sk.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    sets = materialize(sets.select("digest", F.col("low.row").alias("id"), F.struct("low.id", "digest", "low.row").alias("first"), "sig", "n"), "sets")
     rows = forest_rows(sets)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(forest_links(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id"), percent / 100), "forest")
@@ -233,12 +227,29 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     placed = near.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col("_row").alias("node"), F.col(text_col).cast("string").alias("text"))
     # The same join at every size: members grow with the corpus, so they are never broadcast.
     members = placed.hint("merge").join(texts, "node").select("grp", F.col("node").alias("id"), "text")
     links = components(exact_links(members, shingle, percent), name="confirmed")
-    # Copies of one digest follow the least of them; most digests are single and in no link.
-    heads = sets.select("digest", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = sk.filter("n > 0 and id is not null").join(heads, "digest").select("id", "n", "component_id")
-    out = out.union(sk.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # The first row of a component; most sets are single and in no link.
+    linked_sets = links.join(sets.select(F.col("id").alias("node"), "first"), "node")
+    names = linked_sets.groupBy("component").agg(F.min("first").alias("least"))
+    links = links.join(names, "component").select(F.col("node").alias("id"), "least")
+    # Copies of one digest follow the first of them.
+    heads = sets.select("digest", "id", "first").join(links, "id", "left").select("digest", F.coalesce("least", "first").alias("least"))
+    out = sk.filter("n > 0 and id is not null").join(heads, "digest").select("row", "id", "n", F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
+    out = out.union(sk.filter("n = 0 or id is null").select("row", "id", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+    return out.withColumnRenamed("n", "n_shingles")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) of every row of docs.
+
+    Words are runs of bytes that are no white space, A-Z lower-cased. Rows are linked if 100 times the intersection
+    of their shingle sets is percent times the union or more; a component is named by its least id, and one row of it
+    is kept: the first by (id, digest of the set, row). Null and empty texts, and texts without words, have n_shingles 0 and are
+    linked with nothing. Rows that repeat an id are compared like any others. A null id stays alone: component_id is null
+    and the row is kept. Other columns are ignored.
+    """
+    out = near_rows(numbered(docs.select(id_col, text_col), "near-texts"), shingle, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")

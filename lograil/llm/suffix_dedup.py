@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by partitioned suffix arrays.
 
-A byte is removed if a string of LENGTH bytes that covers it also starts earlier (smaller id, or same document and earlier start).
+A byte is removed if a string of LENGTH bytes that covers it also starts earlier (smaller id, earlier row of the same id, or same row and earlier start).
 
 1. Of all suffixes, those at anchors are enough: an anchor of a string of LENGTH bytes is the place of its least 32-byte hash (the last, if
    tied), so equal strings have their anchors at the same place, and about every 35th suffix is one. A run of strings with one anchor is a record:
-   hash of the leading 32 bytes at the anchor, hash of the run's bytes, document, start, number of strings.
+   hash of the leading 32 bytes at the anchor, hash of the run's bytes, document (id, number of the row), start, number of strings.
 2. Splitters sampled from some documents range-partition the records by (leading bytes, run, document, start), so that a passage that a
    third of the documents share spreads over partitions. Each partition is sorted. A record of an equal run further up is a repeat
    as a whole. Other runs with the same leading bytes, and those that a partition's end may cut, need their bytes.
@@ -13,8 +13,8 @@ A byte is removed if a string of LENGTH bytes that covers it also starts earlier
 4. Repeats are gathered by document and cut out of the text.
 
 Strings are compared by 64-bit hashes of their bytes. The texts are shuffled once; the two joins share that exchange. A null text is
-empty. Rows of a null id are returned whole and not compared. Rows that repeat an id are searched as separate texts with the
-same starts, and each is cut by all repeats found under that id. Texts of up to 256 MB.
+empty. Rows of a null id are returned whole and not compared. Rows that repeat an id are documents of their own, in the order of
+their numbers, which are written with the texts first. Texts of up to 256 MB.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.llm.common import BYTE_VALUES, WORD_FACTORS, Powers, chunks, materialize, mix, small_batches, text_buffers
+from lograil.llm.common import BYTE_VALUES, WORD_FACTORS, Powers, chunks, materialize, mix, numbered, small_batches, text_buffers
 
 LENGTH, LEAD, PLACE_BITS = 100, 32, 28
 #: About so many documents are sampled for splitters.
@@ -97,20 +97,20 @@ class Splitters:
 
 
 def records(docs: DataFrame, length: int, splitters: Splitters | None = None) -> DataFrame:
-    """docs: (id, text)."""
+    """docs: (id, row, text)."""
 
     def run(batches):
         p = Powers()
         for b in batches:
-            raw, bounds = text_buffers(b.column(1))
-            ids = np.asarray(b.column(0))
+            raw, bounds = text_buffers(b.column(2))
+            ids, rows = np.asarray(b.column(0)), np.asarray(b.column(1))
             for lo, hi in chunks(bounds):
                 lead, whole, text, start, count = anchor_records(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], p, length)
-                doc = ids[lo:hi][text]
-                part = splitters.part(lead, whole, doc, start) if splitters else np.zeros(len(lead), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (lead, pa.int64()), (whole, pa.int64()), (doc, pa.int64()), (start << 24 | count, pa.int64()))], ["part", "lead", "run", "id", "span"])
+                doc, row = ids[lo:hi][text], rows[lo:hi][text]
+                part = splitters.part(lead, whole, doc, row, start) if splitters else np.zeros(len(lead), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (lead, pa.int64()), (whole, pa.int64()), (doc, pa.int64()), (row, pa.int64()), (start << 24 | count, pa.int64()))], ["part", "lead", "run", "id", "row", "span"])
 
-    return docs.mapInArrow(run, "part int, lead long, run long, id long, span long")
+    return docs.mapInArrow(run, "part int, lead long, run long, id long, row long, span long")
 
 
 def matches(rows: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def matches(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lead, whole, doc, span = (np.asarray(b.column(c)) for c in ("lead", "run", "id", "span"))
+            lead, whole, doc, span = (np.asarray(b.column(c)) for c in ("lead", "run", "row", "span"))
             if first_lead is None:
                 first_lead = lead[0]
             new = np.ones(len(lead), bool)
@@ -145,38 +145,36 @@ def matches(rows: DataFrame) -> DataFrame:
 
     def out(doc, span, lead=None, whole=None):
         null = pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), null if lead is None else pa.array(lead), null if whole is None else pa.array(whole)], ["id", "span", "lead", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), null if lead is None else pa.array(lead), null if whole is None else pa.array(whole)], ["row", "span", "lead", "run"])
 
-    return rows.mapInArrow(run, "id long, span long, lead long, run long")
+    return rows.mapInArrow(run, "row long, span long, lead long, run long")
 
 
 def with_bytes(asked: DataFrame, length: int, splitters: Splitters) -> DataFrame:
-    """asked: (id, text, runs: array of (lead, run, span)). One row for each run, with its bytes."""
+    """asked: (id, row, text, runs: array of (lead, run, span)). One row for each run, with its bytes."""
 
     def run(batches):
         for b in batches:
             raw, bounds = text_buffers(b.column("text"))
             raw = raw.tobytes()
             lists = b.column("runs")
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            at = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
             lead, whole, span = (np.asarray(x) for x in lists.flatten().flatten())
             start, count = span >> 24, span & 0xFFFFFF
-            lo = bounds[row] + start
-            fits = lo + count + length - 1 <= bounds[row + 1]  # another text of a repeated id may be shorter
-            row, lead, whole, span, lo, count = (x[fits] for x in (row, lead, whole, span, lo, count))
-            doc = np.asarray(b.column("id"))[row]
+            lo = bounds[at] + start
+            doc, row = np.asarray(b.column("id"))[at], np.asarray(b.column("row"))[at]
             got = [raw[x : x + n] for x, n in zip(lo.tolist(), (count + length - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(splitters.part(lead, whole, doc, span >> 24), pa.int32()), pa.array(lead), pa.array(doc), pa.array(span), pa.array(got, pa.binary())], ["part", "lead", "id", "span", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(splitters.part(lead, whole, doc, row, start), pa.int32()), pa.array(lead), pa.array(doc), pa.array(row), pa.array(span), pa.array(got, pa.binary())], ["part", "lead", "id", "row", "span", "bytes"])
 
-    return asked.mapInArrow(run, "part int, lead long, id long, span long, bytes binary")
+    return asked.mapInArrow(run, "part int, lead long, id long, row long, span long, bytes binary")
 
 
 def string_repeats(runs: DataFrame, length: int) -> DataFrame:
-    """From sorted partitions of runs with bytes: repeats (id, start, strings), and the first of each string of open leading bytes, with its hash."""
+    """From sorted partitions of runs with bytes: repeats (id, row, start, strings), and the first of each string of open leading bytes, with its hash."""
 
     def block(parts, before, last, p):
         table = pa.Table.from_batches(parts)
-        lead, doc, span = (table.column(c).to_numpy() for c in ("lead", "id", "span"))
+        lead, doc, row, span = (table.column(c).to_numpy() for c in ("lead", "id", "row", "span"))
         got = table.column("bytes").combine_chunks()
         raw = np.frombuffer(b"".join(got.to_pylist()), np.uint8)
         size = (span & 0xFFFFFF) + length - 1
@@ -187,24 +185,25 @@ def string_repeats(runs: DataFrame, length: int) -> DataFrame:
         shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         lo = base[of] + shift
         h = mix((sums[lo + length] - sums[lo]) * p.down[lo]).view(np.int64)
-        start, docs = (span >> 24)[of] + shift, doc[of]
-        order = np.lexsort((start, docs, h))
-        h, start, docs, of = h[order], start[order], docs[order], of[order]
+        start = (span >> 24)[of] + shift
+        order = np.lexsort((start, row[of], doc[of], h))
+        h, start, of = h[order], start[order], of[order]
         again = np.concatenate([[False], h[1:] == h[:-1]])
         open_ = (lead == lead[-1]) | (lead == before)
         if before is None:
             open_ |= lead == lead[0]
         edge = ~again & open_[of]
         # repeats as runs of neighbouring starts
-        s, d = start[again], docs[again]
-        order = np.lexsort((s, d))
-        s, d = s[order], d[order]
+        s, o = start[again], of[again]
+        order = np.lexsort((s, row[o]))
+        s, o = s[order], o[order]
+        d = row[o]
         cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)])) if len(s) else np.zeros(0, int)
         last_s = s[np.append(cut[1:], len(s)) - 1] if len(s) else s
-        out_id, out_start = np.concatenate([d[cut], docs[edge]]), np.concatenate([s[cut], start[edge]])
+        out_of, out_start = np.concatenate([o[cut], of[edge]]), np.concatenate([s[cut], start[edge]])
         strings = np.concatenate([last_s - s[cut] + 1, np.ones(edge.sum(), np.int64)])
-        key = pa.array(np.concatenate([np.zeros(len(cut), np.int64), h[edge]]), mask=np.arange(len(out_id)) < len(cut))
-        return pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_start, pa.int64()), pa.array(strings, pa.int64()), key], ["id", "start", "strings", "string"]), lead[-1]
+        key = pa.array(np.concatenate([np.zeros(len(cut), np.int64), h[edge]]), mask=np.arange(len(out_of)) < len(cut))
+        return pa.RecordBatch.from_arrays([pa.array(doc[out_of], pa.int64()), pa.array(row[out_of], pa.int64()), pa.array(out_start, pa.int64()), pa.array(strings, pa.int64()), key], ["id", "row", "start", "strings", "string"]), lead[-1]
 
     def run(batches):
         p, parts, size, before = Powers(), [], 0, None
@@ -219,7 +218,7 @@ def string_repeats(runs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield block(parts, before, True, p)[0]
 
-    return runs.mapInArrow(run, "id long, start long, strings long, string long")
+    return runs.mapInArrow(run, "id long, row long, start long, strings long, string long")
 
 
 def cut_out(docs: DataFrame, length: int) -> DataFrame:
@@ -260,20 +259,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    every = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "suffix-texts").withColumnRenamed("_row", "row").select("id", "row", "text")
     named = every.filter("id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, SPLIT_DOCS / max(named.count(), 1))
-    some = named.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    splitters = Splitters([(r[0], r[1], r[2], r[3] >> 24) for r in records(some, length).select("lead", "run", "id", "span").collect()], parts)
-    rows = records(named, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "run", "id", "span")
+    some = named.filter(F.pmod(F.xxhash64(F.lit(5), "id", "row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    splitters = Splitters([(r[0], r[1], r[2], r[3], r[4] >> 24) for r in records(some, length).select("lead", "run", "id", "row", "span").collect()], parts)
+    rows = records(named, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "run", "id", "row", "span")
     found = materialize(matches(rows), "repeats")
-    asked = found.filter("lead is not null").groupBy("id").agg(F.collect_list(F.struct("lead", "run", "span")).alias("runs"))
-    asked = named.join(asked, "id").select("id", "text", "runs")
-    runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "id", "span")
-    strings = string_repeats(runs, length).withColumn("key", F.coalesce("string", F.xxhash64("id", "start")))
-    strings = strings.withColumn("nth", F.row_number().over(W.partitionBy("string", "key").orderBy("id", "start"))).filter("string is null or nth > 1")
-    repeats = found.filter("lead is null").select("id", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings.select("id", "start", "strings"))
-    repeats = repeats.groupBy("id").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
-    out = cut_out(named.join(repeats, "id", "left"), length).union(cut_out(every.filter("id is null").withColumn("runs", F.lit(None)), length))
+    asked = found.filter("lead is not null").groupBy("row").agg(F.collect_list(F.struct("lead", "run", "span")).alias("runs"))
+    asked = named.join(asked, "row").select("id", "row", "text", "runs")
+    runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "id", "row", "span")
+    strings = string_repeats(runs, length).withColumn("key", F.coalesce("string", F.xxhash64("row", "start")))
+    strings = strings.withColumn("nth", F.row_number().over(W.partitionBy("string", "key").orderBy("id", "row", "start"))).filter("string is null or nth > 1")
+    repeats = found.filter("lead is null").select("row", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings.select("row", "start", "strings"))
+    repeats = repeats.groupBy("row").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
+    out = cut_out(named.join(repeats, "row", "left"), length).union(cut_out(every.filter("id is null").withColumn("runs", F.lit(None)), length))
     return out.withColumnRenamed("id", "doc_id")

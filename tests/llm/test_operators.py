@@ -206,6 +206,27 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_repeated_ids(spark, none):
+    """Rows of one id are rows of their own: equal texts, different texts, and copies of other ids."""
+    import corpus_pipeline
+
+    own = [" ".join(f"own{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, BODY), (7, BODY), (7, own[0]), (7, own[1]), (7, own[1]), (8, own[2]), (8, own[2] + " tail"), (9, own[0])]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(docs).collect())
+    assert near == [(1, 1, True), (7, 1, False), (7, 7, False), (7, 7, True), (7, 7, True), (8, 8, False), (8, 8, True), (9, 7, False)]
+    left = [(r["doc_id"], r["text"].removesuffix(" tail")) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left) == sorted([(1, BODY), (7, own[0]), (7, own[1]), (8, own[2])])
+
+    # The order of an id's rows is free; all orders give the same bytes here.
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(docs.filter("doc_id <> 8")).collect())
+    assert got == sorted([(1, BODY), (7, ""), (7, own[0]), (7, ""), (7, own[1]), (9, "")])
+
+    lines = [(k, f"{LINE}\nline {k}") for k in range(5)] + [(4, f"{LINE}\nline 4"), (3, f"other {LINE}\nmore"), (3, f"head\n{LINE}"), (3, f"head\n{LINE}")]
+    out = sorted((r["doc_id"], r["kept_text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(lines, "doc_id long, text string")).collect())
+    assert out == sorted([(k, f"line {k}") for k in range(4)] + [(4, f"{LINE}\nline 4")] * 2 + [(3, f"other {LINE}\nmore"), (3, "head"), (3, "head")])
+
+
 def test_toxicity(docs, labels, none):
     net = toxicity.GatedNet().learn([f"{BODY[:80]} idiot clown {i}" if i % 2 else f"{BODY[80:200]} {i}" for i in range(60)], np.arange(60) % 2, steps=40)
     out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, net).collect()}

@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograil.shared import materialize, shared_dir  # noqa: F401
+
 #: White space of all word and line rules here: space and the six controls 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="lograil-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes a table to the shared folder and reads it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lograil/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

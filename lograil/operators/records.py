@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lograil.operators import blocked
+from lograil.shared import materialize
 
 # How a continuation line begins.
 CONTINUATION = r'^(?:$|[ \t]|at |Caused by:|Suppressed:|Traceback \(most recent call last\)|File "|\.\.\. |\s+$)'
@@ -95,6 +97,19 @@ def sorted_by(records: DataFrame, key: Column, descending: bool = False) -> Data
     return records.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "source", "line_no")
 
 
+def ranked(rows: DataFrame, *keys: Column, out: str = "nth") -> DataFrame:
+    """rows with out, their number from 1 in the order of the keys, which must tell all rows apart.
+
+    Rows are range-partitioned and sorted; a row's number is its place in its partition after the rows of all partitions before.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    d = materialize(d, "ranked")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = d.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    return d.join(F.broadcast(sums), "_part").withColumn(out, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def sorted_records(lines: DataFrame, key: Column, descending: bool = False) -> DataFrame:
     """Lines with rec_id by their record's key; continuation lines stay with their record, lines before the first record come last."""
     keys = lines.filter("rec_id = line_no").select("source", "rec_id", key.alias("_key"))

@@ -247,10 +247,8 @@ def q_density(spark, d):
 @query("select c_custkey, c_acctbal, row_number() over (order by c_acctbal desc nulls last, c_mktsegment, c_custkey) nth from customer qualify nth <= 500")
 def q_sorted(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("line_no"), F.col("c_acctbal").cast("string").alias("cell"), "c_custkey", "c_acctbal")
-    top = records.sorted_by(c, kinds.number(F.col("cell")), descending=True).limit(500)
-    from pyspark.sql import Window as W
-
-    return top.withColumn("nth", F.row_number().over(W.orderBy(F.col("c_acctbal").desc_nulls_last(), "source", "line_no"))).select("c_custkey", "c_acctbal", "nth")
+    order = records.ranked(c, kinds.number(F.col("cell")).desc_nulls_last(), F.col("source").asc_nulls_last(), F.col("line_no"))
+    return order.filter("nth <= 500").select("c_custkey", "c_acctbal", "nth")  # the SQL asks for the first 500
 
 
 @query(f"""select source, n, line_no, nth from (select source, line_no, row_number() over (partition by source order by line_no) nth, count(*) over (partition by source) n from
@@ -309,7 +307,7 @@ def q_detect(spark, d):
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    return detect.detect_formats(lines, 4000).filter("nth = 1").select("source", "format", F.round("score", 6).alias("score"))
+    return detect.detect_formats(lines, 1 << 40).filter("nth = 1").select("source", "format", F.round("score", 6).alias("score"))
 
 
 @query("select distinct 'app-' || (user_id % 4) source, case user_id % 4 when 1 then 'one' else 'logfmt' end profile from events")

@@ -36,3 +36,29 @@ def test_matches_sql(spark, sf_dir, duck, name):
 def test_all_queries_run_without_llm(spark, sf_dir):
     assert catalog.queries()["q_detect"](spark, sf_dir).count() == 28
     assert catalog.queries()["q_alert_limit"](spark, sf_dir).count() > 0
+
+
+def test_ranked_is_a_whole_sort(spark):
+    from pyspark.sql import functions as F
+
+    from lograil.operators import records
+
+    rows = [(i * 7919 % 3001, i % 5 if i % 11 else None) for i in range(3000)]
+    got = records.ranked(spark.createDataFrame(rows, "a int, b int"), F.col("b").desc_nulls_last(), F.col("a")).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["nth"])] == want and sorted(r["nth"] for r in got) == list(range(1, 3001))
+
+
+def test_detect_reads_the_whole_table(spark, tmp_path):
+    """Events from 1000 on have no time, so their csv lines lack a field: brute force over all lines."""
+    from collections import Counter
+
+    from lograil.plans.fixtures import event_lines
+
+    cols = "event_id long, user_id long, event_type string, value double, ts timestamp, props string"
+    spark.range(1200).selectExpr("id event_id", "id % 4 user_id", "'click' event_type", "1.5D value", "if(id < 1000, timestamp '2024-01-01', null) ts", "'{\"k\":1}' props").to(spark.createDataFrame([], cols).schema).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["source"]: r["score"] for r in catalog.queries()["q_detect"](spark, str(tmp_path)).collect() if r["source"].endswith(".csv")}
+    shapes = {}
+    for r in event_lines(spark, str(tmp_path), "csv").collect():
+        shapes.setdefault(r["source"] + ".csv", Counter())[r["raw"].split('"')[0].count(",")] += 1
+    assert got == {s: round(0.9 * (0.6 + 0.4 * max(c.values()) / sum(c.values())), 6) for s, c in shapes.items()} and len(got) == 4

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from lograil.functions import predicates as P
 
-#: Rules look at so many characters of a line.
-SCAN = 1 << 16
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,7 +49,7 @@ class Rule:
             return F.lit(False)
         if self.kind == "column":
             return P.rule_condition(F.col(needs), self.op, self.pattern)
-        raw = F.substring(F.col(needs or "raw"), 1, SCAN)
+        raw = F.col(needs or "raw")
         return P.text(raw, self.pattern, self.case, self.whole_word) if self.kind == "literal" else P.regex(raw, self.pattern, self.case)
 
 

@@ -12,8 +12,8 @@ from lograil.functions import kinds
 
 
 def distinct_key(c: Column, kind: str) -> Column:
-    """What is counted as one value: a level's label, else the first 256 characters."""
-    return F.coalesce(kinds.level_label(c), F.substring(c, 1, 256)) if kind == "level" else F.substring(c, 1, 256)
+    """What is counted as one value: a level's label, else the whole value."""
+    return F.coalesce(kinds.level_label(c), c) if kind == "level" else c
 
 
 def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = True, where: Column | None = None) -> DataFrame:

@@ -111,3 +111,20 @@ def test_rules_and_routes(spark):
     df = spark.createDataFrame([("s", "r", i * 1_000_000) for i in (0, 1, 2, 6, 20)], "source string, rule string, us long").withColumn("ts", F.timestamp_micros("us"))
     got = sorted((r["ts"].second, r["suppressed"]) for r in rules.limit_alerts(df, 5).collect())
     assert got == [(0, 0), (5, 2), (10, 1), (20, 0)]
+
+
+def test_rules_and_top_values_take_whole_values(spark):
+    from lograil.operators import rules, stats
+
+    far = "x" * 70_000
+    lines = spark.createDataFrame([("s", 0, far + " needle 42", far + "needle"), ("s", 1, far, far)], "source string, line_no long, raw string, path string")
+    rs = [rules.Rule("lit", "needle", hide=True, tag="t"), rules.Rule("re", "[0-9]{2}", kind="regex", alert=True), rules.Rule("scope", "needle", scope="path", bookmark=True)]
+    got = {r["line_no"]: (r["rules"], r["hidden"], r["alert"], r["bookmark"], r["tag"]) for r in rules.tag_lines(lines, rs, ("path",)).collect()}
+    assert got == {0: (["lit", "re", "scope"], True, True, True, "t"), 1: ([], False, False, False, None)}
+
+    head = "http://host/" + "p" * 300
+    urls = [f"{head}/{i % 3}" for i in range(7)]
+    d = spark.createDataFrame([(u,) for u in urls], "url string")
+    top = [(r["value"], r["count"]) for r in stats.top_values(d, {"url": "text"}, 10).orderBy("nth").collect()]
+    assert top == [(f"{head}/0", 3), (f"{head}/1", 2), (f"{head}/2", 2)]
+    assert stats.profile(d, {"url": "text"}).first()["distinct_estimate"] == 3

@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MARK = 64
+#: Bytes that are read at a time, and about so many bytes of growth for one task.
+CHUNK, SPAN = 1 << 20, 32 << 20
 
 
 class _Range(InputPartition):
@@ -21,8 +23,22 @@ class _Range(InputPartition):
         self.path, self.gen, self.start, self.stop, self.line = path, gen, start, stop, line
 
 
+def _breaks(f, at: int, lines: int, stop: int | None = None) -> Iterator[tuple[int, int]]:
+    """(bytes, lines) up to the last line break of each chunk that has one, from a line's start on. A line may be longer than any chunk."""
+    f.seek(at)
+    while chunk := f.read(CHUNK if stop is None else min(CHUNK, stop - at)):
+        cut = chunk.rfind(b"\n") + 1
+        if cut:
+            lines += chunk.count(b"\n")
+            yield at + cut, lines
+        at += len(chunk)
+
+
 class _Growing(DataSourceStreamReader):
-    """Offsets are {path: (generation, bytes, lines, digest of the first bytes)}; a batch ends at the last line break, so an incomplete line waits."""
+    """Offsets are {path: (generation, bytes, lines, digest of the first bytes)}; a batch ends at the last line break, so an incomplete line waits.
+
+    The driver counts the line breaks of what is new, chunk by chunk; executors read it again in ranges of about SPAN bytes.
+    """
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -43,13 +59,8 @@ class _Growing(DataSourceStreamReader):
                 known = hashlib.sha1(head[: min(done, MARK)]).hexdigest()
                 if done and (size < done or known != mark):
                     gen, done, lines = gen + 1, 0, 0  # truncated or rewritten
-                f.seek(done)
-                while chunk := f.read(1 << 20):
-                    cut = chunk.rfind(b"\n") + 1
-                    if not cut:
-                        break
-                    done, lines = done + cut, lines + chunk.count(b"\n")
-                    f.seek(done)
+                for done, lines in _breaks(f, done, lines):
+                    pass
             files[path] = [gen, done, lines, hashlib.sha1(head[: min(done, MARK)]).hexdigest()]
         self.seen = files
         return {"files": files}
@@ -61,6 +72,12 @@ class _Growing(DataSourceStreamReader):
             g, at, line, _ = start["files"].get(path, [0, 0, 0, ""])
             if g != gen:
                 at = line = 0
+            if done - at > SPAN:
+                with open(path, "rb") as f:
+                    for stop, n in _breaks(f, at, line, done):
+                        if stop - at >= SPAN:
+                            out.append(_Range(path, gen, at, stop, line))
+                            at, line = stop, n
             if done > at:
                 out.append(_Range(path, gen, at, done, line))
         return out or [_Range("", 0, 0, 0, 0)]

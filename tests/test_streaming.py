@@ -41,3 +41,21 @@ def test_growing_files(tmp_path):
     f.write_text("new\n")
     third = reader.latestOffset()
     assert [r[1:] for p in reader.partitions(second, third) for r in reader.read(p)] == [(1, 0, "new")]
+
+
+def test_growing_files_with_long_lines(tmp_path, monkeypatch):
+    """A line longer than a chunk does not stall its file; growth is read in ranges that number their lines as one read would."""
+    want = ["a", "x" * (live.CHUNK * 5 // 2), "b", "", "y" * live.CHUNK, "c"]
+    f = tmp_path / "a.log"
+    f.write_text("\n".join(want) + "\nz" + "z" * live.CHUNK)
+    reader = live._Growing(str(tmp_path))
+    first = reader.latestOffset()
+    read = lambda a, b: [r[2:] for p in reader.partitions(a, b) for r in reader.read(p)]
+    assert read(reader.initialOffset(), first) == list(enumerate(want))
+    with f.open("a") as out:
+        out.write("end\n" + "".join(f"line {i}\n" for i in range(5000)))
+    second = reader.latestOffset()
+    monkeypatch.setattr(live, "CHUNK", 1000)
+    monkeypatch.setattr(live, "SPAN", 3000)
+    assert len(reader.partitions(first, second)) > 5
+    assert read(first, second) == [(6, "z" + "z" * (1 << 20) + "end"), *((7 + i, f"line {i}") for i in range(5000))]

@@ -17,6 +17,8 @@ from lograil.llm.common import LOWER, chunks, small_batches, text_buffers
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 16, 8
 #: About so many documents are learned from, with up to WINDOWS_EACH windows each, spread over the text.
 TRAIN_DOCS, WINDOWS_EACH = 4000, 4
+#: Documents of a rare language that are learned from at least, if it has so many.
+RARE_DOCS = 64
 UNDETERMINED = "und"
 
 
@@ -107,11 +109,17 @@ class ByteNet:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """A network learned from about train_docs of docs, chosen by a hash of the id; None if no row has a text and a language."""
+    """A network learned from about train_docs of docs, chosen by a hash of the id; None if no row has a text and a language.
+
+    A language of which that share would be under RARE_DOCS gives about RARE_DOCS documents, or all it has, so every language is a class.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = known.count()
-    share = min(1.0, train_docs / max(total, 1))
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    share = F.least(F.lit(1.0), F.greatest(F.lit(train_docs / max(total, 1)), RARE_DOCS / F.col("_n")))
+    counts = counts.select("_lang", (F.floor(share * (1 << 20)) + 1).alias("_below"))
+    chosen = known.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang"))
+    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(1 << 20)) < F.col("_below"))
 
     def run(batches):
         for b in batches:

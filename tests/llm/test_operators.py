@@ -240,3 +240,9 @@ def test_language(docs, none):
     out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.train(docs)).collect()}
     assert out[0] == out[1] == out[2] == ("und", 0.0) and out[4][0] == "de"
     assert langid.identify(none, langid.train(none)).count() == 0 and langid.identify(docs, None).filter("lang_pred = 'und'").count() == len(TEXTS)
+
+
+def test_rare_languages_are_classes(spark):
+    rows = [(i, f"{BODY} {i}", "aa" if i % 2 else "bb") for i in range(4000)] + [(4000 + i, "ß ü ö ä " * 30 + str(i), f"rare{i % 3}") for i in range(6)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=40)
+    assert net.classes == ["aa", "bb", "rare0", "rare1", "rare2"]

@@ -264,11 +264,10 @@ _MERGE = f"(select source, line_no, max(case when event_id % 5 <> 0 then ts end)
 
 @query(f"select source, line_no, epoch_us(eff) us, row_number() over (order by eff nulls first, source, line_no) nth from {_MERGE}")
 def q_merge(spark, d):
-    from pyspark.sql import Window as W
-
     e = event_fields(spark, d).select("source", "line_no", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("t"))
     m = records.effective_time(e, F.col("t"), BLOCK)
-    return m.select("source", "line_no", F.unix_micros("eff_ts").alias("us"), F.row_number().over(W.orderBy(F.col("eff_ts").asc_nulls_first(), "source", "line_no")).cast("long").alias("nth"))
+    m = m.select("source", "line_no", F.unix_micros("eff_ts").alias("us"))
+    return records.ranked(m, F.col("us").asc_nulls_first(), F.col("source"), F.col("line_no"))
 
 
 @query(f"select source, min(line_no) line_no from {_EVENTS} where ts >= timestamp '2024-01-02 12:00:00' group by source")

@@ -50,7 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: The network and the tokenizer have no SQL; tests compare with a brute-force version.
+#: The network and the tokenizer have no SQL; tests compare the stages with the operators' own verdicts, not with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,30 +44,56 @@ def level_rank(c: Column) -> Column:
     return F.when(F.octet_length(bare) <= 12, F.try_element_at(_map(_RANKS), F.lower(bare)))
 
 
+def rank_of(text: str) -> Column:
+    """The rank of a level at hand as a literal; null if it is none."""
+    bare = text.strip(" ").strip("[]").strip(" ")
+    return F.lit(_RANKS.get(bare.lower()) if len(bare.encode()) <= 12 else None).cast("int")
+
+
 def level_label(c: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LEVEL_LABELS]), level_rank(c))
 
 
+_QUANTITY = r"^\s*([+-]?)(\d+\.?\d*|\.\d+)\s*([A-Za-zµμ]*)\s*$"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use takes it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def quantity(c: Column) -> Column:
     """struct(value, family, scaled): a signed decimal with an optional unit; null if it is none. family is duration (scaled to ns), size (bytes) or null."""
-    pattern = r"^\s*([+-]?)(\d+\.?\d*|\.\d+)\s*([A-Za-zµμ]*)\s*$"
-    number = F.regexp_extract(c, pattern, 2).cast("double") * F.when(F.regexp_extract(c, pattern, 1) == "-", -1.0).otherwise(1.0)
-    unit = F.lower(F.regexp_extract(c, pattern, 3))
-    scale = F.try_element_at(_map(DURATION_UNITS | SIZE_UNITS), unit)
-    family = F.when(unit == "", F.lit(None)).when(unit.isin(*DURATION_UNITS), _DURATION).otherwise(_SIZE)
-    return F.when(c.rlike(pattern) & ((unit == "") | scale.isNotNull()), F.struct(number.alias("value"), family.alias("family"), (number * F.coalesce(scale, F.lit(1.0))).alias("scaled")))
+
+    def read(parts: Column) -> Column:
+        number = parts[1].cast("double") * F.when(parts[0] == "-", -1.0).otherwise(1.0)
+        unit = F.lower(parts[2])
+        scale = F.try_element_at(_map(DURATION_UNITS | SIZE_UNITS), unit)
+        family = F.when(unit == "", F.lit(None)).when(unit.isin(*DURATION_UNITS), _DURATION).otherwise(_SIZE)
+        return F.when((unit == "") | scale.isNotNull(), F.struct(number.alias("value"), family.alias("family"), (number * F.coalesce(scale, F.lit(1.0))).alias("scaled")))
+
+    # One match gives the three parts, with the mark between them; text without the mark has not matched.
+    return let(F.split(F.regexp_replace(c, _QUANTITY, "$1\u001f$2\u001f$3"), "\u001f", -1), lambda parts: F.when((F.size(parts) == 3) & ~F.contains(c, F.lit("\u001f")), read(parts)))
+
+
+def quantity_of(text: str) -> tuple[float, str | None, float] | None:
+    """The same for a value at hand: (value, family, scaled)."""
+    m = re.fullmatch(_QUANTITY[1:-1], text)
+    unit = m[3].lower() if m else None
+    if m is None or (unit and unit not in DURATION_UNITS and unit not in SIZE_UNITS):
+        return None
+    value = float(m[2]) * (-1 if m[1] == "-" else 1)
+    return value, None if not unit else _DURATION if unit in DURATION_UNITS else _SIZE, value * (DURATION_UNITS | SIZE_UNITS).get(unit, 1.0)
 
 
 def duration_ns(c: Column) -> Column:
     """Nanoseconds; a bare number is milliseconds; a size is null."""
-    q = quantity(c)
-    return F.when(q["family"].isNull(), q["value"] * 1e6).when(q["family"] == _DURATION, q["scaled"])
+    return let(quantity(c), lambda q: F.when(q["family"].isNull(), q["value"] * 1e6).when(q["family"] == _DURATION, q["scaled"]))
 
 
 def size_bytes(c: Column) -> Column:
     """Bytes; a bare number is bytes; a duration is null."""
-    q = quantity(c)
-    return F.when(q["family"].isNull() | (q["family"] == _SIZE), q["scaled"])
+    return let(quantity(c), lambda q: F.when(q["family"].isNull() | (q["family"] == _SIZE), q["scaled"]))
 
 
 def number(c: Column, lenient: bool = False) -> Column:
@@ -158,7 +185,12 @@ def show_cell(c: Column, kind: str) -> Column:
     return F.coalesce(shown(c), c) if shown else c
 
 
-ANSI = r"\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]PX^_].*?(?:\x07|\x1b\\|$)|[ -/]*[0-~]?)"
+# Escape sequences by ECMA-48: ESC [, parameter bytes (column 3), intermediate bytes (column 2), a final byte (columns 4 to 7); the command strings SOS, DCS, OSC, PM
+# and APC, up to ST (terminals take BEL too); ESC, intermediate bytes, a final byte. What is cut off by the line's end runs to it.
+_FINAL, _BETWEEN = "[@-~]", "[ -/]*"
+_CONTROL = rf"\[[0-?]*{_BETWEEN}{_FINAL}?"
+_STRING = rf"[PX\]^_].*?(?:{chr(7)}|\x1b\\|$)"
+ANSI = rf"\x1b(?:{_CONTROL}|{_STRING}|{_BETWEEN}[0-~]?)"
 
 
 def strip_ansi(c: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -72,21 +73,28 @@ def equals(c: Column, value: str, kind: str = "text", now: str | None = None) ->
     if "*" in value and kind != "level":
         same_text = c.rlike("(?ius)^" + ".*".join(map(_escape, value.split("*"))) + "$")
     if kind == "level":
-        rank = kinds.level_rank(F.lit(value))
-        return true_only(F.coalesce(kinds.level_rank(c) == rank, same_text))
+        return true_only(F.coalesce(kinds.level_rank(c) == kinds.rank_of(value), same_text))
     if kind in ("number", "duration", "bytes"):
-        return true_only(F.coalesce(F.abs(_pair(c, value)[0] - _pair(c, value)[1]) <= 1e-9 * F.greatest(F.abs(_pair(c, value)[0]), F.abs(_pair(c, value)[1])), same_text))
+        return true_only(F.coalesce(_on_one_scale(c, value, lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b))), same_text))
     if kind == "timestamp":
         return true_only(F.startswith(F.lower(c), F.lit(value.lower())) | (times.cell_instant(c) == times.cell_instant(F.lit(value))))
     return true_only(same_text)
 
 
-def _pair(c: Column, value: str) -> tuple[Column, Column]:
-    """Both sides on one scale, null if they have none: a side without unit takes the other's family (ms or bytes)."""
-    a, b = kinds.quantity(c), kinds.quantity(F.lit(value))
-    lift = lambda x, other: F.when(x["family"].isNull() & (other["family"] == "duration"), x["value"] * 1e6).otherwise(x["scaled"])
-    ok = a["family"].isNull() | b["family"].isNull() | (a["family"] == b["family"])
-    return F.when(ok, lift(a, b)), F.when(ok, lift(b, a))
+def _on_one_scale(c: Column, value: str, test: Callable[[Column, Column], Column], mixed: bool | None = None) -> Column:
+    """test of a cell and a value as numbers: a side without unit takes the other's family (ms or bytes). Null if a side is no quantity; mixed if the families differ."""
+    v = kinds.quantity_of(value)
+    if v is None:
+        return F.lit(None).cast("boolean")
+    plain, family, scaled = v
+
+    def both(q: Column) -> Column:
+        a = F.when(q["family"].isNull(), q["value"] * (1e6 if family == "duration" else 1.0)).otherwise(q["scaled"])
+        b = F.lit(scaled) if family else F.when(q["family"] == "duration", F.lit(plain * 1e6)).otherwise(F.lit(plain))
+        same = F.lit(family is None) | q["family"].isNull() | (q["family"] == F.lit(family))
+        return F.when(q.isNotNull(), F.when(same, test(a, b)).otherwise(F.lit(mixed)))
+
+    return kinds.let(kinds.quantity(c), both)
 
 
 def compare(c: Column, op: str, value: str, kind: str = "text") -> Column:
@@ -94,12 +102,10 @@ def compare(c: Column, op: str, value: str, kind: str = "text") -> Column:
     ops = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
     as_text = ops(F.lower(c), F.lit(value.lower()))
     if kind == "level":
-        return true_only(F.coalesce(ops(kinds.level_rank(c), kinds.level_rank(F.lit(value))), as_text))
+        return true_only(F.coalesce(ops(kinds.level_rank(c), kinds.rank_of(value)), as_text))
     if kind == "timestamp":
         return true_only(F.coalesce(ops(times.cell_instant(c), times.cell_instant(F.lit(value))), as_text))
-    a, b = _pair(c, value)
-    both = kinds.quantity(c).isNotNull() & kinds.quantity(F.lit(value)).isNotNull()
-    return true_only(F.when(both, ops(a, b)).otherwise(as_text))
+    return true_only(F.coalesce(_on_one_scale(c, value, ops, mixed=False), as_text))
 
 
 def one_of(c: Column, values: Sequence[str], kind: str = "text") -> Column:
@@ -145,3 +151,30 @@ def rule_condition(c: Column, op: str, value: str) -> Column:
 def filter_stack(includes: Sequence[Column] = (), excludes: Sequence[Column] = ()) -> Column:
     """Passes all includes and no exclude."""
     return all_of(*includes, *(not_(p) for p in excludes))
+
+
+@dataclass(frozen=True)
+class Row:
+    """A row of a filter stack: a literal or a pattern that lines must hold, or must not."""
+
+    pattern: str
+    kind: str = "literal"
+    case: str = "smart"
+    whole_word: bool = False
+    exclude: bool = False
+    enabled: bool = True
+
+
+def build_stack(raw: Column, rows: Sequence[Row]) -> tuple[Column, dict[int, str]]:
+    """The predicate of all rows that can be built, and why the others cannot, by their place. Disabled and empty rows are left out."""
+    includes, excludes, wrong = [], [], {}
+    for i, r in enumerate(rows):
+        if not r.enabled or not r.pattern:
+            continue
+        try:
+            p = text(raw, r.pattern, r.case, r.whole_word) if r.kind == "literal" else regex(raw, r.pattern, r.case)
+        except (ValueError, re.error) as e:
+            wrong[i] = str(e)
+            continue
+        (excludes if r.exclude else includes).append(p)
+    return filter_stack(includes, excludes), wrong

@@ -84,11 +84,18 @@ def read_as(raw: Column, name: str, reference_date: Column | str = "2024-12-31")
 
 def line_instant(raw: Column, learned: str | None = None, reference_date: str = "2024-12-31", tz: str = "UTC") -> Column:
     """The first timestamp of a line: the learned format first, then all. Zone-less text is read in tz."""
-    by_name = F.coalesce(*[F.when(line_format(raw) == n, read_as(raw, n, reference_date)) for n in FORMATS])
+    from lograil.functions.kinds import let
+
+    by_name = let(line_format(raw), lambda name: F.coalesce(*[F.when(name == n, read_as(raw, n, reference_date)) for n in FORMATS]))
     at = F.coalesce(read_as(raw, learned, reference_date), by_name) if learned else by_name
     return at if tz == "UTC" else F.to_utc_timestamp(at, tz)
 
 
+def record_time(cell: Column, raw: Column, learned: str | None = None, reference_date: str = "2024-12-31", tz: str = "UTC") -> Column:
+    """The time of a record: that of its timestamp cell if it can be read, else the first timestamp of its line."""
+    return F.coalesce(cell_instant(cell), line_instant(cell, learned, reference_date, tz), line_instant(raw, learned, reference_date, tz))
+
+
 def learn_formats(lines: DataFrame, sample: int = 1000) -> DataFrame:
     """(source, format): the format of most of the first lines of each source; ties go to the earlier format. Text that is no valid instant does not vote."""
     order = F.create_map(*[x for i, n in enumerate(FORMATS) for x in (F.lit(n), F.lit(i))])
@@ -97,6 +104,18 @@ def learn_formats(lines: DataFrame, sample: int = 1000) -> DataFrame:
     return votes.groupBy("source").agg(F.max_by("format", F.struct("count", -F.element_at(order, F.col("format")))).alias("format"))
 
 
+def goto_target(text: str, now: str) -> tuple[str, float | str]:
+    """What a go-to input means: ("end", seconds before the last time), ("start", seconds after the first) or ("at", an instant). `10:15` is today's."""
+    t = text.strip()
+    if re.match(r"[+-]\d", t):
+        return ("start" if t[0] == "+" else "end"), span_seconds(t[1:])
+    if m := re.fullmatch(r"(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?", t):
+        return "at", f"{now[:10]} {int(m[1]):02d}:{m[2]}:{m[3] or '00'}{m[4] or ''}"
+    if not re.match(r"\d{4}-\d{2}-\d{2}", t):
+        raise ValueError(f"cannot read {text!r} as a time; try 2026-09-29 10:00, 10:15, -15m or +1h")
+    return "at", t
+
+
 _SPAN = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 

@@ -10,40 +10,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lograil.functions import times
 from lograil.operators import ingest, records
 
 SAMPLE, MIN_SCORE = 1000, 0.5
+DELIMITED = {"csv": ",", "tsv": "\t", "psv": r"\|", "ssv": ";"}
+
+
+# How much a format of each kind is trusted.
+TRUST = {"logfmt": 0.97, "delimited": 0.85}
+LAYOUTS = {
+    "time_level_message": (("ts", "level", "msg"), 0.95), "time_level_thread_message": (("ts", "level", "thread", "msg"), 0.96), "time_level_thread_logger": (("ts", "level", "thread", "logger", "msg"), 0.97),
+    "time_thread_level_logger": (("ts", "thread", "level", "logger", "msg"), 0.97), "level_time_message": (("level", "ts", "msg"), 0.9), "time_message": (("ts", "msg"), 0.6),
+}
+_CLOCK, _FRACTION, _OFFSET = "[0-9]{2}:[0-9]{2}:[0-9]{2}", "(?:[.,][0-9]+)?", "(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
+#: Times that a line of text may begin with.
+STAMPS = {
+    "iso": f"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]{_CLOCK}{_FRACTION}{_OFFSET}", "slashed": f"[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}} {_CLOCK}{_FRACTION}", "day_first": f"[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} {_CLOCK}{_FRACTION}",
+    "syslog": f"(?:{times.MONTHS}) [ 0-9][0-9] {_CLOCK}", "clock": _CLOCK + _FRACTION, "epoch": r"[0-9]{10,13}(?:\.[0-9]+)?",
+}
+_LEVEL = "(?i:trace|debug|info|notice|warn|warning|error|err|fatal|crit|critical|severe)"
+
+
+def layout_pattern(stamp: str, fields: Sequence[str]) -> tuple[str, Sequence[str]]:
+    """A line of text with these fields: time and level may be in brackets, a thread is, a logger ends with a dash or colon; a lone dash, bar or colon may follow the time before a level."""
+    out = "^"
+    for i, f in enumerate(fields):
+        after = fields[i + 1] if i + 1 < len(fields) else None
+        gap = r"\s+(?:[-|:]\s+)?" if (f, after) == ("ts", "level") else r"\b:?\s+" if (f, after) == ("level", "msg") and i else r"\s+"
+        out += {"ts": rf"\[?({stamp})\]?", "level": rf"\[?({_LEVEL})\]?", "thread": r"\[([^\]]*)\]", "logger": r"([^\s\[\]:]+)\s+[-:]", "msg": "(.*)"}[f] + (gap if after else "$")
+    return out, fields
 
 
 def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(source, format, score, nth), best first: coverage x (0.6 + 0.4 x consistency) x specificity of each candidate over the first lines, those under 0.5 dropped.
+    """(source, format, score, nth), best first: coverage x (0.6 + 0.4 x consistency) x trust of each candidate over the first lines, those under 0.5 dropped.
 
-    All sources and candidates are scored in one job.
+    Consistency is the share of the most frequent shape (which fields have a value) among the lines that a format takes. Of the delimited formats, lines of the most
+    frequent number of fields count, and only the best separator is a candidate. All sources and candidates are scored in one job.
     """
     raw = F.col("raw")
     d = lines.filter(F.col("line_no") < sample).filter(F.length(F.trim("raw")) > 0)
-    d = d.withColumn("_counts", ~raw.startswith("#") & ~records.is_continuation(raw))
-    pairs = F.size(F.regexp_extract_all("raw", F.lit(r'(?:^|\s)[^\s="]+='), F.lit(0)))
-    tokens = F.size(F.split(F.trim(F.regexp_replace("raw", r'"(?:[^"\\]|\\.)*"', "q")), r"\s+"))
-    commas = lambda sep: F.size(F.split(F.regexp_replace("raw", '"(?:[^"]|"")*"', "q"), sep))
-    # name -> (accepted, shape, specificity)
+    w3c = d.filter(raw.startswith("#Fields:")).groupBy("source").agg(F.min_by(F.size(F.split(F.trim(F.substring("raw", 9, 1 << 20)), r"\s+")), "line_no").alias("_w3c"))
+    d = d.filter(~raw.startswith("#") & ~records.is_continuation(raw)).join(F.broadcast(w3c), "source", "left")  # a number for each source
+    shape = lambda cells: F.array_join(F.transform(cells, lambda c: F.when(F.coalesce(c, F.lit("")) != "", "1").otherwise("0")), "")
+    keys = lambda pairs: F.array_join(F.array_sort(F.map_keys(pairs)), " ")
+    tokens = F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: (t != "") & ~t.startswith("="))
+    n_pairs = F.size(F.filter(tokens, lambda t: F.contains(t, F.lit("="))))
+    cells = lambda sep: F.split(F.regexp_replace("raw", '"(?:[^"]|"")*"', "q"), sep, -1)
+    w3c_cells = F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " "))
+    obj = F.from_json(raw, "map<string,string>")
+    grammar = lambda g: shape(ingest.groups_of(raw, g[0], len(g[1]), anchored=True))
+    # format -> (number of fields where it tells lines apart, shape or null if the line is none of it, trust)
+    one = F.lit(1)
     cand = {
-        "access_combined": (raw.rlike(ingest.ACCESS_COMBINED[0]), F.lit(1), 1.0), "access_common": (raw.rlike(ingest.ACCESS_COMMON[0]), F.lit(1), 1.0),
-        "syslog_5424": (raw.rlike(ingest.SYSLOG_5424[0]), F.lit(1), 1.0), "syslog_3164": (raw.rlike(ingest.SYSLOG_3164[0]), F.lit(1), 1.0),
-        "json_lines": (raw.rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json(raw).isNotNull(), F.lit(1), 1.0),
-        "logfmt": ((pairs >= 2) & (2 * pairs >= tokens), F.lit(1), 0.95),
-        "csv": (commas(",") >= 2, commas(","), 0.9), "tsv": (commas("\t") >= 2, commas("\t"), 0.9), "psv": (commas(r"\|") >= 2, commas(r"\|"), 0.85), "ssv": (commas(";") >= 2, commas(";"), 0.85),
-        "timestamped": (raw.rlike(records.TIMESTAMP_START), F.lit(1), 0.6),
+        "access_combined": (one, grammar(ingest.ACCESS_COMBINED), 1.0), "access_common": (one, grammar(ingest.ACCESS_COMMON), 1.0), "syslog_5424": (one, grammar(ingest.SYSLOG_5424), 1.0), "syslog_3164": (one, grammar(ingest.SYSLOG_3164), 1.0),
+        "w3c": (one, F.when(F.size(w3c_cells) == F.col("_w3c"), shape(F.transform(w3c_cells, lambda c: F.nullif(c, F.lit("-"))))), 1.0),
+        "json_lines": (one, F.when(F.ltrim(raw).startswith("{"), keys(F.map_filter(obj, lambda k, v: v.isNotNull()))), 1.0),
+        "logfmt": (one, F.when((n_pairs >= 2) & (2 * n_pairs >= F.size(tokens)), keys(ingest.logfmt_pairs(raw))), TRUST["logfmt"]),
+        **{n: (F.size(cells(sep)), F.when(F.size(cells(sep)) >= 2, shape(cells(sep))), TRUST["delimited"]) for n, sep in DELIMITED.items()},
     }
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("format"), a.alias("hit"), F.when(a, s).alias("shape"), F.lit(w).alias("weight")) for n, (a, s, w) in cand.items()])).alias("x")
-    rows = d.filter("_counts").select("source", cells).select("source", "x.*")
-    shapes = rows.groupBy("source", "format", "weight", "shape").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
-    best = shapes.groupBy("source", "format", "weight").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.max("hits").alias("modal"))
-    best = best.filter("hits > 0").withColumn("score", F.col("hits") / F.col("n") * (0.6 + 0.4 * F.col("modal") / F.col("hits")) * F.col("weight"))
-    delimited = F.col("format").isin("csv", "tsv", "psv", "ssv")
-    best = best.filter((F.col("score") >= MIN_SCORE) & (~delimited | (F.col("modal") >= 0.8 * F.col("n"))))
-    nth = F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), F.desc("weight"), "format"))
-    return best.withColumn("nth", nth).select("source", "format", "score", "nth")
+    for stamp, pattern in STAMPS.items():
+        for name, (fields, trust) in LAYOUTS.items():
+            cand[f"{name}:{stamp}"] = (one, grammar(layout_pattern(pattern, fields)), trust)
+    x = F.explode(F.array(*[F.struct(F.lit(n).alias("format"), k.alias("fields"), s.alias("shape"), F.lit(t).alias("trust")) for n, (k, s, t) in cand.items()])).alias("x")
+    rows = d.select("source", x).select("source", "x.*")
+    shapes = rows.groupBy("source", "format", "trust", "fields", "shape").agg(F.count("*").alias("n"))
+    by = shapes.groupBy("source", "format", "trust", "fields").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("shape").isNotNull(), F.col("n"))).alias("hits"), F.max(F.when(F.col("shape").isNotNull(), F.col("n"))).alias("modal"))
+    # The most frequent number of fields; the larger one on ties.
+    best = by.groupBy("source", "format", "trust").agg(F.sum("n").alias("lines"), F.max(F.struct("n", "fields", "hits", "modal")).alias("m"))
+    best = best.filter("m.hits > 0").withColumn("score", F.col("m.hits") / F.col("lines") * (0.6 + 0.4 * F.col("m.modal") / F.col("m.hits")) * F.col("trust"))
+    delimited = F.col("format").isin(*DELIMITED)
+    best = best.filter((F.col("score") >= MIN_SCORE) & (~delimited | (F.col("m.n") >= 0.8 * F.col("lines"))))
+    order = F.element_at(F.create_map(*[v for i, n in enumerate(cand) for v in (F.lit(n), F.lit(i))]), F.col("format"))
+    best = best.withColumn("_o", order)
+    rank = lambda *by: F.row_number().over(W.partitionBy("source", *by).orderBy(F.desc("score"), "_o"))
+    best = best.withColumn("_d", rank(F.when(delimited, "d").otherwise(F.col("format")))).filter("_d = 1")
+    return best.withColumn("nth", rank()).select("source", "format", "score", "nth")
 
 
 @dataclass(frozen=True)

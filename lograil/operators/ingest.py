@@ -6,6 +6,7 @@ and, for open formats, extra (map of the keys outside the schema). Lines that do
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -14,15 +15,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lograil.functions.kinds import unique_names
+from lograil.functions.times import MONTHS
 from lograil.sources.lines import parseable
 
-# The layouts of syslog and access logs, as patterns with numbered groups.
-SYSLOG_3164 = (r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?:? ?(.*)$", ("pri", "ts", "host", "tag", "pid", "msg"))
-SYSLOG_5424 = (r"^<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: (.*))?$", ("pri", "version", "ts", "host", "app", "procid", "msgid", "sd", "msg"))
-_COMMON = r"^(\S+) (\S+) (\S+) \[([^\]]+)\] " + r'"(?:([A-Z]+) ([^\s"]+)(?: ([^"]*))?|(?:[^"\\]|\\.)*)" (\d{3}) (\d+|-)'
-_ACCESS = ("remote", "ident", "user", "ts", "method", "path", "proto", "status", "size")
-ACCESS_COMMON = (_COMMON + "$", _ACCESS)
-ACCESS_COMBINED = (_COMMON + r' "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)"(?: .*)?$', (*_ACCESS, "referer", "agent"))
+
+def _grammar(*parts: tuple[str, str | None] | str) -> tuple[str, tuple[str, ...]]:
+    """A pattern and its field names from the parts of a layout: (text with one {}, name and body of the field in its place), or plain text."""
+    text, names = "", []
+    for p in parts:
+        if isinstance(p, str):
+            text += p
+        else:
+            around, name, body = p
+            text += around.replace("{}", f"({body})")
+            names.append(name)
+    return f"^{text}$", tuple(names)
+
+
+# Syslog after RFC 3164 (4.1: PRI, TIMESTAMP, HOSTNAME, then TAG and CONTENT in MSG; PRI may be missing, as relays drop it) and RFC 5424 (6: HEADER,
+# STRUCTURED-DATA, optional MSG; a field without value is NILVALUE). Fields of the header hold no blank; data elements escape quote, backslash and bracket.
+_PRI, _WORD, _REST = "[0-9]{1,3}", "[^ ]+", ".*"
+_STAMP = f"(?:{MONTHS}) (?:[ 0-3][0-9]) " + ":".join(["[0-9]{2}"] * 3)
+SYSLOG_3164 = _grammar(("(?:<{}>)?", "pri", _PRI), ("{} ", "ts", _STAMP), ("{} ", "host", _WORD), ("{}", "tag", "[^ :\\[\t]+"), ("(?:\\[{}\\])?", "pid", "[0-9]+"), ":? ?", ("{}", "msg", _REST))
+_ELEMENT = "\\[(?:[^\\]\\\\]|\\\\.)*\\]"
+SYSLOG_5424 = _grammar(
+    ("<{}>", "pri", _PRI), ("{} ", "version", "[1-9][0-9]?"), *(("{} ", n, _WORD) for n in ("ts", "host", "app", "procid", "msgid")), ("{}", "sd", f"-|(?:{_ELEMENT})+"), ("(?: {})?", "msg", _REST)
+)
+
+# The common log format, and the combined one: two more quoted fields; servers may append others. In quotes, a backslash escapes. A request line that is
+# not "METHOD target [protocol]" is skipped as a whole; its three fields are then missing.
+_QUOTED = '[^"\\\\]*(?:\\\\.[^"\\\\]*)*'
+_COMMON_PARTS = (
+    ("{} ", "remote", _WORD), ("{} ", "ident", _WORD), ("{} ", "user", _WORD), ("\\[{}\\] ", "ts", "[^\\]]+"),
+    ('"(?:{}', "method", "[A-Z]+"), (" {}", "path", '[^ "]+'), ("(?: {})?", "proto", '[^"]*'), f'|{_QUOTED})" ', ("{} ", "status", "[0-9]{3}"), ("{}", "size", "[0-9]+|-"),
+)
+ACCESS_COMMON = _grammar(*_COMMON_PARTS)
+ACCESS_COMBINED = _grammar(*_COMMON_PARTS, (' "{}"', "referer", _QUOTED), (' "{}"', "agent", _QUOTED), f"(?: {_REST})?")
+
+
+def parsed_once(lines: DataFrame, **columns: Column) -> DataFrame:
+    """lines with columns that are computed once a row, however often they are used later: the optimizer copies no expression out of a generator."""
+    return lines.select(*[c for c in lines.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _fields(lines: DataFrame, is_record: Column, values: dict[str, Column]) -> DataFrame:
@@ -30,10 +63,27 @@ def _fields(lines: DataFrame, is_record: Column, values: dict[str, Column]) -> D
     return lines.withColumns({n: F.when(F.col("is_record"), F.nullif(v, F.lit(""))) for n, v in values.items()})
 
 
-def by_pattern(lines: DataFrame, pattern: str, names: Sequence[str]) -> DataFrame:
-    """Fields are the numbered groups of a pattern that must match."""
-    raw = parseable(F.col("raw"))
-    return _fields(lines, raw.rlike(pattern), {n: F.regexp_extract(raw, pattern, i) for i, n in enumerate(unique_names(names), 1)})
+#: Stands between the groups of a match; lines that hold it are matched once for each group.
+MARK = "\x1e"
+
+
+def groups_of(raw: Column, pattern: str, n: int, anchored: bool = False) -> Column:
+    """The n numbered groups of the first match as an array, from one match of the line; null if there is none. A group that took no part is empty.
+
+    Only \\n ends a line here, whatever else a raw line holds. anchored: the pattern takes the whole line, from ^ to $.
+    """
+    pattern = "(?d)" + pattern
+    whole = pattern if anchored else rf"^(?s:.*?)(?:{pattern})(?s:.*)\z"
+    joined = F.regexp_replace(raw, whole, MARK + MARK.join(f"${i}" for i in range(1, n + 1)))
+    apart = F.when(raw.rlike(pattern), F.array(*[F.regexp_extract(raw, pattern, i) for i in range(1, n + 1)]))
+    return F.when(F.contains(raw, F.lit(MARK)), apart).otherwise(F.when(joined.startswith(MARK), F.split(F.substring(joined, 2, 1 << 30), MARK, -1)))
+
+
+def by_pattern(lines: DataFrame, pattern: str, names: Sequence[str], anchored: bool = False) -> DataFrame:
+    """Fields are the numbered groups of a pattern that must match; anchored: it takes the whole line."""
+    names = unique_names(names)
+    lines = parsed_once(lines, _cells=groups_of(parseable(F.col("raw")), pattern, len(names), anchored))
+    return _fields(lines, F.col("_cells").isNotNull(), {n: F.get("_cells", F.lit(i)) for i, n in enumerate(names)}).drop("_cells")
 
 
 def by_regex(lines: DataFrame, pattern: str) -> DataFrame:
@@ -46,16 +96,16 @@ def by_regex(lines: DataFrame, pattern: str) -> DataFrame:
 
 
 def syslog_3164(lines: DataFrame) -> DataFrame:
-    return by_pattern(lines, *SYSLOG_3164)
+    return by_pattern(lines, *SYSLOG_3164, anchored=True)
 
 
 def syslog_5424(lines: DataFrame) -> DataFrame:
-    return by_pattern(lines, *SYSLOG_5424)
+    return by_pattern(lines, *SYSLOG_5424, anchored=True)
 
 
 def access(lines: DataFrame, combined: bool = True) -> DataFrame:
     """Web access lines; a malformed request leaves method, path and proto null."""
-    out = by_pattern(lines, *(ACCESS_COMBINED if combined else ACCESS_COMMON))
+    out = by_pattern(lines, *(ACCESS_COMBINED if combined else ACCESS_COMMON), anchored=True)
     return out if combined else out.withColumns({"referer": F.lit(None).cast("string"), "agent": F.lit(None).cast("string")})
 
 
@@ -90,7 +140,7 @@ def log4j_pattern(layout: str) -> tuple[str, list[str]]:
 
 
 def log4j(lines: DataFrame, layout: str) -> DataFrame:
-    return by_pattern(lines, *log4j_pattern(layout))
+    return by_pattern(lines, *log4j_pattern(layout), anchored=True)
 
 
 def fixed_width(lines: DataFrame, columns: Sequence[tuple[str, int, int | None]]) -> DataFrame:
@@ -106,7 +156,7 @@ def delimited(lines: DataFrame, columns: Sequence[str], delimiter: str = ",", ha
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
     raw = parseable(F.col("raw"))
     row = F.from_csv(raw, schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxCharsPerColumn": "-1"})
-    lines = lines.withColumn("_row", row)
+    lines = parsed_once(lines, _row=row)
     ok = F.col("_row._bad").isNull() & (F.col("raw") != "") & raw.isNotNull()
     if has_header:
         ok &= F.col("raw") != delimiter.join(columns)
@@ -114,14 +164,15 @@ def delimited(lines: DataFrame, columns: Sequence[str], delimiter: str = ",", ha
 
 
 def header_names(lines: DataFrame, delimiter: str = ",") -> dict[str, list[str]]:
-    """Column names of each source from its first line: one row for each source comes to the driver."""
-    return {r["source"]: unique_names([x.strip().strip('"') for x in (r["raw"] or "").split(delimiter)]) for r in lines.filter("line_no = 0").select("source", "raw").collect()}
+    """Column names of each source from its first line, quotes taken off and doubled ones halved: one row for each source comes to the driver."""
+    heads = lines.filter("line_no = 0").select("source", "raw")
+    return {r["source"]: unique_names(next(csv.reader([r["raw"] or ""], delimiter=delimiter), [""])) for r in heads.toLocalIterator()}
 
 
 def w3c(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
     """W3C extended lines: tab-separated if the line has a tab, else by blanks; `-` is absent; `#` lines are directives."""
     raw = parseable(F.col("raw"))
-    lines = lines.withColumn("_cells", F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " ")))
+    lines = parsed_once(lines, _cells=F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " ")))
     ok = ~raw.startswith("#") & (F.size("_cells") == len(fields))
     return _fields(lines, ok, {n: F.nullif(F.get("_cells", F.lit(i)), F.lit("-")) for i, n in enumerate(unique_names(fields))}).drop("_cells")
 
@@ -132,17 +183,22 @@ def w3c_fields(lines: DataFrame) -> DataFrame:
     return found.groupBy("source").agg(F.min_by(F.split(F.trim(F.substring("raw", 9, 1 << 20)), r"\s+"), "line_no").alias("fields"))
 
 
-_PAIR = r'([^\s=]*)(?:=("(?:[^"\\]|\\.)*(?:"|$)|\S*))?'
+# A key, and its value after =: in quotes with escapes (to the line's end if they are not closed), or up to a blank.
+_PAIR = r'[^\s=]*(?:=(?:"(?:[^"\\]|\\.)*(?:"|$)|\S*))?'
+
+
+def first_of_keys(entries: Column) -> Column:
+    """A map of (key, value) entries; the first value of a key wins."""
+    keys = F.transform(entries, lambda e: e["key"])
+    firsts = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(firsts))
 
 
 def logfmt_pairs(raw: Column) -> Column:
     """The key-value map of a logfmt line: the first value of a key wins, a bare key is true, empty keys are skipped."""
-    keys = F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(1))
-    values = F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(2))
-    whole = F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0))
-    cells = F.zip_with(keys, F.zip_with(values, whole, lambda v, w: F.struct(v.alias("v"), w.alias("w"))), lambda k, x: F.struct(k.alias("k"), F.when(F.contains(x["w"], F.lit("=")), _unquoted(x["v"])).otherwise("true").alias("v")))
-    cells = F.filter(cells, lambda x: x["k"] != "")
-    return F.aggregate(cells, F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["v"]))))
+    cells = F.filter(F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0)), lambda w: (w != "") & ~w.startswith("="))
+    split = lambda w, at: F.struct(F.when(at > 0, F.substr(w, F.lit(1), at - 1)).otherwise(w).alias("key"), F.when(at > 0, _unquoted(F.substr(w, at + 1))).otherwise("true").alias("value"))
+    return first_of_keys(F.transform(cells, lambda w: split(w, F.instr(w, "="))))
 
 
 def _unquoted(v: Column) -> Column:
@@ -152,9 +208,9 @@ def _unquoted(v: Column) -> Column:
 
 
 def _open(lines: DataFrame, pairs: Column, ok: Column, columns: Sequence[str]) -> DataFrame:
-    lines = lines.withColumn("_pairs", pairs)
-    out = _fields(lines, ok, {n: F.try_element_at("_pairs", F.lit(n)) for n in columns})
-    return out.withColumn("extra", F.when(F.col("is_record"), F.map_filter("_pairs", lambda k, v: ~k.isin(*columns) if columns else F.lit(True)))).drop("_pairs")
+    lines = parsed_once(lines, _pairs=pairs, _ok=ok)
+    out = _fields(lines, F.col("_ok"), {n: F.try_element_at("_pairs", F.lit(n)) for n in columns})
+    return out.withColumn("extra", F.when(F.col("is_record"), F.map_filter("_pairs", lambda k, v: ~k.isin(*columns) if columns else F.lit(True)))).drop("_pairs", "_ok")
 
 
 def logfmt(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,21 +218,24 @@ def logfmt(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _open(lines, logfmt_pairs(raw), raw.rlike(r"(^|\s)[^\s=]+="), columns)
 
 
+_ENTRIES = "map<string,string>"
+
+
 def json_pairs(raw: Column, depth: int = 4) -> Column:
-    """A JSON object as a map, nested keys joined by dots down to depth; arrays and empty objects stay JSON; nulls are absent."""
-    flat = lambda text: F.from_json(text, "map<string,string>")
-    pairs = flat(raw)
+    """A JSON object as a map, nested keys joined by dots down to depth; arrays, empty objects and deeper ones stay JSON; nulls are absent; the first value of a key wins."""
+    entries = lambda text: F.from_json(text, _ENTRIES)
+    pairs = F.map_entries(entries(raw))
     for _ in range(depth - 1):
         nested = lambda v: v.startswith("{") & (v != "{}")
-        inner = F.flatten(F.transform(F.map_entries(pairs), lambda e: F.when(nested(e["value"]), F.transform(F.map_entries(flat(e["value"])), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
-        pairs = F.map_from_entries(F.filter(inner, lambda x: x["value"].isNotNull()))
-    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+        inside = lambda e: F.transform(F.map_entries(entries(e["value"])), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        pairs = F.flatten(F.transform(pairs, lambda e: F.coalesce(F.when(nested(e["value"]), inside(e)), F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
+    return first_of_keys(F.filter(pairs, lambda x: x["value"].isNotNull()))
 
 
-def json_lines(lines: DataFrame, columns: Sequence[str], depth: int = 2) -> DataFrame:
+def json_lines(lines: DataFrame, columns: Sequence[str], depth: int = 4) -> DataFrame:
     """JSON Lines: only objects are records."""
     raw = parseable(F.col("raw"))
-    ok = F.ltrim(raw).startswith("{") & F.try_parse_json(raw).isNotNull()
+    ok = F.ltrim(raw).startswith("{") & F.rtrim(raw).endswith("}") & F.from_json(raw, _ENTRIES).isNotNull()
     return _open(lines, F.when(ok, json_pairs(raw, depth)), ok, columns)
 
 

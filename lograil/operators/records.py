@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lograil.functions import kinds, times
 from lograil.operators import blocked
 from lograil.shared import materialize
 
@@ -92,8 +96,58 @@ def percent_line(lines: DataFrame, percent: float) -> DataFrame:
     return lines.groupBy("source").agg((F.max("line_no") + 1).alias("n")).select("source", F.least(F.floor(F.lit(percent / 100) * F.col("n")), F.col("n") - 1).cast("long").alias("line_no"))
 
 
-def sorted_by(records: DataFrame, key: Column, descending: bool = False) -> DataFrame:
-    """By a typed key; nulls last either way, ties in file order."""
+def slice_lines(lines: DataFrame, first: int, count: int) -> DataFrame:
+    """count lines of each source from line first on."""
+    return lines.filter(F.col("line_no").between(first, first + count - 1))
+
+
+def go_to(lines: DataFrame, text: str, current: int = 0) -> DataFrame:
+    """(source, line_no) of `120` (the line of that number, from 1), `+10` and `-5` (from line current on) or `50%`, at most the last line. Raises ValueError for anything else."""
+    t = text.strip()
+    if m := re.fullmatch(r"(\d+(?:\.\d+)?)\s*%", t):
+        return percent_line(lines, min(float(m[1]), 100.0))
+    if not re.fullmatch(r"[+-]?\d+", t):
+        raise ValueError(f"no line: {text!r}; try 120, +10, -5 or 50%")
+    at = current + int(t) if t[0] in "+-" else int(t) - 1
+    return lines.groupBy("source").agg(F.greatest(F.lit(0), F.least(F.lit(at), F.max("line_no"))).cast("long").alias("line_no"))
+
+
+def go_to_time(lines: DataFrame, ts: Column, text: str, now: str) -> DataFrame:
+    """(source, line_no): the first line of each source at or after a time, `-15m` before its last, `+1h` after its first, or today's `10:15`."""
+    kind, value = times.goto_target(text, now)
+    if kind == "at":
+        return first_at_or_after(lines, ts, F.lit(value).cast("timestamp"))
+    us = F.unix_micros(ts)
+    ends = lines.groupBy("source").agg((F.min(us) + int(value * 1e6) if kind == "start" else F.max(us) - int(value * 1e6)).alias("_us"))
+    return lines.join(ends, "source").filter(us >= F.col("_us")).groupBy("source").agg(F.min("line_no").alias("line_no"))
+
+
+def first_matches(lines: DataFrame, matched: Column, most: int) -> tuple[DataFrame, bool]:
+    """The first most matching lines by source and line, and whether there are more."""
+    hits = lines.filter(F.coalesce(matched, F.lit(False)))
+    return hits.orderBy("source", "line_no").limit(most), hits.limit(most + 1).count() > most
+
+
+def sort_key(c: Column, kind: str = "text", ts: Callable[[Column], Column] = times.cell_instant) -> Column:
+    """What a cell sorts by: numbers by value or by unit, durations, sizes, instants (read by ts), severity; text by its first 64 characters, lower-cased, then as they are. Null if it has no value."""
+    t = F.nullif(F.trim(c), F.lit(""))
+    if kind == "number":
+        v = F.coalesce(kinds.number(t), kinds.quantity(t)["scaled"])
+        return F.when(F.abs(v) < float("inf"), v)
+    if kind in ("duration", "bytes"):
+        return {"duration": kinds.duration_ns, "bytes": kinds.size_bytes}[kind](t)
+    if kind == "level":
+        return kinds.level_rank(t)
+    if kind == "timestamp":
+        return ts(t)
+    cut = F.substring(t, 1, 64)
+    return F.when(t.isNotNull(), F.struct(F.lower(cut).alias("lower"), cut.alias("cut")))
+
+
+def sorted_by(records: DataFrame, key: Column, descending: bool = False, max_rows: int | None = None) -> DataFrame:
+    """By a typed key; nulls last either way, ties in file order. More than max_rows rows are refused with ValueError."""
+    if max_rows is not None and records.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows to sort; narrow the filter")
     return records.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "source", "line_no")
 
 

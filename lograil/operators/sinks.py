@@ -27,6 +27,21 @@ def json_line(columns: Mapping[str, str]) -> Column:
     return F.to_json(F.struct(*[json_value(F.col(n), k).alias(n) for n, k in columns.items()]), {"ignoreNullFields": "false"})
 
 
+def record_json(columns: Mapping[str, str], extra: str = "extra", pretty: bool = False) -> Column:
+    """A whole record as one JSON object: its columns, then its extra keys, whose values are JSON if they can be read as such. An extra key replaces a column of its name."""
+    own = F.array(*[F.struct(F.lit(n).alias("key"), json_value(F.col(n), k).alias("value")) for n, k in columns.items()])
+    more = F.coalesce(F.col(extra), F.create_map().cast("map<string,string>"))
+    own = F.filter(own, lambda e: ~F.map_contains_key(more, e["key"]))
+    added = F.transform(F.map_entries(more), lambda e: F.struct(e["key"].alias("key"), json_value(e["value"], "json").alias("value")))
+    return F.to_json(F.map_from_entries(F.concat(own, added)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+
+
+def record_csv(columns: Sequence[str]) -> Column:
+    """A whole record as CSV: a line of names and a line of cells."""
+    cell = lambda c: F.when(c.rlike('[",\\r\\n]|^\\s|\\s$'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    return F.concat(F.concat_ws(",", *[cell(F.lit(n)) for n in columns]), F.lit("\n"), F.concat_ws(",", *[cell(F.col(n).cast("string")) for n in columns]))
+
+
 def write_json_lines(records: DataFrame, path: str, columns: Mapping[str, str]) -> None:
     records.filter("is_record").select(json_line(columns).alias("value")).write.text(path)
 

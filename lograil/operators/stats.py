@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lograil.functions import kinds
+from lograil.shared import materialize
 
 
 def distinct_key(c: Column, kind: str) -> Column:
@@ -16,26 +18,90 @@ def distinct_key(c: Column, kind: str) -> Column:
     return F.coalesce(kinds.level_label(c), c) if kind == "level" else c
 
 
-def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = True, where: Column | None = None) -> DataFrame:
-    """(name, kind, count, missing, numeric_count, min, max, mean, distinct_estimate, p50, p90, p99) of all columns in one scan of the records.
+QUANTILES = (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))
+_PARSED = {"number": kinds.number, "duration": kinds.duration_ns, "bytes": kinds.size_bytes}
 
-    columns maps names to kinds. Percentiles are nearest-rank over numbers, durations (ns) and sizes; exact ones gather values, others are sketches.
+
+def typed_values(records: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """records with _c0, _v0, _c1, _v1, ...: each column as text (empty is null), and as a number if its kind is one. Columns that are numbers already are not read again."""
+    new = {}
+    for i, (name, kind) in enumerate(columns.items()):
+        new[f"_c{i}"] = F.nullif(F.col(name).cast("string"), F.lit(""))
+        if kind not in _PARSED:
+            v = F.lit(None).cast("double")
+        elif isinstance(records.schema[name].dataType, T.NumericType):
+            x = F.col(name).cast("double") * (1e6 if kind == "duration" else 1.0)
+            v = F.when(F.abs(x) < float("inf"), x)
+        else:
+            v = _PARSED[kind](F.col(name).cast("string"))
+        new[f"_v{i}"] = v
+    return records.withColumns(new)
+
+
+def exact_percentiles(values: DataFrame, quantiles=QUANTILES) -> DataFrame:
+    """(name, p50, p90, p99) by nearest rank of (name, v) rows. Values are counted, range-partitioned and ranked by the sums of the partitions before; no task holds more than one range."""
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = values.filter("v is not null").groupBy("name", "v").agg(F.count("*").alias("n"))
+    counts = materialize(counts.repartitionByRange(parts, "name", "v").withColumn("part", F.spark_partition_id()), "value-counts")
+    before = W.partitionBy("name").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = counts.groupBy("name", "part").agg(F.sum("n").alias("sum"))
+    sums = sums.withColumns({"before": F.coalesce(F.sum("sum").over(before), F.lit(0)), "total": F.sum("sum").over(W.partitionBy("name"))})
+    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.ceil(F.lit(p) * F.col("total")).alias("rank")) for q, p in quantiles])).alias("x")
+    asked = sums.select("name", "part", "before", "sum", asked).select("name", "part", "before", "sum", "x.*").filter("rank > before and rank <= before + sum")
+    inside = W.partitionBy("name", "q").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hit = counts.join(F.broadcast(asked), ["name", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(inside)).filter("upto >= rank")
+    return hit.groupBy("name").agg(*[F.min(F.when(F.col("q") == q, F.col("v"))).alias(q) for q, _ in quantiles])
+
+
+def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = False, where: Column | None = None) -> DataFrame:
+    """(name, kind, records, skipped, count, missing, numeric_count, min, max, mean, distinct_estimate, p50, p90, p99) of all columns in one scan of the records.
+
+    columns maps names to kinds. Percentiles are nearest-rank over numbers, durations (ns) and sizes: from sketches, or exact by exact_percentiles. If records has is_record,
+    other lines are skipped and only counted. where restricts the profile to records that a filter passes.
     """
     d = records.filter(where) if where is not None else records
-    typed = {"number": kinds.number, "duration": kinds.duration_ns, "bytes": kinds.size_bytes}
+    is_record = F.coalesce(F.col("is_record"), F.lit(False)) if "is_record" in d.columns else F.lit(True)
+    d = typed_values(d.withColumn("_ok", is_record), columns)
+    aggs = []
+    for i, (name, kind) in enumerate(columns.items()):
+        c, v = F.when(F.col("_ok"), F.col(f"_c{i}")), F.when(F.col("_ok"), F.col(f"_v{i}"))
+        q = [F.percentile_approx(v, p, 10_000) if kind in _PARSED and not exact else F.lit(None).cast("double") for _, p in QUANTILES]
+        aggs.append(F.struct(
+            F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("skipped"), F.count(c).alias("count"), F.count_if(F.col("_ok") & F.col(f"_c{i}").isNull()).alias("missing"), F.count(v).alias("numeric_count"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.approx_count_distinct(distinct_key(c, kind), 0.016), F.count(c)).alias("distinct_estimate"), *[x.alias(n) for x, (n, _) in zip(q, QUANTILES)],
+        ))
+    out = d.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    if not exact:
+        return out
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_v{i}").alias("v")) for i, (name, kind) in enumerate(columns.items()) if kind in _PARSED] or [F.struct(F.lit("").alias("name"), F.lit(None).cast("double").alias("v"))])).alias("x")
+    return out.drop("p50", "p90", "p99").join(exact_percentiles(d.filter("_ok").select(cells).select("x.*")), "name", "left")
+
+
+def profile_state(records: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """What profile_of needs of a part of the records, one row for each column; states of parts merge by merged_states."""
+    d = typed_values(records, columns)
     aggs = []
     for i, (name, kind) in enumerate(columns.items()):
-        c = F.nullif(F.col(name).cast("string"), F.lit(""))
-        v = typed[kind](c) if kind in typed else F.lit(None).cast("double")
-        d = d.withColumns({f"_c{i}": c, f"_v{i}": v})
-        q = [F.expr(f"percentile_disc({p}) within group (order by _v{i})") if exact else F.percentile_approx(f"_v{i}", p, 10_000) for p in (0.5, 0.9, 0.99)] if kind in typed else [F.lit(None).cast("double")] * 3
+        c, v = F.col(f"_c{i}"), F.col(f"_v{i}")
         aggs.append(F.struct(
-            F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count(f"_c{i}").alias("count"), F.count_if(F.col(f"_c{i}").isNull()).alias("missing"), F.count(f"_v{i}").alias("numeric_count"), F.min(f"_v{i}").alias("min"), F.max(f"_v{i}").alias("max"), F.avg(f"_v{i}").alias("mean"),
-            F.least(F.approx_count_distinct(distinct_key(F.col(f"_c{i}"), kind), 0.016), F.count(f"_c{i}")).alias("distinct_estimate"), q[0].alias("p50"), q[1].alias("p90"), q[2].alias("p99"),
+            F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count(c).alias("count"), F.count_if(c.isNull()).alias("missing"), F.count(v).alias("numeric_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
+            F.hll_sketch_agg(distinct_key(c, kind), 12).alias("distinct_sketch"), F.kll_sketch_agg_double(v).alias("quantile_sketch"),
         ))
     return d.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state of each column from those of many parts."""
+    sums = [F.sum(c).alias(c) for c in ("count", "missing", "numeric_count", "sum")]
+    return states.groupBy("name", "kind").agg(*sums, F.min("min").alias("min"), F.max("max").alias("max"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"))
+
+
+def profile_of(state: DataFrame) -> DataFrame:
+    """(name, kind, count, missing, numeric_count, min, max, mean, distinct_estimate, p50, p90, p99) of states."""
+    q = [F.when(F.col("numeric_count") > 0, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(p))).alias(n) for n, p in QUANTILES]
+    return state.select("name", "kind", "count", "missing", "numeric_count", "min", "max", (F.col("sum") / F.col("numeric_count")).alias("mean"), F.least(F.hll_sketch_estimate("distinct_sketch"), F.col("count")).alias("distinct_estimate"), *q)
+
+
 def top_values(records: DataFrame, columns: Mapping[str, str], n: int = 10) -> DataFrame:
     """(name, value, count, nth): the most frequent values of each column, ties by value. Exact."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), distinct_key(F.nullif(F.col(c).cast("string"), F.lit("")), k).alias("value")) for c, k in columns.items()])).alias("x")
@@ -44,10 +110,20 @@ def top_values(records: DataFrame, columns: Mapping[str, str], n: int = 10) -> D
     return counts.withColumn("nth", nth).filter(F.col("nth") <= n).select("name", "value", "count", "nth")
 
 
-def value_candidates(records: DataFrame, column: str, most: int = 200) -> DataFrame:
-    """(value, count): at most so many distinct values of a column, numbers first by value, then text."""
+def value_candidates(records: DataFrame, column: str, most: int = 200, kind: str = "text", selected: Sequence[str] = ()) -> DataFrame:
+    """(value, count) to pick from: all levels for a level; else the selected values, then the most frequent ones, at most so many; numbers first by value, then text."""
+    if kind == "level":
+        levels = records.sparkSession.createDataFrame([(x, i) for i, x in enumerate(kinds.LEVEL_LABELS)], "value string, i int")
+        seen = records.groupBy(kinds.level_label(F.col(column)).alias("value")).count()
+        return levels.join(seen, "value", "left").orderBy("i").select("value", F.coalesce("count", F.lit(0)).alias("count"))
     c = F.nullif(F.col(column).cast("string"), F.lit(""))
-    counts = records.select(c.alias("value")).filter("value is not null").groupBy("value").count().orderBy(F.desc("count"), "value").limit(most)
+    counts = records.select(c.alias("value")).filter("value is not null").groupBy("value").count()
+    if selected:
+        chosen = records.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(selected)], "value string").withColumn("chosen", F.lit(1))
+        counts = counts.join(chosen, "value", "full").select("value", F.coalesce("count", F.lit(0)).alias("count"), "chosen")
+    else:
+        counts = counts.withColumn("chosen", F.lit(None).cast("int"))
+    counts = counts.orderBy(F.col("chosen").asc_nulls_last(), F.desc("count"), "value").limit(most).drop("chosen")
     return counts.orderBy(kinds.number(F.col("value")).asc_nulls_last(), "value")
 
 
@@ -59,6 +135,13 @@ def density(matches: DataFrame, totals: DataFrame, bins: int) -> DataFrame:
     return d.withColumn("intensity", F.greatest(F.lit(0.35), F.sqrt(F.col("n") / top)))
 
 
+def position_density(ranked: DataFrame, marked: Column, bins: int, nth: str = "nth") -> DataFrame:
+    """(bin, n) of marked rows in equal slices of a sorted order; ranked has each row's number from 1 (see records.ranked)."""
+    total = ranked.agg(F.count("*").alias("_total"))
+    d = ranked.filter(F.coalesce(marked, F.lit(False))).crossJoin(F.broadcast(total))  # one row
+    return d.groupBy(F.floor((F.col(nth) - 1) * bins / F.col("_total")).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def search_sources(lines: DataFrame, matched: Column, shown: int = 100) -> tuple[DataFrame, DataFrame]:
     """(source, n) of matching lines, and the first hits of each source."""
     hits = lines.filter(F.coalesce(matched, F.lit(False)))

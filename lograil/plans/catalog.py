@@ -217,13 +217,13 @@ _PROFILE = " union all ".join(
 
 @query(f"select \"name\", kind, \"count\", missing, numeric_count, round(\"min\", 6) \"min\", round(\"max\", 6) \"max\", mean, round(p50, 6) p50, round(p90, 6) p90, round(p99, 6) p99 from ({_PROFILE})")
 def q_profile(spark, d):
-    p = stats.profile(table(spark, d, "lineitem"), {"l_quantity": "number", "l_extendedprice": "number", "l_returnflag": "text", "l_discount": "duration"})
+    p = stats.profile(table(spark, d, "lineitem"), {"l_quantity": "number", "l_extendedprice": "number", "l_returnflag": "text", "l_discount": "duration"}, exact=True)
     return p.select("name", "kind", "count", "missing", "numeric_count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "p50", "p90", "p99")])
 
 
 @query()
 def q_distinct_approx(spark, d):
-    p = stats.profile(table(spark, d, "events"), {"user_id": "text", "event_type": "text"}, exact=False)
+    p = stats.profile(table(spark, d, "events"), {"user_id": "text", "event_type": "text"})
     return p.select("name", "distinct_estimate")
 
 

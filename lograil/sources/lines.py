@@ -46,14 +46,14 @@ def encodings(spark: SparkSession, path: str) -> DataFrame:
         F.when(x.startswith("EFBBBF"), "UTF-8").when(x.startswith("FFFE"), "UTF-16LE").when(x.startswith("FEFF"), "UTF-16BE")
         .when(odd > 0.3, "UTF-16LE").when(even > 0.3, "UTF-16BE").when(F.is_valid_utf8(F.col("head").cast("string")), "UTF-8").otherwise("ISO-8859-1")
     )
-    text = F.decode("head", F.lit("ISO-8859-1"))
+    text = F.decode("head", "ISO-8859-1")
     ending = F.when(F.contains(text, F.lit("\r\n")), "crlf").when(F.contains(text, F.lit("\n")), "lf").when(F.contains(text, F.lit("\r")), "cr").otherwise("lf")
     return head.select("source", enc.alias("encoding"), ending.alias("line_ending"))
 
 
 def read_encoded(spark: SparkSession, path: str, encoding: str, line_ending: str = "lf") -> DataFrame:
-    """(source, line_no, raw) of files in another encoding. A file is decoded by one task, so a file must fit in it."""
-    text = F.regexp_replace(F.decode("content", F.lit(encoding)), "^\ufeff", "")
+    """(source, line_no, raw) of files in another encoding: UTF-16 (LE, BE), ISO-8859-1, US-ASCII, UTF-32, or any that Java knows if spark.sql.legacy.javaCharsets is set. A file is decoded by one task, so a file must fit in it."""
+    text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
     sep = "\r(?!\n)" if line_ending == "cr" else "\n"
     rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.posexplode(F.split(F.regexp_replace(text, f"(?:{sep})$", ""), sep)).alias("line_no", "raw"))
     return rows.select("source", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw"))

@@ -61,7 +61,7 @@ def test_detect_reads_the_whole_table(spark, tmp_path):
     shapes = {}
     for r in event_lines(spark, str(tmp_path), "csv").collect():
         shapes.setdefault(r["source"] + ".csv", Counter())[r["raw"].split('"')[0].count(",")] += 1
-    assert got == {s: round(0.9 * (0.6 + 0.4 * max(c.values()) / sum(c.values())), 6) for s, c in shapes.items()} and len(got) == 4
+    assert got == {s: round(0.85 * max(c.values()) / sum(c.values()), 6) for s, c in shapes.items()} and len(got) == 4
 
 
 def test_merge_numbers_events_in_many_tasks(spark, sf_dir):

@@ -40,7 +40,7 @@ def _map(values: dict) -> Column:
 
 def level_rank(c: Column) -> Column:
     """0 (trace) to 5 (fatal) of any usual spelling, brackets allowed; null for anything else."""
-    bare = F.trim(F.regexp_replace(F.trim(c), r"^[\[\]]+|[\[\]]+$", ""))
+    bare = F.trim(F.trim(F.trim(c), F.lit("[]")))
     return F.when(F.octet_length(bare) <= 12, F.try_element_at(_map(_RANKS), F.lower(bare)))
 
 

@@ -15,10 +15,10 @@ _ZONE = r"(?:Z|[+-]\d{2}:?\d{2}|[+-]\d{2})?"
 
 
 def _iso(text: Column) -> Column:
-    """ISO text with optional fraction (dot or comma) and zone."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ",", "."), "T", " "), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    """ISO text with optional fraction (dot or comma) and zone. Most of it Spark reads as it is; commas, zones without colon, leap seconds and long fractions are rewritten first."""
+    t = F.regexp_replace(F.translate(text, ",T", ". "), r"([+-]\d{2})(\d{2})$", "$1:$2")
     t = F.regexp_replace(t, r":60(?=$|[.Z+-])", ":59")
-    return F.regexp_replace(t, r"(\.\d{6})\d+", "$1").try_cast("timestamp")
+    return F.coalesce(text.try_cast("timestamp"), F.regexp_replace(t, r"(\.\d{6})\d+", "$1").try_cast("timestamp"))
 
 
 def _clock(date: Column, text: Column) -> Column:

@@ -54,7 +54,7 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
     d = d.filter(~raw.startswith("#") & ~records.is_continuation(raw)).join(F.broadcast(w3c), "source", "left")  # a number for each source
     shape = lambda cells: F.array_join(F.transform(cells, lambda c: F.when(F.coalesce(c, F.lit("")) != "", "1").otherwise("0")), "")
     keys = lambda pairs: F.array_join(F.array_sort(F.map_keys(pairs)), " ")
-    tokens = F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: (t != "") & ~t.startswith("="))
+    tokens = F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: ~t.startswith("="))
     n_pairs = F.size(F.filter(tokens, lambda t: F.contains(t, F.lit("="))))
     cells = lambda sep: F.split(F.regexp_replace("raw", '"(?:[^"]|"")*"', "q"), sep, -1)
     w3c_cells = F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " "))

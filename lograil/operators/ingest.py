@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lograil.functions.kinds import unique_names
+from lograil.functions.kinds import let, unique_names
 from lograil.functions.times import MONTHS
 from lograil.sources.lines import parseable
 
@@ -74,9 +74,9 @@ def groups_of(raw: Column, pattern: str, n: int, anchored: bool = False) -> Colu
     """
     pattern = "(?d)" + pattern
     whole = pattern if anchored else rf"^(?s:.*?)(?:{pattern})(?s:.*)\z"
-    joined = F.regexp_replace(raw, whole, MARK + MARK.join(f"${i}" for i in range(1, n + 1)))
+    joined = let(F.regexp_replace(raw, whole, MARK + MARK.join(f"${i}" for i in range(1, n + 1))), lambda x: F.when(x.startswith(MARK), F.split(F.substring(x, 2, 1 << 30), MARK, -1)))
     apart = F.when(raw.rlike(pattern), F.array(*[F.regexp_extract(raw, pattern, i) for i in range(1, n + 1)]))
-    return F.when(F.contains(raw, F.lit(MARK)), apart).otherwise(F.when(joined.startswith(MARK), F.split(F.substring(joined, 2, 1 << 30), MARK, -1)))
+    return F.when(F.contains(raw, F.lit(MARK)), apart).otherwise(joined)
 
 
 def by_pattern(lines: DataFrame, pattern: str, names: Sequence[str], anchored: bool = False) -> DataFrame:
@@ -184,21 +184,21 @@ def w3c_fields(lines: DataFrame) -> DataFrame:
 
 
 # A key, and its value after =: in quotes with escapes (to the line's end if they are not closed), or up to a blank.
-_PAIR = r'[^\s=]*(?:=(?:"(?:[^"\\]|\\.)*(?:"|$)|\S*))?'
+_PAIR = r'(?=\S)[^\s=]*+(?:=(?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)|\S*+))?+'
 
 
 def first_of_keys(entries: Column) -> Column:
     """A map of (key, value) entries; the first value of a key wins."""
-    keys = F.transform(entries, lambda e: e["key"])
-    firsts = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(firsts))
+    keys = lambda es: F.transform(es, lambda e: e["key"])
+    firsts = lambda es: F.filter(es, lambda e, i: F.array_position(keys(es), e["key"]) == i + 1)
+    return let(entries, lambda es: F.map_from_entries(F.when(F.size(F.array_distinct(keys(es))) == F.size(es), es).otherwise(firsts(es))))
 
 
 def logfmt_pairs(raw: Column) -> Column:
     """The key-value map of a logfmt line: the first value of a key wins, a bare key is true, empty keys are skipped."""
-    cells = F.filter(F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0)), lambda w: (w != "") & ~w.startswith("="))
-    split = lambda w, at: F.struct(F.when(at > 0, F.substr(w, F.lit(1), at - 1)).otherwise(w).alias("key"), F.when(at > 0, _unquoted(F.substr(w, at + 1))).otherwise("true").alias("value"))
-    return first_of_keys(F.transform(cells, lambda w: split(w, F.instr(w, "="))))
+    cells = F.filter(F.regexp_extract_all(raw, F.lit(_PAIR), F.lit(0)), lambda w: ~w.startswith("="))
+    value = lambda w: F.when(F.contains(w, F.lit("=")), F.substr(w, F.instr(w, "=") + 1)).otherwise("true")
+    return first_of_keys(F.transform(cells, lambda w: F.struct(F.substring_index(w, "=", 1).alias("key"), _unquoted(value(w)).alias("value"))))
 
 
 def _unquoted(v: Column) -> Column:
@@ -208,14 +208,18 @@ def _unquoted(v: Column) -> Column:
 
 
 def _open(lines: DataFrame, pairs: Column, ok: Column, columns: Sequence[str]) -> DataFrame:
-    lines = parsed_once(lines, _pairs=pairs, _ok=ok)
+    lines = parsed_once(lines.withColumn("_ok", ok), _pairs=pairs)
     out = _fields(lines, F.col("_ok"), {n: F.try_element_at("_pairs", F.lit(n)) for n in columns})
     return out.withColumn("extra", F.when(F.col("is_record"), F.map_filter("_pairs", lambda k, v: ~k.isin(*columns) if columns else F.lit(True)))).drop("_pairs", "_ok")
 
 
+def is_logfmt(raw: Column) -> Column:
+    """Whether a line is a logfmt record: it has a pair. Cheaper than reading the pairs, where only records are told from other lines."""
+    return F.coalesce(parseable(raw).rlike(r"(^|\s)[^\s=]+="), F.lit(False))
+
+
 def logfmt(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
-    raw = parseable(F.col("raw"))
-    return _open(lines, logfmt_pairs(raw), raw.rlike(r"(^|\s)[^\s=]+="), columns)
+    return _open(lines, logfmt_pairs(parseable(F.col("raw"))), is_logfmt(F.col("raw")), columns)
 
 
 _ENTRIES = "map<string,string>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lograil.functions import kinds, times
 from lograil.functions import predicates as P
 from lograil.operators import blocked, detect, ingest, records, rules, sinks, stats
-from lograil.plans.fixtures import document_lines, event_fields, event_lines, table, with_continuations
+from lograil.plans.fixtures import document_lines, event_fields, event_lines, spread, table, with_continuations
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -205,8 +205,8 @@ def q_entities_top(spark, d):
 
 @query(f"""select source, line_no rec_id, case when event_type = 'error' and event_id % 7 = 0 then 4 else 1 end n_lines from {_EVENTS}""")
 def q_multiline(spark, d):
-    lines = ingest.logfmt(with_continuations(event_lines(spark, d, "logfmt")), LOGFMT)
-    return records.bodies(records.with_record(lines, F.col("is_record"), BLOCK)).select("source", "rec_id", "n_lines")
+    lines = with_continuations(event_lines(spark, d, "logfmt"))
+    return records.bodies(records.with_record(lines, records.record_start(F.col("raw"), ingest.is_logfmt(F.col("raw"))), BLOCK)).select("source", "rec_id", "n_lines")
 
 
 _PROFILE = " union all ".join(
@@ -217,7 +217,7 @@ _PROFILE = " union all ".join(
 
 @query(f"select \"name\", kind, \"count\", missing, numeric_count, round(\"min\", 6) \"min\", round(\"max\", 6) \"max\", mean, round(p50, 6) p50, round(p90, 6) p90, round(p99, 6) p99 from ({_PROFILE})")
 def q_profile(spark, d):
-    p = stats.profile(table(spark, d, "lineitem"), {"l_quantity": "number", "l_extendedprice": "number", "l_returnflag": "text", "l_discount": "duration"}, exact=True)
+    p = stats.profile(spread(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", "l_discount")), {"l_quantity": "number", "l_extendedprice": "number", "l_returnflag": "text", "l_discount": "duration"}, exact=True)
     return p.select("name", "kind", "count", "missing", "numeric_count", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "p50", "p90", "p99")])
 
 

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in few splits is dealt out to all cores, as making and reading lines costs more than moving rows; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as (source, line_no) with the parts of their log lines."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -22,7 +28,7 @@ def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """(source, line_no, raw) of events in a log format."""
-    e = event_fields(spark, sf_dir)
+    e = spread(event_fields(spark, sf_dir))
     s = lambda c: F.col(c).cast("string")
     status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "purchase", 404).when(F.col("event_type") == "signup", 301).otherwise(200).cast("string")
     size = F.floor("value").cast("string")
@@ -49,5 +55,5 @@ def with_continuations(lines: DataFrame) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, line_no, raw): documents split into lines; source is the document's id."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("source"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no").cast("long"))

@@ -96,6 +96,20 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def gathered(batches, column: int, most: int):
+    """Batches put together until their texts have about so many bytes."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column(column).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def chunks(bounds: np.ndarray, most: int = CHUNK_BYTES):
     """Ranges of rows of about that many bytes, one row at least."""
     lo, n = 0, len(bounds) - 1

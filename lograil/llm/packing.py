@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.llm.common import IS_SPACE, chunks, materialize, small_batches, text_buffers
+from lograil.llm.common import IS_SPACE, chunks, gathered, materialize, small_batches, text_buffers
 
 #: Lengths above this share of the capacity are large; equal-cardinality groups of large lengths, few for the best configurations and many for the greedy ones.
 LARGE_SHARE, GROUPS, FINE_GROUPS = 0.125, 64, 512

@@ -20,10 +20,16 @@ from lograil.llm.common import LOWER, WORD_FACTORS, Powers, chunks, mix, small_b
 
 WINDOW, OVERLAP, EMBED, HIDDEN = 32, 8, 16, 12
 GRAMS, TABLE_BITS = (3, 5), 20
-#: At most so many labelled documents of class 1, and twice as many of class 0, are learned from, with at most so many windows each.
-TRAIN_EACH, TRAIN_WINDOWS = 1500, 16
-#: A word needs so many documents of the sample, an n-gram so many words in documents, for an embedding.
-LEAST_DOCS, LEAST_WORDS = 3, 6
+#: At most so many labelled documents of class 1, and twice as many of class 0, are learned from.
+TRAIN_EACH = 1500
+#: A word or n-gram needs so many documents of the sample for an embedding; evidence below CHANCE is none, and what is above starts the first value of the embedding.
+LEAST_DOCS, CHANCE, WORD_START, GRAM_START = 3, 3.5, 0.5, 2.0
+#: Share of a step's words whose embeddings are left out, so that no document is learned by a single word; embeddings move slowly from where they start.
+DROPPED, RATE = 0.3, 0.05
+
+
+IS_SIGN = np.zeros(256, bool)
+IS_SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def sigmoid(x):
@@ -47,12 +53,24 @@ class Vocabulary:
         return np.where(self.whole[n] == hashes, n, 0)
 
 
+def bare(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the ASCII signs at their ends; a word of signs only stays as it is."""
+    plain = ~IS_SIGN[raw]
+    place = np.arange(len(raw))
+    ahead = np.minimum.accumulate(np.where(plain, place, len(raw))[::-1])[::-1]
+    behind = np.maximum.accumulate(np.where(plain, place, -1))
+    lo, hi = ahead[starts], behind[stops - 1] + 1
+    some = lo < hi
+    return np.where(some, lo, starts), np.where(some, hi, stops)
+
+
 class Words:
     """Distinct words of some texts: hashes of the words and of their n-grams, and where each occurs."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, p: Powers):
         raw = LOWER[raw]
         starts, stops, self.first = word_bounds(raw, bounds)
+        starts, stops = bare(raw, starts, stops)
         hashes = span_hashes(raw, starts, stops, p)
         _, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
         self.word = hashes[at]
@@ -82,10 +100,19 @@ class Words:
         return np.where(inside, self.of[np.minimum(at, max(len(self.of) - 1, 0))] if len(self.of) else -1, -1), of
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How surely a feature tells toxic documents from clean ones: the signed root of its likelihood ratio, from the numbers of documents that hold it, less what chance gives."""
+    k, n = toxic + clean, n_toxic + n_clean
+    part = lambda seen, want: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(want, 1e-9)), 0.0)
+    ratio = part(toxic, k * n_toxic / n) + part(clean, k * n_clean / n) + part(n_toxic - toxic, (n - k) * n_toxic / n) + part(n_clean - clean, (n - k) * n_clean / n)
+    root = np.sqrt(2 * np.maximum(ratio, 0))
+    return (np.where(toxic * n_clean > clean * n_toxic, 1, -1) * np.maximum(root - CHANCE, 0)).astype(np.float32)
+
+
 class Sample:
     """Words and windows of the texts to learn from, made once."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], labels: np.ndarray):
         raw, bounds = text_buffers(pa.array(texts, pa.string()))
         p, parts, base = Powers(), [], 0
         words, grams = [], []
@@ -94,20 +121,32 @@ class Sample:
             win, of = w.windows()
             parts.append([w.word, w.grams, w.n_grams, np.where(win >= 0, win + base, -1), of + lo])
             base += len(w.word)
-            docs = np.bincount(np.unique(np.repeat(np.arange(hi - lo), np.diff(w.first)) << 32 | w.of) & 0xFFFFFFFF, minlength=len(w.word))
-            words.append((w.word, docs))
+            # (document, word) pairs, and the (document, n-gram) pairs of these.
+            pairs = np.unique(np.repeat(np.arange(hi - lo), np.diff(w.first)) << 32 | w.of)
+            doc, word = pairs >> 32, pairs & 0xFFFFFFFF
+            y = labels[lo:hi] == 1
+            words.append((w.word, np.bincount(word[y[doc]], minlength=len(w.word)), np.bincount(word[~y[doc]], minlength=len(w.word))))
             kinds, back = np.unique(w.grams, return_inverse=True)
-            grams.append((kinds, np.bincount(back, docs[w.owner], len(kinds))))
-        self.words, self.gram_kinds = self.known(words, LEAST_DOCS), self.known(grams, LEAST_WORDS)
+            at = np.concatenate([[0], np.cumsum(w.n_grams)])
+            n = w.n_grams[word]
+            held = np.unique(np.repeat(doc, n) << 32 | back[np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            doc, gram = held >> 32, held & 0xFFFFFFFF
+            grams.append((kinds, np.bincount(gram[y[doc]], minlength=len(kinds)), np.bincount(gram[~y[doc]], minlength=len(kinds))))
+        n = ((labels == 1).sum(), (labels != 1).sum())
+        (self.words, self.word_evidence), (self.gram_kinds, self.gram_evidence) = self.known(words, LEAST_DOCS, n), self.known(grams, LEAST_DOCS, n)
         for x in parts:
             x[0], x[1] = self.words.find(x[0]), self.gram_kinds.find(x[1])
         self.word, self.grams, self.n_grams, self.win, self.of = (np.concatenate(x) for x in zip(*parts))
         self.gram_at = np.concatenate([[0], np.cumsum(self.n_grams)])
 
     @staticmethod
-    def known(counted: list[tuple[np.ndarray, np.ndarray]], least: int) -> Vocabulary:
-        kinds, back = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
-        return Vocabulary(kinds[np.bincount(back, np.concatenate([n for _, n in counted]), len(kinds)) >= least])
+    def known(counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int, n: tuple[int, int]) -> tuple[Vocabulary, np.ndarray]:
+        """Features that enough documents hold, and their evidence (0 for all others)."""
+        kinds, back = np.unique(np.concatenate([k for k, _, _ in counted]), return_inverse=True)
+        toxic, clean = (np.bincount(back, np.concatenate([c[i] for c in counted]), len(kinds)) for i in (1, 2))
+        some = toxic + clean >= least
+        vocabulary = Vocabulary(kinds[some])
+        return vocabulary, np.concatenate([np.zeros(1, np.float32), evidence(toxic[some], clean[some], *n)])
 
     def part(self, rows: np.ndarray):
         """The words of these windows (numbers in the vocabularies), and the windows by word."""
@@ -191,6 +230,43 @@ class GatedNet:
             out[i : i + batch] = self.pool(h, win[i : i + batch])[0]
         return out, of
 
+    def gradients(self, x: np.ndarray, win: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Mean cross-entropy of windows with labels y, its gradients by the parameters, and by the words' input vectors x."""
+        t = self.tables(x)
+        h, trace = self.states(t, win, keep=True)
+        logit, (k, a, pooled) = self.pool(h, win)
+        d = (sigmoid(logit) - y) / len(y)
+        g = {"w": pooled.T @ d, "c": np.array([d.sum()])}
+        dp = d[:, None] * self.p["w"]
+        dh = a[:, :, None] * dp
+        da = np.einsum("bh,tbh->tb", dp, h)
+        de = a * (da - (a * da).sum(axis=0))
+        g["v"] = np.einsum("tbh,tb->h", k, de)
+        dk = de[:, :, None] * self.p["v"] * (1 - k * k)
+        g["A"], g["a"] = np.einsum("tbi,tbj->ij", h, dk), dk.sum(axis=(0, 1))
+        dh = dh + dk @ self.p["A"].T
+        dx = np.zeros_like(x)
+        for dr in "fb":
+            u, gu, gin = self.p[f"U{dr}"], np.zeros_like(self.p[f"U{dr}"]), np.zeros_like(t[dr])
+            ds = np.zeros((len(win), HIDDEN), np.float32)
+            steps_back = range(WINDOW - 1, -1, -1) if dr == "f" else range(WINDOW)
+            half = slice(0, HIDDEN) if dr == "f" else slice(HIDDEN, None)
+            for i in steps_back:
+                s, z, rr, n, qn = trace[dr, i]
+                ds = ds + dh[i, :, half]
+                dn = ds * z * (1 - n * n)
+                dz = ds * (n - s) * z * (1 - z) * (win[:, i] >= 0)[:, None]
+                drr = dn * qn * rr * (1 - rr)
+                dq = np.concatenate([dz, drr, dn * rr], axis=1)
+                gu += s.T @ dq
+                np.add.at(gin, win[:, i], np.concatenate([dz, drr, dn], axis=1))
+                ds = ds * (1 - z) + dq @ u.T
+            gin = gin[:-1]
+            g[f"U{dr}"], g[f"W{dr}"], g[f"k{dr}"] = gu, x.T @ gin, gin.sum(axis=0)
+            dx += gin @ self.p[f"W{dr}"].T
+        loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
+        return loss, g, dx
+
     def learn(self, texts: list[str], labels: np.ndarray, steps: int = 300, batch: int = 64, rate: float = 0.01, seed: int = 4) -> GatedNet:
         r = np.random.default_rng(seed)
         kinds = [np.flatnonzero(labels == k) for k in (0, 1)]
@@ -198,8 +274,9 @@ class GatedNet:
             self.p["c"][0] = 4.0 if len(kinds[1]) else -4.0
             self.p["w"][:] = 0
             return self
-        sample = Sample(texts)
+        sample = Sample(texts, labels)
         self.know(sample.words, sample.gram_kinds)
+        self.words[:, 0], self.grams[:, 0] = WORD_START * sample.word_evidence, GRAM_START * sample.gram_evidence
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         energy = {"words": np.full(len(self.words), 1e-6, np.float32), "grams": np.full(len(self.grams), 1e-6, np.float32)}
         for step in range(1, steps + 1):
@@ -211,40 +288,9 @@ class GatedNet:
             order = np.lexsort((score, of))
             rows = rows[order[np.append(np.flatnonzero(np.diff(of[order])), len(order) - 1)]]
             (word, grams, n_grams), win = sample.part(rows)
+            word = np.where(r.random(len(word)) < DROPPED, 0, word)
             y = labels[sample.of[rows]].astype(np.float32)
-            x = self.vectors(word, grams, n_grams)
-            t = self.tables(x)
-            h, trace = self.states(t, win, keep=True)
-            logit, (k, a, pooled) = self.pool(h, win)
-            d = (sigmoid(logit) - y) / len(y)
-            g = {"w": pooled.T @ d, "c": np.array([d.sum()])}
-            dp = d[:, None] * self.p["w"]
-            dh = a[:, :, None] * dp
-            da = np.einsum("bh,tbh->tb", dp, h)
-            de = a * (da - (a * da).sum(axis=0))
-            g["v"] = np.einsum("tbh,tb->h", k, de)
-            dk = de[:, :, None] * self.p["v"] * (1 - k * k)
-            g["A"], g["a"] = np.einsum("tbi,tbj->ij", h, dk), dk.sum(axis=(0, 1))
-            dh = dh + dk @ self.p["A"].T
-            dx = np.zeros_like(x)
-            for dr in "fb":
-                u, gu, gin = self.p[f"U{dr}"], np.zeros_like(self.p[f"U{dr}"]), np.zeros_like(t[dr])
-                ds = np.zeros((len(win), HIDDEN), np.float32)
-                steps_back = range(WINDOW - 1, -1, -1) if dr == "f" else range(WINDOW)
-                half = slice(0, HIDDEN) if dr == "f" else slice(HIDDEN, None)
-                for i in steps_back:
-                    s, z, rr, n, qn = trace[dr, i]
-                    ds = ds + dh[i, :, half]
-                    dn = ds * z * (1 - n * n)
-                    dz = ds * (n - s) * z * (1 - z) * (win[:, i] >= 0)[:, None]
-                    drr = dn * qn * rr * (1 - rr)
-                    dq = np.concatenate([dz, drr, dn * rr], axis=1)
-                    gu += s.T @ dq
-                    np.add.at(gin, win[:, i], np.concatenate([dz, drr, dn], axis=1))
-                    ds = ds * (1 - z) + dq @ u.T
-                gin = gin[:-1]
-                g[f"U{dr}"], g[f"W{dr}"], g[f"k{dr}"] = gu, x.T @ gin, gin.sum(axis=0)
-                dx += gin @ self.p[f"W{dr}"].T
+            _, g, dx = self.gradients(self.vectors(word, grams, n_grams), win, y)
             for name, v in self.p.items():
                 m1, m2 = moments[name]
                 m1 += 0.1 * (g[name] - m1)
@@ -256,7 +302,7 @@ class GatedNet:
                 sums = np.zeros((len(own), EMBED), np.float32)
                 np.add.at(sums, back, grad[use])
                 energy[name][own] += (sums**2).mean(axis=1)
-                getattr(self, name)[own] -= 0.2 * sums / np.sqrt(energy[name][own])[:, None]
+                getattr(self, name)[own] -= RATE * sums / np.sqrt(energy[name][own])[:, None]
         self.center(sample, labels)
         return self
 
@@ -276,42 +322,61 @@ class GatedNet:
             self.p["c"][0] -= np.float32(np.clip((lo + hi) / 2, -4, 4))
 
 
+def parts_of(raw: np.ndarray, most: int = 4 << 20):
+    """Parts of a long text that windows can be cut from as from the whole: of about most bytes, each starting at the word where a window of the part before would."""
+    if len(raw) <= 2 * most:
+        yield 0, len(raw)
+        return
+    step = WINDOW - OVERLAP
+    at, end = 0, most
+    while True:
+        starts, stops, _ = word_bounds(raw[at : min(end, len(raw))], np.array([0, min(end, len(raw)) - at]))
+        last = end >= len(raw)
+        whole = len(starts) - (0 if last else 1)  # the last word may go on
+        n = 1 + (whole - WINDOW) // step if whole >= WINDOW else 0
+        if last or not n:
+            if last:
+                yield at, len(raw)
+                return
+            end += most
+            continue
+        yield at, at + int(stops[(n - 1) * step + WINDOW - 1])
+        at, end = at + int(starts[n * step]), at + int(starts[n * step]) + most
+
+
 def bucket(id_col: str, parts: int):
     """The id's fold: CRC-32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> GatedNet:
-    """A network learned from at most train_each labelled documents of class 1 and twice as many of class 0, chosen by a hash of the id, and at most TRAIN_WINDOWS windows of each, spread over the text."""
+    """A network learned from the whole texts of at most train_each labelled documents of class 1 and twice as many of class 0, chosen by a hash of the id.
+
+    Null labels and ids are left out; rows that repeat an id are learned from each. Empty texts teach nothing. With labels of one class only, that class is the verdict on all texts with words.
+    """
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).distinct()
     order = F.xxhash64(F.lit(9), F.col("_id").cast("string"))
     picked = known.filter("label = 1").orderBy(order, "_id").limit(train_each).union(known.filter("label = 0").orderBy(order, "_id").limit(2 * train_each))
     # At most 3 * train_each rows.
     rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("label", F.col(text_col).cast("string").alias("text"))
 
-    def run(batches):
-        for b in batches:
-            texts, keep = b.column(1).to_pylist(), []
-            for x in texts:
-                words = (x or "").encode().split()
-                n = max(1, -(-len(words) // WINDOW))
-                part = np.unique(np.linspace(0, n - 1, min(n, TRAIN_WINDOWS)).astype(int))
-                keep.append(b" ".join(b" ".join(words[k * WINDOW : (k + 1) * WINDOW]) for k in part).decode("utf-8", "replace") if len(part) < n else x or "")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keep, pa.string())], ["label", "text"])
-
     def fit(batches):
-        got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x.strip())
+        got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (x or "").strip())
         net = GatedNet().learn([x for _, x in got], np.array([k for k, _ in got], int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.state())], pa.binary())], ["net"])
 
     small_batches(docs.sparkSession)
     # The sample is bounded, so one task learns from it; the driver gets the network only.
-    got = rows.mapInArrow(run, "label int, text string").repartition(1).mapInArrow(fit, "net binary").first()
+    got = rows.repartition(1).mapInArrow(fit, "net binary").first()
     return GatedNet.of(pickle.loads(got["net"])) if got else GatedNet().learn([], np.zeros(0, int))
 
 
 def score(docs: DataFrame, net: GatedNet, id_col: str = "doc_id", text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with out_col, the probability that a text is toxic: that of its highest window. Texts without words, empty and null ones have 0. All columns are returned."""
+    """docs with out_col, the probability that a text is toxic: that of its highest window. Texts without words, empty and null ones have 0.
+
+    All columns of docs are returned, but for one named like out_col, which is replaced. Rows are scored one by one, so null and repeated ids change nothing; equal texts have equal scores.
+    A long text is scored in parts that share a window's words, so a task holds one text and the arrays of one part.
+    """
     columns = [c for c in docs.columns if c != out_col]
     docs = docs.select(*columns)
     at = columns.index(text_col)
@@ -322,10 +387,10 @@ def score(docs: DataFrame, net: GatedNet, id_col: str = "doc_id", text_col: str
             out = np.zeros(b.num_rows)
             raw, bounds = text_buffers(b.column(at).cast(pa.string()))
             for lo, hi in chunks(bounds):
-                w = Words(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], p)
-                logit, of = net.logits(w)
                 best = np.full(hi - lo, -np.inf)
-                np.maximum.at(best, of, logit)
+                for x, y in parts_of(raw[bounds[lo] : bounds[hi]]) if hi - lo == 1 else [(0, bounds[hi] - bounds[lo])]:
+                    logit, of = net.logits(Words(raw[bounds[lo] + x : bounds[lo] + y], bounds[lo : hi + 1] - bounds[lo] if hi - lo > 1 else np.array([0, y - x]), p))
+                    np.maximum.at(best, of, logit)
                 out[lo:hi] = np.where(np.isfinite(best), sigmoid(best), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*columns, out_col])
 

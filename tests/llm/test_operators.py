@@ -150,12 +150,33 @@ def test_packing_of_many_lengths(spark):
 def test_warc_round_trip(spark, tmp_path):
     pages = [(0, "http://a/\r\nX: y", "<p>one</p>"), (1, "http://b", "WARC/1.1\r\n\r\nfake\r\n\r\n"), (2, "http://c", "<p>one</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e", "ü" * 3000)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, record string")
-    path = warc.write_archives(df, f"file://{tmp_path}/warc", records_per_file=2)
-    got = {r["page_id"]: r for r in warc.resolved(warc.read_archives(spark, path)).collect()}
-    assert {i: (r["record_type"], r["refers_to"], r["payload_bytes"]) for i, r in got.items()} == {
-        0: ("revisit", 2, 10), 1: ("response", None, 20), 2: ("response", None, 10), 3: ("revisit", 4, 0), 4: ("response", None, 0), 5: ("response", None, 6000)}
-    assert got[4]["payload_digest"] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+    want = {0: ("revisit", 2, 10), 1: ("response", None, 20), 2: ("response", None, 10), 3: ("revisit", 4, 0), 4: ("response", None, 0), 5: ("response", None, 6000)}
+    for name, compress in (("members", True), ("plain", False)):
+        path = warc.write_archives(df, f"file://{tmp_path}/{name}", compress=compress)
+        got = {r["page_id"]: r for r in warc.resolved(warc.read_archives(spark, path)).collect()}
+        assert {i: (r["record_type"], r["refers_to"], r["payload_bytes"]) for i, r in got.items()} == want
+        assert got[4]["payload_digest"] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert warc.resolved(warc.read_archives(spark, warc.write_archives(df, f"file://{tmp_path}/big", min_bytes=10))).filter("record_type = 'revisit'").count() == 1
+    # Null and repeated ids and rows, and no rows at all.
+    odd = spark.createDataFrame([(7, "u", "same"), (7, "u", "same"), (3, "u", "same"), (None, "u", "same"), (None, None, "alone")], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.resolved(warc.read_archives(spark, warc.write_archives(odd, f"file://{tmp_path}/odd"))).collect()), key=str)
+    assert got == sorted([(7, "response", None)] * 2 + [(3, "revisit", 7), (None, "revisit", 7), (None, "response", None)], key=str)
+    assert warc.resolved(warc.read_archives(spark, warc.write_archives(odd.limit(0), f"file://{tmp_path}/none"))).count() == 0
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    """One member for all records, one for each, and no compression; records of other types, and a payload with its own line breaks."""
+    import gzip
+
+    record = lambda kind, i, block, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    http = "Content-Type: application/http; msgtype=response\r\n"
+    big = bytes(range(256)) * 2000
+    parts = [record("warcinfo", 0, b"software: x"), record("request", 1, b"GET / HTTP/1.1\r\n\r\n", http), record("response", 2, b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + big, http), record("resource", 3, b"WARC/1.0\r\n\r\n"), record("response", 4, b"HTTP/1.1 204\r\n\r\n", http)]
+    for name, data in (("one", gzip.compress(b"".join(parts))), ("each", b"".join(map(gzip.compress, parts))), ("plain", b"".join(parts))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        got = {r["record_id"]: (r["record_type"], r["payload_bytes"]) for r in warc.read_archives(spark, f"file://{tmp_path}/{name}").collect()}
+        assert got == {"<urn:uuid:2>": ("response", len(big)), "<urn:uuid:3>": ("resource", 12), "<urn:uuid:4>": ("response", 0)}, name
 
 
 def test_mixing(docs, none):

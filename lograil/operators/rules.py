@@ -114,7 +114,8 @@ ENTITIES = {
 
 def entities(lines: DataFrame, kinds: Sequence[str] = tuple(ENTITIES)) -> DataFrame:
     """(source, line_no, entity, value) of all matches."""
-    cells = F.flatten(F.array(*[F.transform(F.regexp_extract_all("raw", F.lit(ENTITIES[k]), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("entity"), v.alias("value"))) for k in kinds]))
+    found = lambda k: F.transform(F.regexp_extract_all("raw", F.lit(ENTITIES[k]), F.lit(0)), lambda v: F.struct(F.lit(k).alias("entity"), v.alias("value")))
+    cells = F.flatten(F.array(*[found(k) for k in kinds]))
     return lines.select("source", "line_no", F.explode(cells).alias("x")).select("source", "line_no", "x.*")
 
 

@@ -1,10 +1,10 @@
 """Quality rules whose cutoffs are controlled by exact binomial bounds, native.
 
-Each rule rejects documents whose measure lies above a cutoff from a fixed grid. For each stratum, rule and cutoff, the labelled
-good documents that the cutoff would reject are counted. A cutoff is admitted if the exact binomial tail
-P(X <= rejected | good, limit) is at most the significance level divided by the number of all tests made (strata, rules and
-cutoffs: Bonferroni); then its rate of false rejection is below the limit. The limit is split evenly over the rules, so all rules
-together falsely reject less than max_false of a stratum's good documents. The lowest admitted cutoff of each rule applies.
+Each rule rejects documents whose measure lies above a cutoff of a fixed grid. The cutoffs of all rules form one chain of ever larger sets of rejected documents: the most
+lenient cutoff of each rule in turn, then the next of each, and so on. For each stratum, the labelled good documents that a step of the chain rejects are counted, and steps are
+tested from the first on: a step is admitted if the exact binomial tail P(X <= rejected | good, max_false) is at most the significance level divided by the number of
+strata (Bonferroni). The sets are nested, so one chain needs no correction for its length: the first step whose true rate is at least max_false is admitted with that probability at most.
+All rules together then falsely reject less than max_false of each stratum's good documents, for all strata at once, at the significance level.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "upper_share": (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
     "mean_word_chars": (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0),
 }
-#: Terms of a binomial tail that are summed, from the last one down. Far more than the tail has above rounding.
-TAIL_TERMS = 5000
+#: Steps of the chain: a level is one cutoff of each rule, the most lenient first.
+STEPS = len(RULES) * max(map(len, RULES.values()))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -68,46 +68,73 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial (n, p)."""
+    """P(X <= k) for X binomial (n, p), or a little more; 1 where that is no small probability.
+
+    Below the mean, terms shrink from the k-th down by the ratio r = k (1 - p) / ((n - k + 1) p) or faster. So many are summed that the others together are under rounding,
+    and the geometric bound of those is added, so the sum is never too small. Within a standard deviation of the mean the tail is over a tenth; for large k it is given as 1 there.
+    """
     kd, nd = k.cast("double"), n.cast("double")
     last = log_gamma(nd + 1) - log_gamma(kd + 1) - log_gamma(nd - kd + 1) + kd * F.log(F.lit(p)) + (nd - kd) * F.log(F.lit(1 - p))
+    r = kd * (1 - p) / ((nd - kd + 1) * p)
+    terms = F.when(k > 0, F.least(kd, F.ceil(40 / -F.log(r)).cast("double"))).otherwise(0.0).cast("long")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
-    terms = F.sequence(k, F.greatest(F.lit(0), k - TAIL_TERMS), F.lit(-1))
-    down = F.aggregate(terms, start, lambda a, i: F.struct((a["term"] * i / (nd - i + 1) * ((1 - p) / p)).alias("term"), (a["sum"] + a["term"]).alias("sum")))["sum"]
-    return F.when(k >= n, F.lit(1.0)).when(kd >= nd * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(last) * down))
+    down = F.aggregate(F.sequence(k.cast("long"), k.cast("long") - terms, F.lit(-1).cast("long")), start, lambda a, i: F.struct((a["term"] * i / (nd - i + 1) * ((1 - p) / p)).alias("term"), (a["sum"] + a["term"]).alias("sum")))
+    near = (kd > 100_000) & (nd * p - kd < F.sqrt(nd * p * (1 - p)))
+    return F.when((k >= n) | (kd >= nd * p) | near, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(last) * (down["sum"] + down["term"] / (1 - r))))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def rule_steps() -> Column:
+    """An array of (step, rule): the first step of the chain at which each rule rejects a document; STEPS if it never does."""
+    out = []
+    for i, (r, v) in enumerate(rule_values().items()):
+        over = sum(((v > c).cast("int") for c in RULES[r]), F.lit(0))
+        out.append(F.struct(F.when(over > 0, (len(RULES[r]) - over) * len(RULES) + i).otherwise(STEPS).alias("step"), F.lit(r).alias("rule")))
+    return F.array(*out)
+
+
+def cutoffs(last: int) -> dict[str, float]:
+    """The cutoff of each rule after the chain's steps up to last; rules without one are left out."""
+    n = len(RULES)
+    return {r: sorted(cs, reverse=True)[(last - i) // n] for i, (r, cs) in enumerate(RULES.items()) if last >= i}
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, max_false: float = 0.05, significance: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected, tail) of the admitted cutoffs. All labelled good documents count that the base rules leave; null labels are none."""
+    """(stratum, last, n_good, n_rejected): the last step admitted in each stratum that has labelled good documents (-1: none), how many these are, and how many of them its cutoffs reject.
+
+    All labelled good documents count that the base rules leave; null labels and ids are none, repeated labels count once, and repeated rows of documents each.
+    """
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
     held = measured.filter(~base_failed()).join(good, "id", "left_semi")
-    over = F.array(*[F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*[F.lit(c) for c in RULES[r]]), lambda c, v=v: v > c)).alias("over")) for r, v in rule_values().items()])
-    counts = held.select("stratum", F.explode(over).alias("x")).groupBy("stratum", "x.rule", "x.over").agg(F.count("*").alias("n"))
-    # Cutoff j rejects what exceeds more than j cutoffs.
-    grid = F.explode(F.sequence(F.lit(0), F.lit(max(map(len, RULES.values())) - 1))).alias("j")
-    table = counts.select("stratum", "rule", "over", "n", grid).groupBy("stratum", "rule", "j").agg(F.sum("n").alias("n_good"), F.sum(F.when(F.col("over") > F.col("j"), F.col("n")).otherwise(0)).alias("n_rejected"))
-    cutoffs = F.create_map(*[x for r, cs in RULES.items() for x in (F.lit(r), F.array(*[F.lit(c) for c in cs]))])
-    table = table.withColumn("cutoff", F.get(F.element_at(cutoffs, F.col("rule")), F.col("j"))).filter("cutoff is not null")
-    table = table.withColumns({"tail": binomial_tail(F.col("n_rejected"), F.col("n_good"), max_false / len(RULES)), "tests": F.count("*").over(W.partitionBy())})
-    table = table.filter(F.col("tail") <= F.lit(significance) / F.col("tests"))
-    return table.groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "n_good", "n_rejected", "tail"), "cutoff").alias("b")).select("stratum", "rule", "b.*")
+    hist = held.groupBy("stratum", F.array_min(rule_steps())["step"].alias("step")).agg(F.count("*").alias("n"))
+    # A row for each stratum and step that rejects something new: at most STEPS + 1 for each stratum.
+    own = W.partitionBy("stratum")
+    hist = hist.withColumns({"n_good": F.sum("n").over(own), "rejected": F.sum("n").over(own.orderBy("step"))})
+    level = F.lit(significance) / F.col("strata")
+    strata = hist.agg(F.count_distinct(F.struct("stratum")).alias("strata"))
+    hist = hist.crossJoin(F.broadcast(strata))  # one row
+    fails = (F.col("step") < STEPS) & (binomial_tail(F.col("rejected"), F.col("n_good"), max_false) > level)
+    out = hist.groupBy("stratum", "n_good", "strata").agg(F.min(F.when(fails, F.col("step"))).alias("stop"), F.collect_list(F.struct("step", "n")).alias("steps"))
+    any_ = F.pow(F.lit(1 - max_false), F.col("n_good")) <= level  # the tail of no rejection at all
+    out = out.withColumn("last", F.when(any_, F.coalesce("stop", F.lit(STEPS)) - 1).otherwise(-1))
+    rejected = F.aggregate(F.filter("steps", lambda x: x["step"] <= F.col("last")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return out.select("stratum", "last", "n_good", rejected.alias("n_rejected"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_false: float = 0.05, significance: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, measures, base_failed, kept, failed_rules) of every row of docs.
+    """(doc_id, measures, base_failed, kept, failed_rules) of every row of docs, repeated rows too.
 
-    A document is kept if it passes the base rules and exceeds no admitted cutoff of its stratum (null is a stratum of its own); a stratum with too few
-    labels has no cutoffs. A null text has no words and fails the base rules.
+    A document is kept if it passes the base rules and exceeds no admitted cutoff of its stratum (null is a stratum of its own). A stratum with too few good labels for
+    any step (90 at max_false = significance = 0.05 in five strata) has no cutoffs, as nothing could be guaranteed for it. A null text has no words and fails the base rules.
+    Null ids have no labels. Other columns are ignored. A text is measured as a whole by one task, so it must fit there with its words.
     """
     measured = materialize(measures(docs, id_col, text_col, stratum_col), "measures")
-    limits = thresholds(measured, labels, max_false, significance).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    limits = limits.withColumnRenamed("stratum", "_stratum")
-    out = measured.join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    failed = F.array_compact(F.array(*[F.when(v > F.element_at("cutoffs", F.lit(r)), F.lit(r)) for r, v in rule_values().items()]))
+    limits = thresholds(measured, labels, max_false, significance).select(F.col("stratum").alias("_stratum"), "last")
+    out = measured.join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").withColumn("last", F.coalesce("last", F.lit(-1)))
+    failed = F.transform(F.filter(rule_steps(), lambda x: x["step"] <= F.col("last")), lambda x: x["rule"])
     out = out.withColumns({"base_failed": base_failed(), "failed_rules": failed})
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

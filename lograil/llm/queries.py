@@ -119,7 +119,6 @@ _UNPIVOT = " union all ".join(f"select doc_id, stratum, base_failed, '{r}' rule,
     "symbol_share": "case when word_chars > 0 then n_symbols / word_chars else 0 end", "dup_line_share": "case when n_lines > 0 then n_dup_lines / n_lines else 0 end",
     "repeat_share": "case when n_words > 0 then n_repeat_words / n_words else 0 end", "upper_share": "case when word_chars > 0 then n_upper / word_chars else 0 end",
     "mean_word_chars": "case when n_words > 0 then word_chars / n_words else 0 end"}.items())
-_LIMIT = 0.05 / len(quality.RULES)
 _OP8 = rf"""
 with d as (select doc_id, lang stratum, coalesce(text, '') t from documents),
 w as (select *, {_WORDS.format("t")} w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
@@ -132,13 +131,15 @@ failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_fa
   from w left join repeats using (doc_id))),
 vals as ({_UNPIVOT}),
 grid as ({_CUTOFFS}),
-table_ as (select stratum, rule, j, cutoff, count(*) n, sum((v > cutoff)::int) k from vals join grid using (rule)
-  where not base_failed and doc_id in (select doc_id from labels where quality = 1) group by all),
-tails as (select *, count(*) over () tests, case when k >= n * {_LIMIT} then 1.0 else
-  list_sum(list_transform(range(0, k::bigint + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_LIMIT}) + (n - i) * ln(1 - {_LIMIT})))) end tail from table_),
-cuts as (select stratum, rule, min(cutoff) cutoff from tails where tail <= 0.05 / tests group by 1, 2),
-bad as (select v.doc_id, string_agg(v.rule, ',' order by o.o) rules from vals v join cuts c on c.stratum is not distinct from v.stratum and c.rule = v.rule
-  join (select unnest([{", ".join(repr(r) for r in quality.RULES)}]) rule, unnest(range(0, {len(quality.RULES)})) o) o on o.rule = v.rule where v.v > c.cutoff group by 1)
+overs as (select doc_id, stratum, base_failed, rule, count(*) filter (v > cutoff) n_over from vals join grid using (rule) group by all),
+steps as (select *, case when n_over > 0 then ({quality.STEPS} // {len(quality.RULES)} - n_over) * {len(quality.RULES)} + list_position([{", ".join(repr(r) for r in quality.RULES)}], rule) - 1 else {quality.STEPS} end step from overs),
+firsts as (select stratum, min(step) step from steps where not base_failed and doc_id in (select doc_id from labels where quality = 1) group by doc_id, stratum),
+hist as (select stratum, step, sum(count(*)) over (partition by stratum order by step) k, sum(count(*)) over (partition by stratum) n from firsts group by 1, 2),
+level as (select 0.05 / (select count(*) from (select distinct stratum from hist)) a),
+tails as (select *, case when k >= n * 0.05 then 1.0 else
+  list_sum(list_transform(range(0, k::bigint + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) end tail from hist),
+cuts as (select stratum, case when pow(0.95, n) <= (select a from level) then coalesce(min(step) filter (tail > (select a from level) and step < {quality.STEPS}), {quality.STEPS}) - 1 else -1 end last_ from tails group by stratum, n),
+bad as (select doc_id, string_agg(rule, ',' order by step % {len(quality.RULES)}) rules from steps s join cuts c on c.stratum is not distinct from s.stratum where step <= last_ group by 1)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rules is null kept, coalesce(rules, '') failed_rules from failed f left join bad using (doc_id)
 """
 

@@ -1,9 +1,10 @@
 """Each operator on a small table of hard cases, against brute force: nulls, empty and repeated texts, ties, clashing extra columns, empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
-from math import comb
+from math import comb, lgamma
 
 import numpy as np
 import pytest
@@ -208,10 +209,41 @@ def test_quality(docs, labels, none):
 
 
 def test_binomial_tail(spark):
-    cases = [(0, 10, 0.1), (3, 50, 0.1), (2, 500, 0.01), (40, 1000, 0.05)]
+    cases = [(0, 10, 0.1), (3, 50, 0.1), (2, 500, 0.01), (40, 1000, 0.05), (0, 300, 0.05), (20_000, 500_000, 0.042)]
     for k, n, p in cases:
         got = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p)).first()[0]
-        assert got == pytest.approx(1.0 if k >= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-8)
+        log = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)
+        assert got == pytest.approx(1.0 if k >= n * p else math.fsum(math.exp(log(i)) for i in range(k + 1)), rel=1e-6)
+
+
+def test_quality_cutoffs_act(spark):
+    """Planted labels: one stratum with enough good documents, whose cutoffs are those of a plain loop over the chain, and one with too few."""
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 5))
+    rows, labels = [], []
+    for i in range(700):
+        ws = [word() for _ in range(60)]
+        for k in range(int(r.integers(0, 2)) if i % 10 else int(r.integers(5, 50))):
+            ws[k] += "###"
+        rows.append((i, " ".join(ws), "few" if i % 20 == 1 else "many"))
+        if i % 10 or i % 30 == 0:
+            labels.append((i, 1 if i % 10 else int(i % 60 == 0)))
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([*labels, *labels[:5], (None, 1), (3, None)], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality.judge(docs, given).collect()}
+    good = {i for i, y in labels if y == 1}
+    shares = {i: t.count("#") / len(t.replace(" ", "")) for i, t, _ in rows}
+    tail = lambda k, n: sum(comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(k + 1))
+    for lang in ("many", "few"):
+        mine = [i for i, _, x in rows if x == lang]
+        held = [shares[i] for i in mine if i in good]
+        cut = None
+        for c in sorted(quality.RULES["symbol_share"], reverse=True):  # only this rule rejects anything
+            if tail(sum(v > c for v in held), len(held)) > 0.05 / 2:
+                break
+            cut = c
+        assert {i: got[i]["kept"] for i in mine} == {i: cut is None or shares[i] <= cut for i in mine}
+        assert (cut is None) == (lang == "few")
+    assert any(not x["kept"] for x in got.values()) and quality.cutoffs(6) == {"symbol_share": 0.3, "dup_line_share": 0.7, "repeat_share": 0.5, "upper_share": 0.9, "mean_word_chars": 50.0}
 
 
 def test_line_dedup(docs, none):

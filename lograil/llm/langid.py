@@ -7,6 +7,8 @@ sum of table rows. Every byte of every text is in one window; a document's proba
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from lograil.llm.common import LOWER, chunks, small_batches, text_buffers
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 16, 8
-#: About so many documents are learned from, with up to WINDOWS_EACH windows each, spread over the text.
-TRAIN_DOCS, WINDOWS_EACH = 4000, 4
+#: About so many documents are learned from.
+TRAIN_DOCS = 4000
+#: Bytes of a long text that are scored at a time: whole windows.
+PART = 4096 * WINDOW
 #: Documents of a rare language that are learned from at least, if it has so many.
 RARE_DOCS = 64
 UNDETERMINED = "und"
@@ -63,6 +67,30 @@ class ByteNet:
 
     learning = False
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of windows of classes y, and its gradients by all parameters."""
+        n = np.arange(len(y))
+        self.fold()
+        h, where = self.pooled(x)
+        z = h @ self.p["O"] + self.p["o"]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        d = z / z.sum(axis=1, keepdims=True)
+        loss = float(-np.log(d[n, y]).mean())
+        d[n, y] -= 1
+        d /= len(y)
+        g = {"O": h.T @ d, "o": d.sum(axis=0), "E": np.zeros_like(self.p["E"])}
+        dh = (d @ self.p["O"].T) * (h > 0)
+        for i, w in enumerate(WIDTHS):
+            dw = dh[:, i * FILTERS : (i + 1) * FILTERS]
+            g[f"b{w}"] = dw.sum(axis=0)
+            g[f"W{w}"] = np.zeros_like(self.p[f"W{w}"])
+            for j in range(w):
+                seen = x[n[:, None], where[w] + j]  # the byte under each filter's maximum
+                e = self.p["E"][seen] * (seen > 0)[:, :, None]
+                g[f"W{w}"][j] = np.einsum("bfe,bf->ef", e, dw)
+                np.add.at(g["E"], seen.ravel(), (dw[:, :, None] * self.p[f"W{w}"][j].T[None] * (seen > 0)[:, :, None]).reshape(-1, EMBED))
+        return loss, g
+
     def probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
         out = np.empty((len(x), len(self.classes)), np.float32)
         for k in range(0, len(x), batch):
@@ -71,33 +99,20 @@ class ByteNet:
             out[k : k + batch] = z / z.sum(axis=1, keepdims=True)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 96, rate: float = 0.01, seed: int = 6) -> ByteNet:
+    def fit(self, raw: np.ndarray, bounds: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 96, rate: float = 0.01, seed: int = 6) -> ByteNet:
+        """Learns from texts (their bytes, and bounds of each) of classes y. Each step draws texts, all classes alike, and a window of each, from anywhere in it."""
         r = np.random.default_rng(seed)
         weight = 1 / np.maximum(np.bincount(y, minlength=len(self.classes)), 1)[y]
         weight /= weight.sum()
         m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         self.learning = True
         for step in range(1, steps + 1):
-            take = r.choice(len(x), batch, p=weight)
-            xb, yb = x[take], y[take]
-            self.fold()
-            h, where = self.pooled(xb)
-            z = h @ self.p["O"] + self.p["o"]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            d = z / z.sum(axis=1, keepdims=True)
-            d[np.arange(batch), yb] -= 1
-            d /= batch
-            g = {"O": h.T @ d, "o": d.sum(axis=0), "E": np.zeros_like(self.p["E"])}
-            dh = (d @ self.p["O"].T) * (h > 0)
-            for i, w in enumerate(WIDTHS):
-                dw = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                g[f"b{w}"] = dw.sum(axis=0)
-                g[f"W{w}"] = np.zeros_like(self.p[f"W{w}"])
-                for j in range(w):
-                    seen = xb[np.arange(batch)[:, None], where[w] + j]  # the byte under each filter's maximum
-                    e = self.p["E"][seen] * (seen > 0)[:, :, None]
-                    g[f"W{w}"][j] = np.einsum("bfe,bf->ef", e, dw)
-                    np.add.at(g["E"], seen.ravel(), (dw[:, :, None] * self.p[f"W{w}"][j].T[None] * (seen > 0)[:, :, None]).reshape(-1, EMBED))
+            take = r.choice(len(y), batch, p=weight)
+            size = np.diff(bounds)[take]
+            window = np.floor(r.random(batch) * np.ceil(size / WINDOW)).astype(np.int64)
+            at = window[:, None] * WINDOW + np.arange(WINDOW)
+            xb = np.where(at < size[:, None], LOWER[raw[np.minimum(bounds[take][:, None] + at, len(raw) - 1)]], 0).astype(np.uint8)
+            _, g = self.gradients(xb, y[take])
             for k, v in self.p.items():
                 a, b = m[k]
                 a += 0.1 * (g[k] - a)
@@ -109,9 +124,9 @@ class ByteNet:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """A network learned from about train_docs of docs, chosen by a hash of the id; None if no row has a text and a language.
+    """A network learned from the whole texts of about train_docs of docs, chosen by a hash of the id; None if no row has a text and a language.
 
-    A language of which that share would be under RARE_DOCS gives about RARE_DOCS documents, or all it has, so every language is a class.
+    Null and empty texts and null languages teach nothing; rows that repeat an id are taken together. A language of which that share would be under RARE_DOCS gives about RARE_DOCS documents, or all it has, so every language is a class.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
@@ -121,38 +136,45 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id",
     chosen = known.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang"))
     chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(1 << 20)) < F.col("_below"))
 
-    def run(batches):
-        for b in batches:
-            raw, bounds = text_buffers(b.column(1))
-            x, of, size = cut_windows(raw, bounds)
-            take = []
-            for i in range(b.num_rows):
-                lo, hi = np.searchsorted(of, [i, i + 1])
-                take += np.unique(np.linspace(lo, hi - 1, WINDOWS_EACH).astype(int)).tolist() if hi > lo else []
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[take])), pa.array([x[k].tobytes() for k in take], pa.binary())], ["lang", "window"])
-
-    rows = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, window binary")
-    got = sorted(map(tuple, rows.collect()))  # train_docs * WINDOWS_EACH windows, about
-    if not got:
+    def fit(batches):
+        got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x)
+        if got:
+            classes = sorted({k for k, _ in got})
+            raw, bounds = text_buffers(pa.array([x for _, x in got], pa.string()))
+            net = ByteNet(classes).fit(raw, bounds, np.array([classes.index(k) for k, _ in got]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((classes, net.p))], pa.binary())], ["net"])
+
+    # The sample is bounded, so one task learns from it; the driver gets the network only.
+    rows = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    found = rows.repartition(1).mapInArrow(fit, "net binary").first()
+    if found is None:
         return None
-    classes = sorted({k for k, _ in got})
-    x = np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(-1, WINDOW)
-    return ByteNet(classes).fit(x, np.array([classes.index(k) for k, _ in got]))
+    classes, p = pickle.loads(found["net"])
+    net = ByteNet(classes)
+    net.p = p
+    net.fold()
+    return net
 
 
 def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row. A null text, and one without a letter, is `und` with score 0."""
+    """(doc_id, lang_pred, score) of every row. A null text, and one without a letter, is `und` with score 0; so are all without a network.
+
+    Rows are judged one by one, so null and repeated ids change nothing, and equal texts have equal results. Other columns are ignored. A long text is scored PART bytes at a time.
+    """
 
     def run(batches):
         for b in batches:
             raw, bounds = text_buffers(b.column(1))
             best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
             for lo, hi in chunks(bounds) if net else ():
-                x, of, size = cut_windows(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                p = net.probabilities(x) * size[:, None]
                 sums = np.zeros((hi - lo, len(net.classes)))
-                for c in range(len(net.classes)):
-                    sums[:, c] = np.bincount(of, p[:, c], hi - lo)
+                # Texts share a chunk whole, or one long text is read in parts of whole windows.
+                for at in range(bounds[lo], bounds[hi], PART if hi - lo == 1 else 1 << 62):
+                    stop = min(at + PART, bounds[hi]) if hi - lo == 1 else bounds[hi]
+                    x, of, size = cut_windows(raw[at:stop], np.array([0, stop - at]) if hi - lo == 1 else bounds[lo : hi + 1] - bounds[lo])
+                    p = net.probabilities(x) * size[:, None]
+                    for c in range(len(net.classes)):
+                        sums[:, c] += np.bincount(of, p[:, c], hi - lo)
                 sums /= np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
                 best[lo:hi], score[lo:hi] = sums.argmax(axis=1), sums.max(axis=1)
             some = b.column(2).to_numpy(zero_copy_only=False).astype(bool) & (net is not None)

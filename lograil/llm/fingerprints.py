@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.llm.common import ascii_lower, words_of
+from lograil.llm.common import ascii_lower, materialize, words_of
+from lograil.operators.records import ranked
 
 FINGERPRINT_K = 128
 #: Hashes have 48 bits, written as 12 hexadecimal digits.
 HASH_BITS = 48
-#: At most so many buckets of documents; a bucket has MIN_WIDTH ids or more. Bounds the broadcast of bucket ends.
-MAX_BUCKETS, MIN_WIDTH = 50_000, 256
+#: At most so many buckets of documents, each of MIN_WIDTH documents or more. Bounds the broadcast of bucket starts, which are looked up by groups.
+MAX_BUCKETS, MIN_WIDTH, GROUP = 50_000, 256, 256
 
 
 def least_hashes(words: Column, size: int = 5, k: int = FINGERPRINT_K) -> Column:
@@ -56,46 +57,70 @@ def as_text(a: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, size: int = 5, k: int = FINGERPRINT_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with sketch (array<bigint>) and n_distinct. A null text is empty. All columns are returned."""
-    out = docs.withColumn("_words", words_of(ascii_lower(F.col(text_col))))
-    out = out.withColumns({"sketch": least_hashes(F.col("_words"), size, k), "_n": F.size("_words")}).drop("_words", "_n")
-    return out.withColumn("n_distinct", distinct_shingles(F.col("sketch"), k))
+    """docs with sketch (array<bigint>) and n_distinct. A null text is empty. All columns are returned, but for these two names, which are replaced. Ids are not looked at.
+
+    A text is sketched as a whole by one task, so its words must fit there; sketches of its parts merge by merged().
+    """
+    return docs.withColumn("sketch", least_hashes(words_of(ascii_lower(F.col(text_col))), size, k)).withColumn("n_distinct", distinct_shingles(F.col("sketch"), k))
+
+
+def merged_sketches(parts: DataFrame, by: list[str], k: int = FINGERPRINT_K) -> DataFrame:
+    """(by, sketch, n_distinct): one sketch of all parts of a group. Each part gives k hashes at most, of which the least of the group are counted by Spark before and after the shuffle."""
+    hashes = parts.select(*by, F.explode("sketch").alias("h")).distinct()
+    nth = F.row_number().over(W.partitionBy(*by).orderBy("h"))
+    least = hashes.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy(*by).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    every = parts.select(*by).distinct().join(least, by, "left").withColumn("sketch", F.coalesce("sketch", F.array().cast("array<bigint>")))
+    return every.withColumn("n_distinct", distinct_shingles(F.col("sketch"), k))
+
+
+def bucket_starts(keys: DataFrame) -> DataFrame:
+    """(n, key, starts, first): the least key of each bucket of MIN_WIDTH rows or more, MAX_BUCKETS buckets at most; starts lists those of its group of GROUP buckets, first is the group's first bucket.
+
+    Rows are ranked by range partitions. Keys of equal rows are one start, so their rows stay in one bucket.
+    """
+    every = ranked(keys, F.col("key"))
+    width = max(MIN_WIDTH, -(-every.count() // MAX_BUCKETS))
+    starts = every.filter(F.col("nth") % width == 1).groupBy("key").agg(F.min("nth").alias("nth"))
+    starts = starts.withColumn("n", F.row_number().over(W.orderBy("key")) - 1)  # MAX_BUCKETS rows at most
+    groups = starts.groupBy(F.floor(F.col("n") / GROUP).alias("g")).agg(F.array_sort(F.collect_list("key")).alias("starts"), F.min("n").alias("first"))
+    return groups.select("g", "starts", "first")
 
 
 def with_next(docs: DataFrame, size: int = 5, k: int = FINGERPRINT_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text, sketch, next_text, next_sketch): the next document is that in descending id order; after the last comes the first.
 
-    Ids fall into buckets of equal width. The first document of each bucket is also sent to the bucket before it, so every
+    Documents fall into buckets of about equally many, whatever their ids. The first document of each bucket is also sent to the bucket before it, so every
     document finds its next one inside its bucket, and the texts are shuffled once. Rows of a null id come after all others.
-    Rows that repeat an id are ordered by text.
+    Rows that repeat an id are ordered by a hash of their text; equal rows share a bucket.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lo, hi = base.agg(F.min("id"), F.max("id")).first()
-    if lo is None:
-        lo = hi = 0
-    width = max(MIN_WIDTH, -(-(hi - lo + 1) // MAX_BUCKETS))
-    # Bucket numbers ascend with the order: 0 holds the largest ids, the last one null ids.
-    bucket = F.coalesce(F.floor((F.lit(hi) - F.col("id")) / F.lit(width)).cast("long"), F.lit((hi - lo) // width + 1)).alias("bucket")
-    base = base.select("id", "text", bucket)
-    heads = base.groupBy("bucket").agg(F.min(F.struct((-F.col("id")).alias("neg"), F.xxhash64("text").alias("h"))).alias("head"))
-    order = W.orderBy("bucket")
-    ends = heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(W.partitionBy())).alias("before"), F.lag("bucket").over(order).isNull().alias("wraps"))
-    # At most MAX_BUCKETS + 2 rows of a few bytes.
-    ends = F.broadcast(ends.select(F.col("bucket").alias("b"), "head", "before", "wraps"))
-    guests = base.join(ends, (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(-F.col("head.neg")) & (F.xxhash64("text") == F.col("head.h")))
-    guests = guests.select("id", "text", F.col("before").alias("bucket"), F.lit(1).alias("guest"), "wraps").dropDuplicates(["bucket", "guest"])
-    rows = base.select("id", "text", "bucket", F.lit(0).alias("guest"), F.lit(False).alias("wraps")).unionByName(guests)
+    # Ascends as the order does: the complement of an id descends, and has no overflow.
+    key = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("down"), F.xxhash64("text").alias("hash"))
+    groups = materialize(bucket_starts(base.select(key.alias("key"))), "bucket-starts")
+    coarse = groups.agg(F.array_sort(F.collect_list(F.col("starts")[0])).alias("coarse"), (F.sum(F.size("starts")) - 1).alias("last"))
+    rows = base.withColumn("key", key).crossJoin(F.broadcast(coarse))  # one row of MAX_BUCKETS / GROUP keys
+    rows = rows.withColumn("g", (F.size(F.filter("coarse", lambda x: x <= F.col("key"))) - 1).cast("long")).drop("coarse")
+    rows = rows.join(F.broadcast(groups), "g")  # MAX_BUCKETS keys
+    rows = rows.withColumn("at", F.size(F.filter("starts", lambda x: x <= F.col("key"))) - 1)
+    own = F.struct((F.col("first") + F.col("at")).cast("long").alias("bucket"), F.lit(0).alias("guest"))
+    before = F.when(own["bucket"] > 0, own["bucket"] - 1).otherwise(F.col("last"))
+    guest = F.struct(before.cast("long").alias("bucket"), F.lit(1).alias("guest"))
+    places = F.when(F.get("starts", F.col("at")) == F.col("key"), F.array(own, guest)).otherwise(F.array(own))
+    rows = rows.select("id", "text", "key", F.explode(places).alias("x")).select("id", "text", "key", "x.*")
     # Sketches are made after the texts were dealt out, once for each document.
     rows = rows.repartition("bucket").withColumn("words", words_of(ascii_lower(F.col("text"))))
     rows = rows.withColumn("sketch", least_hashes(F.col("words"), size, k)).drop("words")
-    near = W.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.xxhash64("text"))
+    near = W.partitionBy("bucket").orderBy("guest", "key")
     rows = rows.withColumns({"next_text": F.lead("text").over(near), "next_sketch": F.lead("sketch").over(near)}).filter("guest = 0")
     return rows.select(F.col("id").alias(id_col), "text", "sketch", "next_text", "next_sketch")
 
 
 def edited_fingerprints(docs: DataFrame, size: int = 5, k: int = FINGERPRINT_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited text (the second half of the code points replaced by as many first ones of the next document), and how alike they are."""
+    """Fingerprints of each text, of its edited text (the second half of the code points replaced by as many first ones of the next document), and how alike they are.
+
+    One row for each row of docs; other columns are ignored. A null text is empty. For null and repeated ids, see with_next. A single document is its own next one. Texts are not cut: a task holds
+    the two texts of a row and their words.
+    """
     d = with_next(docs, size, k, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))

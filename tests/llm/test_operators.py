@@ -55,12 +55,56 @@ def test_fingerprints(docs, none):
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
-def test_fingerprints_merge(spark):
-    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"a{i}" for i in range(150, 450))
-    d = fingerprints.fingerprints(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).select("doc_id", "sketch")
-    x, y = d.filter("doc_id = 1").select(F.col("sketch").alias("a")), d.filter("doc_id = 2").select(F.col("sketch").alias("b"))
-    r = x.join(y).select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.distinct_shingles(F.col("a")).alias("n")).first()
-    assert abs(r["r"] - 146 / 446) < 0.15 and abs(r["c"] - 146 / 296) < 0.2 and abs(r["n"] - 296) < 90
+def brute_sketch(spark, texts, size=5, k=fingerprints.FINGERPRINT_K):
+    """Sketches by a plain loop; only the hash of one shingle is Spark's."""
+    lists = []
+    for t in texts:
+        w = words(t)
+        lists.append([w[i : i + size] for i in range(len(w) - size + 1)] if len(w) >= size else [w] if w else [])
+    kinds = sorted({tuple(x) for xs in lists for x in xs})
+    rows = spark.createDataFrame([(list(x),) for x in kinds], "w array<string>").withColumn("h", F.xxhash64("w")).collect() if kinds else []
+    h = {tuple(r["w"]): (r["h"] % 2**64) >> 16 for r in rows}
+    return [sorted({h[tuple(x)] for x in xs})[:k] for xs in lists], [{h[tuple(x)] for x in xs} for xs in lists]
+
+
+def test_fingerprints_by_brute_force(spark):
+    r = np.random.default_rng(5)
+    base = [f"w{int(i)}" for i in r.integers(0, 4000, 900)]
+    texts = [" ".join(base), " ".join(base[:700] + [f"x{i}" for i in range(200)]), " ".join(base[300:600]), "", "one two", " ".join(base * 3)]
+    ids = [(1 << 62), 5, -(1 << 63), 5, None, (1 << 63) - 1]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    out = fingerprints.edited_fingerprints(docs).collect()
+    sketches, full = brute_sketch(spark, texts)
+    text = lambda s: "".join(f"{x:012x}" for x in s)
+    assert sorted(x["fingerprint"] for x in out) == sorted(map(text, sketches)) and len({x["edited_sha256"] for x in out}) == len(out)
+    by = {text(s): (i, s) for i, s in enumerate(sketches)}
+    order = sorted(out, key=lambda x: (x["doc_id"] is None, -(x["doc_id"] or 0)))
+    for x, y in zip(order, order[1:] + order[:1]):
+        a, b = by[x["fingerprint"]][1], by[y["fingerprint"]][1]
+        if order.index(x) in (0, 3, 4, 5):  # the two rows of id 5 are in a free order
+            both = sorted(set(a) | set(b))[:128]
+            assert x["near_next"] == pytest.approx(len(set(a) & set(b) & set(both)) / len(both) if both else 1.0)
+    # Estimates against whole sets.
+    d = fingerprints.fingerprints(docs.filter("doc_id is not null and text <> ''").withColumn("sketch", F.lit("clash"))).select("text", "sketch", "n_distinct")
+    x, y = d.select(F.col("text").alias("ta"), F.col("sketch").alias("a"), "n_distinct"), d.select(F.col("text").alias("tb"), F.col("sketch").alias("b"))
+    for row in x.join(y).select("ta", "tb", "n_distinct", fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("a"), F.col("b")).alias("c")).collect():
+        a, b = full[texts.index(row["ta"])], full[texts.index(row["tb"])]
+        assert abs(row["r"] - len(a & b) / len(a | b)) < 0.16 and abs(row["c"] - len(a & b) / len(a)) < 0.3 and abs(row["n_distinct"] - len(a)) < 0.3 * len(a)
+    # Sketches of parts merge to that of all their shingles.
+    parts = fingerprints.fingerprints(docs).withColumn("g", F.lit(1))
+    got = fingerprints.merged_sketches(parts, ["g"]).first()
+    assert got["sketch"] == sorted(set().union(*full))[:128]
+
+
+def test_next_documents_over_many_buckets(spark, monkeypatch):
+    """Uneven ids, repeated rows and buckets of two rows."""
+    monkeypatch.setattr(fingerprints, "MIN_WIDTH", 2)
+    monkeypatch.setattr(fingerprints, "GROUP", 3)
+    ids = [*range(40), *(10**15 + k * 7 for k in range(20)), *[5] * 9]
+    rows = [(i, f"text {i}") for i in ids]
+    got = sorted((r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted(rows, reverse=True)
+    assert got == sorted((i, t, n) for (i, t), (_, n) in zip(order, order[1:] + order[:1]))
 
 
 def test_near_groups(docs, none):

@@ -33,7 +33,7 @@ def text_digest(text: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, pos) of every line to drop (text: its text's digest): its key has min_chars code points, is found in min_docs documents, and a larger id holds it too."""
     spark = docs.sparkSession
-    lines = docs.filter(f"{id_col} is not null").select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text"), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"))
+    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text"), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key"))
     lines = lines.filter(F.length("key") >= min_chars).select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(parts, "h1", "h2", "id", "text", "pos").sortWithinPartitions("h1", "h2", "id", "text", "pos")
@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
 
     Lines are split at \\n; a null or empty text is one empty line, and its kept_text is empty. A key of min_chars code points or more
     found in min_docs or more documents loses all its lines except in the largest id that holds it. Rows that repeat an id are one
-    document for the count, and each loses the lines of its own text. Rows of a null id are kept as they are and not counted. All columns of docs are returned.
+    document for the count, and each loses the lines of its own text. Rows of a null id are kept as they are and not counted. All columns of docs are returned, but for columns of
+    those four names, which are replaced. A text is never cut: a task holds its lines.
     """
     marks = keep_bitmaps(dropped_lines(docs, min_chars, min_docs, id_col, text_col)).select(F.col("id").alias("_mark_id"), F.col("text").alias("_mark_text"), F.col("drops").alias("_drops"), F.col("runs").alias("keep_runs"))
     out = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text").join(marks, (F.col(id_col) == F.col("_mark_id")) & (text_digest(F.col(text_col)) == F.col("_mark_text")), "left")

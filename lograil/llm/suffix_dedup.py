@@ -4,17 +4,16 @@ A byte is removed if a string of LENGTH bytes that covers it also starts earlier
 
 1. Of all suffixes, those at anchors are enough: an anchor of a string of LENGTH bytes is the place of its least 32-byte hash (the last, if
    tied), so equal strings have their anchors at the same place, and about every 35th suffix is one. A run of strings with one anchor is a record:
-   hash of the leading 32 bytes at the anchor, hash of the run's bytes, document (id, number of the row), start, number of strings.
-2. Splitters sampled from some documents range-partition the records by (leading bytes, run, document, start), so that a passage that a
-   third of the documents share spreads over partitions. Each partition is sorted. A record of an equal run further up is a repeat
+   the 8 leading bytes at the anchor, a hash of the 32 leading ones, a hash of the run's bytes, document (id, number of the row), start, number of strings.
+2. Splitters sampled from some documents range-partition the records by (leading bytes, their hash, run, document, start), so that a passage that a
+   third of the documents share spreads over partitions. Each partition is sorted. A record of an equal run further up (128 hash bits) is a repeat
    as a whole. Other runs with the same leading bytes, and those that a partition's end may cut, need their bytes.
-3. Those runs fetch their bytes, meet again by leading bytes, and are cut into strings; a bucket sorts its strings by (hash, document, start), and all
-   but the first of equal ones are repeats. For leading bytes that go on across a boundary, the firsts of each bucket are compared once more.
+3. Those runs fetch their bytes, meet again by leading bytes, and are cut into strings. A bucket sorts its strings by multikey quicksort, 8 bytes at a time, and all
+   but the first of equal ones are repeats. For leading bytes that go on across a boundary, the firsts of each bucket are compared once more, by all their bytes.
 4. Repeats are gathered by document and cut out of the text.
 
-Strings are compared by 64-bit hashes of their bytes. The texts are shuffled once; the two joins share that exchange. A null text is
-empty. Rows of a null id are returned whole and not compared. Rows that repeat an id are documents of their own, in the order of
-their numbers, which are written with the texts first. Texts of up to 256 MB.
+The texts are shuffled once; the two joins share that exchange. A null text is empty. Rows of a null id are returned whole and not compared. Rows that repeat an id are documents
+of their own, in the order of their numbers, which are written with the texts first. Other columns are ignored. A long text is read in parts of PART bytes; only the text itself must fit in a task.
 """
 
 from __future__ import annotations
@@ -31,10 +30,10 @@ from pyspark.sql import functions as F
 from lograil.llm.common import BYTE_VALUES, WORD_FACTORS, Powers, chunks, materialize, mix, numbered, small_batches, text_buffers
 
 LENGTH, LEAD, PLACE_BITS = 100, 32, 28
-#: About so many documents are sampled for splitters.
-SPLIT_DOCS = 1000
-#: Bytes of runs that a bucket sorts at a time.
-BLOCK_BYTES = 4 << 20
+#: About so many documents are sampled for splitters, and so many of their records at most come to the driver.
+SPLIT_DOCS, SPLIT_RECORDS = 1000, 100_000
+#: Bytes of runs that a bucket sorts at a time, and of a long text that are read at a time.
+BLOCK_BYTES, PART = 4 << 20, 1 << 20
 
 
 def prefix_sums(raw: np.ndarray, p: Powers) -> np.ndarray:
@@ -45,11 +44,11 @@ def prefix_sums(raw: np.ndarray, p: Powers) -> np.ndarray:
 
 
 def anchor_records(raw: np.ndarray, bounds: np.ndarray, p: Powers, length: int = LENGTH, lead: int = LEAD):
-    """(lead hash, run hash, text, start, strings) of all runs of strings with one anchor."""
+    """(leading bytes, lead hash, run hash, text, start, strings) of all runs of strings with one anchor; the leading 8 bytes as a number that orders as they do."""
     n, w = len(raw), length - lead + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     sums = prefix_sums(raw, p)
     h = mix((sums[lead:] - sums[:-lead]) * p.down[: n - lead + 1])
     low = np.uint64((1 << PLACE_BITS) - 1)
@@ -70,7 +69,7 @@ def anchor_records(raw: np.ndarray, bounds: np.ndarray, p: Powers, length: int =
     np.add.at(edge, bounds[1:][some] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(edge[:m]) > 0)
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     j = place[at]
     new = np.concatenate([[True], (j[1:] != j[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
@@ -78,7 +77,8 @@ def anchor_records(raw: np.ndarray, bounds: np.ndarray, p: Powers, length: int =
     lo, hi = at[first], at[first] + count - 1 + length
     run = mix((sums[hi] - sums[lo]) * p.down[lo] + (hi - lo).astype(np.uint64) * WORD_FACTORS[13])
     text = np.searchsorted(bounds, lo, "right") - 1
-    return h[j[first]].view(np.int64), run.view(np.int64), text, lo - bounds[text], count
+    head = np.ascontiguousarray(raw[j[first][:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+    return head.view(np.int64), h[j[first]].view(np.int64), run.view(np.int64), text, lo - bounds[text], count
 
 
 class Splitters:
@@ -87,10 +87,10 @@ class Splitters:
     def __init__(self, sample: list[tuple], parts: int):
         sample = sorted(sample)
         self.cuts = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
-        self.leads = np.array([c[0] for c in self.cuts], np.int64)
+        self.heads = np.array([c[0] for c in self.cuts], np.int64)
 
     def part(self, *keys: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(self.leads, keys[0], "left"), np.searchsorted(self.leads, keys[0], "right")
+        lo, hi = np.searchsorted(self.heads, keys[0], "left"), np.searchsorted(self.heads, keys[0], "right")
         for i in np.flatnonzero(hi > lo):  # equal leading bytes: the other parts of the key decide
             lo[i] = bisect_right(self.cuts, tuple(int(k[i]) for k in keys), int(lo[i]), int(hi[i]))
         return lo
@@ -105,12 +105,16 @@ def records(docs: DataFrame, length: int, splitters: Splitters | None = None) ->
             raw, bounds = text_buffers(b.column(2))
             ids, rows = np.asarray(b.column(0)), np.asarray(b.column(1))
             for lo, hi in chunks(bounds):
-                lead, whole, text, start, count = anchor_records(raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], p, length)
-                doc, row = ids[lo:hi][text], rows[lo:hi][text]
-                part = splitters.part(lead, whole, doc, row, start) if splitters else np.zeros(len(lead), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (lead, pa.int64()), (whole, pa.int64()), (doc, pa.int64()), (row, pa.int64()), (start << 24 | count, pa.int64()))], ["part", "lead", "run", "id", "row", "span"])
+                # A string belongs to the part that it starts in; runs are cut there, which makes them meet by leading bytes only.
+                for at in range(0, int(bounds[hi] - bounds[lo]), PART) if hi - lo == 1 else (0,):
+                    stop = min(bounds[lo] + at + PART + length - 1, bounds[hi]) if hi - lo == 1 else bounds[hi]
+                    inside = np.array([0, stop - bounds[lo] - at]) if hi - lo == 1 else bounds[lo : hi + 1] - bounds[lo]
+                    head, lead, whole, text, start, count = anchor_records(raw[bounds[lo] + at : stop], inside, p, length)
+                    doc, row, start = ids[lo:hi][text], rows[lo:hi][text], start + at
+                    part = splitters.part(head, lead, whole, doc, row, start) if splitters else np.zeros(len(lead), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (head, pa.int64()), (lead, pa.int64()), (whole, pa.int64()), (doc, pa.int64()), (row, pa.int64()), (start << 24 | count, pa.int64()))], ["part", "head", "lead", "run", "id", "row", "span"])
 
-    return docs.mapInArrow(run, "part int, lead long, run long, id long, row long, span long")
+    return docs.mapInArrow(run, "part int, head long, lead long, run long, id long, row long, span long")
 
 
 def matches(rows: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ def matches(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lead, whole, doc, span = (np.asarray(b.column(c)) for c in ("lead", "run", "row", "span"))
+            lead, whole, doc, span, head = (np.asarray(b.column(c)) for c in ("lead", "run", "row", "span", "head"))
             if first_lead is None:
                 first_lead = lead[0]
             new = np.ones(len(lead), bool)
@@ -130,7 +134,7 @@ def matches(rows: DataFrame) -> DataFrame:
             last = (lead[-1], whole[-1])
             yield out(doc[~new], span[~new])
             f = np.flatnonzero(new)
-            cols = [lead[f], whole[f], doc[f], span[f], lead[f] == first_lead]
+            cols = [lead[f], whole[f], doc[f], span[f], lead[f] == first_lead, head[f]]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if len(cols[0]) > 1:
@@ -138,20 +142,20 @@ def matches(rows: DataFrame) -> DataFrame:
                 cols[4][1:] |= near
                 cols[4][:-1] |= near
             take = cols[4][:-1]
-            yield out(cols[2][:-1][take], cols[3][:-1][take], cols[0][:-1][take], cols[1][:-1][take])
+            yield out(cols[2][:-1][take], cols[3][:-1][take], cols[0][:-1][take], cols[1][:-1][take], cols[5][:-1][take])
             held = [c[-1:] for c in cols]
         if held is not None:
-            yield out(held[2], held[3], held[0], held[1])
+            yield out(held[2], held[3], held[0], held[1], held[5])
 
-    def out(doc, span, lead=None, whole=None):
+    def out(doc, span, *keys):
         null = pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), null if lead is None else pa.array(lead), null if whole is None else pa.array(whole)], ["row", "span", "lead", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), *([pa.array(k) for k in keys] or [null] * 3)], ["row", "span", "lead", "run", "head"])
 
-    return rows.mapInArrow(run, "row long, span long, lead long, run long")
+    return rows.mapInArrow(run, "row long, span long, lead long, run long, head long")
 
 
 def with_bytes(asked: DataFrame, length: int, splitters: Splitters) -> DataFrame:
-    """asked: (id, row, text, runs: array of (lead, run, span)). One row for each run, with its bytes."""
+    """asked: (id, row, text, runs: array of (head, lead, run, span)). One row for each run, with its bytes."""
 
     def run(batches):
         for b in batches:
@@ -159,36 +163,68 @@ def with_bytes(asked: DataFrame, length: int, splitters: Splitters) -> DataFrame
             raw = raw.tobytes()
             lists = b.column("runs")
             at = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            lead, whole, span = (np.asarray(x) for x in lists.flatten().flatten())
+            head, lead, whole, span = (np.asarray(x) for x in lists.flatten().flatten())
             start, count = span >> 24, span & 0xFFFFFF
             lo = bounds[at] + start
             doc, row = np.asarray(b.column("id"))[at], np.asarray(b.column("row"))[at]
             got = [raw[x : x + n] for x, n in zip(lo.tolist(), (count + length - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(splitters.part(lead, whole, doc, row, start), pa.int32()), pa.array(lead), pa.array(doc), pa.array(row), pa.array(span), pa.array(got, pa.binary())], ["part", "lead", "id", "row", "span", "bytes"])
-
-    return asked.mapInArrow(run, "part int, lead long, id long, row long, span long, bytes binary")
+            yield pa.RecordBatch.from_arrays([pa.array(splitters.part(head, lead, whole, doc, row, start), pa.int32()), pa.array(head), pa.array(lead), pa.array(doc), pa.array(row), pa.array(span), pa.array(got, pa.binary())], ["part", "head", "lead", "id", "row", "span", "bytes"])
+
+    return asked.mapInArrow(run, "part int, head long, lead long, id long, row long, span long, bytes binary")
+
+
+def multikey_sorted(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of the strings of length bytes that start at these places, and which of them equal the one before them in that order.
+
+    Multikey quicksort, all groups at once: strings that agree so far are one group and are parted by their next 8 bytes into those below, equal to and above a pivot (the median of three);
+    equal ones go on with the bytes after these. Groups of one string are done.
+    """
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(">u8").ravel().astype(np.uint64)
+    depths = np.array([*range(0, length - 8, 8), length - 8])  # the last 8 bytes may have been seen in part
+    order, same = np.arange(len(at)), np.zeros(len(at), bool)
+    start, size, depth = np.array([0]), np.array([len(at)]), np.array([0])
+    while True:
+        done = depth == len(depths)
+        for lo, n in zip(start[done & (size > 1)].tolist(), size[done & (size > 1)].tolist()):
+            same[lo + 1 : lo + n] = True
+        go = ~done & (size > 1)
+        start, size, depth = start[go], size[go], depth[go]
+        if not len(start):
+            return order, same
+        base = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(size)), size)
+        place = np.repeat(start - base, size) + np.arange(len(group))
+        members = order[place]
+        key = words[at[members] + depths[depth][group]]
+        a, b, c = key[base], key[base + size // 2], key[base + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        below, equal = key < pivot, key == pivot
+        n_below, n_equal = np.add.reduceat(below, base, dtype=np.int64), np.add.reduceat(equal, base, dtype=np.int64)
+        nth = lambda kind: (s := np.cumsum(kind) - kind) - s[base][group]
+        to = start[group] + np.where(below, nth(below), np.where(equal, n_below[group] + nth(equal), (n_below + n_equal)[group] + nth(~below & ~equal)))
+        order[to] = members
+        start = np.stack([start, start + n_below, start + n_below + n_equal], 1).ravel()
+        size = np.stack([n_below, n_equal, size - n_below - n_equal], 1).ravel()
+        depth = np.stack([depth, depth + 1, depth], 1).ravel()
 
 
 def string_repeats(runs: DataFrame, length: int) -> DataFrame:
-    """From sorted partitions of runs with bytes: repeats (id, row, start, strings), and the first of each string of open leading bytes, with its hash."""
+    """From sorted partitions of runs with bytes: repeats (id, row, start, strings), and the first of each string of open leading bytes, with its bytes."""
 
-    def block(parts, before, last, p):
+    def block(parts, before):
         table = pa.Table.from_batches(parts)
         lead, doc, row, span = (table.column(c).to_numpy() for c in ("lead", "id", "row", "span"))
-        got = table.column("bytes").combine_chunks()
-        raw = np.frombuffer(b"".join(got.to_pylist()), np.uint8)
-        size = (span & 0xFFFFFF) + length - 1
-        base = np.cumsum(size) - size
-        sums = prefix_sums(raw, p)
+        raw = np.frombuffer(b"".join(table.column("bytes").combine_chunks().to_pylist()), np.uint8)
         count = span & 0xFFFFFF
+        size = count + length - 1
+        base = np.cumsum(size) - size
         of = np.repeat(np.arange(len(span)), count)
         shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        lo = base[of] + shift
-        h = mix((sums[lo + length] - sums[lo]) * p.down[lo]).view(np.int64)
         start = (span >> 24)[of] + shift
-        order = np.lexsort((start, row[of], doc[of], h))
-        h, start, of = h[order], start[order], of[order]
-        again = np.concatenate([[False], h[1:] == h[:-1]])
+        first = np.lexsort((start, row[of], doc[of]))  # equal strings stay in this order
+        of, start, lo = of[first], start[first], (base[of] + shift)[first]
+        order, again = multikey_sorted(raw, lo, length)
+        of, start, lo = of[order], start[order], lo[order]
         open_ = (lead == lead[-1]) | (lead == before)
         if before is None:
             open_ |= lead == lead[0]
@@ -202,23 +238,23 @@ def string_repeats(runs: DataFrame, length: int) -> DataFrame:
         last_s = s[np.append(cut[1:], len(s)) - 1] if len(s) else s
         out_of, out_start = np.concatenate([o[cut], of[edge]]), np.concatenate([s[cut], start[edge]])
         strings = np.concatenate([last_s - s[cut] + 1, np.ones(edge.sum(), np.int64)])
-        key = pa.array(np.concatenate([np.zeros(len(cut), np.int64), h[edge]]), mask=np.arange(len(out_of)) < len(cut))
+        key = pa.array([None] * len(cut) + [raw[x : x + length].tobytes() for x in lo[edge].tolist()], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(doc[out_of], pa.int64()), pa.array(row[out_of], pa.int64()), pa.array(out_start, pa.int64()), pa.array(strings, pa.int64()), key], ["id", "row", "start", "strings", "string"]), lead[-1]
 
     def run(batches):
-        p, parts, size, before = Powers(), [], 0, None
+        parts, size, before = [], 0, None
         for b in batches:
             if b.num_rows:
                 parts.append(b)
                 size += b.column("bytes").nbytes
             if size >= BLOCK_BYTES:
-                got, before = block(parts, before, False, p)
+                got, before = block(parts, before)
                 yield got
                 parts, size = [], 0
         if parts:
-            yield block(parts, before, True, p)[0]
+            yield block(parts, before)[0]
 
-    return runs.mapInArrow(run, "id long, row long, start long, strings long, string long")
+    return runs.mapInArrow(run, "id long, row long, start long, strings long, string binary")
 
 
 def cut_out(docs: DataFrame, length: int) -> DataFrame:
@@ -242,13 +278,13 @@ def cut_out(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 lo = start[begin[i] : begin[i + 1]]
                 hi = np.minimum(lo + strings[begin[i] : begin[i + 1]] - 1 + length, len(part))
-                edge = np.zeros(len(part) + 1, np.int64)
-                np.add.at(edge, np.minimum(lo, len(part)), 1)
-                np.add.at(edge, hi, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-                kept.append(part[~gone].tobytes())
+                order = np.argsort(lo, kind="stable")
+                lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+                begins, ends = lo[new], hi[np.append(new[1:], len(lo)) - 1]
+                removed.append(int((ends - begins).sum()))
+                spans.append(len(new))
+                kept.append(b"".join(part[x:y].tobytes() for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(part)])))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     rows = docs.select("id", "text", F.coalesce("runs", F.array().cast("array<struct<start:bigint,strings:bigint>>")).alias("runs"))
@@ -264,15 +300,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, SPLIT_DOCS / max(named.count(), 1))
     some = named.filter(F.pmod(F.xxhash64(F.lit(5), "id", "row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    splitters = Splitters([(r[0], r[1], r[2], r[3], r[4] >> 24) for r in records(some, length).select("lead", "run", "id", "row", "span").collect()], parts)
-    rows = records(named, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "run", "id", "row", "span")
+    sample = records(some, length).select("head", "lead", "run", "id", "row", "span").orderBy(F.xxhash64("row", "span")).limit(SPLIT_RECORDS).collect()
+    splitters = Splitters([(*r[:5], r[5] >> 24) for r in sample], parts)
+    keys = ("head", "lead", "run", "id", "row", "span")
+    rows = records(named, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions(*keys)
     found = materialize(matches(rows), "repeats")
-    asked = found.filter("lead is not null").groupBy("row").agg(F.collect_list(F.struct("lead", "run", "span")).alias("runs"))
+    asked = found.filter("lead is not null").groupBy("row").agg(F.collect_list(F.struct("head", "lead", "run", "span")).alias("runs"))
     asked = named.join(asked, "row").select("id", "row", "text", "runs")
-    runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "id", "row", "span")
-    strings = string_repeats(runs, length).withColumn("key", F.coalesce("string", F.xxhash64("row", "start")))
-    strings = strings.withColumn("nth", F.row_number().over(W.partitionBy("string", "key").orderBy("id", "row", "start"))).filter("string is null or nth > 1")
-    repeats = found.filter("lead is null").select("row", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings.select("row", "start", "strings"))
+    runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("head", "lead", "id", "row", "span")
+    strings = materialize(string_repeats(runs, length), "strings")
+    firsts = strings.filter("string is not null").withColumn("nth", F.row_number().over(W.partitionBy("string").orderBy("id", "row", "start"))).filter("nth > 1")
+    strings = strings.filter("string is null").select("row", "start", "strings").union(firsts.select("row", "start", "strings"))
+    repeats = found.filter("lead is null").select("row", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings)
     repeats = repeats.groupBy("row").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
     out = cut_out(named.join(repeats, "row", "left"), length).union(cut_out(every.filter("id is null").withColumn("runs", F.lit(None)), length))
     return out.withColumnRenamed("id", "doc_id")

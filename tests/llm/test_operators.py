@@ -343,3 +343,116 @@ def test_rare_languages_are_classes(spark):
     rows = [(i, f"{BODY} {i}", "aa" if i % 2 else "bb") for i in range(4000)] + [(4000 + i, "ß ü ö ä " * 30 + str(i), f"rare{i % 3}") for i in range(6)]
     net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=40)
     assert net.classes == ["aa", "bb", "rare0", "rare1", "rare2"]
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(8)
+    for alphabet, n, length in (("ab", 3000, 100), ("a", 300, 12), ("abcdefgh", 2000, 20), ("ab", 1, 100)):
+        raw = np.frombuffer("".join(r.choice(list(alphabet), 4000)).encode(), np.uint8)
+        raw = np.concatenate([raw, raw[:2000]])
+        at = r.integers(0, len(raw) - length, n)
+        order, same = suffix_dedup.multikey_sorted(raw, at, length)
+        strings = [raw[x : x + length].tobytes() for x in at]
+        assert order.tolist() == sorted(range(n), key=lambda i: strings[i])
+        assert same.tolist() == [i > 0 and strings[order[i]] == strings[order[i - 1]] for i in range(n)]
+
+
+def test_long_texts_are_read_in_parts():
+    """The parts of a long text give what the whole text gives."""
+    import pyarrow as pa
+
+    from lograil.llm import common
+    from lograil.llm.queries import tokenizer_path
+
+    r = np.random.default_rng(9)
+    text = " ".join("".join(r.choice(list("abcdef,."), int(k))) for k in r.integers(1, 12, 3000))
+    raw, bounds = common.text_buffers(pa.array([text]))
+    w, p = packing.WordIds(tokenizer_path()), common.Powers()
+    parts = list(packing.spans(raw, 500))
+    assert len(parts) > 20 and np.array_equal(np.concatenate([w.of(raw[a:b], np.array([0, b - a]))[0] for a, b in parts]), w.of(raw, bounds)[0])
+    assert w.of(raw, bounds)[0].tolist() == w.ids_of(text)
+    net = toxicity.GatedNet().learn([f"{BODY[:80]} idiot {i}" if i % 2 else f"{BODY[80:200]} {i}" for i in range(40)], np.arange(40) % 2, steps=20)
+    best = lambda parts: max(float(net.logits(toxicity.Words(raw[a:b], np.array([0, b - a]), p))[0].max()) for a, b in parts)
+    assert len(list(toxicity.parts_of(raw, 700))) > 5 and abs(best(toxicity.parts_of(raw, 700)) - best([(0, len(raw))])) < 1e-5
+    starts = lambda got, at: {int(s) + at + i for s, n in zip(got[4], got[5]) for i in range(n)}
+    cut = [starts(suffix_dedup.anchor_records(raw[at : at + 1000 + 99], np.array([0, len(raw[at : at + 1000 + 99])]), p), at) for at in range(0, len(raw), 1000)]
+    assert set().union(*cut) == starts(suffix_dedup.anchor_records(raw, bounds, p), 0) == set(range(len(raw) - 99)) and sum(map(len, cut)) == len(raw) - 99
+
+
+def windows_of(text):
+    ws = [x for x in re.sub("[A-Z]", lambda m: m[0].lower(), text).split()]
+    n = 1 if len(ws) <= toxicity.WINDOW else 1 + math.ceil((len(ws) - toxicity.WINDOW) / (toxicity.WINDOW - toxicity.OVERLAP))
+    return [ws[k * 24 : k * 24 + 32] for k in range(n)]
+
+
+def test_toxicity_network_by_brute_force():
+    """Gates and attention word by word in plain loops, and gradients by differences."""
+    import pyarrow as pa
+
+    from lograil.llm import common
+
+    texts = [f"{BODY[:150]} idiot clown {i}" if i % 2 else f"{BODY[80:300]} {i}" for i in range(60)]
+    net = toxicity.GatedNet().learn(texts, np.arange(60) % 2, steps=30)
+    text = BODY + " idiot " + BODY[:90]
+    raw, bounds = common.text_buffers(pa.array([text]))
+    w = toxicity.Words(raw, bounds, common.Powers())
+    x = net.vectors(net.word_kinds.find(w.word), net.gram_kinds.find(w.grams), w.n_grams).astype(float)
+    got, _ = net.logits(w)
+    H, s = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    win, _ = w.windows()
+    assert len(win) == len(windows_of(text)) and [sum(r >= 0) for r in win] == [len(x) for x in windows_of(text)]
+    for row, logit in zip(win, got):
+        seq = [x[i] for i in row if i >= 0]
+        states = []
+        for d, items in (("f", seq), ("b", seq[::-1])):
+            h, out = np.zeros(H), []
+            for v in items:
+                g, q = v @ net.p[f"W{d}"] + net.p[f"k{d}"], h @ net.p[f"U{d}"]
+                z, r = s(g[:H] + q[:H]), s(g[H : 2 * H] + q[H : 2 * H])
+                h = h + z * (np.tanh(g[2 * H :] + r * q[2 * H :]) - h)
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        hs = np.concatenate([np.array(states[0]), np.array(states[1])], axis=1)
+        e = np.tanh(hs @ net.p["A"] + net.p["a"]) @ net.p["v"]
+        a = np.exp(e - e.max())
+        assert logit == pytest.approx((a / a.sum()) @ hs @ net.p["w"] + net.p["c"][0], abs=1e-3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    y = np.array([1.0, 0.0, 1.0])[: len(win)]
+    _, g, dx = net.gradients(x, win[:3], y)
+    for name, k in (("Wf", 5), ("Ub", 7), ("kf", 3), ("A", 4), ("a", 2), ("v", 1), ("w", 6), ("c", 0)):
+        flat, eps = net.p[name].reshape(-1), 1e-4
+        kept = flat[k]
+        flat[k] = kept + eps
+        up = net.gradients(x, win[:3], y)[0]
+        flat[k] = kept - eps
+        assert np.asarray(g[name]).reshape(-1)[k] == pytest.approx((up - net.gradients(x, win[:3], y)[0]) / (2 * eps), rel=0.02, abs=2e-5), name
+        flat[k] = kept
+
+
+def test_language_network_by_brute_force():
+    """Convolutions byte by byte in plain loops, and gradients by differences."""
+    r = np.random.default_rng(1)
+    net = langid.ByteNet(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.fold()
+    x = r.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    x[1, 100:] = 0
+    e = net.p["E"].copy()
+    e[0] = 0
+    for row, got in zip(x, net.probabilities(x)):
+        h = []
+        for w in langid.WIDTHS:
+            sums = np.array([sum(e[row[i + j]] @ net.p[f"W{w}"][j] for j in range(w)) for i in range(langid.WINDOW - w + 1)])
+            h += np.maximum(sums.max(axis=0) + net.p[f"b{w}"], 0).tolist()
+        z = np.exp(np.array(h) @ net.p["O"] + net.p["o"])
+        assert got == pytest.approx(z / z.sum(), abs=1e-5)
+    net.learning, y = True, np.array([0, 2, 1])
+    _, g = net.gradients(x, y)
+    for name, k in (("O", 4), ("o", 1), ("W3", 17), ("b4", 3), ("E", int(x[0, 50]) * langid.EMBED + 2)):
+        flat, eps = net.p[name].reshape(-1), 1e-6
+        kept = flat[k]
+        flat[k] = kept + eps
+        up = net.gradients(x, y)[0]
+        flat[k] = kept - eps
+        assert g[name].reshape(-1)[k] == pytest.approx((up - net.gradients(x, y)[0]) / (2 * eps), rel=0.02, abs=1e-5), name
+        flat[k] = kept

@@ -5,14 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lograil.operators import sinks
+
 MARK = 64
 #: Bytes that are read at a time, and about so many bytes of growth for one task.
 CHUNK, SPAN = 1 << 20, 32 << 20
@@ -34,10 +38,19 @@ def _breaks(f, at: int, lines: int, stop: int | None = None) -> Iterator[tuple[i
         at += len(chunk)
 
 
+def _marks(f, done: int) -> str:
+    """A digest of the first and the last bytes before done: another file, or a rewritten one, has other ones."""
+    f.seek(0)
+    head = f.read(min(done, MARK))
+    f.seek(max(done - MARK, 0))
+    return hashlib.sha1(head + f.read(min(done, MARK))).hexdigest()
+
+
 class _Growing(DataSourceStreamReader):
-    """Offsets are {path: (generation, bytes, lines, digest of the first bytes)}; a batch ends at the last line break, so an incomplete line waits.
+    """Offsets are {path: (generation, bytes, lines, digest of the first and last bytes)}; a batch ends at the last line break, so an incomplete line waits.
 
-    The driver counts the line breaks of what is new, chunk by chunk; executors read it again in ranges of about SPAN bytes.
+    A file that got shorter, was rewritten at any length, or was removed and came back starts a new generation at line 0. The driver counts the line breaks of what is new, chunk by
+    chunk; executors read it again in ranges of about SPAN bytes.
     """
 
     def __init__(self, folder: str):
@@ -48,20 +61,21 @@ class _Growing(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         files = dict(getattr(self, "seen", {}))
-        for name in sorted(os.listdir(self.folder)):
-            path = os.path.join(self.folder, name)
+        here = {os.path.join(self.folder, name) for name in os.listdir(self.folder)}
+        for path in sorted(here | set(files)):
+            gen, done, lines, mark = files.get(path, [0, 0, 0, ""])
+            if path not in here:
+                if done:
+                    files[path] = [gen + 1, 0, 0, ""]  # removed: if it comes back, it is another file
+                continue
             if not os.path.isfile(path):
                 continue
-            gen, done, lines, mark = files.get(path, [0, 0, 0, ""])
             with open(path, "rb") as f:
-                head = f.read(MARK)
-                size = os.fstat(f.fileno()).st_size
-                known = hashlib.sha1(head[: min(done, MARK)]).hexdigest()
-                if done and (size < done or known != mark):
-                    gen, done, lines = gen + 1, 0, 0  # truncated or rewritten
+                if done and (os.fstat(f.fileno()).st_size < done or _marks(f, done) != mark):
+                    gen, done, lines = gen + 1, 0, 0  # truncated, rotated or rewritten
                 for done, lines in _breaks(f, done, lines):
                     pass
-            files[path] = [gen, done, lines, hashlib.sha1(head[: min(done, MARK)]).hexdigest()]
+                files[path] = [gen, done, lines, _marks(f, done)]
         self.seen = files
         return {"files": files}
 
@@ -122,57 +136,182 @@ def live_profile(records: DataFrame, column: str) -> DataFrame:
     return records.agg(F.count(c).alias("count"), F.count_if(c.isNull()).alias("missing"), F.approx_count_distinct(c, 0.016).alias("distinct_estimate"))
 
 
-def live_records(lines: DataFrame, start: Column, idle_ms: int = 500) -> DataFrame:
-    """(source, rec_id, n_lines, body): a record is out when the next start of its source arrives, or after idle_ms without a line. The open record is the state."""
+def _keys(lines: DataFrame) -> tuple[list[str], str]:
+    """The key of a source's state and its schema: with gen, where there is one, so that a new generation of a file starts anew."""
+    keys = ["source", "gen"] if "gen" in lines.columns else ["source"]
+    return keys, ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in keys)
+
+
+def live_records(lines: DataFrame, start: Column, idle_ms: int = 500, most_lines: int = 10_000) -> DataFrame:
+    """(source, gen if lines has it, rec_id, n_lines, body): a record is out when the next start of its source arrives, after idle_ms without a line, or in parts of most_lines lines,
+    so that the open record, which is the state, stays bounded. A part has the rec_id of its record.
+    """
+    keys, schema = _keys(lines)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else None
         out = []
         if state.hasTimedOut:
-            if held:
-                out.append((key[0], held[0], len(held[1]), "\n".join(held[1])))
+            if held and held[1]:
+                out.append((*key, held[0], len(held[1]), "\n".join(held[1])))
             state.remove()
         else:
-            for b in (pd.concat(list(batches)).sort_values("line_no"),):
-                for line_no, raw, begins in zip(b["line_no"], b["raw"], b["begins"]):
-                    if begins:
-                        if held:
-                            out.append((key[0], held[0], len(held[1]), "\n".join(held[1])))
-                        held = [int(line_no), [raw]]
-                    elif held:
-                        held[1].append(raw)
+            b = pd.concat(list(batches)).sort_values("line_no")
+            for line_no, raw, begins in zip(b["line_no"], b["raw"], b["begins"]):
+                if held and held[1] and (begins or len(held[1]) >= most_lines):
+                    out.append((*key, held[0], len(held[1]), "\n".join(held[1])))
+                    held[1] = []
+                if begins:
+                    held = [int(line_no), [raw]]
+                elif held:
+                    held[1].append(raw)
             if held:
                 state.update((json.dumps(held),))
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["source", "rec_id", "n_lines", "body"])
+        yield pd.DataFrame(out, columns=[*keys, "rec_id", "n_lines", "body"])
+
+    rows = lines.select(*keys, "line_no", "raw", F.coalesce(start, F.lit(False)).alias("begins"))
+    return rows.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, rec_id long, n_lines long, body string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def live_context(lines: DataFrame, matched: Column, before: int = 0, after: int = 0) -> DataFrame:
+    """(source, gen if lines has it, line_no, raw, is_context): matching lines and those around them, as they arrive. A match brings earlier lines that were not shown yet; the state is the last
+    `before` lines of each source and how many lines after a match are still to show.
+    """
+    keys, schema = _keys(lines)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, left = json.loads(state.get[0]) if state.exists else ([], 0)
+        out = []
+        b = pd.concat(list(batches)).sort_values("line_no")
+        for line_no, raw, hit in zip(b["line_no"].tolist(), b["raw"], b["hit"]):
+            if hit:
+                out += [(*key, n, r, True) for n, r in held]
+                out.append((*key, line_no, raw, False))
+                held, left = [], after
+            elif left:
+                out.append((*key, line_no, raw, True))
+                left -= 1
+            else:
+                held = [*held, [line_no, raw]][-before:] if before else []
+        state.update((json.dumps([held, left]),))
+        yield pd.DataFrame(out, columns=[*keys, "line_no", "raw", "is_context"])
+
+    rows = lines.select(*keys, "line_no", "raw", F.coalesce(matched, F.lit(False)).alias("hit"))
+    return rows.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, line_no long, raw string, is_context boolean", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_effective_time(lines: DataFrame, ts: Column) -> DataFrame:
+    """lines' (source, gen, line_no, raw) with eff_us, the greatest time so far of its source (null before the first). The scalable live merge: rows come as they arrive and are ordered
+    by (eff_us nulls first, source, line_no) where they are read, so late lines are never lost; one number for each source is the state.
+    """
+    keys, schema = _keys(lines)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        top = state.get[0] if state.exists else None
+        out = []
+        b = pd.concat(list(batches)).sort_values("line_no")
+        for line_no, raw, us in zip(b["line_no"].tolist(), b["raw"], b["us"].tolist()):
+            if us == us and us is not None and (top is None or us > top):
+                top = int(us)
+            out.append((*key, line_no, raw, top))
+        state.update((top,))
+        yield pd.DataFrame(out, columns=[*keys, "line_no", "raw", "eff_us"]).astype({"eff_us": "Int64"})
+
+    rows = lines.select(*keys, "line_no", "raw", F.unix_micros(ts).alias("us"))
+    return rows.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, line_no long, raw string, eff_us long", "top long", "append", GroupStateTimeout.NoTimeout)
+
+
+def emit_final(pending: list, last: dict, now_ms: int, idle_ms: int) -> tuple[list, list]:
+    """The part of pending lines (eff_us, source, line_no, raw) that is final, in order, and the rest.
+
+    The least line is final once each source that has none pending is past its time or has been idle for idle_ms; last maps sources to (their time so far, when they were last heard).
+    """
+    pending = sorted(pending, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    waiting = Counter(x[1] for x in pending)
+    for i, (us, source, _, _) in enumerate(pending):
+        if any(not waiting[s] and now_ms - heard < idle_ms and (t is None or us is None or t < us) for s, (t, heard) in last.items()):
+            return pending[:i], pending[i:]
+        waiting[source] -= 1
+    return pending, []
+
+
+def live_merge(lines: DataFrame, idle_ms: int = 500, group: Column | None = None) -> DataFrame:
+    """(merge, source, line_no, raw, eff_us, late) of lines from live_effective_time, in one final order for each merge group.
+
+    Only lines whose place is not final yet are held (see emit_final). A line that comes after others of a later time have been given out is given out next, with late true. One merge group is one
+    task; for many sources that need no exact live order, read live_effective_time sorted instead.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, last, given = json.loads(state.get[0]) if state.exists else ([], {}, None)
+        now = state.getCurrentProcessingTimeMs()
+        for b in batches if not state.hasTimedOut else ():
+            for source, line_no, raw, us in zip(b["source"].astype(str), b["line_no"].tolist(), b["raw"], b["eff_us"].tolist()):
+                us = int(us) if us is not None and us == us else None
+                pending.append([us, source, line_no, raw])
+                seen = last.get(source, [None, 0])[0]
+                last[source] = [us if seen is None else max(seen, us or seen), now]
+        final, pending = emit_final(pending, last, now, idle_ms)
+        out = []
+        for us, source, line_no, raw in final:
+            out.append((*key, source, line_no, raw, us, given is not None and (us is None or us < given)))
+            given = us if given is None else max(given, us or given)
+        state.update((json.dumps([pending, last, given]),))
+        if pending:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["merge", "source", "line_no", "raw", "eff_us", "late"]).astype({"eff_us": "Int64"})
+
+    rows = lines.select((group if group is not None else F.lit("all")).cast("string").alias("merge"), F.col("source").cast("string").alias("source"), "line_no", "raw", "eff_us")
+    return rows.groupBy("merge").applyInPandasWithState(fold, "merge string, source string, line_no long, raw string, eff_us long, late boolean", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    rows = lines.select("source", "line_no", "raw", F.coalesce(start, F.lit(False)).alias("begins"))
-    source = dict(rows.dtypes)["source"]
-    return rows.groupBy("source").applyInPandasWithState(fold, f"source {source}, rec_id long, n_lines long, body string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
+def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200) -> DataFrame:
+    """(source, rule, us, suppressed, excerpt) of hits (source, rule, ts, and raw if there is one): notify, hold back for so many seconds of event time, then sum up.
 
-def live_alerts(hits: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """(source, rule, us, suppressed) of hits (source, rule, ts): notify, hold back for so many seconds of event time, then sum up."""
+    A summary that is due comes with the next hit, or after so many seconds without one. excerpt is the start of the line that was notified.
+    """
     span = int(seconds * 1e6)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (None, 0)
         out = []
-        for at in sorted(x for b in batches for x in b["us"]):
-            while last is not None and held and at >= last + span:
-                last, n, held = last + span, held, 0
-                out.append((*key, last, n))
-            if last is None or at >= last + span:
-                out.append((*key, at, 0))
-                last = at
-            else:
-                held += 1
-        state.update((last, held))
-        yield pd.DataFrame(out, columns=["source", "rule", "us", "suppressed"])
+        if state.hasTimedOut:
+            out.append((*key, last + span, held, None))
+            state.update((last + span, 0))
+        else:
+            for at, line in sorted((x, r) for b in batches for x, r in zip(b["us"].tolist(), b["excerpt"])):
+                while last is not None and held and at >= last + span:
+                    last, n, held = last + span, held, 0
+                    out.append((*key, last, n, None))
+                if last is None or at >= last + span:
+                    out.append((*key, at, 0, line))
+                    last = at
+                else:
+                    held += 1
+            state.update((last, held))
+            if held:
+                state.setTimeoutDuration(int(seconds * 1000))
+        yield pd.DataFrame(out, columns=["source", "rule", "us", "suppressed", "excerpt"])
 
-    rows = hits.select("source", "rule", F.unix_micros("ts").alias("us"))
+    line = F.substring("raw", 1, excerpt) if "raw" in hits.columns else F.lit("")
+    rows = hits.select("source", "rule", F.unix_micros("ts").alias("us"), F.coalesce(line, F.lit("")).alias("excerpt"))
     source = dict(rows.dtypes)["source"]
-    return rows.groupBy("source", "rule").applyInPandasWithState(fold, f"source {source}, rule string, us long, suppressed long", "last long, held long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("source", "rule").applyInPandasWithState(fold, f"source {source}, rule string, us long, suppressed long, excerpt string", "last long, held long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def add_bookmarks(path: str) -> Callable[[DataFrame, int], None]:
+    """For deliver: appends each batch's (source, line_no) to the table of bookmarks at path, but for those that it has."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        try:
+            table = spark.read.parquet(path)
+        except AnalysisException:  # no table yet
+            table = spark.createDataFrame([], batch.select("source", "line_no").schema)
+        sinks.new_bookmarks(batch, table).write.mode("append").parquet(path)
+
+    return add
 
 
 def deliver(stream: DataFrame, notify: Callable[[DataFrame, int], None]):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from lograil.functions import kinds, times
 from lograil.functions import predicates as P
 from lograil.operators import blocked, detect, ingest, records, rules, sinks, stats
 from lograil.plans.fixtures import document_lines, event_fields, event_lines, spread, table, with_continuations
+from lograil.shared import materialize, shared_dir
+from lograil.sources import lines as sources
+from lograil.streaming import live
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -314,7 +319,14 @@ def q_route(spark, d):
     return detect.route(event_lines(spark, d, "logfmt"), [detect.Profile("any", glob="app-*"), detect.Profile("logfmt", content="level="), detect.Profile("one", glob="app-1", content="level=")], 1 << 30)
 
 
-@query()
+@query("""with recursive h as (select 'app-' || (user_id % 4) source, epoch_us(ts) us from events where event_type = 'error'),
+n(source, us, suppressed) as (
+  select source, min(us), 0::bigint from h group by source
+  union all
+  select source, case when held > 0 then us + 300000000 else upcoming end, held from (
+    select n.source, n.us, (select count(*) from h where h.source = n.source and h.us < n.us + 300000000 and (h.us > n.us or (h.us = n.us and n.suppressed > 0))) held,
+      (select min(us) from h where h.source = n.source and h.us >= n.us + 300000000) upcoming from n) where held > 0 or upcoming is not null)
+select source, 'error' "rule", us, suppressed from n""")
 def q_alert_limit(spark, d):
     e = event_fields(spark, d)
     hits = e.filter("event_type = 'error'").select("source", F.lit("error").alias("rule"), "ts")
@@ -350,6 +362,236 @@ def q_match_positions(spark, d):
     return stats.match_positions(document_lines(spark, d), "[0-9]+").groupBy("source", "line_no").agg(F.count("*").alias("n"))
 
 
+def _in_shared(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lograil/{name}-{uuid.uuid4().hex}"
+
+
+def _short_lines(spark, d):
+    """(source, line_no, raw) of events as short lines with a letter outside ASCII."""
+    return spread(event_fields(spark, d)).select("source", "line_no", F.concat_ws(" ", F.lit("é"), "event_type", F.col("user_id").cast("string"), "k").alias("raw"))
+
+
+_SHORT = f"(select source, row_number() over (partition by source order by line_no) - 1 line_no, 'é ' || event_type || ' ' || user_id || ' ' || k raw from {_EVENTS})"
+
+
+@query(f"select source, line_no, (sum(strlen(raw) + 1) over (partition by source order by line_no) - strlen(raw) - 1)::bigint byte_off, strlen(raw)::int byte_len, raw from {_SHORT}")
+def q_read_lines(spark, d):
+    path = _in_shared(spark, "lines")
+    _short_lines(spark, d).repartition("source").sortWithinPartitions("source", "line_no").select("source", "raw").write.partitionBy("source").option("lineSep", "\n").text(path)
+    lines = materialize(sources.read_lines(spark, path, recursive=True), "numbered")
+    return lines.withColumn("source", F.regexp_extract("source", "source=([^/]+)", 1))
+
+
+@query(f"select e encoding, 'crlf' line_ending, count(*) n, count(distinct raw) n_distinct from {_SHORT}, (values ('UTF-8'), ('UTF-16LE'), ('ISO-8859-1')) v(e) group by e")
+def q_encodings(spark, d):
+    out = []
+    for enc in ("UTF-8", "UTF-16LE", "ISO-8859-1"):
+        path = _in_shared(spark, "encoded")
+        _short_lines(spark, d).coalesce(1).select(F.encode("raw", enc).cast("string").alias("raw")).write.option("lineSep", "\r\n").option("encoding", enc).text(path)
+        kind = sources.encodings(spark, f"{path}/*.txt").select("encoding", "line_ending")
+        lines = sources.read_encoded(spark, f"{path}/*.txt", enc).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("n_distinct"))
+        out.append(kind.crossJoin(F.broadcast(lines)))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"select source, line_no, k ab, user_id::varchar twice, '{{\"f\":' || k || '}}' deep, k extra_deep from {_EVENTS}")
+def q_json_keys(spark, d):
+    e = event_fields(spark, d)
+    user = F.col("user_id").cast("string")
+    raw = F.concat(F.lit('{"a.b":'), "k", F.lit(',"a":{"b":-1},"twice":'), user, F.lit(',"twice":0,"none":null,"x":{"y":{"z":{"e":{"f":'), "k", F.lit('}}}},"arr":[1,{"q":2}]}'))
+    r = ingest.json_lines(e.select("source", "line_no", raw.alias("raw")), ("a.b", "twice", "x.y.z.e")).filter("is_record")
+    return r.select("source", "line_no", F.col("`a.b`").alias("ab"), "twice", F.col("`x.y.z.e`").alias("deep"), F.get_json_object("`x.y.z.e`", "$.f").alias("extra_deep"))
+
+
+@query("""select count(*) filter (lower(o_orderpriority) = '3-medium') same, count(*) filter (lower(o_orderpriority) >= '3') at_least, count(*) filter (o_totalprice > 100000) above, count(*) filter (abs(o_totalprice - 150000) <= 50000) near_, count(*) filter (regexp_matches(o_orderpriority, '^[12]-')) matched,
+count(*) filter (not regexp_matches(o_orderpriority, '^[12]-')) unmatched, count(*) filter (o_totalprice >= 100) lenient, count(*) filter (o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1996-01-01') in_year from orders""")
+def q_predicates(spark, d):
+    o = table(spark, d, "orders").withColumns({"price": F.concat(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("B")), "day": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+    p, price = F.col("o_orderpriority"), F.col("price")
+    return o.agg(
+        F.count_if(P.equals(p, "3-MEDIUM")).alias("same"), F.count_if(P.compare(p, ">=", "3")).alias("at_least"), F.count_if(P.compare(price, ">", "100kb", "bytes")).alias("above"),
+        F.count_if(P.all_of(P.compare(price, ">=", "0.1MB", "bytes"), P.compare(price, "<=", "200000", "bytes"))).alias("near_"), F.count_if(P.matches(p, "^[12]-")).alias("matched"), F.count_if(P.not_(P.matches(p, "^[12]-"))).alias("unmatched"),
+        F.count_if(P.rule_condition(price, "ge", "100")).alias("lenient"), F.count_if(P.equals(F.col("day"), "1995", "timestamp")).alias("in_year"),
+    )
+
+
+@query("select l_returnflag, count(*) n, round(sum(l_extendedprice * 1024), 1) size, round(sum(l_quantity * 1e9), 1) ns from lineitem where l_quantity = 17 or l_quantity = 25 group by 1")
+def q_typed(spark, d):
+    r = spread(table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")).select("l_returnflag", F.concat(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit(" KiB")).alias("size"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("s")).alias("took"))
+    r = r.filter(P.one_of(F.col("took"), ["17000ms", "25s"], "duration"))
+    return r.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(kinds.typed(F.col("size"), "bytes")), 1).alias("size"), F.round(F.sum(kinds.typed(F.col("took"), "duration")), 1).alias("ns"))
+
+
+@query("""select event_id, case when epoch_us(ts) % 1000000 = 0 then strftime(ts + interval 2 hour, '%Y-%m-%d %H:%M:%S') when epoch_us(ts) % 1000 = 0 then left(strftime(ts + interval 2 hour, '%Y-%m-%d %H:%M:%S.%f'), 23)
+else strftime(ts + interval 2 hour, '%Y-%m-%d %H:%M:%S.%f') end shown from (select event_id, case event_id % 3 when 0 then date_trunc('second', ts) when 1 then date_trunc('millisecond', ts) else ts end ts from events)""")
+def q_in_zone(spark, d):
+    ts = F.when(F.col("event_id") % 3 == 0, F.date_trunc("second", "ts")).when(F.col("event_id") % 3 == 1, F.date_trunc("millisecond", "ts")).otherwise(F.col("ts"))
+    return event_fields(spark, d).select("event_id", times.in_zone(ts, "+02:00").alias("shown"))
+
+
+@query("select doc_id, lang, replace(left(text, 200), chr(13), '') head from documents where text is not null and length(text) > 0")
+def q_csv_round_trip(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null and length(text) > 0")
+    r = docs.select(F.lit(True).alias("is_record"), F.col("doc_id").cast("string").alias("doc_id"), "lang", F.translate(F.substring("text", 1, 200), "\r", "").alias("head"))
+    path = _in_shared(spark, "csv")
+    sinks.write_csv(r, path, ["doc_id", "lang", "head"])
+    back = spark.read.schema("doc_id long, lang string, head string").csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return back.select("doc_id", "lang", "head")
+
+
+@query("select count(*) \"count\", min(value * 1e6) \"min\", max(value * 1e6) \"max\", round(avg(value * 1e6), 3) mean from events where event_type = 'error'")
+def q_filtered_profile(spark, d):
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), LOGFMT).filter("is_record")
+    p = stats.profile(r, {"dur": "duration"}, where=P.equals(F.col("level"), "E", "level"))
+    return p.select("count", "min", "max", F.round("mean", 3).alias("mean"))
+
+
+@query("""with c as (select o_custkey::varchar "value", count(*) n from orders group by 1 order by n desc, "value" limit 50)
+select "value", n "count", row_number() over (order by "value"::double) nth from c""")
+def q_value_list(spark, d):
+    v = stats.value_candidates(table(spark, d, "orders"), "o_custkey", 50)
+    return records.ranked(v, kinds.number(F.col("value")).asc_nulls_last(), F.col("value"))
+
+
+@query(f"select source, line_no, nth from (select source, line_no, event_type, row_number() over (order by eff nulls first, source, line_no) nth from (select source, line_no, event_type, max(case when event_id % 5 <> 0 then ts end) over (partition by source order by line_no) eff from {_EVENTS})) where event_type in ('error', 'purchase') and event_type <> 'purchase'")
+def q_merged_filter(spark, d):
+    e = event_fields(spark, d).select("source", "line_no", F.col("event_type").alias("raw"), F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("t"))
+    m = records.ranked(records.effective_time(e, F.col("t"), BLOCK), F.col("eff_ts").asc_nulls_first(), F.col("source"), F.col("line_no"))
+    keep, wrong = P.build_stack(F.col("raw"), [P.Row("^(error|purchase)$", "regex"), P.Row("purchase", exclude=True), P.Row("(", "regex"), P.Row("", exclude=True), P.Row("nothing", enabled=False)])
+    assert list(wrong) == [2]
+    return m.filter(keep).select("source", "line_no", "nth")
+
+
+@query(f"select source, line_no, level, user_id::varchar \"user\" from {_EVENTS} where user_id % 4 < 2")
+def q_headers(spark, d):
+    """Sources whose columns come in two orders, as their header lines say."""
+    e = event_fields(spark, d).filter(F.col("user_id") % 4 < 2)
+    swapped = F.col("user_id") % 4 == 1
+    rows = e.select("source", (F.col("line_no") + 1).alias("line_no"), F.when(swapped, F.concat_ws(";", F.col("user_id").cast("string"), "level")).otherwise(F.concat_ws(";", "level", F.col("user_id").cast("string"))).alias("raw"))
+    heads = e.select("source", F.lit(0).cast("long").alias("line_no"), F.when(swapped, 'user;"level"').otherwise('level;"user"').alias("raw")).distinct()
+    lines = rows.unionByName(heads)
+    out = []
+    for source, names in ingest.header_names(lines, ";").items():
+        r = ingest.delimited(lines.filter(F.col("source") == source).filter("line_no > 0"), names, ";").filter("is_record")
+        out.append(r.select("source", (F.col("line_no") - 1).alias("line_no"), "level", "user"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("select 'app-' || (user_id % 4) source, case when user_id % 4 = 3 then 'json' else 'logfmt' end definition from events group by all")
+def q_best_definition(spark, d):
+    lines = event_lines(spark, d, "logfmt").filter("source <> 'app-3'").unionByName(event_lines(spark, d, "jsonl").filter("source = 'app-3'"))
+    raw = F.col("raw")
+    return ingest.best_definition(lines, {"logfmt": ingest.is_logfmt(raw), "json": raw.startswith("{") & F.try_parse_json(raw).isNotNull(), "again": ingest.is_logfmt(raw)}, 1 << 40)
+
+
+@query(f"select source, line_no, epoch_us(case event_id % 3 when 0 then ts else date_trunc('second', ts) end) us from {_EVENTS}")
+def q_record_time(spark, d):
+    """The time column holds a time in two of three records, in two formats; the third has it in its line only."""
+    e = event_fields(spark, d)
+    apache = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z")
+    cell = F.when(F.col("event_id") % 3 == 0, F.col("iso")).when(F.col("event_id") % 3 == 1, apache).otherwise("n/a")
+    raw = F.concat(F.lit("x ["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), "event_type")
+    return e.select("source", "line_no", F.unix_micros(times.record_time(cell, raw)).alias("us"))
+
+
+@query(f"""with t as (select source, min(ts) lo, max(ts) hi, max(line_no) n from {_EVENTS} group by 1)
+select source, min(line_no) filter (ts >= hi - interval 15 minute) back, min(line_no) filter (ts >= lo + interval 90 minute) ahead, any_value(least(floor(0.5 * (n + 1))::bigint, n)) half, any_value(least(n, 119)) line_ from {_EVENTS} join t using (source) group by source""")
+def q_go_to(spark, d):
+    e = event_fields(spark, d)
+    go = lambda text, name: records.go_to_time(e, F.col("ts"), text, "2024-01-05 00:00:00").withColumnRenamed("line_no", name)
+    return go("-15m", "back").join(go("+1h30m", "ahead"), "source").join(records.go_to(e, "50%").withColumnRenamed("line_no", "half"), "source").join(records.go_to(e, "120").withColumnRenamed("line_no", "line_"), "source")
+
+
+@query(f"""with l as {_ALL}, k as (select source, line_no, level_rank, max(case when o = 0 then line_no end) over (partition by source order by line_no) rec from l),
+v as (select source, line_no rec, value from {_EVENTS})
+select k.source, k.line_no, row_number() over (order by v.value desc, k.source, rec, k.line_no) nth from k join v using (source, rec)""")
+def q_sorted_records(spark, d):
+    lines = ingest.logfmt(with_continuations(event_lines(spark, d, "logfmt")), LOGFMT)
+    lines = records.with_record(lines, F.col("is_record"), BLOCK)
+    keys = lines.filter("rec_id = line_no").select("source", "rec_id", records.sort_key(F.col("dur"), "duration").alias("key"))
+    return records.ranked(lines.join(keys, ["source", "rec_id"]), F.col("key").desc_nulls_last(), F.col("source"), F.col("rec_id"), F.col("line_no")).select("source", "line_no", "nth")
+
+
+@query(f"select source, line_no, raw from {_LINES} where contains(lower(raw), 'the') order by source, line_no limit 25")
+def q_first_matches(spark, d):
+    hits, more = records.first_matches(document_lines(spark, d), P.text(F.col("raw"), "the"), 25)
+    assert more in (True, False)
+    return hits.select("source", "line_no", "raw")
+
+
+@query("select 'l_quantity' \"name\", count(*) \"count\", 0::bigint missing, count(*) numeric_count, min(l_quantity)::double \"min\", max(l_quantity)::double \"max\", round(avg(l_quantity), 6) mean, 50::bigint distinct_estimate from lineitem")
+def q_merged_profiles(spark, d):
+    """States of three parts of the table, merged."""
+    r = table(spark, d, "lineitem").select("l_quantity", "l_returnflag")
+    states = [stats.profile_state(r.filter(p), {"l_quantity": "number"}) for p in ("l_returnflag = 'A'", "l_returnflag = 'N'", "l_returnflag not in ('A', 'N')")]
+    out = stats.profile_of(stats.merged_states(reduce(DataFrame.unionByName, states)))
+    return out.select("name", "count", "missing", "numeric_count", "min", "max", F.round("mean", 6).alias("mean"), "distinct_estimate")
+
+
+@query("select ((nth - 1) * 20 // n)::int bin, count(*) n from (select l_returnflag, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber) nth, count(*) over () n from lineitem) where l_returnflag = 'R' group by 1")
+def q_position_density(spark, d):
+    r = spread(table(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_returnflag"))
+    order = records.ranked(r, F.col("l_extendedprice").desc_nulls_last(), F.col("l_orderkey"), F.col("l_linenumber"))
+    return stats.position_density(order, F.col("l_returnflag") == "R", 20)
+
+
+@query(f"select source, line_no, '{{\"level\":\"' || lower(level) || '\",\"user\":' || user_id || ',\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '\",\"k\":' || k || '}}' line from {_EVENTS}")
+def q_record_json(spark, d):
+    e = event_fields(spark, d)
+    raw = F.concat(F.lit("level="), F.lower("level"), F.lit(" ts="), "iso", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" k="), "k")
+    r = ingest.logfmt(e.select("source", "line_no", raw.alias("raw")), ("level", "user")).filter("is_record")
+    return r.select("source", "line_no", sinks.record_json({"level": "level", "user": "number"}).alias("line"))
+
+
+@query(f"select source, line_no, user_id % 10 = 0 manual from {_EVENTS} where user_id % 10 = 0 or event_type = 'error'")
+def q_bookmarks(spark, d):
+    e = event_fields(spark, d)
+    manual = e.filter("user_id % 10 = 0").select("source", "line_no", F.lit(False).alias("automatic"))
+    new = sinks.new_bookmarks(e.filter("event_type = 'error'"), manual)
+    return manual.unionByName(new).select("source", "line_no", (~F.col("automatic")).alias("manual"))
+
+
+def _event_stream(spark, d):
+    e = table(spark, d, "events")
+    s = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return s.select(F.concat(F.lit("app-"), (F.col("user_id") % 4).cast("string")).alias("source"), (F.col("event_id") * 4).alias("line_no"), F.col("event_type").alias("raw"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"))
+
+
+def _ended(spark, stream, mode: str = "append"):
+    """The result of a stream over what is there now."""
+    name = f"s{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", _in_shared(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"select source, line_no, event_type raw from {_EVENTS} where contains(event_type, 'err')")
+def q_stream_filter(spark, d):
+    return _ended(spark, live.live_filter(_event_stream(spark, d), P.text(F.col("raw"), "err"))).select("source", "line_no", "raw")
+
+
+@query(f"select source, count(*) n from {_EVENTS} where contains(event_type, 'err') group by 1")
+def q_stream_counts(spark, d):
+    return _ended(spark, live.live_counts(_event_stream(spark, d), P.text(F.col("raw"), "err")), "complete")
+
+
+@query('select count(*) "count", 0::bigint missing from events')
+def q_stream_profile(spark, d):
+    return _ended(spark, live.live_profile(_event_stream(spark, d), "user"), "complete").select("count", "missing")
+
+
+@query(f"select source, line_no, epoch_us(max(ts) over (partition by source order by line_no)) eff_us from {_EVENTS}")
+def q_stream_effective_time(spark, d):
+    s = _event_stream(spark, d)
+    return _ended(spark, live.live_effective_time(s, F.col("ts"))).select("source", "line_no", "eff_us")
+
+
+@query(f"""with l as (select source, line_no, event_type raw, row_number() over (partition by source order by line_no) i, event_type = 'error' hit from {_EVENTS})
+select a.source, a.line_no, a.raw, not a.hit is_context from l a where a.hit or exists (select 1 from l b where b.source = a.source and b.hit and (b.i between a.i + 1 and a.i + 2 or b.i = a.i - 1))""")
+def q_stream_context(spark, d):
+    return _ended(spark, live.live_context(_event_stream(spark, d), P.text(F.col("raw"), "error"), 2, 1)).select("source", "line_no", "raw", "is_context")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -46,7 +46,7 @@ def encodings(spark: SparkSession, path: str) -> DataFrame:
         F.when(x.startswith("EFBBBF"), "UTF-8").when(x.startswith("FFFE"), "UTF-16LE").when(x.startswith("FEFF"), "UTF-16BE")
         .when(odd > 0.3, "UTF-16LE").when(even > 0.3, "UTF-16BE").when(F.is_valid_utf8(F.col("head").cast("string")), "UTF-8").otherwise("ISO-8859-1")
     )
-    text = F.decode("head", "ISO-8859-1")
+    text = F.replace(F.decode("head", "ISO-8859-1"), F.lit("\0"), F.lit(""))  # line ends are ASCII, in UTF-16 with a NUL beside
     ending = F.when(F.contains(text, F.lit("\r\n")), "crlf").when(F.contains(text, F.lit("\n")), "lf").when(F.contains(text, F.lit("\r")), "cr").otherwise("lf")
     return head.select("source", enc.alias("encoding"), ending.alias("line_ending"))
 

@@ -4,9 +4,9 @@ A byte is removed if a string of LENGTH bytes that covers it also starts earlier
 
 1. Of all suffixes, those at anchors are enough: an anchor of a string of LENGTH bytes is the place of its least 32-byte hash (the last, if
    tied), so equal strings have their anchors at the same place, and about every 35th suffix is one. A run of strings with one anchor is a record:
-   the 8 leading bytes at the anchor, a hash of the 32 leading ones, a hash of the run's bytes, document (id, number of the row), start, number of strings.
-2. Splitters sampled from some documents range-partition the records by (leading bytes, their hash, run, document, start), so that a passage that a
-   third of the documents share spreads over partitions. Each partition is sorted. A record of an equal run further up (128 hash bits) is a repeat
+   the lead (the 4 leading bytes at the anchor and a hash of the 32 leading ones), a hash of the run's bytes, document (id, number of the row), start, number of strings.
+2. Splitters sampled from some documents range-partition the records by (lead, run, document, start), so that a passage that a
+   third of the documents share spreads over partitions. Each partition is sorted. A record of an equal run further up (equal bytes and 96 equal hash bits) is a repeat
    as a whole. Other runs with the same leading bytes, and those that a partition's end may cut, need their bytes.
 3. Those runs fetch their bytes, meet again by leading bytes, and are cut into strings. A bucket sorts its strings by multikey quicksort, 8 bytes at a time, and all
    but the first of equal ones are repeats. For leading bytes that go on across a boundary, the firsts of each bucket are compared once more, by all their bytes.
@@ -44,11 +44,11 @@ def prefix_sums(raw: np.ndarray, p: Powers) -> np.ndarray:
 
 
 def anchor_records(raw: np.ndarray, bounds: np.ndarray, p: Powers, length: int = LENGTH, lead: int = LEAD):
-    """(leading bytes, lead hash, run hash, text, start, strings) of all runs of strings with one anchor; the leading 8 bytes as a number that orders as they do."""
+    """(lead, run hash, text, start, strings) of all runs of strings with one anchor. The lead is its first 4 bytes, which order it, and 32 hash bits of all its bytes."""
     n, w = len(raw), length - lead + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     sums = prefix_sums(raw, p)
     h = mix((sums[lead:] - sums[:-lead]) * p.down[: n - lead + 1])
     low = np.uint64((1 << PLACE_BITS) - 1)
@@ -69,7 +69,7 @@ def anchor_records(raw: np.ndarray, bounds: np.ndarray, p: Powers, length: int =
     np.add.at(edge, bounds[1:][some] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(edge[:m]) > 0)
     if not len(at):
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     j = place[at]
     new = np.concatenate([[True], (j[1:] != j[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
@@ -77,8 +77,9 @@ def anchor_records(raw: np.ndarray, bounds: np.ndarray, p: Powers, length: int =
     lo, hi = at[first], at[first] + count - 1 + length
     run = mix((sums[hi] - sums[lo]) * p.down[lo] + (hi - lo).astype(np.uint64) * WORD_FACTORS[13])
     text = np.searchsorted(bounds, lo, "right") - 1
-    head = np.ascontiguousarray(raw[j[first][:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
-    return head.view(np.int64), h[j[first]].view(np.int64), run.view(np.int64), text, lo - bounds[text], count
+    head = np.ascontiguousarray(raw[j[first][:, None] + np.arange(4)]).view(">u4").ravel().astype(np.uint64)
+    leads = ((head ^ np.uint64(1 << 31)) << np.uint64(32)) | (h[j[first]] >> np.uint64(32))
+    return leads.view(np.int64), run.view(np.int64), text, lo - bounds[text], count
 
 
 class Splitters:
@@ -87,10 +88,10 @@ class Splitters:
     def __init__(self, sample: list[tuple], parts: int):
         sample = sorted(sample)
         self.cuts = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
-        self.heads = np.array([c[0] for c in self.cuts], np.int64)
+        self.leads = np.array([c[0] for c in self.cuts], np.int64)
 
     def part(self, *keys: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(self.heads, keys[0], "left"), np.searchsorted(self.heads, keys[0], "right")
+        lo, hi = np.searchsorted(self.leads, keys[0], "left"), np.searchsorted(self.leads, keys[0], "right")
         for i in np.flatnonzero(hi > lo):  # equal leading bytes: the other parts of the key decide
             lo[i] = bisect_right(self.cuts, tuple(int(k[i]) for k in keys), int(lo[i]), int(hi[i]))
         return lo
@@ -109,12 +110,12 @@ def records(docs: DataFrame, length: int, splitters: Splitters | None = None) ->
                 for at in range(0, int(bounds[hi] - bounds[lo]), PART) if hi - lo == 1 else (0,):
                     stop = min(bounds[lo] + at + PART + length - 1, bounds[hi]) if hi - lo == 1 else bounds[hi]
                     inside = np.array([0, stop - bounds[lo] - at]) if hi - lo == 1 else bounds[lo : hi + 1] - bounds[lo]
-                    head, lead, whole, text, start, count = anchor_records(raw[bounds[lo] + at : stop], inside, p, length)
+                    lead, whole, text, start, count = anchor_records(raw[bounds[lo] + at : stop], inside, p, length)
                     doc, row, start = ids[lo:hi][text], rows[lo:hi][text], start + at
-                    part = splitters.part(head, lead, whole, doc, row, start) if splitters else np.zeros(len(lead), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (head, pa.int64()), (lead, pa.int64()), (whole, pa.int64()), (doc, pa.int64()), (row, pa.int64()), (start << 24 | count, pa.int64()))], ["part", "head", "lead", "run", "id", "row", "span"])
+                    part = splitters.part(lead, whole, doc, row, start) if splitters else np.zeros(len(lead), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (lead, pa.int64()), (whole, pa.int64()), (doc, pa.int64()), (row, pa.int64()), (start << 24 | count, pa.int64()))], ["part", "lead", "run", "id", "row", "span"])
 
-    return docs.mapInArrow(run, "part int, head long, lead long, run long, id long, row long, span long")
+    return docs.mapInArrow(run, "part int, lead long, run long, id long, row long, span long")
 
 
 def matches(rows: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def matches(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lead, whole, doc, span, head = (np.asarray(b.column(c)) for c in ("lead", "run", "row", "span", "head"))
+            lead, whole, doc, span = (np.asarray(b.column(c)) for c in ("lead", "run", "row", "span"))
             if first_lead is None:
                 first_lead = lead[0]
             new = np.ones(len(lead), bool)
@@ -134,7 +135,7 @@ def matches(rows: DataFrame) -> DataFrame:
             last = (lead[-1], whole[-1])
             yield out(doc[~new], span[~new])
             f = np.flatnonzero(new)
-            cols = [lead[f], whole[f], doc[f], span[f], lead[f] == first_lead, head[f]]
+            cols = [lead[f], whole[f], doc[f], span[f], lead[f] == first_lead]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if len(cols[0]) > 1:
@@ -142,20 +143,20 @@ def matches(rows: DataFrame) -> DataFrame:
                 cols[4][1:] |= near
                 cols[4][:-1] |= near
             take = cols[4][:-1]
-            yield out(cols[2][:-1][take], cols[3][:-1][take], cols[0][:-1][take], cols[1][:-1][take], cols[5][:-1][take])
+            yield out(cols[2][:-1][take], cols[3][:-1][take], cols[0][:-1][take], cols[1][:-1][take])
             held = [c[-1:] for c in cols]
         if held is not None:
-            yield out(held[2], held[3], held[0], held[1], held[5])
+            yield out(held[2], held[3], held[0], held[1])
 
     def out(doc, span, *keys):
         null = pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), *([pa.array(k) for k in keys] or [null] * 3)], ["row", "span", "lead", "run", "head"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), *([pa.array(k) for k in keys] or [null] * 2)], ["row", "span", "lead", "run"])
 
-    return rows.mapInArrow(run, "row long, span long, lead long, run long, head long")
+    return rows.mapInArrow(run, "row long, span long, lead long, run long")
 
 
 def with_bytes(asked: DataFrame, length: int, splitters: Splitters) -> DataFrame:
-    """asked: (id, row, text, runs: array of (head, lead, run, span)). One row for each run, with its bytes."""
+    """asked: (id, row, text, runs: array of (lead, run, span)). One row for each run, with its bytes."""
 
     def run(batches):
         for b in batches:
@@ -163,14 +164,14 @@ def with_bytes(asked: DataFrame, length: int, splitters: Splitters) -> DataFrame
             raw = raw.tobytes()
             lists = b.column("runs")
             at = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            head, lead, whole, span = (np.asarray(x) for x in lists.flatten().flatten())
+            lead, whole, span = (np.asarray(x) for x in lists.flatten().flatten())
             start, count = span >> 24, span & 0xFFFFFF
             lo = bounds[at] + start
             doc, row = np.asarray(b.column("id"))[at], np.asarray(b.column("row"))[at]
             got = [raw[x : x + n] for x, n in zip(lo.tolist(), (count + length - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(splitters.part(head, lead, whole, doc, row, start), pa.int32()), pa.array(head), pa.array(lead), pa.array(doc), pa.array(row), pa.array(span), pa.array(got, pa.binary())], ["part", "head", "lead", "id", "row", "span", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(splitters.part(lead, whole, doc, row, start), pa.int32()), pa.array(lead), pa.array(doc), pa.array(row), pa.array(span), pa.array(got, pa.binary())], ["part", "lead", "id", "row", "span", "bytes"])
 
-    return asked.mapInArrow(run, "part int, head long, lead long, id long, row long, span long, bytes binary")
+    return asked.mapInArrow(run, "part int, lead long, id long, row long, span long, bytes binary")
 
 
 def multikey_sorted(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,17 +301,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, SPLIT_DOCS / max(named.count(), 1))
     some = named.filter(F.pmod(F.xxhash64(F.lit(5), "id", "row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = records(some, length).select("head", "lead", "run", "id", "row", "span").orderBy(F.xxhash64("row", "span")).limit(SPLIT_RECORDS).collect()
-    splitters = Splitters([(*r[:5], r[5] >> 24) for r in sample], parts)
-    keys = ("head", "lead", "run", "id", "row", "span")
+    sample = records(some, length).select("lead", "run", "id", "row", "span").orderBy(F.xxhash64("row", "span")).limit(SPLIT_RECORDS).collect()
+    splitters = Splitters([(*r[:4], r[4] >> 24) for r in sample], parts)
+    keys = ("lead", "run", "id", "row", "span")
     rows = records(named, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions(*keys)
     found = materialize(matches(rows), "repeats")
-    asked = found.filter("lead is not null").groupBy("row").agg(F.collect_list(F.struct("head", "lead", "run", "span")).alias("runs"))
+    asked = found.filter("lead is not null").groupBy("row").agg(F.collect_list(F.struct("lead", "run", "span")).alias("runs"))
     asked = named.join(asked, "row").select("id", "row", "text", "runs")
-    runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("head", "lead", "id", "row", "span")
-    strings = materialize(string_repeats(runs, length), "strings")
-    firsts = strings.filter("string is not null").withColumn("nth", F.row_number().over(W.partitionBy("string").orderBy("id", "row", "start"))).filter("nth > 1")
-    strings = strings.filter("string is null").select("row", "start", "strings").union(firsts.select("row", "start", "strings"))
+    runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "id", "row", "span")
+    # Firsts of open strings meet by their bytes, all other rows alone. One plan to the end, so that both joins share one exchange of the texts.
+    alone = F.when(F.col("string").isNull(), F.xxhash64("row", "start"))
+    strings = string_repeats(runs, length).withColumn("nth", F.row_number().over(W.partitionBy("string", alone).orderBy("id", "row", "start"))).filter("string is null or nth > 1").select("row", "start", "strings")
     repeats = found.filter("lead is null").select("row", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings)
     repeats = repeats.groupBy("row").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
     out = cut_out(named.join(repeats, "row", "left"), length).union(cut_out(every.filter("id is null").withColumn("runs", F.lit(None)), length))

@@ -374,7 +374,7 @@ def test_long_texts_are_read_in_parts():
     net = toxicity.GatedNet().learn([f"{BODY[:80]} idiot {i}" if i % 2 else f"{BODY[80:200]} {i}" for i in range(40)], np.arange(40) % 2, steps=20)
     best = lambda parts: max(float(net.logits(toxicity.Words(raw[a:b], np.array([0, b - a]), p))[0].max()) for a, b in parts)
     assert len(list(toxicity.parts_of(raw, 700))) > 5 and abs(best(toxicity.parts_of(raw, 700)) - best([(0, len(raw))])) < 1e-5
-    starts = lambda got, at: {int(s) + at + i for s, n in zip(got[4], got[5]) for i in range(n)}
+    starts = lambda got, at: {int(s) + at + i for s, n in zip(got[3], got[4]) for i in range(n)}
     cut = [starts(suffix_dedup.anchor_records(raw[at : at + 1000 + 99], np.array([0, len(raw[at : at + 1000 + 99])]), p), at) for at in range(0, len(raw), 1000)]
     assert set().union(*cut) == starts(suffix_dedup.anchor_records(raw, bounds, p), 0) == set(range(len(raw) - 99)) and sum(map(len, cut)) == len(raw) - 99
 

@@ -128,13 +128,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id",
 
     Null and empty texts and null languages teach nothing; rows that repeat an id are taken together. A language of which that share would be under RARE_DOCS gives about RARE_DOCS documents, or all it has, so every language is a class.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
+    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     share = F.least(F.lit(1.0), F.greatest(F.lit(train_docs / max(total, 1)), RARE_DOCS / F.col("_n")))
     counts = counts.select("_lang", (F.floor(share * (1 << 20)) + 1).alias("_below"))
-    chosen = known.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang"))
-    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(1 << 20)) < F.col("_below"))
+    chosen = known.join(F.broadcast(counts), F.col("lang") == F.col("_lang"))
+    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < F.col("_below"))
 
     def fit(batches):
         got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x)
@@ -145,7 +145,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((classes, net.p))], pa.binary())], ["net"])
 
     # The sample is bounded, so one task learns from it; the driver gets the network only.
-    rows = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = chosen.select("lang", "text")
     found = rows.repartition(1).mapInArrow(fit, "net binary").first()
     if found is None:
         return None

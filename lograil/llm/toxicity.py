@@ -358,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, id_c
     order = F.xxhash64(F.lit(9), F.col("_id").cast("string"))
     picked = known.filter("label = 1").orderBy(order, "_id").limit(train_each).union(known.filter("label = 0").orderBy(order, "_id").limit(2 * train_each))
     # At most 3 * train_each rows.
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("label", F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("label", "text")
 
     def fit(batches):
         got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (x or "").strip())

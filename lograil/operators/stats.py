@@ -65,10 +65,12 @@ def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = False,
     aggs = []
     for i, (name, kind) in enumerate(columns.items()):
         c, v = F.when(F.col("_ok"), F.col(f"_c{i}")), F.when(F.col("_ok"), F.col(f"_v{i}"))
-        q = [F.percentile_approx(v, p, 10_000) if kind in _PARSED and not exact else F.lit(None).cast("double") for _, p in QUANTILES]
+        q = [F.get(F.percentile_approx(v, [p for _, p in QUANTILES], 10_000), F.lit(j)) if kind in _PARSED and not exact else F.lit(None).cast("double") for j in range(len(QUANTILES))]
+        # Numbers are told apart as they are, without making text of them.
+        key = F.when(F.col("_ok"), F.col(name)) if isinstance(records.schema[name].dataType, T.NumericType) else distinct_key(c, kind)
         aggs.append(F.struct(
             F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("skipped"), F.count(c).alias("count"), F.count_if(F.col("_ok") & F.col(f"_c{i}").isNull()).alias("missing"), F.count(v).alias("numeric_count"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.approx_count_distinct(distinct_key(c, kind), 0.016), F.count(c)).alias("distinct_estimate"), *[x.alias(n) for x, (n, _) in zip(q, QUANTILES)],
+            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.approx_count_distinct(key, 0.016), F.count(c)).alias("distinct_estimate"), *[x.alias(n) for x, (n, _) in zip(q, QUANTILES)],
         ))
     out = d.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     if not exact:

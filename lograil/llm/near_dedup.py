@@ -9,9 +9,9 @@
    the depth is not enough to tell documents apart there: it is cut into blocks of neighbours in the sorted order, and
    all its documents are linked provisionally, so that nothing is lost.
 3. Components of these provisional links hold every true link but those that no order brought together (2 in 10,000
-   at a similarity of exactly 0.8). Inside each component, whole sets are compared; components of many shingles are cut
-   into blocks, and each pair of blocks is one group. A group stops comparing when all documents that could still be
-   linked are in one component, so groups of near copies cost about one comparison a document.
+   at a similarity of exactly 0.8). Inside each component, whole sets are compared. A component of many shingles is cut into blocks, each of which is compared with itself and with the
+   component's first set; sets that end up in the first set's cluster are done with each other, and only the rest are compared with all blocks. A group stops comparing when all documents
+   that could still be linked are in one component. So groups of near copies cost about one comparison a document, however large, and only unlike sets that the forest could not tell apart cost pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ TREES, DEPTH, LABEL = 16, 4, 8
 VALUES = TREES * DEPTH
 #: Documents of a region that are compared with each other by signature.
 REGION = 4096
-#: Shingles of a block of a provisional component; a group holds two blocks.
+#: Shingles of a block of a provisional component; a group holds a block, and the first set or a block of the rest.
 BLOCK = 1 << 20
 #: How far below the threshold a similarity estimated from 64 values may lie: four standard deviations.
 SLACK = 0.2
@@ -223,14 +223,31 @@ def near_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     over = ends.join(ends.groupBy("prefix").agg(F.min("src").alias("dst")), "prefix").select("src", "dst")
     near = components(found.filter("prefix is null").select("src", "dst").union(over), name="provisional")
     near = materialize(near.join(sets.select(F.col("id").alias("node"), "n"), "node").groupBy("node", "component").agg(F.max("n").alias("n")), "near")
-    blocks = near.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = near.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
     texts = docs.select(F.col("_row").alias("node"), F.col(text_col).cast("string").alias("text"))
-    # The same join at every size: members grow with the corpus, so they are never broadcast.
-    members = placed.hint("merge").join(texts, "node").select("grp", F.col("node").alias("id"), "text")
-    links = components(exact_links(members, shingle, percent), name="confirmed")
+
+    def confirmed(placed: DataFrame, name: str) -> DataFrame:
+        # The same join at every size: members grow with the corpus, so they are never broadcast.
+        members = placed.distinct().hint("merge").join(texts, "node").select("grp", F.col("node").alias("id"), "text")
+        return materialize(exact_links(members, shingle, percent), name)
+
+    # Blocks of each component, and the first set of the component in each of them.
+    blocks = near.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("node").alias("head"))
+    placed = near.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    grp = F.xxhash64("component", "own").alias("grp")
+    found = confirmed(placed.select("node", grp).union(placed.filter("blocks > 1").select(F.col("head").alias("node"), grp)), "own-links")
+    large = materialize(placed.filter("blocks > 1"), "large")
+    if not large.isEmpty():
+        # What is in the first set's cluster is linked already; only what is not, the rest, is compared with all blocks.
+        clusters = components(found, name="clusters")
+        large = large.join(clusters.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        heads = large.filter("node = head").select("component", F.col("cluster").alias("head_cluster"))
+        large = large.join(heads, "component").withColumn("rest", F.col("cluster") != F.col("head_cluster"))
+        sizes = large.filter("rest").groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+        large = materialize(large.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int")), "rest")
+        every = large.select("node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        rest = large.filter("rest").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "part")
+        found = found.union(confirmed(every.unionByName(rest).select("node", F.xxhash64("component", "own", "part").alias("grp")), "rest-links"))
+    links = components(found, name="confirmed")
     # The first row of a component; most sets are single and in no link.
     linked_sets = links.join(sets.select(F.col("id").alias("node"), "first"), "node")
     names = linked_sets.groupBy("component").agg(F.min("first").alias("least"))

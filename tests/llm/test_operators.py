@@ -130,6 +130,49 @@ def test_near_groups_of_a_star(spark):
     assert [r[0] for r in out] == [0]
 
 
+def test_near_groups_in_blocks(spark, monkeypatch):
+    """Components of many blocks: near copies of one text, sets that only share half with them, and links among these; against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 700)
+    monkeypatch.setattr(near_dedup, "SLACK", 0.8)  # all that shares a region is linked provisionally
+    r = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(70):
+        ws = list(base)
+        for x in r.integers(0, 120, 2 if k % 3 else 30):
+            ws[int(x)] = f"n{k % 3 == 0 and k // 9}q{x}"
+        rows.append((k, " ".join(ws)))
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    least = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) > 3
+
+
+def test_near_groups_find_what_all_pairs_find(spark):
+    """Every fourth text against all rows, by brute force: no link is lost, and none is made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    group = {x["doc_id"]: x["component_id"] for x in near_dedup.near_groups(docs, 5, 80).collect()}
+    sets = {}
+    for x in docs.collect():
+        w = words(x["text"])
+        sets[x["doc_id"]] = {hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)} if len(w) >= 5 else {hash(tuple(w))} if w else set()
+    links = lost = 0
+    for q in (i for i in sets if i % 4 == 0):
+        for i, s in sets.items():
+            if i != q and s and sets[q] and 100 * len(s & sets[q]) >= 80 * len(s | sets[q]):
+                links += 1
+                lost += group[i] != group[q]
+    assert links > 20 and lost == 0
+
+
 def brute_suffix(rows, n=100):
     seen, out = set(), {}
     for i, t in rows:

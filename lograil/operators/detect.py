@@ -6,11 +6,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lograil.functions import times
+from lograil.functions.kinds import let
 from lograil.operators import ingest, records
 
 SAMPLE, MIN_SCORE = 1000, 0.5
@@ -51,7 +52,7 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
     raw = F.col("raw")
     d = lines.filter(F.col("line_no") < sample).filter(F.length(F.trim("raw")) > 0)
     w3c = d.filter(raw.startswith("#Fields:")).groupBy("source").agg(F.min_by(F.size(F.split(F.trim(F.substring("raw", 9, 1 << 20)), r"\s+")), "line_no").alias("_w3c"))
-    d = d.filter(~raw.startswith("#") & ~records.is_continuation(raw)).join(F.broadcast(w3c), "source", "left")  # a number for each source
+    d = d.filter(~raw.startswith("#") & ~records.is_continuation(raw)).withColumn("raw", F.translate("raw", ingest.MARK, " ")).join(F.broadcast(w3c), "source", "left")  # a number for each source
     shape = lambda cells: F.array_join(F.transform(cells, lambda c: F.when(F.coalesce(c, F.lit("")) != "", "1").otherwise("0")), "")
     keys = lambda pairs: F.array_join(F.array_sort(F.map_keys(pairs)), " ")
     tokens = F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: ~t.startswith("="))
@@ -59,7 +60,12 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
     cells = lambda sep: F.split(F.regexp_replace("raw", '"(?:[^"]|"")*"', "q"), sep, -1)
     w3c_cells = F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " "))
     obj = F.from_json(raw, "map<string,string>")
-    grammar = lambda g: shape(ingest.groups_of(raw, g[0], len(g[1]), anchored=True))
+
+    def grammar(g) -> Column:
+        """The shape of the fields of a layout, from one match of the line: a mark for each, and a digit after it if it has a value."""
+        marked = F.regexp_replace(raw, "(?d)" + g[0], "".join(f"{ingest.MARK}${i}" for i in range(1, len(g[1]) + 1)))
+        return let(marked, lambda x: F.when(x.startswith(ingest.MARK), F.regexp_replace(x, f"{ingest.MARK}[^{ingest.MARK}]+", f"{ingest.MARK}1")))
+
     # format -> (number of fields where it tells lines apart, shape or null if the line is none of it, trust)
     one = F.lit(1)
     cand = {

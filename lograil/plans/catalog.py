@@ -305,7 +305,8 @@ def q_tail(spark, d):
     return records.tail(document_lines(spark, d), 3).select("source", "line_no", "raw")
 
 
-@query()
+@query("""select 'app-' || u || '.' || kind source, format, round(trust::double, 6) score from (select distinct user_id % 4 u from events), (values ('logfmt', 'logfmt', 0.97), ('jsonl', 'json_lines', 1.0), ('csv', 'csv', 0.85), ('access', 'access_combined', 1.0),
+('syslog_3164', 'syslog_3164', 1.0), ('syslog_5424', 'syslog_5424', 1.0), ('log4j', 'time_level_thread_logger:iso', 0.97)) v(kind, format, trust)""")
 def q_detect(spark, d):
     parts = [event_lines(spark, d, k).withColumn("source", F.concat(F.col("source"), F.lit(f".{k}"))) for k in ("logfmt", "jsonl", "csv", "access", "syslog_3164", "syslog_5424", "log4j")]
     lines = parts[0]

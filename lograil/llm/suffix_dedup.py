@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by partitioned suffix arrays.
 
-A byte is removed if a string of LENGTH bytes that covers it also starts earlier (smaller id, earlier row of the same id, or same row and earlier start).
+A byte is removed if a string of LENGTH bytes that covers it also starts earlier (smaller id, another row of the same id that comes before, or same row and earlier start).
 
 1. Of all suffixes, those at anchors are enough: an anchor of a string of LENGTH bytes is the place of its least 32-byte hash (the last, if
    tied), so equal strings have their anchors at the same place, and about every 35th suffix is one. A run of strings with one anchor is a record:
-   the lead (the 4 leading bytes at the anchor and a hash of the 32 leading ones), a hash of the run's bytes, document (id, number of the row), start, number of strings.
+   the lead (the 4 leading bytes at the anchor and a hash of the 32 leading ones), a hash of the run's bytes, document (id, digest of the text), start, number of strings.
 2. Splitters sampled from some documents range-partition the records by (lead, run, document, start), so that a passage that a
    third of the documents share spreads over partitions. Each partition is sorted. A record of an equal run further up (equal bytes and 96 equal hash bits) is a repeat
    as a whole. Other runs with the same leading bytes, and those that a partition's end may cut, need their bytes.
@@ -13,7 +13,7 @@ A byte is removed if a string of LENGTH bytes that covers it also starts earlier
 4. Repeats are gathered by document and cut out of the text.
 
 The texts are shuffled once; the two joins share that exchange. A null text is empty. Rows of a null id are returned whole and not compared. Rows that repeat an id are documents
-of their own, in the order of their numbers, which are written with the texts first. Other columns are ignored. A long text is read in parts of PART bytes; only the text itself must fit in a task.
+of their own, in the order of a digest of their texts; of equal rows, all but one are repeats as a whole. Other columns are ignored. A long text is read in parts of PART bytes; only the text itself must fit in a task.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.llm.common import BYTE_VALUES, WORD_FACTORS, Powers, chunks, materialize, mix, numbered, small_batches, text_buffers
+from lograil.llm.common import BYTE_VALUES, WORD_FACTORS, Powers, chunks, materialize, mix, small_batches, text_buffers
 
 LENGTH, LEAD, PLACE_BITS = 100, 32, 28
 #: About so many documents are sampled for splitters, and so many of their records at most come to the driver.
@@ -122,37 +122,40 @@ def matches(rows: DataFrame) -> DataFrame:
     """From sorted partitions: repeats as a whole (lead null), and runs that need their bytes (lead set)."""
 
     def run(batches):
-        held, first_lead, last = None, None, (None, None)
+        held, first_lead, last = None, None, None
         for b in batches:
-            if not b.num_rows:
+            cols = [np.asarray(b.column(c)) for c in ("lead", "run", "id", "row", "span")]
+            if last is not None:
+                cols = [np.concatenate([x, c]) for x, c in zip(last, cols)]
+            if not len(cols[0]):
                 continue
-            lead, whole, doc, span = (np.asarray(b.column(c)) for c in ("lead", "run", "row", "span"))
+            lead, whole, doc, row, span = cols
+            new = np.concatenate([[last is None], (lead[1:] != lead[:-1]) | (whole[1:] != whole[:-1])])
+            # Equal rows of docs have one key; their records are one.
+            own = np.concatenate([[last is None], new[1:] | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (span[1:] != span[:-1])])
             if first_lead is None:
                 first_lead = lead[0]
-            new = np.ones(len(lead), bool)
-            new[1:] = (lead[1:] != lead[:-1]) | (whole[1:] != whole[:-1])
-            new[0] = last != (lead[0], whole[0])
-            last = (lead[-1], whole[-1])
-            yield out(doc[~new], span[~new])
+            last = [c[-1:] for c in cols]
+            yield out(*(c[own & ~new] for c in (doc, row, span)))
             f = np.flatnonzero(new)
-            cols = [lead[f], whole[f], doc[f], span[f], lead[f] == first_lead]
+            cols = [lead[f], whole[f], doc[f], row[f], span[f], lead[f] == first_lead]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if len(cols[0]) > 1:
                 near = cols[0][1:] == cols[0][:-1]
-                cols[4][1:] |= near
-                cols[4][:-1] |= near
-            take = cols[4][:-1]
-            yield out(cols[2][:-1][take], cols[3][:-1][take], cols[0][:-1][take], cols[1][:-1][take])
+                cols[5][1:] |= near
+                cols[5][:-1] |= near
+            take = cols[5][:-1]
+            yield out(*(cols[i][:-1][take] for i in (2, 3, 4, 0, 1)))
             held = [c[-1:] for c in cols]
         if held is not None:
-            yield out(held[2], held[3], held[0], held[1])
+            yield out(*(held[i] for i in (2, 3, 4, 0, 1)))
 
-    def out(doc, span, *keys):
+    def out(doc, row, span, *keys):
         null = pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64()), *([pa.array(k) for k in keys] or [null] * 2)], ["row", "span", "lead", "run"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, row, span)), *([pa.array(k) for k in keys] or [null] * 2)], ["id", "row", "span", "lead", "run"])
 
-    return rows.mapInArrow(run, "row long, span long, lead long, run long")
+    return rows.mapInArrow(run, "id long, row long, span long, lead long, run long")
 
 
 def with_bytes(asked: DataFrame, length: int, splitters: Splitters) -> DataFrame:
@@ -223,6 +226,8 @@ def string_repeats(runs: DataFrame, length: int) -> DataFrame:
         shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         start = (span >> 24)[of] + shift
         first = np.lexsort((start, row[of], doc[of]))  # equal strings stay in this order
+        d, w, s = doc[of[first]], row[of[first]], start[first]
+        first = first[np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1])])]  # equal rows of docs are one
         of, start, lo = of[first], start[first], (base[of] + shift)[first]
         order, again = multikey_sorted(raw, lo, length)
         of, start, lo = of[order], start[order], lo[order]
@@ -232,10 +237,10 @@ def string_repeats(runs: DataFrame, length: int) -> DataFrame:
         edge = ~again & open_[of]
         # repeats as runs of neighbouring starts
         s, o = start[again], of[again]
-        order = np.lexsort((s, row[o]))
+        order = np.lexsort((s, row[o], doc[o]))
         s, o = s[order], o[order]
-        d = row[o]
-        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)])) if len(s) else np.zeros(0, int)
+        d, w = doc[o], row[o]
+        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (s[1:] > s[:-1] + 1)])) if len(s) else np.zeros(0, int)
         last_s = s[np.append(cut[1:], len(s)) - 1] if len(s) else s
         out_of, out_start = np.concatenate([o[cut], of[edge]]), np.concatenate([s[cut], start[edge]])
         strings = np.concatenate([last_s - s[cut] + 1, np.ones(edge.sum(), np.int64)])
@@ -259,7 +264,7 @@ def string_repeats(runs: DataFrame, length: int) -> DataFrame:
 
 
 def cut_out(docs: DataFrame, length: int) -> DataFrame:
-    """docs: (id, text, runs: array of (start, strings) or null). (id, n_bytes, n_removed, n_spans, kept: binary)."""
+    """docs: (id, text, nth, runs: array of (start, strings) or null). (id, n_bytes, n_removed, n_spans, kept: binary). Of equal rows, all but the first repeat it as a whole."""
 
     def run(batches):
         for b in batches:
@@ -268,10 +273,15 @@ def cut_out(docs: DataFrame, length: int) -> DataFrame:
             offsets = np.asarray(lists.offsets)
             start, strings = (np.asarray(x) for x in lists.flatten().flatten())
             sizes = np.diff(offsets) if len(offsets) > 1 else np.zeros(0, int)
-            begin = offsets - offsets[0]
+            begin, nth = offsets - offsets[0], np.asarray(b.column("nth"))
             removed, spans, kept = [], [], []
             for i in range(b.num_rows):
                 part = raw[bounds[i] : bounds[i + 1]]
+                if nth[i] > 1 and len(part) >= length:
+                    removed.append(len(part))
+                    spans.append(1)
+                    kept.append(b"")
+                    continue
                 if not sizes[i]:
                     removed.append(0)
                     spans.append(0)
@@ -288,7 +298,7 @@ def cut_out(docs: DataFrame, length: int) -> DataFrame:
                 kept.append(b"".join(part[x:y].tobytes() for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(part)])))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    rows = docs.select("id", "text", F.coalesce("runs", F.array().cast("array<struct<start:bigint,strings:bigint>>")).alias("runs"))
+    rows = docs.select("id", "text", "nth", F.coalesce("runs", F.array().cast("array<struct<start:bigint,strings:bigint>>")).alias("runs"))
     return rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
@@ -296,7 +306,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    every = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "suffix-texts").withColumnRenamed("_row", "row").select("id", "row", "text")
+    # A row is named by its id and a digest of its text, which the texts need not be written for; rows that have both in common are equal.
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     named = every.filter("id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, SPLIT_DOCS / max(named.count(), 1))
@@ -306,13 +317,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     keys = ("lead", "run", "id", "row", "span")
     rows = records(named, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions(*keys)
     found = materialize(matches(rows), "repeats")
-    asked = found.filter("lead is not null").groupBy("row").agg(F.collect_list(F.struct("lead", "run", "span")).alias("runs"))
-    asked = named.join(asked, "row").select("id", "row", "text", "runs")
+    key = ["id", "row"]
+    asked = found.filter("lead is not null").groupBy(*key).agg(F.collect_list(F.struct("lead", "run", "span")).alias("runs"))
+    asked = named.join(asked, key).select("id", "row", "text", "runs")
     runs = with_bytes(asked, length, splitters).repartitionById(parts, F.col("part")).sortWithinPartitions("lead", "id", "row", "span")
     # Firsts of open strings meet by their bytes, all other rows alone. One plan to the end, so that both joins share one exchange of the texts.
-    alone = F.when(F.col("string").isNull(), F.xxhash64("row", "start"))
-    strings = string_repeats(runs, length).withColumn("nth", F.row_number().over(W.partitionBy("string", alone).orderBy("id", "row", "start"))).filter("string is null or nth > 1").select("row", "start", "strings")
-    repeats = found.filter("lead is null").select("row", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings)
-    repeats = repeats.groupBy("row").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
-    out = cut_out(named.join(repeats, "row", "left"), length).union(cut_out(every.filter("id is null").withColumn("runs", F.lit(None)), length))
+    alone = F.when(F.col("string").isNull(), F.xxhash64("id", "row", "start"))
+    place = F.struct("id", "row", "start")
+    strings = string_repeats(runs, length).withColumn("first", F.min(place).over(W.partitionBy("string", alone))).filter(F.col("string").isNull() | (place != F.col("first")))
+    repeats = found.filter("lead is null").select("id", "row", F.shiftright("span", 24).alias("start"), F.col("span").bitwiseAND(F.lit((1 << 24) - 1)).alias("strings")).union(strings.select("id", "row", "start", "strings"))
+    repeats = repeats.groupBy(*key).agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
+    # The window needs the exchange that the join needs.
+    copies = named.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("id")))
+    out = cut_out(copies.join(repeats, key, "left"), length).union(cut_out(every.filter("id is null").select("*", F.lit(1).alias("nth"), F.lit(None).alias("runs")), length))
     return out.withColumnRenamed("id", "doc_id")

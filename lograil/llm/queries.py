@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograil.llm import fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from lograil.llm import alignment, fingerprints, langid, line_dedup, mixing, near_dedup, packing, phrases, quality, simhash, suffix_dedup, toxicity, warc
 from lograil.llm.common import shared_dir
 
 
@@ -72,8 +72,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_docs(spark, sf_dir), size=3, radius=3)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_docs(spark, sf_dir), least=100, longest=5, percent=100, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_near_dedup, op3_suffix_dedup, op4_packing, op5_warc, op6_toxicity, op7_mixing, op8_quality, op9_line_dedup, op10_language)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_near_dedup, op3_suffix_dedup, op4_packing, op5_warc, op6_toxicity, op7_mixing, op8_quality, op9_line_dedup, op10_language, op11_simhash, op12_alignment, op13_phrases)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -176,6 +188,20 @@ heads as (select page_id, payload_bytes, {_LETTERS} payload_digest, max(page_id)
 select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end record_type, case when page_id <> top then top end refers_to from heads
 """
 
+_OP13 = r"""
+with pieces as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') w from pieces),
+totals as (select lang, sum(len(w))::hugeint n from words group by 1),
+grams as (select lang, k, array_to_string(w[i : i + k - 1], ' ') phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from words, range(1, 6) t(k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*)::hugeint f from grams group by 1, 2, 3 having count(*) >= 100),
+longer as (select lang, k - 1 k, array_to_string(string_split(phrase, ' ')[o : o + k - 2], ' ') phrase, max(f) top from f, (values (1), (2)) v(o) where k > 2 group by 1, 2, 3),
+cand as (select f.lang, f.k, f.phrase, f.f a, n from f join totals using (lang) left join longer on longer.lang = f.lang and longer.k = f.k and longer.phrase = f.phrase where f.k > 1 and (top is null or 100 * top < 100 * f.f)),
+cuts as (select cand.*, c, x.f l, y.f r, (1000 * a * n) // (x.f * y.f) score from cand, range(1, 5) t(c), f x, f y
+  where c < cand.k and x.lang = cand.lang and x.phrase = array_to_string(string_split(cand.phrase, ' ')[1 : c], ' ') and y.lang = cand.lang and y.phrase = array_to_string(string_split(cand.phrase, ' ')[c + 1 : cand.k], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score from best qualify rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2, "op3_suffix_dedup": _OP3, "op5_warc": _OP5, "op7_mixing": _OP7, "op8_quality": _OP8, "op9_line_dedup": _OP9}
+    return {"op2_near_dedup": _OP2, "op3_suffix_dedup": _OP3, "op5_warc": _OP5, "op7_mixing": _OP7, "op8_quality": _OP8, "op9_line_dedup": _OP9, "op13_phrases": _OP13}

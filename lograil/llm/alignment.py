@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from lograil.llm.common import gathered, materialize, small_batches, text_buffers
 
 #: Bytes of text of a batch.
-BATCH = 8 << 20
+BATCH = 1 << 20
 #: Segments, and characters in them, that a worker remembers with their ids; it forgets all before it learns more. Segments encoded as one text.
-REMEMBERED, REMEMBERED_BYTES, RUN = 1_000_000, 16 << 20, 256
+REMEMBERED, REMEMBERED_BYTES, RUN = 200_000, 4 << 20, 256
 BLANK_PIECE = "▁"
 #: A pair (a, b) is a * PAIR + b.
 PAIR = 1 << 32

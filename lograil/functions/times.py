@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A timestamp is looked for in so many characters of a line.
+#: A timestamp is looked for in so many bytes of a line.
 SCAN = 512
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
@@ -25,6 +26,10 @@ def _clock(date: Column, text: Column) -> Column:
     return F.concat_ws(" ", date, text).try_cast("timestamp")
 
 
+#: What must stand before an epoch: the line's start, a bracket, or a key of a time.
+AFTER_KEY = r"(?<=^|[\[(]|ts=|time=)"
+
+
 #: Name -> (pattern, expression of the matched text and the reference date). In the order in which ties are decided.
 FORMATS = {
     "iso": (rf"{_ISO}(?:\.\d{{1,9}})?{_ZONE}(?!,\d)", lambda t, ref: _iso(t)),
@@ -36,10 +41,10 @@ FORMATS = {
     "syslog": (rf"(?:{MONTHS}) [ \d]\d \d{{2}}:\d{{2}}:\d{{2}}", lambda t, ref: _syslog(t, ref)),
     "us": (r"\d{1,2}/\d{1,2}/\d{4},? \d{1,2}:\d{2}:\d{2} (?:AM|PM)", lambda t, ref: F.try_to_timestamp(F.regexp_replace(t, ",", ""), F.lit("M/d/yyyy h:mm:ss a"))),
     "time": (r"\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?", lambda t, ref: _clock(ref.cast("string"), F.regexp_replace(F.regexp_replace(t, ",", "."), r"(\.\d{6})\d+", "$1"))),
-    "epoch_ns": (r"(?<=^|[\[(]|ts=|time=)\d{19}", lambda t, ref: F.timestamp_micros((t.try_cast("decimal(20,0)") / 1000).cast("long"))),
-    "epoch_us": (r"(?<=^|[\[(]|ts=|time=)\d{16}", lambda t, ref: F.timestamp_micros(t.try_cast("long"))),
-    "epoch_ms": (r"(?<=^|[\[(]|ts=|time=)\d{13}", lambda t, ref: F.timestamp_millis(t.try_cast("long"))),
-    "epoch_s": (r"(?<=^|[\[(]|ts=|time=)\d{10}(?:\.\d{1,9})?", lambda t, ref: F.timestamp_micros((t.try_cast("decimal(20,9)") * 1000000).cast("long"))),
+    "epoch_ns": (AFTER_KEY + r"\d{19}", lambda t, ref: F.timestamp_micros((t.try_cast("decimal(20,0)") / 1000).cast("long"))),
+    "epoch_us": (AFTER_KEY + r"\d{16}", lambda t, ref: F.timestamp_micros(t.try_cast("long"))),
+    "epoch_ms": (AFTER_KEY + r"\d{13}", lambda t, ref: F.timestamp_millis(t.try_cast("long"))),
+    "epoch_s": (AFTER_KEY + r"\d{10}(?:\.\d{1,9})?", lambda t, ref: F.timestamp_micros((t.try_cast("decimal(20,9)") * 1000000).cast("long"))),
 }
 
 
@@ -65,20 +70,54 @@ def cell_instant(c: Column) -> Column:
     return F.coalesce(*out)
 
 
+#: Formats that name a date, and those that are looked for only where none of these is found.
+DATED, UNDATED = tuple(FORMATS)[:8], tuple(FORMATS)[8:]
+
+
+def _any_of(names: Sequence[str]) -> str:
+    """Any of some formats; the leftmost match wins, at one place the first format."""
+    return _bounded("(?:" + "|".join(FORMATS[n][0] for n in names) + ")")
+
+
+def head_of(raw: Column) -> Column:
+    """The first bytes of a line in which timestamps are looked for. A character that the cut splits is no part of a timestamp."""
+    return F.when(F.octet_length(raw) <= SCAN, raw).when(F.octet_length(raw) == F.length(raw), F.substring(raw, 1, SCAN)).otherwise(F.substring(raw.cast("binary"), 1, SCAN).cast("string"))
+
+
+def stamp_text(raw: Column) -> Column:
+    """The first timestamp of a line as text: the earliest match among the formats with a date, else of time of day and epochs. One scan of the line, a second one where no date is found; null for none."""
+    from lograil.functions.kinds import let
+
+    found = lambda head, names: F.nullif(F.regexp_extract(head, _any_of(names), 0), F.lit(""))
+    return let(head_of(raw), lambda head: F.coalesce(found(head, DATED), found(head, UNDATED)))
+
+
+def text_format(text: Column) -> Column:
+    """The name of the format that a timestamp's text is written in; null for none."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, (pattern, _) in FORMATS.items():
+        out = out.when(text.rlike(f"^(?:{pattern})$"), name)
+    return out
+
+
 def line_format(raw: Column) -> Column:
-    """The name of the first timestamp's format in a line: the earliest match among the formats with a date, else time of day or epoch; null for none."""
-    head = F.substring(raw, 1, SCAN)
-    found = [F.struct(F.nullif(F.regexp_instr(head, F.lit(_bounded(p))), F.lit(0)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, (p, _)) in enumerate(FORMATS.items())]
-    strong = F.array_min(F.filter(F.array(*found[:8]), lambda x: x["at"].isNotNull()))
-    weak = F.array_min(F.filter(F.array(*found[8:]), lambda x: x["at"].isNotNull()))
-    return F.coalesce(strong["name"], weak["name"])
+    """The name of the first timestamp's format in a line; null for none."""
+    from lograil.functions.kinds import let
+
+    return let(stamp_text(raw), text_format)
+
+
+def read_text(text: Column, name: Column, reference_date: Column | str = "2024-12-31") -> Column:
+    """The instant of a timestamp's text in a format."""
+    ref = F.lit(reference_date).cast("date") if isinstance(reference_date, str) else reference_date
+    return F.coalesce(*[F.when(name == n, read(text, ref)) for n, (_, read) in FORMATS.items()])
 
 
 def read_as(raw: Column, name: str, reference_date: Column | str = "2024-12-31") -> Column:
     """The first timestamp of one format in a line."""
     ref = F.lit(reference_date).cast("date") if isinstance(reference_date, str) else reference_date
     pattern, read = FORMATS[name]
-    text = F.regexp_extract(F.substring(raw, 1, SCAN), _bounded(f"({pattern})"), 1)
+    text = F.regexp_extract(head_of(raw), _bounded(f"({pattern})"), 1)
     return F.when(text != "", read(text, ref))
 
 
@@ -86,8 +125,8 @@ def line_instant(raw: Column, learned: str | None = None, reference_date: str =
     """The first timestamp of a line: the learned format first, then all. Zone-less text is read in tz."""
     from lograil.functions.kinds import let
 
-    by_name = let(line_format(raw), lambda name: F.coalesce(*[F.when(name == n, read_as(raw, n, reference_date)) for n in FORMATS]))
-    at = F.coalesce(read_as(raw, learned, reference_date), by_name) if learned else by_name
+    found = let(stamp_text(raw), lambda text: let(text_format(text), lambda name: read_text(text, name, reference_date)))
+    at = F.coalesce(read_as(raw, learned, reference_date), found) if learned else found
     return at if tz == "UTC" else F.to_utc_timestamp(at, tz)
 
 
@@ -99,7 +138,8 @@ def record_time(cell: Column, raw: Column, learned: str | None = None, reference
 def learn_formats(lines: DataFrame, sample: int = 1000) -> DataFrame:
     """(source, format): the format of most of the first lines of each source; ties go to the earlier format. Text that is no valid instant does not vote."""
     order = F.create_map(*[x for i, n in enumerate(FORMATS) for x in (F.lit(n), F.lit(i))])
-    votes = lines.filter(F.col("line_no") < sample).withColumn("format", line_format(F.col("raw"))).filter(line_instant(F.col("raw")).isNotNull())
+    votes = lines.filter(F.col("line_no") < sample).select("source", stamp_text(F.col("raw")).alias("text")).withColumn("format", text_format(F.col("text")))
+    votes = votes.filter(read_text(F.col("text"), F.col("format")).isNotNull())
     votes = votes.groupBy("source", "format").count()
     return votes.groupBy("source").agg(F.max_by("format", F.struct("count", -F.element_at(order, F.col("format")))).alias("format"))
 

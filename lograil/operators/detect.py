@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.functions import times
+from lograil.functions import kinds, times
 from lograil.functions.kinds import let
 from lograil.operators import ingest, records
 
@@ -20,27 +20,56 @@ DELIMITED = {"csv": ",", "tsv": "\t", "psv": r"\|", "ssv": ";"}
 
 # How much a format of each kind is trusted.
 TRUST = {"logfmt": 0.97, "delimited": 0.85}
+#: Layouts of text lines: the kinds of their first parts (T a time, L a level, B something in brackets, G a logger's name), their fields, and their trust (a fixed value).
 LAYOUTS = {
-    "time_level_message": (("ts", "level", "msg"), 0.95), "time_level_thread_message": (("ts", "level", "thread", "msg"), 0.96), "time_level_thread_logger": (("ts", "level", "thread", "logger", "msg"), 0.97),
-    "time_thread_level_logger": (("ts", "thread", "level", "logger", "msg"), 0.97), "level_time_message": (("level", "ts", "msg"), 0.9), "time_message": (("ts", "msg"), 0.6),
+    "time_level_message": ("TL", ("ts", "level", "msg"), 0.95), "time_level_thread_message": ("TLB", ("ts", "level", "thread", "msg"), 0.96), "time_level_thread_logger": ("TLBG", ("ts", "level", "thread", "logger", "msg"), 0.97),
+    "time_thread_level_logger": ("TBLG", ("ts", "thread", "level", "logger", "msg"), 0.97), "level_time_message": ("LT", ("level", "ts", "msg"), 0.9), "time_message": ("T", ("ts", "msg"), 0.6),
 }
-_CLOCK, _FRACTION, _OFFSET = "[0-9]{2}:[0-9]{2}:[0-9]{2}", "(?:[.,][0-9]+)?", "(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
-#: Times that a line of text may begin with.
-STAMPS = {
-    "iso": f"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]{_CLOCK}{_FRACTION}{_OFFSET}", "slashed": f"[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}} {_CLOCK}{_FRACTION}", "day_first": f"[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} {_CLOCK}{_FRACTION}",
-    "syslog": f"(?:{times.MONTHS}) [ 0-9][0-9] {_CLOCK}", "clock": _CLOCK + _FRACTION, "epoch": r"[0-9]{10,13}(?:\.[0-9]+)?",
+#: Families of times that a text line's parts are told by: the formats that times are read in,
+#: and dates with the day first, where they are no others.
+FAMILIES = {
+    "iso": ("iso", "iso_comma"), "slashed": ("slashed",), "compact": ("compact",), "apache": ("apache",), "rfc2822": ("rfc2822",), "us": ("us",), "syslog": ("syslog",), "clock": ("time",), "epoch": ("epoch_ns", "epoch_us", "epoch_ms", "epoch_s"),
 }
-_LEVEL = "(?i:trace|debug|info|notice|warn|warning|error|err|fatal|crit|critical|severe)"
+DAY_FIRST = r"[0-9]{2}[/.][0-9]{2}[/.][0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?"
+#: Characters of a line in which its first parts are looked for, and how many parts are told apart.
+HEAD, PARTS = 256, 8
 
 
-def layout_pattern(stamp: str, fields: Sequence[str]) -> tuple[str, Sequence[str]]:
-    """A line of text with these fields: time and level may be in brackets, a thread is, a logger ends with a dash or colon; a lone dash, bar or colon may follow the time before a level."""
-    out = "^"
-    for i, f in enumerate(fields):
-        after = fields[i + 1] if i + 1 < len(fields) else None
-        gap = r"\s+(?:[-|:]\s+)?" if (f, after) == ("ts", "level") else r"\b:?\s+" if (f, after) == ("level", "msg") and i else r"\s+"
-        out += {"ts": rf"\[?({stamp})\]?", "level": rf"\[?({_LEVEL})\]?", "thread": r"\[([^\]]*)\]", "logger": r"([^\s\[\]:]+)\s+[-:]", "msg": "(.*)"}[f] + (gap if after else "$")
-    return out, fields
+def _stamps() -> dict[str, str]:
+    """A pattern for each family of times."""
+    bare = lambda n: times.FORMATS[n][0].removeprefix(times.AFTER_KEY)
+    return {family: "|".join(bare(n) for n in sorted(names, key=lambda n: -len(bare(n)))) for family, names in FAMILIES.items()} | {"day_first": DAY_FIRST}
+
+
+def line_parts(raw: Column) -> Column:
+    """struct(family, code, filled) of a text line: the family of the time that it begins with, perhaps behind a level, the kinds of its first parts, and for each whether it has a value.
+
+    The time is found first and stands for one part. Then the line is read part by part: in brackets, or up to a blank. A part is a level (L), something else in brackets (B),
+    a lone sign (S), a word with a colon or a lone sign behind it (G, a logger), or another word (W). Signs are left out but for what they say of the word before.
+    """
+    stamps = _stamps()
+    # The time stands at the line's start, in brackets or not, or behind a first word.
+    head = F.translate(F.substring(raw, 1, HEAD), _TIME[0], " ")
+    where = "^((?:[\\[(]?[A-Za-z]+[\\])]?:?[ \\t]+)?)[\\[(]?"
+    marked = F.coalesce(*[F.when(head.rlike(f"{where}(?:{p})(?![\\w:/])"), F.concat(F.lit(f"{family} "), F.regexp_replace(head, f"{where}(?:{p})(?![\\w:/])[\\])]?", "$1" + _TIME))) for family, p in stamps.items()])
+
+    def read(text: Column) -> Column:
+        tokens = F.slice(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]?|\([^)]*\)?|[^\s\[(]+"), F.lit(0)), 1, PARTS)  # the first one is the family's name
+        inner = lambda t: F.trim(F.regexp_replace(t, r"^[\[(]|[\])]$", ""))
+        kind = lambda t: (
+            F.when(t == _TIME, "T").when((F.length(t) > 2) & kinds.level_rank(F.rtrim(inner(t), F.lit(":"))).isNotNull(), "L").when(t.rlike(r"^[\[(]"), "B").when(t.rlike(r"^[-|:]+$"), "S").when(t.endswith(":"), "G").otherwise("W")
+        )
+        return let(F.slice(tokens, 2, PARTS), lambda ts: F.struct(F.get(tokens, F.lit(0)).alias("family"), F.array_join(F.transform(ts, kind), "").alias("code"), F.array_join(F.transform(ts, lambda t: F.when(inner(t) == "", "0").otherwise("1")), "").alias("filled")))
+
+    def tidy(x: Column) -> Column:
+        """A word before a lone sign is a logger; a sign is no part, and what is behind the parts is the message."""
+        code = F.regexp_replace(x["code"], "WS", "G")
+        return F.struct(x["family"].alias("family"), F.regexp_replace(code, "S", "").alias("code"), x["filled"].alias("filled"))
+
+    return let(let(marked, lambda m: F.when(m.isNotNull(), read(m))), lambda x: F.when(x.isNotNull(), tidy(x)))
+
+
+_TIME = "\u0001T"
 
 
 def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -75,9 +104,14 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
         "logfmt": (one, F.when((n_pairs >= 2) & (2 * n_pairs >= F.size(tokens)), keys(ingest.logfmt_pairs(raw))), TRUST["logfmt"]),
         **{n: (F.size(cells(sep)), F.when(F.size(cells(sep)) >= 2, shape(cells(sep))), TRUST["delimited"]) for n, sep in DELIMITED.items()},
     }
-    for stamp, pattern in STAMPS.items():
-        for name, (fields, trust) in LAYOUTS.items():
-            cand[f"{name}:{stamp}"] = (one, grammar(layout_pattern(pattern, fields)), trust)
+    parts = F.col("_parts")
+    for family in _stamps():
+        for name, (code, fields, trust) in LAYOUTS.items():
+            # The shape: a thread may be empty in its brackets, and a message missing.
+            empty = F.when(parts["filled"].substr(code.index("B") + 1, 1) == "0", "0").otherwise("1") if "B" in code else F.lit("")
+            message = F.when(F.length(parts["code"]) > len(code), "1").otherwise("0")
+            cand[f"{name}:{family}"] = (one, F.when((parts["family"] == family) & parts["code"].startswith(code), F.concat(empty, message)), trust)
+    d = ingest.parsed_once(d, _parts=line_parts(raw))
     x = F.explode(F.array(*[F.struct(F.lit(n).alias("format"), k.alias("fields"), s.alias("shape"), F.lit(t).alias("trust")) for n, (k, s, t) in cand.items()])).alias("x")
     rows = d.select("source", x).select("source", "x.*")
     shapes = rows.groupBy("source", "format", "trust", "fields", "shape").agg(F.count("*").alias("n"))

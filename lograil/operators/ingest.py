@@ -19,38 +19,28 @@ from lograil.functions.times import MONTHS
 from lograil.sources.lines import parseable
 
 
-def _grammar(*parts: tuple[str, str | None] | str) -> tuple[str, tuple[str, ...]]:
-    """A pattern and its field names from the parts of a layout: (text with one {}, name and body of the field in its place), or plain text."""
-    text, names = "", []
-    for p in parts:
-        if isinstance(p, str):
-            text += p
-        else:
-            around, name, body = p
-            text += around.replace("{}", f"({body})")
-            names.append(name)
-    return f"^{text}$", tuple(names)
-
-
-# Syslog after RFC 3164 (4.1: PRI, TIMESTAMP, HOSTNAME, then TAG and CONTENT in MSG; PRI may be missing, as relays drop it) and RFC 5424 (6: HEADER,
-# STRUCTURED-DATA, optional MSG; a field without value is NILVALUE). Fields of the header hold no blank; data elements escape quote, backslash and bracket.
-_PRI, _WORD, _REST = "[0-9]{1,3}", "[^ ]+", ".*"
-_STAMP = f"(?:{MONTHS}) (?:[ 0-3][0-9]) " + ":".join(["[0-9]{2}"] * 3)
-SYSLOG_3164 = _grammar(("(?:<{}>)?", "pri", _PRI), ("{} ", "ts", _STAMP), ("{} ", "host", _WORD), ("{}", "tag", "[^ :\\[\t]+"), ("(?:\\[{}\\])?", "pid", "[0-9]+"), ":? ?", ("{}", "msg", _REST))
-_ELEMENT = "\\[(?:[^\\]\\\\]|\\\\.)*\\]"
-SYSLOG_5424 = _grammar(
-    ("<{}>", "pri", _PRI), ("{} ", "version", "[1-9][0-9]?"), *(("{} ", n, _WORD) for n in ("ts", "host", "app", "procid", "msgid")), ("{}", "sd", f"-|(?:{_ELEMENT})+"), ("(?: {})?", "msg", _REST)
-)
+# RFC 5424, section 6, rule by rule. The PARAM-VALUE of a parameter holds quote, backslash and closing bracket only behind a backslash.
+_PRINTABLE = "[!-~]"
+_NAME = '[!-~&&[^="\\]]]{1,32}'
+_DATE_TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\\.[0-9]{1,6})?(?:Z|[+-][0-9]{2}:[0-9]{2})"
+_PARAM = rf'{_NAME}="(?:[^"\\\]]|\\.)*+"'
+_ELEMENT = rf"\[{_NAME}(?: {_PARAM})*+\]"
+SYSLOG_5424 = (
+    rf"^<([0-9]{{1,3}})>([1-9][0-9]{{0,2}}) (-|{_DATE_TIME}) ({_PRINTABLE}{{1,255}}) ({_PRINTABLE}{{1,48}}) ({_PRINTABLE}{{1,128}}) ({_PRINTABLE}{{1,32}}) (-|(?:{_ELEMENT})++)(?: (.*))?$",
+    ("pri", "version", "ts", "host", "app", "procid", "msgid", "sd", "msg"),
+)
+# RFC 3164, section 4.1. Relays drop the PRI. A TAG is a program's name, which also holds signs nowadays, and a process id; a colon, a blank or the line's end is behind it.
+_MONTH_DAY = f"(?:{MONTHS}) (?: [1-9]|[0-3][0-9])"
+_PROGRAM = "[!-~&&[^:\\[\\]]]+"
+SYSLOG_3164 = (rf"^(?:<([0-9]{{1,3}})>)?({_MONTH_DAY} [0-2][0-9]:[0-5][0-9]:[0-6][0-9]) ({_PRINTABLE}+) ({_PROGRAM})(?:\[([0-9]+)\])?(?:: ?| |$)(.*)$", ("pri", "ts", "host", "tag", "pid", "msg"))
 
 # The common log format, and the combined one: two more quoted fields; servers may append others. In quotes, a backslash escapes. A request line that is
 # not "METHOD target [protocol]" is skipped as a whole; its three fields are then missing.
-_QUOTED = '[^"\\\\]*(?:\\\\.[^"\\\\]*)*'
-_COMMON_PARTS = (
-    ("{} ", "remote", _WORD), ("{} ", "ident", _WORD), ("{} ", "user", _WORD), ("\\[{}\\] ", "ts", "[^\\]]+"),
-    ('"(?:{}', "method", "[A-Z]+"), (" {}", "path", '[^ "]+'), ("(?: {})?", "proto", '[^"]*'), f'|{_QUOTED})" ', ("{} ", "status", "[0-9]{3}"), ("{}", "size", "[0-9]+|-"),
-)
-ACCESS_COMMON = _grammar(*_COMMON_PARTS)
-ACCESS_COMBINED = _grammar(*_COMMON_PARTS, (' "{}"', "referer", _QUOTED), (' "{}"', "agent", _QUOTED), f"(?: {_REST})?")
+_QUOTED = r'[^"\\]*(?:\\.[^"\\]*)*'
+_COMMON = rf'^([^ ]+) ([^ ]+) ([^ ]+) \[([^\]]+)\] "(?:([A-Z]+) ([^ "]+)(?: ([^"]*))?|{_QUOTED})" ([0-9]{{3}}) ([0-9]+|-)'
+_COMMON_NAMES = ("remote", "ident", "user", "ts", "method", "path", "proto", "status", "size")
+ACCESS_COMMON = (f"{_COMMON}$", _COMMON_NAMES)
+ACCESS_COMBINED = (rf'{_COMMON} "({_QUOTED})" "({_QUOTED})"(?: .*)?$', (*_COMMON_NAMES, "referer", "agent"))
 
 
 def parsed_once(lines: DataFrame, **columns: Column) -> DataFrame:
@@ -103,6 +93,15 @@ def syslog_5424(lines: DataFrame) -> DataFrame:
     return by_pattern(lines, *SYSLOG_5424, anchored=True)
 
 
+def structured_data(sd: Column) -> Column:
+    """The parameters of RFC 5424 elements as a map of `id.name` to value, escapes undone; the first of a name wins. Null for none."""
+    element = lambda e: F.transform(
+        F.regexp_extract_all(e, F.lit(_PARAM), F.lit(0)),
+        lambda p: F.struct(F.concat(F.regexp_extract(e, rf"^\[({_NAME})", 1), F.lit("."), F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_extract(p, '(?s)^[^=]*="(.*)"$', 1), r'\\(["\\\]])', "$1").alias("value")),
+    )
+    return F.when(sd.startswith("["), first_of_keys(F.flatten(F.transform(F.regexp_extract_all(sd, F.lit(_ELEMENT), F.lit(0)), element))))
+
+
 def access(lines: DataFrame, combined: bool = True) -> DataFrame:
     """Web access lines; a malformed request leaves method, path and proto null."""
     out = by_pattern(lines, *(ACCESS_COMBINED if combined else ACCESS_COMMON), anchored=True)
@@ -163,8 +162,32 @@ def delimited(lines: DataFrame, columns: Sequence[str], delimiter: str = ",", ha
     return _fields(lines, ok, {n: F.col(f"_row.c{i}") for i, n in enumerate(names)}).drop("_row")
 
 
+def csv_cells(raw: Column, delimiter: str = ",") -> Column:
+    """The cells of a delimited line as an array: quotes taken off, doubled ones halved. Null if the quotes are not right."""
+    sep = re.escape(delimiter)
+    cell = rf'{sep}(?:"(?:[^"]|"")*+"|[^"{sep}]*+)'
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), raw), F.lit(cell), F.lit(0))
+    bare = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    whole = lambda cs: F.aggregate(cs, F.lit(0), lambda n, c: n + F.length(c)) == F.length(raw) + len(delimiter)
+    return let(found, lambda cs: F.when(whole(cs), F.transform(cs, lambda c: bare(F.substring(c, len(delimiter) + 1, 1 << 30)))))
+
+
+def headed(lines: DataFrame, delimiter: str = ",") -> DataFrame:
+    """lines with is_record and fields, a map of column names to cells, for sources whose first lines name their columns, each in its own way.
+
+    Header lines are one row for each source and meet the lines in one join, so all sources are read in one plan. Empty names are col1, col2, ..., of repeated ones the first cell counts; a line of another number of cells is no record,
+    nor is a header. Empty cells are absent.
+    """
+    cells = csv_cells(parseable(F.col("raw")), delimiter)
+    heads = lines.filter("line_no = 0").select(F.col("source").alias("_source"), F.transform(cells, lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("col"), i + 1)).otherwise(F.trim(c))).alias("_names"))
+    d = parsed_once(lines, _cells=cells).join(heads, F.col("source") == F.col("_source"), "left")
+    ok = F.coalesce((F.col("line_no") > 0) & (F.col("raw") != "") & (F.size("_cells") == F.size("_names")), F.lit(False))
+    entries = F.filter(F.arrays_zip(F.col("_names").alias("key"), F.col("_cells").alias("value")), lambda e: e["value"] != "")
+    return d.withColumn("is_record", ok).withColumn("fields", F.when(F.col("is_record"), first_of_keys(entries))).drop("_source", "_names", "_cells")
+
+
 def header_names(lines: DataFrame, delimiter: str = ",") -> dict[str, list[str]]:
-    """Column names of each source from its first line, quotes taken off and doubled ones halved: one row for each source comes to the driver."""
+    """Column names of each source from its first line, for a few sources: one row for each source comes to the driver. headed reads any number of sources."""
     heads = lines.filter("line_no = 0").select("source", "raw")
     return {r["source"]: unique_names(next(csv.reader([r["raw"] or ""], delimiter=delimiter), [""])) for r in heads.toLocalIterator()}
 
@@ -184,7 +207,7 @@ def w3c_fields(lines: DataFrame) -> DataFrame:
 
 
 # A key, and its value after =: in quotes with escapes (to the line's end if they are not closed), or up to a blank.
-_PAIR = r'(?=\S)[^\s=]*+(?:=(?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)|\S*+))?+'
+_PAIR = r'(?=\S)[^\s=]*+(?:=(?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?$)|\S*+))?+'
 
 
 def first_of_keys(entries: Column) -> Column:
@@ -202,9 +225,12 @@ def logfmt_pairs(raw: Column) -> Column:
 
 
 def _unquoted(v: Column) -> Column:
+    """A value without its quotes, escapes undone from left to right: what stands behind a backslash is a line break, tab or return, or itself. Most values hold none."""
     body = F.regexp_replace(F.substring(v, 2, 1 << 30), r'(?<!\\)((?:\\\\)*)"$', "$1")
-    text = F.replace(F.replace(F.replace(F.regexp_replace(body, r"\\\\", "\u0001"), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit("\\r"), F.lit("\r"))
-    return F.when(v.startswith('"'), F.translate(F.regexp_replace(text, r"\\(.)", "$1"), "\u0001", "\\")).otherwise(v)
+    # Parts that begin with a backslash, and what stands before the first one.
+    part = lambda p: F.when(~p.startswith("\\"), p).when(F.length(p) == 1, p).otherwise(F.concat(F.translate(F.substring(p, 2, 1), "ntr", "\n\t\r"), F.substring(p, 3, 1 << 30)))
+    undone = lambda b: F.array_join(F.transform(F.regexp_extract_all(b, F.lit(r"(?s)\\.[^\\]*|[^\\]+|\\"), F.lit(0)), part), "")
+    return F.when(~v.startswith('"'), v).when(F.contains(v, F.lit("\\")), undone(body)).otherwise(F.when(v.endswith('"') & (F.length(v) > 1), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.substring(v, 2, 1 << 30)))
 
 
 def _open(lines: DataFrame, pairs: Column, ok: Column, columns: Sequence[str]) -> DataFrame:

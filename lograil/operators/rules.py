@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograil.functions import predicates as P
 from lograil.functions.kinds import LEVEL_SPELLINGS
+from lograil.operators import blocked, records
+from lograil.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -92,23 +96,34 @@ def _hex(*lengths: int) -> list[str]:
 
 
 _OCTET, _GROUP = up_to(255), "[0-9a-fA-F]{1,4}"
-_TWO = "[0-9]{2}"
 _METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH")
+# RFC 3339, section 5.6, whose dates stand alone too. Logs write a blank for the T and a comma for the fraction's dot, and leave out the offset.
+_FULL_DATE = "[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
+_HOUR_MINUTE = "(?:[01][0-9]|2[0-3]):[0-5][0-9]"
+_FULL_TIME = rf"{_HOUR_MINUTE}:(?:[0-5][0-9]|60)(?:[.,][0-9]+)?(?: ?(?:[Zz]|[+-]{_HOUR_MINUTE}))?"
+# Numbers as JSON has them, leading zeros allowed, and hexadecimal ones. A unit may follow, a further letter or dot may not precede.
+_NUMBER = "0[xX][0-9a-fA-F]+|[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+\\b)?"
+# Java: packages, then a class name that ends as those of throwables do, inner ones behind $ (JLS, section 6.1). Python's exceptions are named alike.
+_PACKAGES = "(?:[a-z_][a-zA-Z0-9_]*\\.)*"
+_THROWABLE = r"[A-Z][a-zA-Z0-9_]*(?:\$[A-Z][a-zA-Z0-9_]*)*(?<=Exception|Error|Throwable)"
+# StackTraceElement.toString: [loader/][module/]class.method(File.java:12), (File.java), (Native Method) or (Unknown Source); and the frames of Python's traceback module.
+_JAVA_FRAME = r"[ \t]+at (?:[^\s/()]*/){0,2}[^\s/()]+\.[^\s.()]+\((?:[^():]+(?::[0-9]+)?)\)"
+_PYTHON_FRAME = '[ ]+File "[^"]+", line [0-9]+(?:, in [^ ]+)?'
 #: Patterns of the entities, from their definitions: four octets, with a port; eight groups of hexadecimal digits, with one run of zero groups left out as :: (RFC 4291);
-#: RFC 9562 identifiers; RFC 3339 dates and instants (a comma may stand for the fraction's dot, a blank for the T); absolute paths of POSIX and of drives; RFC 9110 methods and status codes.
+#: RFC 9562 identifiers; absolute paths of POSIX and of drives; RFC 9110 methods and status codes; the others as above.
 ENTITIES = {
     "ipv4": r"\b" + r"\.".join([_OCTET] * 4) + r"(?::[0-9]{1,5})?\b",
     "ipv6": rf"(?<![\w:])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?)(?![\w:])",
     "uuid": r"\b" + "-".join(_hex(8, 4, 4, 4, 12)) + r"\b",
-    "timestamp": rf"\b[0-9]{{4}}-{_TWO}-{_TWO}(?:[T ]{_TWO}:{_TWO}:{_TWO}(?:[.,][0-9]+)?(?:[Zz]|[+-]{_TWO}:?{_TWO})?)?(?![\w:])",
+    "timestamp": rf"(?<![\w.-]){_FULL_DATE}(?:[Tt ]{_FULL_TIME})?(?![\w-])",
     "url": r"\b[a-z][a-z0-9+.-]*://[^\s\"'<>]+",
     "path": r"(?<![\w/:.])(?:[A-Za-z]:\\(?:[^\s\\:*?\"<>|]+\\?)+|(?:/[\w.@%+~-]+){2,}/?)",
     "level": r"\b(?:" + "|".join(s.upper() for names in LEVEL_SPELLINGS for s in sorted(names, key=len, reverse=True) if len(s) > 2) + r")\b",
     "http_method": r"\b(?:" + "|".join(_METHODS) + r")\b",
     "http_status": r"(?<=\" )[1-5][0-9]{2}(?= )",
-    "number": r"(?<![\w.])(?:0x[0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)",
-    "exception": r"\b(?:\w+\.)*[A-Z]\w*(?:Exception|Error|Throwable)\b",
-    "stack_frame": r"^\s+at\s+[^\s(]+\([^)]*\)|^\s+File \"[^\"]+\", line [0-9]+",
+    "number": rf"(?<![\w.])(?:{_NUMBER})",
+    "exception": rf"(?<![\w.$]){_PACKAGES}{_THROWABLE}(?![\w$])",
+    "stack_frame": f"^(?:{_JAVA_FRAME}|{_PYTHON_FRAME})",
 }
 
 
@@ -124,35 +139,84 @@ def status_class(value: Column) -> Column:
     return F.when(value.rlike("^[1-5][0-9]{2}$"), F.concat(F.substring(value, 1, 1), F.lit("xx")))
 
 
-def limit_alerts(hits: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """(source, rule, ts, suppressed): notifications of hits (source, rule, ts). After one, hits are held back for so many seconds; then a summary with their number counts as
-    the next notification. A chain is sequential, so each (source, rule) is folded over its hits in time order, batch by batch.
+def chain_starts(first: np.ndarray, last: np.ndarray, hits: np.ndarray, span: int) -> np.ndarray:
+    """For each run of hits, in order, the time of the notification by a hit that its windows are counted from. Runs are a span apart or more, and less than two spans.
+
+    Windows of span follow each other from a start on while each holds a hit. So a chain ends behind a run if the window after the run's last one is over before the next
+    run begins, or if the start is the run's only hit.
     """
-    from pyspark.sql import types as T
+    out, i = np.empty(len(first), np.int64), 0
+    while i < len(first):
+        start, j = first[i], i
+        if hits[i] > 1:
+            while j + 1 < len(first) and first[j + 1] - last[j] < 2 * span - (last[j] - start) % span:
+                j += 1
+        out[i : j + 1] = start
+        i = j + 1
+    return out
+
+
+def limit_alerts(hits: DataFrame, seconds: float = 5.0, block_lines: int = blocked.BLOCK_LINES) -> DataFrame:
+    """(source, rule, ts, suppressed): notifications of hits (source, rule, ts). After one, hits are held back for so many seconds; then a summary with their number counts as
+    the next notification.
 
+    So notifications come at the starts of windows that follow each other from a hit on, as long as each window holds one. Hits are ranked by time and read in blocks: runs without a gap of
+    a window never end a chain, and a gap of two windows always does. Only runs with a smaller gap between them are read in order, a row for each run and a task for each stretch without a gap of two windows; a stretch
+    has no more runs than windows, however many hits there are. Hits without a time give nothing.
+    """
     span = int(seconds * 1e6)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, held = None, None, 0
-        for b in batches:
-            out = []
-            for source, rule, at in zip(b["source"], b["rule"], b["us"]):
-                if (source, rule) != key:
-                    if held:
-                        out.append((*key, last + span, held))
-                    key, last, held = (source, rule), None, 0
-                while last is not None and held and at >= last + span:
-                    last, n, held = last + span, held, 0
-                    out.append((source, rule, last, n))
-                if last is None or at >= last + span:
-                    out.append((source, rule, at, 0))
-                    last = at
-                else:
-                    held += 1
-            yield pd.DataFrame(out, columns=["source", "rule", "us", "suppressed"])
-        if held:
-            yield pd.DataFrame([(*key, last + span, held)], columns=["source", "rule", "us", "suppressed"])
-
-    schema = T.StructType([T.StructField("source", hits.schema["source"].dataType), T.StructField("rule", T.StringType()), T.StructField("us", T.LongType()), T.StructField("suppressed", T.LongType())])
-    rows = hits.select("source", "rule", F.unix_micros("ts").alias("us")).repartition("source", "rule").sortWithinPartitions("source", "rule", "us")
-    return rows.mapInPandas(run, schema).select("source", "rule", F.timestamp_micros("us").alias("ts"), "suppressed")
+    if span <= 0:
+        raise ValueError("a positive time")
+    times = hits.filter("ts is not null").groupBy("source", "rule", F.unix_micros("ts").alias("us")).agg(F.count("*").alias("n"))
+    t = records.ranked(times, F.col("source"), F.col("rule"), F.col("us"), out="line_no")
+    t = t.select(F.struct("source", "rule").alias("source"), "line_no", "us", "n")
+    gap = F.col("us") - F.col("_prev")
+    t = blocked.previous(t, F.col("us"), "_prev", block_lines).withColumns({"_run": F.coalesce(gap >= span, F.lit(True)), "_far": F.coalesce(gap >= 2 * span, F.lit(True))}).drop("_prev")
+    t = blocked.carry_last(blocked.carry_last(t, F.when(F.col("_run"), F.col("line_no")), "run", block_lines), F.when(F.col("_far"), F.col("line_no")), "stretch", block_lines).drop("_run", "_far")
+    t = materialize(t, "alert-times")
+    runs = t.groupBy("stretch", "run").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum("n").alias("hits"))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in chain(batches, [None]):
+            # A stretch is read when the next one begins.
+            table = pa.concat_tables([*held, pa.Table.from_batches([b])]) if b is not None else pa.concat_tables(held) if held else None
+            if table is None or not table.num_rows:
+                continue
+            run, first, last, n, stretch = (table.column(c).to_numpy() for c in ("run", "first", "last", "hits", "stretch"))
+            cuts = [0, *(np.flatnonzero(stretch[1:] != stretch[:-1]) + 1).tolist(), len(stretch)]
+            keep = cuts[-2] if b is not None else len(stretch)
+            got = [chain_starts(first[lo:hi], last[lo:hi], n[lo:hi], span) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi <= keep]
+            held = [table.slice(keep)]
+            yield pa.RecordBatch.from_arrays([pa.array(run[:keep]), pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], ["line_no", "start"])
+
+    found = runs.repartition("stretch").sortWithinPartitions("stretch", "run").mapInArrow(starts, "line_no long, start long")
+    t = blocked.carry_last(t.join(found, "line_no", "left"), F.col("start"), "start", block_lines)
+    windows = t.groupBy("source", "start", F.floor((F.col("us") - F.col("start")) / span).cast("long").alias("window")).agg(F.sum("n").alias("n"))
+    held = F.when(F.col("window") == 0, F.col("n") - 1).otherwise(F.col("n"))
+    told = F.array(F.struct(F.col("start").alias("us"), F.lit(0).cast("long").alias("suppressed"), (F.col("window") == 0).alias("given")), F.struct((F.col("start") + (F.col("window") + 1) * span).alias("us"), held.alias("suppressed"), (held > 0).alias("given")))
+    out = windows.select("source", F.explode(told).alias("x")).filter("x.given")
+    return out.select("source.source", "source.rule", F.timestamp_micros("x.us").alias("ts"), "x.suppressed")
+
+
+def notifications(us: np.ndarray, span: int, last: int | None, held: int) -> tuple[list[tuple[int, int, int | None]], int | None, int]:
+    """(time, suppressed, number of the hit that is notified or None for a summary) of sorted hits, and the state behind them: the last notification and how many hits it holds back since.
+
+    Goes from one notification to the next by binary search, so hits that are held back cost nothing.
+    """
+    out, i = [], 0
+    while True:
+        if last is not None:
+            end = int(np.searchsorted(us, last + span))
+            held += max(end - i, 0)
+            i = max(end, i)
+        if i >= len(us):
+            return out, last, held
+        if last is not None and held:
+            last = last + span
+            out.append((last, held, None))
+            held = 0
+        else:
+            last = int(us[i])
+            out.append((last, 0, i))
+            i += 1

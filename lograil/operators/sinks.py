@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def write_csv(records: DataFrame, path: str, columns: Sequence[str]) -> None:
     records.filter("is_record").select(*columns).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_csv wrote: line ends of any kind inside quotes stay as they are."""
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def json_value(c: Column, kind: str) -> Column:
     """A cell as a JSON value: numbers as numbers if they are, JSON embedded, else text."""
     as_text = F.to_variant_object(F.struct(c.alias("x")))

@@ -129,10 +129,13 @@ def value_candidates(records: DataFrame, column: str, most: int = 200, kind: str
     return counts.orderBy(kinds.number(F.col("value")).asc_nulls_last(), "value")
 
 
-def density(matches: DataFrame, totals: DataFrame, bins: int) -> DataFrame:
-    """(source, bin, n, intensity): matches in equal byte slices of each source; totals has (source, size). Intensity is the root of the share of the fullest bin, at least 0.35."""
+def density(matches: DataFrame, totals: DataFrame, bins: int, tag: str | None = None) -> DataFrame:
+    """(source, bin, n, intensity): matches in equal byte slices of each source; totals has (source, size). Intensity is the root of the share of the fullest bin, at least 0.35. tag: a column of matches of which
+    each bin's last value (by byte_off) that is not null is returned too.
+    """
     d = matches.join(totals, "source").withColumn("bin", F.least(F.floor(F.col("byte_off") * bins / F.col("size")), F.lit(bins - 1)).cast("int"))
-    d = d.groupBy("source", "bin").agg(F.count("*").alias("n"))
+    last = [F.max_by(tag, F.when(F.col(tag).isNotNull(), F.col("byte_off"))).alias(tag)] if tag else []
+    d = d.groupBy("source", "bin").agg(F.count("*").alias("n"), *last)
     top = F.max("n").over(W.partitionBy("source"))
     return d.withColumn("intensity", F.greatest(F.lit(0.35), F.sqrt(F.col("n") / top)))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,11 +10,11 @@ from pyspark.sql import functions as F
 
 from lograil.functions import kinds, times
 from lograil.functions import predicates as P
-from lograil.operators import blocked, detect, ingest, records, rules, sinks, stats
+from lograil.operators import blocked, detect, ingest, matchsets, records, rules, sinks, stats
 from lograil.plans.fixtures import document_lines, event_fields, event_lines, spread, table, with_continuations
-from lograil.shared import materialize, shared_dir
+from lograil.shared import materialize, own_path
 from lograil.sources import lines as sources
-from lograil.streaming import live
+from lograil.streaming import live, merged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -363,10 +362,6 @@ def q_match_positions(spark, d):
     return stats.match_positions(document_lines(spark, d), "[0-9]+").groupBy("source", "line_no").agg(F.count("*").alias("n"))
 
 
-def _in_shared(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lograil/{name}-{uuid.uuid4().hex}"
-
-
 def _short_lines(spark, d):
     """(source, line_no, raw) of events as short lines with a letter outside ASCII."""
     return spread(event_fields(spark, d)).select("source", "line_no", F.concat_ws(" ", F.lit("é"), "event_type", F.col("user_id").cast("string"), "k").alias("raw"))
@@ -377,7 +372,7 @@ _SHORT = f"(select source, row_number() over (partition by source order by line_
 
 @query(f"select source, line_no, (sum(strlen(raw) + 1) over (partition by source order by line_no) - strlen(raw) - 1)::bigint byte_off, strlen(raw)::int byte_len, raw from {_SHORT}")
 def q_read_lines(spark, d):
-    path = _in_shared(spark, "lines")
+    path = own_path(spark, "lines")
     _short_lines(spark, d).repartition("source").sortWithinPartitions("source", "line_no").select("source", "raw").write.partitionBy("source").option("lineSep", "\n").text(path)
     lines = materialize(sources.read_lines(spark, path, recursive=True), "numbered")
     return lines.withColumn("source", F.regexp_extract("source", "source=([^/]+)", 1))
@@ -387,7 +382,7 @@ def q_read_lines(spark, d):
 def q_encodings(spark, d):
     out = []
     for enc in ("UTF-8", "UTF-16LE", "ISO-8859-1"):
-        path = _in_shared(spark, "encoded")
+        path = own_path(spark, "encoded")
         _short_lines(spark, d).coalesce(1).select(F.encode("raw", enc).cast("string").alias("raw")).write.option("lineSep", "\r\n").option("encoding", enc).text(path)
         kind = sources.encodings(spark, f"{path}/*.txt").select("encoding", "line_ending")
         lines = sources.read_encoded(spark, f"{path}/*.txt", enc).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("n_distinct"))
@@ -430,14 +425,13 @@ def q_in_zone(spark, d):
     return event_fields(spark, d).select("event_id", times.in_zone(ts, "+02:00").alias("shown"))
 
 
-@query("select doc_id, lang, replace(left(text, 200), chr(13), '') head from documents where text is not null and length(text) > 0")
+@query("select doc_id, lang, nullif(text, '') text from documents")
 def q_csv_round_trip(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null and length(text) > 0")
-    r = docs.select(F.lit(True).alias("is_record"), F.col("doc_id").cast("string").alias("doc_id"), "lang", F.translate(F.substring("text", 1, 200), "\r", "").alias("head"))
-    path = _in_shared(spark, "csv")
-    sinks.write_csv(r, path, ["doc_id", "lang", "head"])
-    back = spark.read.schema("doc_id long, lang string, head string").csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return back.select("doc_id", "lang", "head")
+    """Whole texts; a null comes back as it went, an empty text as null, as both are empty cells."""
+    r = table(spark, d, "documents").select(F.lit(True).alias("is_record"), F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    path = own_path(spark, "csv")
+    sinks.write_csv(r, path, ["doc_id", "lang", "text"])
+    return sinks.read_csv(spark, path, "doc_id long, lang string, text string")
 
 
 @query("select count(*) \"count\", min(value * 1e6) \"min\", max(value * 1e6) \"max\", round(avg(value * 1e6), 3) mean from events where event_type = 'error'")
@@ -463,19 +457,18 @@ def q_merged_filter(spark, d):
     return m.filter(keep).select("source", "line_no", "nth")
 
 
-@query(f"select source, line_no, level, user_id::varchar \"user\" from {_EVENTS} where user_id % 4 < 2")
+@query(f"select source, line_no, level, user_id::varchar \"user\", case when user_id % 4 = 2 then k end k from {_EVENTS}")
 def q_headers(spark, d):
-    """Sources whose columns come in two orders, as their header lines say."""
-    e = event_fields(spark, d).filter(F.col("user_id") % 4 < 2)
-    swapped = F.col("user_id") % 4 == 1
-    rows = e.select("source", (F.col("line_no") + 1).alias("line_no"), F.when(swapped, F.concat_ws(";", F.col("user_id").cast("string"), "level")).otherwise(F.concat_ws(";", "level", F.col("user_id").cast("string"))).alias("raw"))
-    heads = e.select("source", F.lit(0).cast("long").alias("line_no"), F.when(swapped, 'user;"level"').otherwise('level;"user"').alias("raw")).distinct()
-    lines = rows.unionByName(heads)
-    out = []
-    for source, names in ingest.header_names(lines, ";").items():
-        r = ingest.delimited(lines.filter(F.col("source") == source).filter("line_no > 0"), names, ";").filter("is_record")
-        out.append(r.select("source", (F.col("line_no") - 1).alias("line_no"), "level", "user"))
-    return reduce(DataFrame.unionByName, out)
+    """Sources whose columns come in different orders, one with a third column, as their header lines say."""
+    e = event_fields(spark, d)
+    user, kind = F.col("user_id").cast("string"), F.col("user_id") % 4
+    cells = lambda *by: F.when(kind == 0, F.concat_ws(";", *by[0])).when(kind == 1, F.concat_ws(";", *by[1])).when(kind == 2, F.concat_ws(";", *by[2])).otherwise(F.concat_ws(";", *by[3]))
+    quoted = F.concat(F.lit('"'), "level", F.lit('"'))
+    rows = e.select("source", (F.col("line_no") + 1).alias("line_no"), cells(("level", user), (user, quoted), ("k", quoted, user), (user, "level")).alias("raw"))
+    name = lambda *names: [F.lit(n) for n in names]
+    heads = e.select("source", F.lit(0).cast("long").alias("line_no"), cells(name("level", '"user"'), name("user", '"level"'), name("k", "level", " user "), name("user", "level")).alias("raw")).distinct()
+    r = ingest.headed(rows.unionByName(heads), ";").filter("is_record")
+    return r.select("source", (F.col("line_no") - 1).alias("line_no"), F.col("fields.level").alias("level"), F.col("fields.user").alias("user"), F.col("fields.k").alias("k"))
 
 
 @query("select 'app-' || (user_id % 4) source, case when user_id % 4 = 3 then 'json' else 'logfmt' end definition from events group by all")
@@ -552,18 +545,42 @@ def q_bookmarks(spark, d):
     return manual.unionByName(new).select("source", "line_no", (~F.col("automatic")).alias("manual"))
 
 
-def _event_stream(spark, d):
+SLICES = 4
+
+
+def _event_files(spark, d) -> str:
+    """Events as lines in files, one slice of the numbers after the other, so that a stream of one file a batch sees each source in order."""
     e = table(spark, d, "events")
-    s = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return s.select(F.concat(F.lit("app-"), (F.col("user_id") % 4).cast("string")).alias("source"), (F.col("event_id") * 4).alias("line_no"), F.col("event_type").alias("raw"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"))
+    lines = e.select(F.concat(F.lit("app-"), (F.col("user_id") % 4).cast("string")).alias("source"), (F.col("event_id") * 4).alias("line_no"), F.col("event_type").alias("raw"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"), "value")
+    path = own_path(spark, "event-lines")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    for i in range(SLICES):
+        lines.filter(F.floor(F.col("line_no") / 4 * SLICES / (last + 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _event_stream(spark, d):
+    path = _event_files(spark, d)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
+def _ended(spark, stream):
+    """The rows that a stream writes over what is there now, batch by batch, to files in the shared folder."""
+    path = own_path(spark, "stream-out")
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
-def _ended(spark, stream, mode: str = "append"):
-    """The result of a stream over what is there now."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", _in_shared(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+
+def _last(spark, stream):
+    """The last state of a stream of aggregates: each batch writes the whole of it, which has a row for each group, to a folder of its own."""
+    path, batches = own_path(spark, "stream-out"), []
+
+    def keep(batch, k):
+        batch.write.mode("overwrite").parquet(f"{path}/{k}")
+        batches.append(k)
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/{max(batches)}")
 
 
 @query(f"select source, line_no, event_type raw from {_EVENTS} where contains(event_type, 'err')")
@@ -573,12 +590,12 @@ def q_stream_filter(spark, d):
 
 @query(f"select source, count(*) n from {_EVENTS} where contains(event_type, 'err') group by 1")
 def q_stream_counts(spark, d):
-    return _ended(spark, live.live_counts(_event_stream(spark, d), P.text(F.col("raw"), "err")), "complete")
+    return _last(spark, live.live_counts(_event_stream(spark, d), P.text(F.col("raw"), "err")))
 
 
 @query('select count(*) "count", 0::bigint missing from events')
 def q_stream_profile(spark, d):
-    return _ended(spark, live.live_profile(_event_stream(spark, d), "user"), "complete").select("count", "missing")
+    return _last(spark, live.live_profile(_event_stream(spark, d), "user")).select("count", "missing")
 
 
 @query(f"select source, line_no, epoch_us(max(ts) over (partition by source order by line_no)) eff_us from {_EVENTS}")
@@ -593,6 +610,103 @@ def q_stream_context(spark, d):
     return _ended(spark, live.live_context(_event_stream(spark, d), P.text(F.col("raw"), "error"), 2, 1)).select("source", "line_no", "raw", "is_context")
 
 
+@query(f"select source, line_no, epoch_us(eff) us, row_number() over (order by eff nulls first, source, line_no) nth, false late from {_MERGE}")
+def q_stream_merge(spark, d):
+    """The merged view of a stream of several batches, then what still waits."""
+    stream = _event_stream(spark, d).withColumn("t", F.when(F.col("line_no") / 4 % 5 != 0, F.col("ts")))
+    view = merged.MergedView(own_path(spark, "merged-view"), idle_ms=1 << 40)
+    live.deliver(live.live_effective_time(stream, F.col("t")), view).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    view.finish(spark)
+    return view.rows(spark).select("source", "line_no", F.col("eff_us").alias("us"), "nth", "late")
+
+
+@query(f"""with l as {_LINES}, m as (select *, contains(lower(raw), 'the') a, regexp_matches(raw, '[0-9]') b from l)
+select source, count(*) filter (a and b) both_, count(*) filter (a or b) either, count(*) filter (a and not b) only_first, count(*) filter (not a) outside, count(*) filter (a and line_no <= 3) rank3, count(*) filter (a) total,
+coalesce(sum(line_no) filter (a and b), 0)::bigint sum_both, coalesce(sum(line_no) filter (not a), 0)::bigint sum_outside from m group by source having count(*) filter (a or b) > 0""")
+def q_match_sets(spark, d):
+    lines = document_lines(spark, d)
+    a, b = (matchsets.match_set(lines.filter(p).select("source", "line_no")) for p in (P.text(F.col("raw"), "the"), P.regex(F.col("raw"), "[0-9]")))
+    a, b = materialize(a, "match-set"), materialize(b, "match-set")
+    n = lambda m, name: matchsets.counts(m).withColumnRenamed("n", name)
+    out = n(matchsets.combined(a, b, "or"), "either")
+    inside = matchsets.restricted(matchsets.restricted(lines, a), b).groupBy("source").agg(F.sum("line_no").alias("sum_both"))
+    outside = matchsets.excluded(lines, a).groupBy("source").agg(F.count("*").alias("outside"), F.sum("line_no").alias("sum_outside"))
+    at = matchsets.ranks(out.select("source", F.lit(3).cast("long").alias("line_no")), a).select("source", F.col("rank").alias("rank3"), "total")
+    for more in (n(matchsets.combined(a, b, "and"), "both_"), n(matchsets.combined(a, b, "minus"), "only_first"), inside, outside, at):
+        out = out.join(more, "source", "left")
+    return out.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("both_", "either", "only_first", "outside", "rank3", "total", "sum_both", "sum_outside")])
+
+
+_WIDE = "(select source, row_number() over (partition by source order by line_no) - 1 line_no, 'Ċ਀ഊ' || event_type || ' ' || user_id || case when user_id % 3 = 0 then '' else '✓' || k end raw from " + _EVENTS + ")"
+
+
+@query(f"select e encoding, source, line_no, raw from {_WIDE}, (values ('UTF-16LE'), ('UTF-16BE'), ('UTF-32BE')) v(e)")
+def q_encoded_lines(spark, d):
+    """Lines in wide encodings, with letters whose code units hold the bytes of line ends."""
+    raw = F.concat(F.lit("Ċ਀ഊ"), "event_type", F.lit(" "), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("✓"), "k")))
+    lines = materialize(spread(event_fields(spark, d)).select("source", "line_no", raw.alias("raw")), "wide-lines")
+    out = []
+    for enc in ("UTF-16LE", "UTF-16BE", "UTF-32BE"):
+        path = own_path(spark, "encoded")
+        data = F.encode("raw", "UTF-32" if enc == "UTF-32BE" else enc).cast("string").alias("raw")
+        lines.repartition("source").sortWithinPartitions("source", "line_no").select("source", data).write.partitionBy("source").option("lineSep", "\n").option("encoding", enc).text(path)
+        got = sources.read_encoded(spark, f"{path}/*/*.txt", enc)
+        out.append(got.select(F.lit(enc).alias("encoding"), F.regexp_extract("source", "source=([^/]+)", 1).alias("source"), "line_no", "raw"))
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Entities planted in lines made from events: name -> (text before, the value in Spark, text behind, the value in SQL).
+_PLANTED = {
+    "ipv4": ("from ", "concat('10.', user_id % 256, '.0.', event_id % 256, ':80')", " ok", "'10.' || (user_id % 256) || '.0.' || (event_id % 256) || ':80'"),
+    "ipv6": ("from ", "concat('fe80::', lower(hex(event_id)), ':', lower(hex(user_id)))", " ok", "'fe80::' || printf('%x', event_id) || ':' || printf('%x', user_id)"),
+    "uuid": ("id ", "format_string('%08x-0000-4000-8000-%012x', event_id, user_id)", ";", "printf('%08x-0000-4000-8000-%012x', event_id, user_id)"),
+    "timestamp": ("[", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")", "] v1.2", "left(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 23) || 'Z'"),
+    "url": ("see <", "concat('https://host/', event_type, '?id=', event_id)", ">", "'https://host/' || event_type || '?id=' || event_id"),
+    "path": ("in ", "concat('/var/log/', event_type, '/', event_id, '.log')", ", gone", "'/var/log/' || event_type || '/' || event_id || '.log'"),
+    "level": ("- ", "level", " -", "level"),
+    "http_method": ('"', "element_at(array('GET', 'POST', 'DELETE'), cast(event_id % 3 + 1 as int))", ' /x HTTP/1.1"', "case event_id % 3 when 0 then 'GET' when 1 then 'POST' else 'DELETE' end"),
+    "http_status": ('"GET / HTTP/1.1" ', "cast(200 + user_id % 300 as string)", " 77", "(200 + user_id % 300)::varchar"),
+    "number": ("took ", "format_string('%.2f', value)", "ms v2x", "printf('%.2f', value)"),
+    "exception": ("threw ", "concat('app.svc.', initcap(event_type), 'Error')", ": oops", "'app.svc.' || upper(left(event_type, 1)) || substr(event_type, 2) || 'Error'"),
+    "stack_frame": ("", "concat('\tat app.Svc$Inner.', event_type, '(Svc.java:', event_id, ')')", "", "chr(9) || 'at app.Svc$Inner.' || event_type || '(Svc.java:' || event_id || ')'"),
+}
+
+
+@query(" union all ".join(f"select source, event_id * 12 + {i} line_no, '{n}' entity, {sql} \"value\" from {_EVENTS}" for i, (n, (_, _, _, sql)) in enumerate(_PLANTED.items())))
+def q_entities(spark, d):
+    """Each line holds one value of one entity; the values of that entity are found in it, and no others."""
+    e = spread(event_fields(spark, d))
+    at = [F.struct((F.col("event_id") * 12 + i).alias("line_no"), F.concat(F.lit(a), F.expr(v), F.lit(b)).alias("raw")) for i, (a, v, b, _) in enumerate(_PLANTED.values())]
+    lines = e.select("source", F.explode(F.array(*at)).alias("x")).select("source", "x.*")
+    planted = F.get(F.array(*[F.lit(n) for n in _PLANTED]), (F.col("line_no") % 12).cast("int"))
+    return rules.entities(lines).filter(F.col("entity") == planted)
+
+
+#: Times as text lines begin with them, in Spark, by the family that detection tells them apart by.
+_STAMPED = {
+    "iso": "date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS')", "slashed": "date_format(ts, 'yyyy/MM/dd HH:mm:ss')", "compact": "date_format(ts, \"yyyyMMdd'T'HHmmss\")", "apache": "concat(date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000')",
+    "rfc2822": "concat(date_format(ts, 'EEE, d MMM yyyy HH:mm:ss'), ' +0000')", "us": "date_format(ts, 'M/d/yyyy, h:mm:ss a')", "syslog": "concat(date_format(ts, 'MMM '), lpad(dayofmonth(ts), 2, ' '), date_format(ts, ' HH:mm:ss'))", "clock": "date_format(ts, 'HH:mm:ss.SSS')",
+    "epoch": "cast(unix_millis(ts) as string)", "day_first": "date_format(ts, 'dd.MM.yyyy HH:mm:ss')",
+}
+_LAID = {
+    "time_level_message": "concat('[', t, '] ', level, ' - event ', event_id)", "time_level_thread_message": "concat(t, ' ', level, ' [worker-', user_id, '] event ', event_id)", "time_level_thread_logger": "concat(t, ' ', level, ' [worker-', user_id, '] app.Svc: event ', event_id)",
+    "time_thread_level_logger": "concat(t, ' [worker-', user_id, '] ', level, ' app.Svc - event ', event_id)", "level_time_message": "concat(level, ' ', t, ' event ', event_id)", "time_message": "concat(t, ' event ', event_id)",
+}
+_SEPARATED = {"tsv": "\t", "psv": "|", "ssv": ";"}
+
+
+@query(" union all ".join(f"select '{n}:{f}' source, '{n}:{f}' format, {t}::double score" for f in _STAMPED for n, (_, _, t) in detect.LAYOUTS.items()) + "".join(f" union all select '{n}', '{n}', {t}::double" for n, t in (*((n, 0.85) for n in _SEPARATED), ("access_common", 1.0), ("w3c", 1.0))))
+def q_detect_layouts(spark, d):
+    """A source for each layout of text lines and each family of times, for each other separator, and for the formats that q_detect has not. Lines may fit other formats as well; each source has its own among them."""
+    e = spread(event_fields(spark, d))
+    lines = [F.struct(F.lit(f"{n}:{f}").alias("source"), F.expr(raw.replace("t,", f"{t},", 1)).alias("raw")) for f, t in _STAMPED.items() for n, raw in _LAID.items()]
+    lines += [F.struct(F.lit(n).alias("source"), F.concat_ws(sep, "event_type", "level", F.col("user_id").cast("string")).alias("raw")) for n, sep in _SEPARATED.items()]
+    lines.append(F.struct(F.lit("access_common").alias("source"), F.expr("concat('10.0.0.1 - u', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /', event_type, '\" 200 ', event_id)").alias("raw")))
+    lines.append(F.struct(F.lit("w3c").alias("source"), F.expr("if(event_id = 0, '#Fields: date sc-status user', concat(date_format(ts, 'yyyy-MM-dd'), ' 200 ', user_id))").alias("raw")))
+    rows = e.select("event_id", F.explode(F.array(*lines)).alias("x")).select("x.source", F.col("event_id").alias("line_no"), "x.raw")
+    return detect.detect_formats(rows, 1 << 40).filter("source = format").select("source", "format", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

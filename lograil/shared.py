@@ -26,9 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> str:
     """Writes a table to the shared folder and returns its path."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lograil/{name}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, name)
     df.write.parquet(path)
-    _made.append(path)
     return path
 
 
@@ -37,14 +36,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what is not written by written. clear deletes it too."""
+    path = f"{shared_dir(spark).rstrip('/')}/lograil/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of this process in the shared folder."""
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
         _made.remove(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this process wrote in between. For when its results have been written elsewhere: results not yet read still need them."""
+    """Deletes all tables and paths that this process made in the shared folder. For when its results have been written elsewhere: results not yet read still need them."""
     remove(spark, *list(_made))

@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lograil.operators import blocked
+from lograil.shared import materialize
+
 MAX_PARSE_BYTES = 1 << 20
 SAMPLE_BYTES = 1 << 16
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(source, line_no, byte_off, byte_len, raw) of every line of UTF-8 files, split at \\n, one \\r before it dropped. Exact for files of many splits.
-
-    Lines of a split are numbered by their order in it, plus what the splits before hold: only one row for each split is summed over a file. Nothing may
-    be filtered before the numbering; write the result as a table if it is used more than once.
-    """
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive)
+def _split_pieces(spark: SparkSession, paths: str | Sequence[str], sep: str, glob: str | None, recursive: bool) -> DataFrame:
+    """(source, nth, byte_off, value) of the text between separators of one byte, numbered exactly over the splits of files; value may be any bytes."""
+    reader = spark.read.option("lineSep", sep).option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.text(paths if isinstance(paths, str) else list(paths)).select(
@@ -29,10 +28,17 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     splits = splits.select("source", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base_off"))
     inside = W.partitionBy("source", "block").orderBy("mid").rowsBetween(W.unboundedPreceding, -1)
     out = rows.join(splits, ["source", "block"])
-    return out.select(
-        "source", (F.col("mid") - F.col("first") + F.col("base")).alias("line_no"), (F.col("base_off") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))).alias("byte_off"),
-        F.octet_length("value").alias("byte_len"), F.regexp_replace("value", "\r$", "").alias("raw"),
-    )
+    return out.select("source", (F.col("mid") - F.col("first") + F.col("base")).alias("nth"), (F.col("base_off") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))).alias("byte_off"), "value")
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(source, line_no, byte_off, byte_len, raw) of every line of UTF-8 files, split at \\n, one \\r before it dropped. Exact for files of many splits.
+
+    Lines of a split are numbered by their order in it, plus what the splits before hold: only one row for each split is summed over a file. Nothing may
+    be filtered before the numbering; write the result as a table if it is used more than once.
+    """
+    rows = _split_pieces(spark, paths, "\n", glob, recursive)
+    return rows.select("source", F.col("nth").alias("line_no"), "byte_off", F.octet_length("value").alias("byte_len"), F.regexp_replace("value", "\r$", "").alias("raw"))
 
 
 def encodings(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +57,56 @@ def encodings(spark: SparkSession, path: str) -> DataFrame:
     return head.select("source", enc.alias("encoding"), ending.alias("line_ending"))
 
 
-def read_encoded(spark: SparkSession, path: str, encoding: str, line_ending: str = "lf") -> DataFrame:
-    """(source, line_no, raw) of files in another encoding: UTF-16 (LE, BE), ISO-8859-1, US-ASCII, UTF-32, or any that Java knows if spark.sql.legacy.javaCharsets is set. A file is decoded by one task, so a file must fit in it."""
-    text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
-    sep = "\r(?!\n)" if line_ending == "cr" else "\n"
-    rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.posexplode(F.split(F.regexp_replace(text, f"(?:{sep})$", ""), sep)).alias("line_no", "raw"))
-    return rows.select("source", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw"))
+#: Bytes of a code unit, and whether the first one is the lowest.
+UNITS = {"UTF-16LE": (2, True), "UTF-16BE": (2, False), "UTF-32LE": (4, True), "UTF-32BE": (4, False)}
+
+
+def read_encoded(spark: SparkSession, paths: str | Sequence[str], encoding: str, line_ending: str = "lf", glob: str | None = None, block_lines: int = blocked.BLOCK_LINES) -> DataFrame:
+    """(source, line_no, raw) of files in another encoding: UTF-16 or UTF-32 (LE, BE), ISO-8859-1, US-ASCII, UTF-8, or any other in which the bytes of \\n and \\r stand for nothing else and that Java knows if
+    spark.sql.legacy.javaCharsets is set. A byte order mark at a file's start and one \\r before \\n are dropped. line_ending cr: lines end at \\r alone.
+
+    Files are read in splits, at every byte of the separator. In wide encodings such a byte ends a line only where it is the low byte of a code unit whose other bytes are zero; its place in the file tells that.
+    Pieces between others are put together, and lines are numbered by the line starts before them, over all splits of a file.
+    """
+    width, low_first = UNITS.get(encoding, (1, True))
+    sep = "\r" if line_ending == "cr" else "\n"
+    p = _split_pieces(spark, paths, sep, glob, False).select("source", F.col("nth").alias("line_no"), "byte_off", F.col("value").cast("binary").alias("value"))
+    size = F.octet_length("value")
+    zeros = F.lit(bytes(width - 1))
+    begins = F.substring("value", 1, width - 1) if width > 1 else zeros
+    ends = F.substring("value", F.greatest(size - (width - 2), F.lit(1)).cast("int"), F.lit(width - 1)) if width > 1 else zeros
+    p = p.withColumns({"_zeros_first": begins == zeros, "_zeros_last": (ends == zeros) & (size >= width - 1)})
+    p = materialize(p, "pieces")
+    if width == 1:
+        p = p.withColumn("_starts", F.lit(True))
+    elif low_first:
+        p = p.withColumn("_starts", (F.col("line_no") == 0) | (((F.col("byte_off") - 1) % width == 0) & F.col("_zeros_first")))
+    else:
+        p = blocked.previous(p, F.col("_zeros_last"), "_after", block_lines)
+        p = p.withColumn("_starts", (F.col("line_no") == 0) | (((F.col("byte_off") - 1) % width == width - 1) & F.coalesce("_after", F.lit(False))))
+    if width > 1:
+        first = blocked.carry_last(p, F.when(F.col("_starts"), F.col("line_no")), "first", block_lines)
+        first = blocked.running_sum(first, F.col("_starts").cast("long"), "_n", block_lines).withColumn("nth", F.col("_n") + F.col("_starts").cast("long") - 1)
+        joined = F.array_sort(F.collect_list(F.struct("line_no", "byte_off", "value")))
+        rows = first.groupBy("source", "nth").agg(joined.alias("x"))
+        data = F.aggregate(F.slice("x", 2, 1 << 30), F.col("x")[0]["value"], lambda a, b: F.concat(a, F.lit(sep.encode()), b["value"]))
+        rows = rows.select("source", F.col("nth").alias("line_no"), F.col("x")[0]["byte_off"].alias("byte_off"), data.alias("value"))
+        size = F.octet_length("value")
+        if low_first:  # the rest of the separator before
+            rest = (F.col("line_no") > 0).cast("int") * (width - 1)
+            rows = rows.select("source", "line_no", F.substring("value", rest + 1, size).alias("value"))
+            # Behind the last separator there is only its rest: no line.
+            last = rows.groupBy("source").agg(F.max("line_no").alias("_last"))
+            rows = rows.join(last, "source").filter((F.col("line_no") < F.col("_last")) | (F.octet_length("value") > 0) | (F.col("line_no") == 0)).drop("_last")
+        else:  # the first bytes of the separator behind
+            over = (F.col("byte_off") + size) % width
+            rows = rows.select("source", "line_no", F.substring("value", F.lit(1), (size - over).cast("int")).alias("value"))
+    else:
+        rows = p.select("source", "line_no", "value")
+    # Java reads UTF-32 by its byte order mark.
+    text = F.decode(F.concat(F.lit(b"\xff\xfe\x00\x00" if low_first else b"\x00\x00\xfe\xff"), "value"), "UTF-32") if width == 4 else F.decode("value", encoding)
+    text = F.when(F.col("line_no") == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    return rows.select("source", "line_no", F.regexp_replace(text, "\r$", "").alias("raw"))
 
 
 def parseable(raw):

@@ -10,115 +10,182 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lograil.operators import sinks
+from lograil.operators.rules import notifications
 
 MARK = 64
-#: Bytes that are read at a time, and about so many bytes of growth for one task.
-CHUNK, SPAN = 1 << 20, 32 << 20
+#: Bytes that are read at a time, of a range that a task reads, and of a batch.
+CHUNK, SPAN, BATCH = 1 << 20, 32 << 20, 4 << 30
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, gen: int, start: int, stop: int, line: int):
-        self.path, self.gen, self.start, self.stop, self.line = path, gen, start, stop, line
+    def __init__(self, path: str, gen: int, start: int, stop: int):
+        self.path, self.gen, self.start, self.stop = path, gen, start, stop
 
 
-def _breaks(f, at: int, lines: int, stop: int | None = None) -> Iterator[tuple[int, int]]:
-    """(bytes, lines) up to the last line break of each chunk that has one, from a line's start on. A line may be longer than any chunk."""
-    f.seek(at)
-    while chunk := f.read(CHUNK if stop is None else min(CHUNK, stop - at)):
-        cut = chunk.rfind(b"\n") + 1
-        if cut:
-            lines += chunk.count(b"\n")
-            yield at + cut, lines
-        at += len(chunk)
-
-
-def _marks(f, done: int) -> str:
+def _mark(path: str, done: int) -> str:
     """A digest of the first and the last bytes before done: another file, or a rewritten one, has other ones."""
-    f.seek(0)
-    head = f.read(min(done, MARK))
-    f.seek(max(done - MARK, 0))
-    return hashlib.sha1(head + f.read(min(done, MARK))).hexdigest()
+    with open(path, "rb") as f:
+        head = f.read(min(done, MARK))
+        f.seek(max(done - MARK, 0))
+        return hashlib.sha1(head + f.read(min(done, MARK))).hexdigest()
+
+
+def line_ends(path: str, start: int, stop: int) -> int:
+    """The number of line breaks in a range of bytes."""
+    n = 0
+    with open(path, "rb") as f:
+        f.seek(start)
+        while start < stop and (chunk := f.read(min(CHUNK, stop - start))):
+            n, start = n + chunk.count(b"\n"), start + len(chunk)
+    return n
+
+
+def lines_ending(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """(first byte, bytes) of each line whose break is in a range. The first line may begin long before: it is looked for backwards, chunk by chunk."""
+    with open(path, "rb") as f:
+        at = start
+        while at:
+            low = max(at - CHUNK, 0)
+            f.seek(low)
+            cut = f.read(at - low).rfind(b"\n") + 1
+            at = low + cut
+            if cut:
+                break
+        f.seek(at)
+        while (line := f.readline()).endswith(b"\n") and at + len(line) <= stop:
+            yield at, line
+            at += len(line)
 
 
 class _Growing(DataSourceStreamReader):
-    """Offsets are {path: (generation, bytes, lines, digest of the first and last bytes)}; a batch ends at the last line break, so an incomplete line waits.
+    """Offsets are {path: (generation, bytes, digest of the first and last bytes before)}.
 
-    A file that got shorter, was rewritten at any length, or was removed and came back starts a new generation at line 0. The driver counts the line breaks of what is new, chunk by
-    chunk; executors read it again in ranges of about SPAN bytes.
+    The driver looks at sizes and at those few bytes only. A batch takes up to `batch` new bytes, file by file, and cuts them into ranges of `span` bytes. A file that got shorter, was rewritten at any
+    length, or was removed and came back starts a new generation. What has been offered is kept in the file `progress`, so that a query that starts again goes on where it was; without it, a query can't start again.
     """
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, options: dict):
+        self.folder, self.progress = options["path"], options.get("progress")
+        self.span, self.batch = int(options.get("span", SPAN)), int(options.get("batch", BATCH))
+        self.seen: dict = {}
+        if self.progress and os.path.exists(self.progress):
+            with open(self.progress) as f:
+                self.seen = json.load(f)
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        files = dict(getattr(self, "seen", {}))
+        files, left = dict(self.seen), self.batch
         here = {os.path.join(self.folder, name) for name in os.listdir(self.folder)}
         for path in sorted(here | set(files)):
-            gen, done, lines, mark = files.get(path, [0, 0, 0, ""])
+            gen, done, mark = files.get(path, [0, 0, ""])
             if path not in here:
                 if done:
-                    files[path] = [gen + 1, 0, 0, ""]  # removed: if it comes back, it is another file
+                    files[path] = [gen + 1, 0, ""]  # removed: if it comes back, it is another file
                 continue
             if not os.path.isfile(path):
                 continue
-            with open(path, "rb") as f:
-                if done and (os.fstat(f.fileno()).st_size < done or _marks(f, done) != mark):
-                    gen, done, lines = gen + 1, 0, 0  # truncated, rotated or rewritten
-                for done, lines in _breaks(f, done, lines):
-                    pass
-                files[path] = [gen, done, lines, _marks(f, done)]
+            size = os.stat(path).st_size
+            if done and (size < done or _mark(path, done) != mark):
+                gen, done = gen + 1, 0  # truncated, rotated or rewritten
+            take = min(size - done, left)
+            left -= take
+            files[path] = [gen, done + take, _mark(path, done + take)]
         self.seen = files
+        if self.progress:
+            with open(f"{self.progress}.new", "w") as f:
+                json.dump(files, f)
+            os.replace(f"{self.progress}.new", self.progress)
         return {"files": files}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.seen = end["files"]
         out = []
-        for path, (gen, done, _, _) in end["files"].items():
-            g, at, line, _ = start["files"].get(path, [0, 0, 0, ""])
-            if g != gen:
-                at = line = 0
-            if done - at > SPAN:
-                with open(path, "rb") as f:
-                    for stop, n in _breaks(f, at, line, done):
-                        if stop - at >= SPAN:
-                            out.append(_Range(path, gen, at, stop, line))
-                            at, line = stop, n
-            if done > at:
-                out.append(_Range(path, gen, at, done, line))
-        return out or [_Range("", 0, 0, 0, 0)]
+        for path, (gen, done, _) in end["files"].items():
+            g, at, _ = start["files"].get(path, [0, 0, ""])
+            if g > gen or g == gen and at > done:
+                raise RuntimeError(f"{path} was read further than is known here; a query that starts again needs the progress file of its first run")
+            at = at if g == gen else 0
+            out += [_Range(path, gen, lo, min(lo + self.span, done)) for lo in range(at, done, self.span)]
+        return out or [_Range("", 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            line = partition.line
-            while f.tell() < partition.stop:
-                yield partition.path, partition.gen, line, f.readline().rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
-                line += 1
+        if partition.path:
+            yield partition.path, partition.gen, partition.start, partition.stop, line_ends(partition.path, partition.start, partition.stop)
 
 
 class GrowingFiles(DataSource):
-    """Files of a mounted folder that grow, are truncated or rewritten. Register with spark.dataSource.register(GrowingFiles); option path."""
+    """New byte ranges of the files of a mounted folder, with the number of line breaks in each, counted where it is read; for growing_lines. Files may grow, be truncated or rewritten.
+
+    Options: path; span and batch (bytes of a range and of a batch); progress (a file for what has been offered, which belongs to the query's checkpoint).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "growing_files"
 
     def schema(self) -> str:
-        return "source string, gen int, line_no long, raw string"
+        return "source string, gen int, start long, stop long, n long"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Growing(self.options["path"])
+        return _Growing(self.options)
+
+
+def numbered_ranges(ranges: DataFrame) -> DataFrame:
+    """(source, gen, start, stop, base): base is the number of lines in all ranges of the file before. The state is one number for each generation of a file."""
+
+    def chain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lines = state.get[0] if state.exists else 0
+        b = pd.concat(list(batches)).sort_values("start")
+        upto = lines + b["n"].cumsum()
+        state.update((int(upto.iloc[-1]),))
+        yield pd.DataFrame({"source": key[0], "gen": key[1], "start": b["start"], "stop": b["stop"], "base": upto - b["n"]})
+
+    return ranges.groupBy("source", "gen").applyInPandasWithState(chain, "source string, gen int, start long, stop long, base long", "lines long", "append", GroupStateTimeout.NoTimeout)
+
+
+def lines_of_ranges(ranges: DataFrame) -> DataFrame:
+    """(source, gen, line_no, byte_off, raw) of numbered ranges: the lines whose break is in the range, so an incomplete last line waits for its break. A file that went away meanwhile gives no lines."""
+
+    def rows(path: str, gen: int, start: int, stop: int, base: int) -> Iterator[tuple]:
+        if os.path.isfile(path):
+            for i, (at, line) in enumerate(lines_ending(path, start, stop)):
+                yield path, gen, base + i, at, line[:-1].removesuffix(b"\r").decode("utf-8", "replace")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                held, size = [], 0
+                for row in rows(*r):
+                    held.append(row)
+                    size += len(row[4])
+                    if size > 4 * CHUNK or len(held) >= 50_000:
+                        yield pd.DataFrame(held, columns=NAMES)
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=NAMES)
+
+    NAMES = ["source", "gen", "line_no", "byte_off", "raw"]
+    return ranges.mapInPandas(run, "source string, gen int, line_no long, byte_off long, raw string")
+
+
+def growing_lines(spark: SparkSession, path: str, progress: str, span: int = SPAN, batch: int = BATCH) -> DataFrame:
+    """The stream of lines (source, gen, line_no, byte_off, raw) of the growing files of a folder that driver and executors mount, numbered as read_lines numbers them.
+
+    progress is a file of the driver's that belongs to the query's checkpoint. Executors count the line breaks of ranges, a running sum for each file numbers the ranges, and executors read them, all ranges of a file at the same time.
+    """
+    spark.dataSource.register(GrowingFiles)
+    options = {"path": path, "span": str(span), "batch": str(batch), "progress": progress}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = spark.readStream.format("growing_files").options(**options).load()
+    plain = lambda df: df.withColumn("start", F.greatest("start", F.lit(0)))  # noqa: E731  rows from Python are shuffled after a projection only
+    return lines_of_ranges(plain(numbered_ranges(plain(ranges))).repartition(parts, "source", "start"))
 
 
 def live_filter(lines: DataFrame, matched: Column) -> DataFrame:
@@ -275,24 +342,18 @@ def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200) -> Da
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (None, 0)
-        out = []
+        columns = ["source", "rule", "us", "suppressed", "excerpt"]
         if state.hasTimedOut:
-            out.append((*key, last + span, held, None))
             state.update((last + span, 0))
-        else:
-            for at, line in sorted((x, r) for b in batches for x, r in zip(b["us"].tolist(), b["excerpt"])):
-                while last is not None and held and at >= last + span:
-                    last, n, held = last + span, held, 0
-                    out.append((*key, last, n, None))
-                if last is None or at >= last + span:
-                    out.append((*key, at, 0, line))
-                    last = at
-                else:
-                    held += 1
-            state.update((last, held))
-            if held:
-                state.setTimeoutDuration(int(seconds * 1000))
-        yield pd.DataFrame(out, columns=["source", "rule", "us", "suppressed", "excerpt"])
+            yield pd.DataFrame([(*key, last + span, held, None)], columns=columns)
+            return
+        b = pd.concat(list(batches)).sort_values(["us", "excerpt"])
+        told, last, held = notifications(b["us"].to_numpy(), span, last, held)
+        state.update((last, held))
+        if held:
+            state.setTimeoutDuration(int(seconds * 1000))
+        lines = b["excerpt"].to_numpy()
+        yield pd.DataFrame([(*key, us, n, None if i is None else lines[i]) for us, n, i in told], columns=columns)
 
     line = F.substring("raw", 1, excerpt) if "raw" in hits.columns else F.lit("")
     rows = hits.select("source", "rule", F.unix_micros("ts").alias("us"), F.coalesce(line, F.lit("")).alias("excerpt"))

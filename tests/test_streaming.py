@@ -27,58 +27,6 @@ def test_live_filter_and_alerts(spark, tmp_path):
     assert spark.table("recs").filter("n_lines = 3").count() >= 9
 
 
-def test_growing_files(tmp_path):
-    reader = live._Growing(str(tmp_path))
-    f = tmp_path / "a.log"
-    f.write_text("one\ntwo\npart")
-    first = reader.latestOffset()
-    got = [r for p in reader.partitions(reader.initialOffset(), first) for r in reader.read(p)]
-    assert [r[2:] for r in got] == [(0, "one"), (1, "two")]
-    with f.open("a") as out:
-        out.write("ial\n")
-    second = reader.latestOffset()
-    assert [r[2:] for p in reader.partitions(first, second) for r in reader.read(p)] == [(2, "partial")]
-    f.write_text("new\n")
-    third = reader.latestOffset()
-    assert [r[1:] for p in reader.partitions(second, third) for r in reader.read(p)] == [(1, 0, "new")]
-
-
-def test_growing_files_with_long_lines(tmp_path, monkeypatch):
-    """A line longer than a chunk does not stall its file; growth is read in ranges that number their lines as one read would."""
-    want = ["a", "x" * (live.CHUNK * 5 // 2), "b", "", "y" * live.CHUNK, "c"]
-    f = tmp_path / "a.log"
-    f.write_text("\n".join(want) + "\nz" + "z" * live.CHUNK)
-    reader = live._Growing(str(tmp_path))
-    first = reader.latestOffset()
-    read = lambda a, b: [r[2:] for p in reader.partitions(a, b) for r in reader.read(p)]
-    assert read(reader.initialOffset(), first) == list(enumerate(want))
-    with f.open("a") as out:
-        out.write("end\n" + "".join(f"line {i}\n" for i in range(5000)))
-    second = reader.latestOffset()
-    monkeypatch.setattr(live, "CHUNK", 1000)
-    monkeypatch.setattr(live, "SPAN", 3000)
-    assert len(reader.partitions(first, second)) > 5
-    assert read(first, second) == [(6, "z" + "z" * (1 << 20) + "end"), *((7 + i, f"line {i}") for i in range(5000))]
-
-
-def test_growing_files_removed_and_rewritten(tmp_path):
-    reader = live._Growing(str(tmp_path))
-    read = lambda a, b: [r[1:] for p in reader.partitions(a, b) for r in reader.read(p)]
-    f = tmp_path / "a.log"
-    f.write_text("one\ntwo\n")
-    first = reader.latestOffset()
-    assert read(reader.initialOffset(), first) == [(0, 0, "one"), (0, 1, "two")]
-    f.write_text("one\nTWO\n")  # same length, other end
-    second = reader.latestOffset()
-    assert read(first, second) == [(1, 0, "one"), (1, 1, "TWO")]
-    f.unlink()
-    third = reader.latestOffset()
-    assert read(second, third) == []
-    f.write_text("one\nTWO\nthree\n")
-    fourth = reader.latestOffset()
-    assert read(third, fourth) == [(2, 0, "one"), (2, 1, "TWO"), (2, 2, "three")]
-
-
 def test_live_context_and_merge_equal_the_batch_operators(spark, tmp_path):
     from lograil.operators import records
 

@@ -12,6 +12,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lograil.llm.common import LOWER, chunks, small_batches, text_buffers
@@ -19,6 +20,8 @@ from lograil.llm.common import LOWER, chunks, small_batches, text_buffers
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 16, 8
 #: About so many documents are learned from.
 TRAIN_DOCS = 4000
+#: Classes, and bytes of text that one task learns from, at most.
+MOST_LANGS, TRAIN_BYTES = 1000, 256 << 20
 #: Bytes of a long text that are scored at a time: whole windows.
 PART = 4096 * WINDOW
 #: Documents of a rare language that are learned from at least, if it has so many.
@@ -123,18 +126,29 @@ class ByteNet:
         return self
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """A network learned from the whole texts of about train_docs of docs, chosen by a hash of the id; None if no row has a text and a language.
-
-    Null and empty texts and null languages teach nothing; rows that repeat an id are taken together. A language of which that share would be under RARE_DOCS gives about RARE_DOCS documents, or all it has, so every language is a class.
-    """
-    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_langs: int = MOST_LANGS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(lang, text) that a network is learned from; see train."""
+    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text <> ''")
+    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(most_langs)
     total = counts.agg(F.sum("_n")).first()[0] or 0
     share = F.least(F.lit(1.0), F.greatest(F.lit(train_docs / max(total, 1)), RARE_DOCS / F.col("_n")))
-    counts = counts.select("_lang", (F.floor(share * (1 << 20)) + 1).alias("_below"))
-    chosen = known.join(F.broadcast(counts), F.col("lang") == F.col("_lang"))
-    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < F.col("_below"))
+    counts = counts.select("_lang", (F.floor(share * (1 << 20)) + 1).alias("_below"), (2 * F.ceil(share * F.col("_n")) + 1).alias("_most"))
+    chosen = known.join(F.broadcast(counts), F.col("lang") == F.col("_lang"))  # most_langs rows
+    chosen = chosen.withColumn("_h", F.xxhash64(F.lit(3), "id", "text")).filter(F.pmod("_h", F.lit(1 << 20)) < F.col("_below"))
+    chosen = chosen.groupBy("lang", "text").agg(F.min("_h").alias("_h"), F.first("_most").alias("_most"))
+    chosen = chosen.withColumn("_nth", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).filter(F.col("_nth") <= F.least(F.col("_most"), F.lit(2 * (train_docs + RARE_DOCS))))
+    chosen = chosen.withColumn("_upto", F.sum(F.octet_length("text")).over(W.orderBy("_nth", "lang"))).filter(F.col("_upto") <= train_bytes)
+    return chosen.select("lang", "text")
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_langs: int = MOST_LANGS, train_bytes: int = TRAIN_BYTES) -> ByteNet | None:
+    """A network learned from the whole texts of about train_docs of docs, chosen by a hash of id and text; None if no row has a text and a language.
+
+    Null and empty texts and null languages teach nothing; equal texts of a language count once. A language of which that share would be under RARE_DOCS gives about RARE_DOCS documents, or all it has, so each of the most_langs most
+    frequent languages is a class. At most 2 * train_docs + 2 * RARE_DOCS * most_langs rows are learned from, and train_bytes bytes; texts beyond them, in an order that takes the first of each language first, are left out.
+    """
+
+    rows = training_rows(docs, train_docs, id_col, text_col, lang_col, most_langs, train_bytes)
 
     def fit(batches):
         got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x)
@@ -145,7 +159,6 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((classes, net.p))], pa.binary())], ["net"])
 
     # The sample is bounded, so one task learns from it; the driver gets the network only.
-    rows = chosen.select("lang", "text")
     found = rows.repartition(1).mapInArrow(fit, "net binary").first()
     if found is None:
         return None

@@ -65,13 +65,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     document for the count, and each loses the lines of its own text. Rows of a null id are kept as they are and not counted. All columns of docs are returned, but for columns of
     those four names, which are replaced. A text is never cut: a task holds its lines.
     """
-    marks = keep_bitmaps(dropped_lines(docs, min_chars, min_docs, id_col, text_col)).select(F.col("id").alias("_mark_id"), F.col("text").alias("_mark_text"), F.col("drops").alias("_drops"), F.col("runs").alias("keep_runs"))
-    out = docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text").join(marks, (F.col(id_col) == F.col("_mark_id")) & (text_digest(F.col(text_col)) == F.col("_mark_text")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    bounds = F.zip_with(F.concat(F.array(F.lit(-1)), "_drops"), F.concat("_drops", F.array(F.size("_lines"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    kept = F.flatten(F.transform(bounds, lambda x: F.slice(F.col("_lines"), x["a"] + 2, F.greatest(x["b"] - x["a"] - 1, F.lit(0)))))
+    marks = keep_bitmaps(dropped_lines(docs, min_chars, min_docs, id_col, text_col)).withColumnsRenamed({"id": "mark_id", "text": "mark_text"})
+    # The columns of docs stay in a struct until the end, so they may have any names.
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_runs", "kept_text")]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = held.join(marks, (F.col("id") == F.col("mark_id")) & (text_digest(F.col("text")) == F.col("mark_text")), "left")
+    text = F.col("text")
+    bounds = F.zip_with(F.concat(F.array(F.lit(-1)), "drops"), F.concat("drops", F.array(F.size("lines"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rest = F.flatten(F.transform(bounds, lambda x: F.slice(F.col("lines"), x["a"] + 2, F.greatest(x["b"] - x["a"] - 1, F.lit(0)))))
     out = out.withColumn("n_lines", (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size(F.filter("_drops", lambda x: x < F.col("n_lines"))), F.lit(0)).cast("long"))
-    out = out.withColumn("_lines", F.when(F.col("_drops").isNotNull(), lines))
-    return out.withColumn("kept_text", F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("_mark_id", "_mark_text", "_drops", "_lines")
+    out = out.withColumn("n_dropped", F.coalesce(F.size(F.filter("drops", lambda x: x < F.col("n_lines"))), F.lit(0)).cast("long"))
+    out = out.withColumn("lines", F.when(F.col("drops").isNotNull(), F.split(text, "\n", -1)))
+    return out.select("doc.*", "n_lines", "n_dropped", F.col("runs").alias("keep_runs"), F.when(F.col("drops").isNull(), text).otherwise(F.array_join(rest, "\n")).alias("kept_text"))

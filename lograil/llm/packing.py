@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lograil.llm.common import IS_SPACE, chunks, gathered, materialize, small_batches, text_buffers
+from lograil.llm.common import IS_SPACE, chunks, gathered, numbered, small_batches, text_buffers
 
 #: Lengths above this share of the capacity are large; equal-cardinality groups of large lengths, few for the best configurations and many for the greedy ones.
 LARGE_SHARE, GROUPS, FINE_GROUPS = 0.125, 64, 512
@@ -391,15 +391,16 @@ def slot_table(plans: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces with sequence_id and offset. Needs doc_id, piece and length (1 to capacity); every row gets a place, repeated rows too."""
-    pieces = materialize(pieces, "pieces")
+    pieces = numbered(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     table = slot_table(solve(counts, capacity))
+    # Rank buckets are dealt by the number of the row, so one id, or equal rows, spread as any others.
     buckets = max(1, sum(counts.values()) // RANK_BUCKET)
-    ranked = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    ranked = pieces.withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     sums = ranked.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     sums = sums.withColumn("_from", F.sum("_n").over(W.partitionBy("length").orderBy("_b")) - F.col("_n")).drop("_n")
-    ranked = ranked.withColumn("_r", F.row_number().over(W.partitionBy("length", "_b").orderBy("doc_id", "piece"))).join(sums, ["length", "_b"])
-    ranked = ranked.withColumn("_r", F.col("_r") - 1 + F.col("_from")).drop("_b", "_from")
+    ranked = ranked.withColumn("_r", F.row_number().over(W.partitionBy("length", "_b").orderBy("_row"))).join(sums, ["length", "_b"])
+    ranked = ranked.withColumn("_r", F.col("_r") - 1 + F.col("_from")).drop("_b", "_from", "_row")
     columns = [c for c in ranked.columns if c != "_r"]
 
     def run(batches):

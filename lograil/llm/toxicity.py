@@ -13,6 +13,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,8 @@ GRAMS, TABLE_BITS = (3, 5), 20
 TRAIN_EACH = 1500
 #: A word or n-gram needs so many documents of the sample for an embedding; evidence below CHANCE is none, and what is above starts the first value of the embedding.
 LEAST_DOCS, CHANCE, WORD_START, GRAM_START = 3, 3.5, 0.5, 2.0
+#: Bytes of text of a class that one task learns from at most.
+TRAIN_BYTES = 64 << 20
 #: Share of a step's words whose embeddings are left out, so that no document is learned by a single word; embeddings move slowly from where they start.
 DROPPED, RATE = 0.3, 0.05
 
@@ -37,20 +40,31 @@ def sigmoid(x):
 
 
 class Vocabulary:
-    """Numbers of known hashes, from 1 on; all others have 0. A table by 20 hash bits, checked against the whole hash."""
+    """Numbers of known hashes, from 1 on; all others have 0. A table by 20 hash bits, checked against the whole hash; of those that share the bits, all but the first are looked for in a short sorted list."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
         self.number = np.zeros(1 << TABLE_BITS, np.int32)
-        self.number[hashes & np.uint64((1 << TABLE_BITS) - 1)] = np.arange(1, len(hashes) + 1)
+        slots = hashes & np.uint64((1 << TABLE_BITS) - 1)
+        first = np.unique(slots, return_index=True)[1]
+        self.number[slots[first]] = first + 1
         self.whole = np.concatenate([np.zeros(1, np.uint64), hashes])
+        rest = np.setdiff1d(np.arange(len(hashes)), first)
+        rest = rest[np.argsort(hashes[rest])]
+        self.rest, self.rest_numbers = hashes[rest], (rest + 1).astype(np.int32)
 
     def __reduce__(self):
         return Vocabulary, (self.hashes,)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         n = self.number[hashes & np.uint64((1 << TABLE_BITS) - 1)]
-        return np.where(self.whole[n] == hashes, n, 0)
+        taken = n > 0
+        n = np.where(self.whole[n] == hashes, n, 0)
+        if len(self.rest):
+            open_ = np.flatnonzero(taken & (n == 0))
+            at = np.minimum(np.searchsorted(self.rest, hashes[open_]), len(self.rest) - 1)
+            n[open_] = np.where(self.rest[at] == hashes[open_], self.rest_numbers[at], 0)
+        return n
 
 
 def bare(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,16 +363,26 @@ def bucket(id_col: str, parts: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> GatedNet:
-    """A network learned from the whole texts of at most train_each labelled documents of class 1 and twice as many of class 0, chosen by a hash of the id.
-
-    Null labels and ids are left out; rows that repeat an id are learned from each. Empty texts teach nothing. With labels of one class only, that class is the verdict on all texts with words.
-    """
+def training_rows(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(label, text) that a network is learned from; see train."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).distinct()
     order = F.xxhash64(F.lit(9), F.col("_id").cast("string"))
-    picked = known.filter("label = 1").orderBy(order, "_id").limit(train_each).union(known.filter("label = 0").orderBy(order, "_id").limit(2 * train_each))
-    # At most 3 * train_each rows.
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("label", "text")
+    most = {1: train_each, 0: 2 * train_each}
+    picked = known.filter("label = 1").orderBy(order, "_id").limit(most[1]).union(known.filter("label = 0").orderBy(order, "_id").limit(most[0]))
+    found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # 3 * train_each ids
+    # An id may have any number of rows: the bounds are those of rows and bytes.
+    found = found.withColumn("_order", F.struct(order, F.xxhash64("text")))
+    rows = [found.filter(F.col("label") == k).orderBy("_order").limit(n).withColumn("_upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy("_order"))) for k, n in most.items()]
+    return rows[0].union(rows[1]).filter(F.col("_upto") <= train_bytes).select("label", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_each: int = TRAIN_EACH, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_bytes: int = TRAIN_BYTES) -> GatedNet:
+    """A network learned from the whole texts of at most train_each rows of class 1 and twice as many of class 0, and of train_bytes bytes of each class, chosen by a hash of the id, then of the text.
+
+    Null labels and ids are left out; rows that repeat an id are rows of their own within those bounds. A text that would go beyond the bytes is left out, as are those behind it in the order of hashes. Empty texts teach nothing. With labels of one class only, that class is
+    the verdict on all texts with words.
+    """
+    rows = training_rows(docs, labels, train_each, id_col, text_col, label_col, train_bytes)
 
     def fit(batches):
         got = sorted((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (x or "").strip())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,6 +114,77 @@ def top_values(records: DataFrame, columns: Mapping[str, str], n: int = 10) -> D
     return counts.withColumn("nth", nth).filter(F.col("nth") <= n).select("name", "value", "count", "nth")
 
 
+#: Values that a column's state counts at most. A column of fewer distinct values is counted exactly.
+COUNTERS = 1024
+
+
+def frequent_state(records: DataFrame, columns: Mapping[str, str], counters: int = COUNTERS) -> DataFrame:
+    """The most frequent values of a part of the records (Misra and Gries, 1982; merged as by Agarwal et al., 2012): (name, value, count), at most `counters` rows for each column and task, and a row of a null
+    value whose count is the error: a value is in the records at least as often as its counts say, and at most so many times more; so is any value without a row. States of parts merge by merged_frequent.
+
+    Empty cells do not count. Levels count by their label.
+    """
+    names = list(columns)
+    cells = records.select(*[distinct_key(F.nullif(F.col(c).cast("string"), F.lit("")), k).alias(f"c{i}") for i, (c, k) in enumerate(columns.items())])
+
+    def run(batches):
+        held: list[dict] = [{} for _ in names]
+        errors = [0] * len(names)
+        for b in batches:
+            for i, column in enumerate(b.columns):
+                seen = column.drop_null().value_counts()
+                for value, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
+                    held[i][value] = held[i].get(value, 0) + n
+                if len(held[i]) > counters:
+                    held[i], cut = _pruned(held[i], counters)
+                    errors[i] += cut
+        rows = [(n, v, c) for n, state, error in zip(names, held, errors) for v, c in (*state.items(), (None, error))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["name", "value", "count"])
+
+    return cells.mapInArrow(run, "name string, value string, count long")
+
+
+def _pruned(counts: dict[str, int], counters: int) -> tuple[dict[str, int], int]:
+    """The largest counts less the first that is left out, and how much that took from each value at most."""
+    cut = sorted(counts.values(), reverse=True)[counters]
+    return {v: n - cut for v, n in counts.items() if n > cut}, cut
+
+
+def merged_frequent(states: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """One state of each column from those of many parts, with as many counters as one part has."""
+    sums = states.groupBy("name", "value").agg(F.sum("count").alias("count"))
+    nth = F.row_number().over(W.partitionBy("name").orderBy(F.col("value").isNull(), F.desc("count"), "value"))
+    ranked = sums.filter("value is not null").withColumn("_nth", nth)
+    cut = ranked.filter(F.col("_nth") == counters + 1).select("name", F.col("count").alias("_cut"))
+    kept = ranked.filter(F.col("_nth") <= counters).join(cut, "name", "left").withColumn("count", F.col("count") - F.coalesce("_cut", F.lit(0))).filter("count > 0").select("name", "value", "count")
+    errors = sums.filter("value is null").join(cut, "name", "left").select("name", "value", (F.col("count") + F.coalesce("_cut", F.lit(0))).alias("count"))
+    return kept.unionByName(errors)
+
+
+def frequent_values(records: DataFrame, columns: Mapping[str, str], n: int = 10, counters: int = COUNTERS, state: DataFrame | None = None) -> DataFrame:
+    """(name, value, count, nth): as top_values, without a shuffle of all distinct values where few of them are frequent. Exact.
+
+    A state of at most `counters` values for each column tells which values can be among the first n; those are counted in a second pass. Columns for which it cannot tell, as their values are about
+    equally frequent, are counted in full. state: that of the records, if there is one already.
+    """
+    state = materialize(merged_frequent(state if state is not None else frequent_state(records, columns, counters), counters), "frequent")
+    errors = state.filter("value is null").select("name", F.col("count").alias("error"))
+    nth = F.row_number().over(W.partitionBy("name").orderBy(F.desc("count"), "value"))
+    least = state.filter("value is not null").withColumn("_nth", nth).groupBy("name").agg(F.min(F.when(F.col("_nth") == n, F.col("count"))).alias("least"), F.max("_nth").alias("values"))
+    told = {r["name"]: (r["error"], r["least"] or 0) for r in errors.join(least, "name", "left").collect()}  # a row for each column
+    sure = {c: k for c, k in columns.items() if c in told and (told[c][0] == 0 or told[c][0] < told[c][1])}
+    out = []
+    if sure:
+        lows = F.create_map(*[F.lit(x) for c in sure for x in (c, told[c][1] - told[c][0])])
+        wanted = state.filter(F.col("name").isin(*sure) & F.col("value").isNotNull()).filter(F.col("count") >= F.element_at(lows, F.col("name"))).select("name", "value")
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), distinct_key(F.nullif(F.col(c).cast("string"), F.lit("")), k).alias("value")) for c, k in sure.items()])).alias("x")
+        counts = records.select(cells).select("x.*").join(F.broadcast(wanted), ["name", "value"]).groupBy("name", "value").count()  # at most `counters` rows for each column
+        out.append(counts.withColumn("nth", nth).filter(F.col("nth") <= n).select("name", "value", "count", "nth"))
+    if rest := {c: k for c, k in columns.items() if c not in sure}:
+        out.append(top_values(records, rest, n))
+    return reduce(DataFrame.unionByName, out)
+
+
 def value_candidates(records: DataFrame, column: str, most: int = 200, kind: str = "text", selected: Sequence[str] = ()) -> DataFrame:
     """(value, count) to pick from: all levels for a level; else the selected values, then the most frequent ones, at most so many; numbers first by value, then text."""
     if kind == "level":

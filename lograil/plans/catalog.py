@@ -14,7 +14,7 @@ from lograil.operators import blocked, detect, ingest, matchsets, records, rules
 from lograil.plans.fixtures import document_lines, event_fields, event_lines, spread, table, with_continuations
 from lograil.shared import materialize, own_path
 from lograil.sources import lines as sources
-from lograil.streaming import live, merged
+from lograil.streaming import live, merged, views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -593,9 +593,47 @@ def q_stream_counts(spark, d):
     return _last(spark, live.live_counts(_event_stream(spark, d), P.text(F.col("raw"), "err")))
 
 
-@query('select count(*) "count", 0::bigint missing from events')
+_STREAMED = " union all ".join(f"select '{n}' \"name\", count({c}) \"count\", 0::bigint missing, count({v}) numeric_count, min({v}) \"min\", max({v}) \"max\", round(avg({v}), 6) mean from events" for n, c, v in (("raw", "event_type", "null::double"), ("user", "user_id", "user_id::double"), ("value", "value", "value")))
+
+
+@query(f"select * from ({_STREAMED})")
 def q_stream_profile(spark, d):
-    return _last(spark, live.live_profile(_event_stream(spark, d), "user")).select("count", "missing")
+    """All columns of a stream of several batches, by states that merge."""
+    view = views.ProfileView(own_path(spark, "profile-view"), {"raw": "text", "user": "number", "value": "number"})
+    live.deliver(_event_stream(spark, d), view).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return view.profile(spark).select("name", "count", "missing", "numeric_count", "min", "max", F.round("mean", 6).alias("mean"))
+
+
+_FREQUENT = """(select 'event_type' "name", event_type "value", count(*) n from events group by 2 union all select 'user', (user_id % 40)::varchar, count(*) from events group by 2)"""
+
+
+@query(f"""select "name", "value", n at_least, n at_most, row_number() over (partition by "name" order by n desc, "value") nth from {_FREQUENT} qualify nth <= 10""")
+def q_stream_frequent(spark, d):
+    s = _event_stream(spark, d).select(F.col("raw").alias("event_type"), (F.col("user").cast("long") % 40).cast("string").alias("user"))
+    view = views.ProfileView(own_path(spark, "profile-view"), {"event_type": "text", "user": "text"})
+    live.deliver(s, view).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return view.frequent(spark).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query("""with w as (select unnest(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+')) word, lang from documents), c as (
+  select 'word' "name", word "value", count(*) "count" from w where word <> '' group by 2 union all select 'lang', lang, count(*) from w where word <> '' and lang <> '' group by 2
+  union all select 'length', length(word)::varchar, count(*) from w where word <> '' group by 2)
+select *, row_number() over (partition by "name" order by "count" desc, "value") nth from c where "value" is not null qualify nth <= 8""")
+def q_frequent_values(spark, d):
+    """The first words, languages and word lengths of the corpus, by candidates from bounded states."""
+    words = spread(table(spark, d, "documents").select("text", "lang")).select("lang", F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("word"))
+    return stats.frequent_values(words.withColumn("length", F.length("word")), {"word": "text", "lang": "text", "length": "text"}, 8)
+
+
+@query(f"select source, line_no, user_id % 10 <> 0 automatic from {_EVENTS} where user_id % 10 = 0 or event_type in ('error', 'purchase')")
+def q_stream_bookmarks(spark, d):
+    """Manual bookmarks and those of two streams, some of the same lines."""
+    path = own_path(spark, "bookmarks")
+    views.add_manual(event_fields(spark, d).filter("user_id % 10 = 0"), path)
+    for name, kinds_of in (("errors", ["error"]), ("money", ["purchase", "error"])):
+        hits = _event_stream(spark, d).filter(F.col("raw").isin(kinds_of))
+        live.deliver(hits, views.BookmarkView(path, name)).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return views.bookmarks(spark, path)
 
 
 @query(f"select source, line_no, epoch_us(max(ts) over (partition by source order by line_no)) eff_us from {_EVENTS}")

@@ -9,13 +9,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lograil.operators import sinks
 from lograil.operators.rules import notifications
 
 MARK = 64
@@ -361,20 +359,6 @@ def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200) -> Da
     return rows.groupBy("source", "rule").applyInPandasWithState(fold, f"source {source}, rule string, us long, suppressed long, excerpt string", "last long, held long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def add_bookmarks(path: str) -> Callable[[DataFrame, int], None]:
-    """For deliver: appends each batch's (source, line_no) to the table of bookmarks at path, but for those that it has."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            table = spark.read.parquet(path)
-        except AnalysisException:  # no table yet
-            table = spark.createDataFrame([], batch.select("source", "line_no").schema)
-        sinks.new_bookmarks(batch, table).write.mode("append").parquet(path)
-
-    return add
-
-
 def deliver(stream: DataFrame, notify: Callable[[DataFrame, int], None]):
     """Hands each micro-batch to a function, such as one that appends new bookmarks or sends alerts."""
     return stream.writeStream.foreachBatch(notify)

@@ -282,3 +282,66 @@ def test_headed_cells(spark):
     rows = [("a", 0, 'x;"y;z";x;'), ("a", 1, '1;"2;""3""";4;5'), ("a", 2, "1;2"), ("a", 3, '"1;2;3;4'), ("a", 4, ";;;"), ("b", 0, "k"), ("b", 1, "v"), ("b", 2, ""), ("c", 1, "no head")]
     got = {(r["source"], r["line_no"]): r["fields"] for r in ingest.headed(spark.createDataFrame(rows, "source string, line_no long, raw string"), ";").collect()}
     assert got == {("a", 0): None, ("a", 1): {"x": "1", "y;z": '2;"3"', "col4": "5"}, ("a", 2): None, ("a", 3): None, ("a", 4): {}, ("b", 0): None, ("b", 1): {"k": "v"}, ("b", 2): None, ("c", 1): None}
+
+
+def test_frequent_values_are_exact(spark, monkeypatch):
+    """Skewed, flat and small columns, states of few counters, parts that merge in any order."""
+    from collections import Counter
+
+    from lograil.operators import stats
+
+    rng = random.Random(4)
+    rows = [(f"v{int(rng.paretovariate(0.8))}", f"f{rng.randrange(900)}", rng.choice(["x", "y", "", None]), rng.choice(["warn", "W", "error"])) for _ in range(6000)]
+    d = spark.createDataFrame(rows, "skewed string, flat string, small string, level string").repartition(5)
+    kinds_of = {"skewed": "text", "flat": "text", "small": "text", "level": "level"}
+    key = lambda df: sorted((r["name"], r["nth"], r["value"], r["count"]) for r in df.collect())
+    assert key(stats.frequent_values(d, kinds_of, 5, counters=40)) == key(stats.top_values(d, kinds_of, 5))
+    parts = [stats.frequent_state(d.filter(F.col("flat").substr(-1, 1).isin(*x)), kinds_of, 40) for x in (["1", "2"], ["3"], ["0", "4", "5", "6", "7", "8", "9"])]
+    state = stats.merged_frequent(stats.merged_frequent(parts[0].union(parts[1]), 40).union(parts[2]), 40).collect()
+    error = {r["name"]: r["count"] for r in state if r["value"] is None}
+    assert error["small"] == error["level"] == 0 < error["flat"] and max(Counter(r["name"] for r in state).values()) <= 41
+    for i, name in enumerate(("skewed", "flat")):
+        true = Counter(r[i] for r in rows)
+        held = {r["value"]: r["count"] for r in state if r["name"] == name and r["value"] is not None}
+        assert all(held.get(v, 0) <= n <= held.get(v, 0) + error[name] for v, n in true.items())
+
+
+def test_views_count_a_repeated_batch_once(spark, tmp_path):
+    from lograil.operators import stats
+    from lograil.streaming import views
+
+    rows = [(f"s{i % 3}", i, str(i % 7) if i % 5 else None) for i in range(300)]
+    d = spark.createDataFrame(rows, "source string, line_no long, n string")
+    view = views.ProfileView(str(tmp_path / "p"), {"n": "number", "source": "text"})
+    for k, (lo, hi) in enumerate(((0, 100), (100, 150), (150, 300))):
+        batch = d.filter(F.col("line_no").between(lo, hi - 1))
+        view(batch, k)
+        if k == 1:
+            view(batch, k)
+    cols = ["name", "count", "missing", "numeric_count", "min", "max", "distinct_estimate", "p50"]
+    assert view.profile(spark).select(cols).orderBy("name").collect() == stats.profile(d, {"n": "number", "source": "text"}).select(cols).orderBy("name").collect()
+    got = {(r["name"], r["value"]): (r["at_least"], r["at_most"]) for r in view.frequent(spark, 3).collect()}
+    assert got[("source", "s0")] == (100, 100) and all(a == b for a, b in got.values())
+
+    path = str(tmp_path / "b")
+    views.add_manual(d.filter("line_no in (1, 2)"), path)
+    for name in ("one", "two"):
+        view = views.BookmarkView(path, name)
+        for k in (0, 1, 1):
+            view(d.filter(F.col("line_no").between(k, k + 3)), k)
+    got = sorted((r["line_no"], r["automatic"]) for r in views.bookmarks(spark, path).collect())
+    assert got == [(0, True), (1, False), (2, False), (3, True), (4, True)]
+
+
+def test_shared_folder_is_cleared(spark):
+    import os
+
+    from lograil import shared
+    from lograil.plans import catalog
+
+    catalog.queries()["q_read_lines"](spark, "/root/testdata/sf0.001").count()
+    folder = shared.shared_dir(spark).removeprefix("file://") + "/lograil"
+    made = [p.rsplit("/", 1)[1] for p in shared._made]
+    assert made and any(name in os.listdir(folder) for name in made)
+    shared.clear(spark)
+    assert not set(made) & set(os.listdir(folder)) and not shared._made

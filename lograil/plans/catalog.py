@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lograil.functions import kinds, times
 from lograil.functions import predicates as P
-from lograil.operators import blocked, detect, ingest, matchsets, records, rules, sinks, stats
+from lograil.operators import blocked, context, detect, ingest, matchsets, records, rules, sinks, stats
 from lograil.plans.fixtures import document_lines, event_fields, event_lines, spread, table, with_continuations
 from lograil.shared import materialize, own_path
 from lograil.sources import lines as sources
@@ -176,6 +179,12 @@ def q_context(spark, d):
     return records.with_context(lines, P.text(F.col("raw"), "license"), 2, 1).select("source", "line_no", "is_context", "raw")
 
 
+@query(_SQL["q_context"])
+def q_context_in_order(spark, d):
+    """The same without an exchange of lines."""
+    return context.context_in_order(document_lines(spark, d), P.text(F.col("raw"), "license"), 2, 1).select("source", "line_no", "is_context", "raw")
+
+
 RULES = (
     rules.Rule("shout", "!!", priority=1, tag="noise", hide=True), rules.Rule("license", "license", priority=5, tag="legal"), rules.Rule("digits", r"[0-9]{4}", kind="regex", priority=5, tag="number", bookmark=True),
     rules.Rule("the", "the", whole_word=True, tag="word", alert=True), rules.Rule("off", "a", enabled=False),
@@ -745,6 +754,62 @@ def q_detect_layouts(spark, d):
     return detect.detect_formats(rows, 1 << 40).filter("source = format").select("source", "format", F.round("score", 6).alias("score"))
 
 
+_STARTS = f"(select source, line_no, max(case when event_type = 'error' then line_no end) over (partition by source order by line_no) rec_id from {_EVENTS})"
+
+
+@query(f"select source, rec_id, count(*) n_lines from {_STARTS} where rec_id is not null group by 1, 2 qualify rec_id < max(rec_id) over (partition by source)")
+def q_stream_records(spark, d):
+    """Records of a stream that go over its batches; each source's last one is still open."""
+    return _ended(spark, live.live_records(_event_stream(spark, d), P.text(F.col("raw"), "error"), idle_ms=None)).select("source", "rec_id", "n_lines")
+
+
+@query("""with recursive h as (select 'app-' || (user_id % 4) source, event_id * 60000000 us from events where event_type = 'error'),
+n(source, us, suppressed) as (
+  select source, min(us), 0::bigint from h group by source
+  union all
+  select source, case when held > 0 then us + 3600000000 else upcoming end, held from (
+    select n.source, n.us, (select count(*) from h where h.source = n.source and h.us < n.us + 3600000000 and (h.us > n.us or (h.us = n.us and n.suppressed > 0))) held,
+      (select min(us) from h where h.source = n.source and h.us >= n.us + 3600000000) upcoming from n) where held > 0 or upcoming is not null)
+select source, us, suppressed from n where suppressed = 0 or us <= (select max(us) from h where h.source = n.source)""")
+def q_stream_alerts(spark, d):
+    """Alerts of a stream over its batches, one event a minute; summaries that are due later than the last hit are still held."""
+    s = _event_stream(spark, d).filter(P.text(F.col("raw"), "error")).select("source", F.lit("error").alias("rule"), F.timestamp_micros((F.col("line_no") / 4 * 60_000_000).cast("long")).alias("ts"), "raw")
+    return _ended(spark, live.live_alerts(s, 3600, timers=False)).select("source", "us", "suppressed")
+
+
+@query(f"select source, line_no, (sum(strlen(raw) + 1) over (partition by source order by line_no) - strlen(raw) - 1)::bigint byte_off, raw from {_SHORT}")
+def q_growing_lines(spark, d):
+    """Files of a folder as a stream of several batches and many ranges, numbered by executors. The shared folder must be a mounted one here."""
+    lines, made = own_path(spark, "growing"), own_path(spark, "growing-files")
+    _short_lines(spark, d).repartition("source").sortWithinPartitions("source", "line_no").select("source", "raw").write.partitionBy("source").option("lineSep", "\n").text(made)
+    folder = lines.removeprefix("file://")
+    for row in spark.read.text(made, recursiveFileLookup=True).select(F.input_file_name().alias("f")).distinct().collect():  # a file for each source
+        os.makedirs(folder, exist_ok=True)
+        shutil.copyfile(row["f"].removeprefix("file://"), f"{folder}/{re.search('source=([^/]+)', row['f'])[1]}.log")
+    out = own_path(spark, "stream-out")
+    stream = live.growing_lines(spark, folder, f"{own_path(spark, 'progress').removeprefix('file://')}", span=1 << 12, batch=1 << 16)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", own_path(spark, "stream")).trigger(processingTime="0 seconds").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema(stream.schema).parquet(out).select(F.regexp_extract("source", "([^/]+)[.]log$", 1).alias("source"), "line_no", "byte_off", "raw")
+
+
+@query(f"select source, line_no, event_type || ' ' || level shown from {_EVENTS}")
+def q_strip_ansi(spark, d):
+    """Colours, a title with its terminator, a cursor move, and an escape that the line's end cuts off."""
+    raw = F.concat(F.lit("\x1b[1;31m"), "event_type", F.lit("\x1b[0m\x1b]0;title\x07 "), "level", F.lit("\x1b[2K\x1b["))
+    return event_fields(spark, d).select("source", "line_no", kinds.strip_ansi(raw).alias("shown"))
+
+
+@query(f"select source, line_no, lower(level) severity, user_id::varchar \"user\", k from {_EVENTS}")
+def q_columns(spark, d):
+    """Columns found by an alias and another case, in the order asked for."""
+    r = ingest.logfmt(event_lines(spark, d, "logfmt"), LOGFMT).filter("is_record")
+    names = kinds.ordered_columns(["k", "USER", "level"], ["severity", "user", "*"])
+    found = [kinds.find_column(LOGFMT, n) for n in names]
+    return r.select("source", "line_no", F.col(found[0]).alias("severity"), *found[1:])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

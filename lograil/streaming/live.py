@@ -207,9 +207,9 @@ def _keys(lines: DataFrame) -> tuple[list[str], str]:
     return keys, ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in keys)
 
 
-def live_records(lines: DataFrame, start: Column, idle_ms: int = 500, most_lines: int = 10_000) -> DataFrame:
-    """(source, gen if lines has it, rec_id, n_lines, body): a record is out when the next start of its source arrives, after idle_ms without a line, or in parts of most_lines lines,
-    so that the open record, which is the state, stays bounded. A part has the rec_id of its record.
+def live_records(lines: DataFrame, start: Column, idle_ms: int | None = 500, most_lines: int | None = None) -> DataFrame:
+    """(source, gen if lines has it, rec_id, n_lines, body): a record is out when the next start of its source arrives, or after idle_ms without a line (None: never, and the query can end). The open record is the state; where records may be too
+    long for that, most_lines gives them out in parts of so many lines, which have the rec_id of their record.
     """
     keys, schema = _keys(lines)
 
@@ -223,7 +223,7 @@ def live_records(lines: DataFrame, start: Column, idle_ms: int = 500, most_lines
         else:
             b = pd.concat(list(batches)).sort_values("line_no")
             for line_no, raw, begins in zip(b["line_no"], b["raw"], b["begins"]):
-                if held and held[1] and (begins or len(held[1]) >= most_lines):
+                if held and held[1] and (begins or most_lines and len(held[1]) >= most_lines):
                     out.append((*key, held[0], len(held[1]), "\n".join(held[1])))
                     held[1] = []
                 if begins:
@@ -232,11 +232,12 @@ def live_records(lines: DataFrame, start: Column, idle_ms: int = 500, most_lines
                     held[1].append(raw)
             if held:
                 state.update((json.dumps(held),))
-                state.setTimeoutDuration(idle_ms)
+                if idle_ms is not None:
+                    state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[*keys, "rec_id", "n_lines", "body"])
 
     rows = lines.select(*keys, "line_no", "raw", F.coalesce(start, F.lit(False)).alias("begins"))
-    return rows.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, rec_id long, n_lines long, body string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, rec_id long, n_lines long, body string", "held string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_context(lines: DataFrame, matched: Column, before: int = 0, after: int = 0) -> DataFrame:
@@ -331,10 +332,10 @@ def live_merge(lines: DataFrame, idle_ms: int = 500, group: Column | None = None
     return rows.groupBy("merge").applyInPandasWithState(fold, "merge string, source string, line_no long, raw string, eff_us long, late boolean", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200) -> DataFrame:
+def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200, timers: bool = True) -> DataFrame:
     """(source, rule, us, suppressed, excerpt) of hits (source, rule, ts, and raw if there is one): notify, hold back for so many seconds of event time, then sum up.
 
-    A summary that is due comes with the next hit, or after so many seconds without one. excerpt is the start of the line that was notified.
+    A summary that is due comes with the next hit or, with timers, after so many seconds without one; a query without timers can end. excerpt is the start of the line that was notified.
     """
     span = int(seconds * 1e6)
 
@@ -348,7 +349,7 @@ def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200) -> Da
         b = pd.concat(list(batches)).sort_values(["us", "excerpt"])
         told, last, held = notifications(b["us"].to_numpy(), span, last, held)
         state.update((last, held))
-        if held:
+        if held and timers:
             state.setTimeoutDuration(int(seconds * 1000))
         lines = b["excerpt"].to_numpy()
         yield pd.DataFrame([(*key, us, n, None if i is None else lines[i]) for us, n, i in told], columns=columns)
@@ -356,7 +357,7 @@ def live_alerts(hits: DataFrame, seconds: float = 5.0, excerpt: int = 200) -> Da
     line = F.substring("raw", 1, excerpt) if "raw" in hits.columns else F.lit("")
     rows = hits.select("source", "rule", F.unix_micros("ts").alias("us"), F.coalesce(line, F.lit("")).alias("excerpt"))
     source = dict(rows.dtypes)["source"]
-    return rows.groupBy("source", "rule").applyInPandasWithState(fold, f"source {source}, rule string, us long, suppressed long, excerpt string", "last long, held long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("source", "rule").applyInPandasWithState(fold, f"source {source}, rule string, us long, suppressed long, excerpt string", "last long, held long", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
 def deliver(stream: DataFrame, notify: Callable[[DataFrame, int], None]):

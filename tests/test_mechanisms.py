@@ -345,3 +345,24 @@ def test_shared_folder_is_cleared(spark):
     assert made and any(name in os.listdir(folder) for name in made)
     shared.clear(spark)
     assert not set(made) & set(os.listdir(folder)) and not shared._made
+
+
+@pytest.mark.parametrize("before,after", [(0, 0), (2, 1), (0, 5), (7, 0), (30, 40)])
+def test_context_in_order(spark, before, after):
+    """Lines in order over partitions and batches, lines out of order, runs of one line; all against the join by number."""
+    from lograil.operators import context
+
+    rng = random.Random(before)
+    rows = [(f"s{k}", i, "hit" if rng.random() < 0.03 else "line") for k in range(4) for i in range(rng.choice([1, 50, 700]))]
+    ordered = spark.createDataFrame(rows, "source string, line_no long, raw string")
+    mixed = spark.createDataFrame(rng.sample(rows, len(rows)), ordered.schema)
+    key = lambda df: sorted(map(tuple, df.select("source", "line_no", "raw", "is_context").collect()))
+    want = key(records.with_context(ordered, F.col("raw") == "hit", before, after))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        for d in (ordered.coalesce(1), ordered, mixed, ordered.filter("line_no % 10 <> 3")):
+            expected = want if d.count() == len(rows) else key(records.with_context(d, F.col("raw") == "hit", before, after))
+            assert key(context.context_in_order(d, F.col("raw") == "hit", before, after)) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert context.context_in_order(ordered.limit(0), F.col("raw") == "hit", before, after).count() == 0

@@ -38,6 +38,8 @@ def context_in_order(lines: DataFrame, matched: Column, before: int = 0, after:
                 return
             table = pa.concat_tables(([held] if held is not None else []) + new).combine_chunks()
             n = table.num_rows
+            if not n:
+                return
             source = table.column("source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             line, hit = table.column("line_no").to_numpy(), table.column("_hit").to_numpy(zero_copy_only=False).astype(bool)
             begins = np.ones(n, bool)

@@ -112,15 +112,16 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
             message = F.when(F.length(parts["code"]) > len(code), "1").otherwise("0")
             cand[f"{name}:{family}"] = (one, F.when((parts["family"] == family) & parts["code"].startswith(code), F.concat(empty, message)), trust)
     d = ingest.parsed_once(d, _parts=line_parts(raw))
-    x = F.explode(F.array(*[F.struct(F.lit(n).alias("format"), k.alias("fields"), s.alias("shape"), F.lit(t).alias("trust")) for n, (k, s, t) in cand.items()])).alias("x")
+    fits = F.array(*[F.struct(F.lit(n).alias("format"), k.alias("fields"), s.alias("shape"), F.lit(t).alias("trust")) for n, (k, s, t) in cand.items()])
+    x = F.explode(F.filter(fits, lambda c: c["shape"].isNotNull())).alias("x")
     rows = d.select("source", x).select("source", "x.*")
     shapes = rows.groupBy("source", "format", "trust", "fields", "shape").agg(F.count("*").alias("n"))
-    by = shapes.groupBy("source", "format", "trust", "fields").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("shape").isNotNull(), F.col("n"))).alias("hits"), F.max(F.when(F.col("shape").isNotNull(), F.col("n"))).alias("modal"))
+    by = shapes.groupBy("source", "format", "trust", "fields").agg(F.sum("n").alias("hits"), F.max("n").alias("modal"))
     # The most frequent number of fields; the larger one on ties.
-    best = by.groupBy("source", "format", "trust").agg(F.sum("n").alias("lines"), F.max(F.struct("n", "fields", "hits", "modal")).alias("m"))
-    best = best.filter("m.hits > 0").withColumn("score", F.col("m.hits") / F.col("lines") * (0.6 + 0.4 * F.col("m.modal") / F.col("m.hits")) * F.col("trust"))
+    best = by.groupBy("source", "format", "trust").agg(F.max(F.struct("hits", "fields", "modal")).alias("m")).join(d.groupBy("source").agg(F.count("*").alias("lines")), "source")
+    best = best.withColumn("score", F.col("m.hits") / F.col("lines") * (0.6 + 0.4 * F.col("m.modal") / F.col("m.hits")) * F.col("trust"))
     delimited = F.col("format").isin(*DELIMITED)
-    best = best.filter((F.col("score") >= MIN_SCORE) & (~delimited | (F.col("m.n") >= 0.8 * F.col("lines"))))
+    best = best.filter((F.col("score") >= MIN_SCORE) & (~delimited | (F.col("m.hits") >= 0.8 * F.col("lines"))))
     order = F.element_at(F.create_map(*[v for i, n in enumerate(cand) for v in (F.lit(n), F.lit(i))]), F.col("format"))
     best = best.withColumn("_o", order)
     rank = lambda *by: F.row_number().over(W.partitionBy("source", *by).orderBy(F.desc("score"), "_o"))

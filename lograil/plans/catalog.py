@@ -783,6 +783,8 @@ def q_growing_lines(spark, d):
     lines, made = own_path(spark, "growing"), own_path(spark, "growing-files")
     _short_lines(spark, d).repartition("source").sortWithinPartitions("source", "line_no").select("source", "raw").write.partitionBy("source").option("lineSep", "\n").text(made)
     folder = lines.removeprefix("file://")
+    if "://" in folder:
+        raise RuntimeError(f"{folder} is not a mounted folder")
     for row in spark.read.text(made, recursiveFileLookup=True).select(F.input_file_name().alias("f")).distinct().collect():  # a file for each source
         os.makedirs(folder, exist_ok=True)
         shutil.copyfile(row["f"].removeprefix("file://"), f"{folder}/{re.search('source=([^/]+)', row['f'])[1]}.log")

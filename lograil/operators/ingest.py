@@ -230,7 +230,13 @@ def _unquoted(v: Column) -> Column:
     # Parts that begin with a backslash, and what stands before the first one.
     part = lambda p: F.when(~p.startswith("\\"), p).when(F.length(p) == 1, p).otherwise(F.concat(F.translate(F.substring(p, 2, 1), "ntr", "\n\t\r"), F.substring(p, 3, 1 << 30)))
     undone = lambda b: F.array_join(F.transform(F.regexp_extract_all(b, F.lit(r"(?s)\\.[^\\]*|[^\\]+|\\"), F.lit(0)), part), "")
-    return F.when(~v.startswith('"'), v).when(F.contains(v, F.lit("\\")), undone(body)).otherwise(F.when(v.endswith('"') & (F.length(v) > 1), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.substring(v, 2, 1 << 30)))
+    # Without two backslashes in a row, each of them escapes what is behind it, in any order.
+    inner = F.when(v.endswith('"') & ~v.endswith('\\"'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.substring(v, 2, 1 << 30))
+    plain = F.replace(inner, F.lit('\\"'), F.lit('"'))
+    for letter, char in (("n", "\n"), ("t", "\t"), ("r", "\r")):
+        plain = F.replace(plain, F.lit("\\" + letter), F.lit(char))
+    single = F.when(F.contains(plain, F.lit("\\")), F.regexp_replace(plain, r"(?s)\\(.)", "$1")).otherwise(plain)
+    return F.when(~v.startswith('"'), v).when(F.contains(v, F.lit("\\\\")), undone(body)).when(F.contains(v, F.lit("\\")), single).otherwise(F.when(v.endswith('"') & (F.length(v) > 1), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.substring(v, 2, 1 << 30)))
 
 
 def _open(lines: DataFrame, pairs: Column, ok: Column, columns: Sequence[str]) -> DataFrame:

@@ -62,6 +62,19 @@ class Rule:
         return P.text(raw, self.pattern, self.case, self.whole_word) if self.kind == "literal" else P.regex(raw, self.pattern, self.case)
 
 
+def usable(rules: Sequence[Rule]) -> tuple[list[Rule], dict[str, str]]:
+    """The rules that can be applied, and why the others cannot, by name; disabled rules are in neither."""
+    good, wrong = [], {}
+    for r in rules:
+        if r.enabled:
+            try:
+                r.check()
+                good.append(r)
+            except (ValueError, re.error) as e:
+                wrong[r.name] = str(e)
+    return good, wrong
+
+
 def tag_lines(lines: DataFrame, rules: Sequence[Rule], columns: Sequence[str] = ()) -> DataFrame:
     """lines with rules (names of all that match, in order), hidden, alert, bookmark, and tag (that of the matching rule of highest priority, the later one on ties)."""
     rules = [r for r in rules if r.enabled]

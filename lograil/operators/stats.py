@@ -40,26 +40,56 @@ def typed_values(records: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return records.withColumns(new)
 
 
-def exact_percentiles(values: DataFrame, quantiles=QUANTILES) -> DataFrame:
-    """(name, p50, p90, p99) by nearest rank of (name, v) rows. Values are counted, range-partitioned and ranked by the sums of the partitions before; no task holds more than one range."""
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = values.filter("v is not null").groupBy("name", "v").agg(F.count("*").alias("n"))
-    counts = materialize(counts.repartitionByRange(parts, "name", "v").withColumn("part", F.spark_partition_id()), "value-counts")
+def exact_percentiles(counts: DataFrame, quantiles=QUANTILES) -> DataFrame:
+    """(name, p50, p90, p99) by nearest rank of (name, r, v, n): n values v, or n values without v, in the order of r and v. A percentile that falls on a row without v is null.
+
+    Rows are range-partitioned and ranked by the sums of the partitions before; no task holds more than one range.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialize(counts.repartitionByRange(parts, "name", "r", "v").withColumn("part", F.spark_partition_id()), "value-counts")
     before = W.partitionBy("name").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = counts.groupBy("name", "part").agg(F.sum("n").alias("sum"))
     sums = sums.withColumns({"before": F.coalesce(F.sum("sum").over(before), F.lit(0)), "total": F.sum("sum").over(W.partitionBy("name"))})
     asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.ceil(F.lit(p) * F.col("total")).alias("rank")) for q, p in quantiles])).alias("x")
     asked = sums.select("name", "part", "before", "sum", asked).select("name", "part", "before", "sum", "x.*").filter("rank > before and rank <= before + sum")
-    inside = W.partitionBy("name", "q").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("name", "q").orderBy("r", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
     hit = counts.join(F.broadcast(asked), ["name", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(inside)).filter("upto >= rank")
-    return hit.groupBy("name").agg(*[F.min(F.when(F.col("q") == q, F.col("v"))).alias(q) for q, _ in quantiles])
+    return hit.groupBy("name").agg(*[F.min_by(F.when(F.col("q") == q, F.col("v")), F.when(F.col("q") == q, F.struct("r", "v"))).alias(q) for q, _ in quantiles])
+
+
+#: Sketches of percentiles are wrong by 1/ACCURACY of the rows at most; bounds are asked for twice as far from what is wanted.
+ACCURACY = 10_000
+_BOUNDS = [x for _, p in QUANTILES for x in (max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0))]
+
+
+def _apart(bounds: Sequence[float]) -> list[list[float]]:
+    """Intervals (low, high, low, high, ...) in order, those that touch put together."""
+    out: list[list[float]] = []
+    for lo, hi in sorted(zip(bounds[::2], bounds[1::2])):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def counted_between(v: Column, bounds: Sequence[float] | None) -> Column:
+    """(r, v) by which values are counted: themselves inside the bounds of a percentile, only their number between them; without bounds each by itself."""
+    if bounds is None:
+        return F.when(v.isNotNull(), F.struct(F.lit(0).alias("r"), v.alias("v")))
+    nothing, at = F.lit(None).cast("double"), None
+    for i, (lo, hi) in enumerate(_apart(bounds)):
+        for test, r, shown in ((v < lo, 2 * i, nothing), (v <= hi, 2 * i + 1, v)):
+            at = (F if at is None else at).when(test, F.struct(F.lit(r).alias("r"), shown.alias("v")))
+    return F.when(v.isNotNull(), at.otherwise(F.struct(F.lit(2 * i + 2).alias("r"), nothing.alias("v"))))
 
 
 def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = False, where: Column | None = None) -> DataFrame:
     """(name, kind, records, skipped, count, missing, numeric_count, min, max, mean, distinct_estimate, p50, p90, p99) of all columns in one scan of the records.
 
-    columns maps names to kinds. Percentiles are nearest-rank over numbers, durations (ns) and sizes: from sketches, or exact by exact_percentiles. If records has is_record,
-    other lines are skipped and only counted. where restricts the profile to records that a filter passes.
+    columns maps names to kinds. Percentiles are nearest-rank over numbers, durations (ns) and sizes: from sketches, or exact. Exact ones take a second scan, in which only values between bounds from the
+    sketches, a few in 10,000, are counted one by one, and others only as so many below or above. If records has is_record, other lines are skipped and only counted. where restricts the profile to
+    records that a filter passes.
     """
     d = records.filter(where) if where is not None else records
     is_record = F.coalesce(F.col("is_record"), F.lit(False)) if "is_record" in d.columns else F.lit(True)
@@ -67,28 +97,43 @@ def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = False,
     aggs = []
     for i, (name, kind) in enumerate(columns.items()):
         c, v = F.when(F.col("_ok"), F.col(f"_c{i}")), F.when(F.col("_ok"), F.col(f"_v{i}"))
-        q = [F.get(F.percentile_approx(v, [p for _, p in QUANTILES], 10_000), F.lit(j)) if kind in _PARSED and not exact else F.lit(None).cast("double") for j in range(len(QUANTILES))]
+        # One sketch for all: a NULL array where a column has no numbers.
+        sketch = F.percentile_approx(v, _BOUNDS if exact else [p for _, p in QUANTILES], ACCURACY) if kind in _PARSED else F.lit(None).cast("array<double>")
         # Numbers are told apart as they are, without making text of them.
         key = F.when(F.col("_ok"), F.col(name)) if isinstance(records.schema[name].dataType, T.NumericType) else distinct_key(c, kind)
         aggs.append(F.struct(
             F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("skipped"), F.count(c).alias("count"), F.count_if(F.col("_ok") & F.col(f"_c{i}").isNull()).alias("missing"), F.count(v).alias("numeric_count"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.approx_count_distinct(key, 0.016), F.count(c)).alias("distinct_estimate"), *[x.alias(n) for x, (n, _) in zip(q, QUANTILES)],
+            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.approx_count_distinct(key, 0.016), F.count(c)).alias("distinct_estimate"), sketch.alias("_sketch"),
         ))
     out = d.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     if not exact:
-        return out
-    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_v{i}").alias("v")) for i, (name, kind) in enumerate(columns.items()) if kind in _PARSED] or [F.struct(F.lit("").alias("name"), F.lit(None).cast("double").alias("v"))])).alias("x")
-    return out.drop("p50", "p90", "p99").join(exact_percentiles(d.filter("_ok").select(cells).select("x.*")), "name", "left")
+        return out.select("*", *[F.get("_sketch", F.lit(j)).alias(n) for j, (n, _) in enumerate(QUANTILES)]).drop("_sketch")
+    out = materialize(out, "profile")
+    bounds = {r["name"]: r["_sketch"] for r in out.filter("numeric_count > 0").select("name", "_sketch").collect()}  # a row for each column
+    at = {name: i for i, name in enumerate(columns) if name in bounds}
+
+    def percentiles(narrow: bool) -> DataFrame:
+        cells = [F.struct(F.lit(name).alias("name"), counted_between(F.col(f"_v{i}"), bounds[name] if narrow else None).alias("x")) for name, i in at.items()]
+        counts = d.filter("_ok").select(F.explode(F.array(*cells)).alias("c")).filter("c.x is not null").groupBy("c.name", "c.x.r", "c.x.v").agg(F.count("*").alias("n"))
+        return materialize(exact_percentiles(counts), "percentiles")
+
+    if not at:
+        return out.drop("_sketch").withColumns({n: F.lit(None).cast("double") for n, _ in QUANTILES})
+    found = percentiles(True)
+    if not found.filter(" or ".join(f"{n} is null" for n, _ in QUANTILES)).isEmpty():
+        found = percentiles(False)  # a sketch was further off than it should be
+    return out.drop("_sketch").join(found, "name", "left")
 
 
 def profile_state(records: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """What profile_of needs of a part of the records, one row for each column; states of parts merge by merged_states."""
-    d = typed_values(records, columns)
+    """What profile_of needs of a part of the records, one row for each column; states of parts merge by merged_states. Lines that are no records are only counted, as by profile."""
+    is_record = F.coalesce(F.col("is_record"), F.lit(False)) if "is_record" in records.columns else F.lit(True)
+    d = typed_values(records.withColumn("_ok", is_record), columns)
     aggs = []
     for i, (name, kind) in enumerate(columns.items()):
-        c, v = F.col(f"_c{i}"), F.col(f"_v{i}")
+        c, v = F.when(F.col("_ok"), F.col(f"_c{i}")), F.when(F.col("_ok"), F.col(f"_v{i}"))
         aggs.append(F.struct(
-            F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count(c).alias("count"), F.count_if(c.isNull()).alias("missing"), F.count(v).alias("numeric_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
+            F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("skipped"), F.count(c).alias("count"), F.count_if(F.col("_ok") & F.col(f"_c{i}").isNull()).alias("missing"), F.count(v).alias("numeric_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
             F.hll_sketch_agg(distinct_key(c, kind), 12).alias("distinct_sketch"), F.kll_sketch_agg_double(v).alias("quantile_sketch"),
         ))
     return d.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
@@ -96,14 +141,14 @@ def profile_state(records: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 def merged_states(states: DataFrame) -> DataFrame:
     """One state of each column from those of many parts."""
-    sums = [F.sum(c).alias(c) for c in ("count", "missing", "numeric_count", "sum")]
+    sums = [F.sum(c).alias(c) for c in ("records", "skipped", "count", "missing", "numeric_count", "sum")]
     return states.groupBy("name", "kind").agg(*sums, F.min("min").alias("min"), F.max("max").alias("max"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"))
 
 
 def profile_of(state: DataFrame) -> DataFrame:
-    """(name, kind, count, missing, numeric_count, min, max, mean, distinct_estimate, p50, p90, p99) of states."""
+    """(name, kind, records, skipped, count, missing, numeric_count, min, max, mean, distinct_estimate, p50, p90, p99) of states."""
     q = [F.when(F.col("numeric_count") > 0, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(p))).alias(n) for n, p in QUANTILES]
-    return state.select("name", "kind", "count", "missing", "numeric_count", "min", "max", (F.col("sum") / F.col("numeric_count")).alias("mean"), F.least(F.hll_sketch_estimate("distinct_sketch"), F.col("count")).alias("distinct_estimate"), *q)
+    return state.select("name", "kind", "records", "skipped", "count", "missing", "numeric_count", "min", "max", (F.col("sum") / F.col("numeric_count")).alias("mean"), F.least(F.hll_sketch_estimate("distinct_sketch"), F.col("count")).alias("distinct_estimate"), *q)
 
 
 def top_values(records: DataFrame, columns: Mapping[str, str], n: int = 10) -> DataFrame:

@@ -812,6 +812,167 @@ def q_columns(spark, d):
     return r.select("source", "line_no", F.col(found[0]).alias("severity"), *found[1:])
 
 
+_TRACED = f"(select count(*) * 3 from {_EVENTS} where event_type = 'error' and event_id % 7 = 0)"
+
+
+@query(f"""select 'level' "name", count(*) records, {_TRACED} skipped, count(*) "count", 0::bigint missing, 0::bigint numeric_count, null::double "min", null::double "max", count(distinct level) distinct_estimate from {_EVENTS}
+union all select 'dur', count(*), {_TRACED}, count(*), 0, count(*), round(min(value) * 1e6, 3), round(max(value) * 1e6, 3), null from {_EVENTS}""")
+def q_merged_records(spark, d):
+    """States of the records of each source, merged; lines that are no records are counted as skipped."""
+    r = ingest.logfmt(with_continuations(event_lines(spark, d, "logfmt")), LOGFMT)
+    states = [stats.profile_state(r.filter(F.col("source") == f"app-{i}"), {"level": "level", "dur": "duration"}) for i in range(4)]
+    out = stats.profile_of(stats.merged_states(reduce(DataFrame.unionByName, states)))
+    few = F.when(F.col("name") == "level", F.col("distinct_estimate")).alias("distinct_estimate")  # few values are counted exactly
+    return out.select("name", "records", "skipped", "count", "missing", "numeric_count", F.round("min", 3).alias("min"), F.round("max", 3).alias("max"), few)
+
+
+@query(" union all ".join(f"select '{m}' mode, source, line_no rec_id, case when event_type = 'error' and event_id % 7 = 0 then 4 else 1 end n_lines from {_EVENTS}" for m in ("pattern", "time")))
+def q_record_starts(spark, d):
+    """Records whose starts are told by a pattern, and by a time that begins the line."""
+    lines = with_continuations(event_lines(spark, d, "log4j"))
+    starts = {"pattern": records.record_start(F.col("raw"), pattern=r"^\d{4}-.*worker"), "time": records.record_start(F.col("raw"))}
+    out = [records.bodies(records.with_record(lines, start, BLOCK)).select(F.lit(mode).alias("mode"), "source", "rec_id", "n_lines") for mode, start in starts.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"select source, line_no, event_id % 500 <> 0 is_record, case when event_id % 500 <> 0 then lower(level) end \"level\" from {_EVENTS}")
+def q_long_lines(spark, d):
+    """Lines over 1 MiB are kept, but not parsed."""
+    long = F.when(F.col("line_no") / 4 % 500 == 0, F.repeat(F.lit("x"), F.lit(1 << 20))).otherwise("")
+    lines = event_lines(spark, d, "logfmt").withColumn("raw", F.concat("raw", F.lit(" pad="), long))
+    return ingest.logfmt(lines, LOGFMT).select("source", "line_no", "is_record", "level")
+
+
+@query(f"select source, line_no, epoch_us(ts) us, level_rank rank, user_id::varchar \"user\", k user_2, event_type col5, round(value * 1e6, 3) ns, user_id * 1024.0::double bytes from {_EVENTS}")
+def q_named_schema(spark, d):
+    """Columns from a header with a repeated and an empty name, typed by the kinds that their names suggest."""
+    e = spread(event_fields(spark, d))
+    raw = F.concat_ws(",", "iso", "level", "user_id", "k", "event_type", F.concat("dur", F.lit("ms")), F.concat(F.col("user_id").cast("string"), F.lit("KiB")))
+    schema = kinds.schema_of(["time", "level", "user", "user", "", "took", "size"])
+    r = ingest.delimited(e.select("source", "line_no", raw.alias("raw")), schema.names).filter("is_record")
+    t = {f.name: kinds.typed(F.col(f.name), f.metadata["kind"]) for f in schema}
+    return r.select("source", "line_no", F.unix_micros(t["time"]).alias("us"), t["level"].alias("rank"), t["user"].alias("user"), t["user_2"].alias("user_2"), t["col5"].alias("col5"), F.round(t["took"], 3).alias("ns"), t["size"].alias("bytes"))
+
+
+@query("""with c as (select user_id::varchar "value", count(*) "count" from events group by 1 union all select 'nobody', 0)
+select * from c order by "value" in ('7', 'nobody') desc, "count" desc, "value" limit 20""")
+def q_selected_values(spark, d):
+    """The values that are selected already come first among those to pick from, also if none is left of them."""
+    return stats.value_candidates(event_fields(spark, d).select(F.col("user_id").cast("string").alias("user")), "user", 20, selected=["7", "nobody"])
+
+
+_CONDITIONS = {"gt": ("250", "value > 250"), "ge": ("250", "value >= 250"), "lt": ("99.5", "value < 99.5"), "le": ("99.5", "value <= 99.5"), "eq": ("250.00ms", "c = '250.00ms'"), "ne": ("250.00ms", "c <> '250.00ms'"), "contains": ("9.5", "contains(c, '9.5')"), "regex": ("^1.*5ms$", "regexp_matches(c, '^1.*5ms$')")}
+
+
+@query("with e as (select *, printf('%.2fms', value) c from events), n as (" + " union all ".join(f"select '{op}' rule, count(*) n, null::varchar problem from e where {sql}" for op, (_, sql) in _CONDITIONS.items()) + """ union all select 'same_number', count(*), null from e where user_id = 7)
+select * from n where n > 0 union all select 'no_number', null, 'could not convert string to float: ''many''' union all select 'no_column', null, 'no_column: no column' union all select 'no_group', null, 'no_group: no group 2; the pattern has 1' union all select 'no_text', null, 'no_text: empty literal'""")
+def q_rule_conditions(spark, d):
+    """Rules on columns by all operators, and the rules that cannot be applied with what is wrong with them."""
+    asked = [rules.Rule(op, value, "column", column="dur", op=op) for op, (value, _) in _CONDITIONS.items()]
+    asked += [rules.Rule("same_number", "7.0", "column", column="user"), rules.Rule("missing", "x", "column", column="nowhere", op="ne"), rules.Rule("no_text", ""), rules.Rule("no_column", "x", "column"), rules.Rule("no_number", "many", "column", column="dur", op="gt"), rules.Rule("no_group", "(a)", "regex", group=2), rules.Rule("off", "", enabled=False)]
+    good, wrong = rules.usable(asked)
+    lines = event_fields(spark, d).select("source", "line_no", F.lit("").alias("raw"), F.concat("dur", F.lit("ms")).alias("dur"), F.col("user_id").cast("string").alias("user"))
+    hits = rules.rule_hits(rules.tag_lines(lines, good, ["dur", "user"])).select("rule", "n", F.lit(None).cast("string").alias("problem"))
+    return hits.unionByName(spark.createDataFrame([(r, None, why) for r, why in wrong.items()], "rule string, n long, problem string"))
+
+
+@query(f"select source, line_no, row_number() over (order by date_trunc('minute', ts) desc nulls last, source, line_no) nth from {_EVENTS}")
+def q_own_times(spark, d):
+    """A sort by times that only a reader of the caller's can read."""
+    e = event_fields(spark, d).select("source", "line_no", F.date_format("ts", "mm'~'HH dd|MM|yyyy").alias("cell"))
+    key = records.sort_key(F.col("cell"), "timestamp", ts=lambda c: F.to_timestamp(c, "mm'~'HH dd|MM|yyyy"))
+    return records.ranked(e, key.desc_nulls_last(), F.col("source"), F.col("line_no")).select("source", "line_no", "nth")
+
+
+_KEYS = {"number": ("value", "dur"), "bytes": ("user_id", "concat(cast(user_id as string), ' KiB')"), "level": ("level_rank", "level"), "text": ("lower(event_type || ' ' || event_id)", "concat(upper(event_type), ' ', event_id)")}
+
+
+@query(" union all ".join(f"select '{k}' kind, source, line_no, row_number() over (order by {sql} desc, source, line_no) nth from {_EVENTS}" for k, (sql, _) in _KEYS.items()))
+def q_sort_keys(spark, d):
+    """Whole sorts by cells of each kind."""
+    e = event_fields(spark, d).withColumn("event_id", F.col("event_id").cast("string"))
+    out = [records.ranked(e.select("source", "line_no", F.expr(cell).alias("cell")).withColumn("key", records.sort_key(F.col("cell"), k)), F.col("key").desc_nulls_last(), F.col("source"), F.col("line_no")).select(F.lit(k).alias("kind"), "source", "line_no", "nth") for k, (_, cell) in _KEYS.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"select source, 'date time user-' || right(source, 1) || ' sc-status bytes' fields, count(*) n, sum(floor(value))::bigint bytes from {_EVENTS} group by source")
+def q_w3c_fields(spark, d):
+    """Sources that name their fields by directives, each in its own way; a later directive is not the first one."""
+    lines = event_lines(spark, d, "w3c")
+    sources_of = lines.select("source").distinct()
+    directive = F.concat(F.lit("#Fields: date time  user-"), F.right("source", F.lit(1)), F.lit(" sc-status bytes"))
+    lines = lines.unionByName(sources_of.select("source", F.lit(-2).cast("long").alias("line_no"), directive.alias("raw"))).unionByName(sources_of.select("source", F.lit(-1).cast("long").alias("line_no"), F.lit("#Fields: other").alias("raw")))
+    named = ingest.w3c_fields(lines).select("source", F.array_join("fields", " ").alias("fields"))
+    r = ingest.w3c(lines, ["date", "time", "user", "status", "bytes"]).filter("is_record").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("bytes").cast("long")).alias("bytes"))
+    return r.join(named, "source")
+
+
+def _generations(spark, d) -> DataFrame:
+    """(source, gen, line_no, raw) of a folder of growing files, one for each source. The first half of the events is read first; then app-0 and app-1 grow by the others, and app-2 and app-3 are written anew with them.
+
+    The shared folder must be a mounted one here.
+    """
+    folder, made = own_path(spark, "generations"), own_path(spark, "generations-files")
+    e = event_fields(spark, d)
+    half = ((e.agg(F.max("event_id")).first()[0] or 0) + 1) // 2
+    rows = e.withColumn("part", (F.col("event_id") >= half).cast("int"))
+    rows.repartition("part", "source").sortWithinPartitions("part", "source", "event_id").select("part", "source", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("raw")).write.partitionBy("part", "source").option("lineSep", "\n").text(made)
+    local = folder.removeprefix("file://")
+    if "://" in local:
+        raise RuntimeError(f"{local} is not a mounted folder")
+    os.makedirs(local)
+    files = sorted(r["f"].removeprefix("file://") for r in spark.read.text(made, recursiveFileLookup=True).select(F.input_file_name().alias("f")).distinct().collect())  # two files for each source
+
+    def put(part: int) -> None:
+        for f in files:
+            k, source = re.search("part=(.)/source=([^/]+)/", f).groups()
+            if int(k) == part:
+                with open(f, "rb") as a, open(f"{local}/{source}.log", "ab" if source in ("app-0", "app-1") else "wb") as b:
+                    shutil.copyfileobj(a, b)
+
+    out = own_path(spark, "stream-out")
+    stream = live.growing_lines(spark, local, own_path(spark, "progress").removeprefix("file://"), span=1 << 14, batch=1 << 18)
+    put(0)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", own_path(spark, "stream")).trigger(processingTime="0 seconds").start()
+    q.processAllAvailable()
+    put(1)
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema(stream.schema).parquet(out).select(F.regexp_extract("source", "([^/]+)[.]log$", 1).alias("source"), "gen", "line_no", "raw")
+
+
+_GENERATIONS = f"(select source, event_type, event_id || ' ' || event_type raw, case when source in ('app-2', 'app-3') and event_id >= (max(event_id) over () + 1) // 2 then 1 else 0 end gen, event_id from {_EVENTS})"
+
+
+@query(f"select source, gen, row_number() over (partition by source, gen order by event_id) - 1 line_no, raw from {_GENERATIONS}")
+def q_generations(spark, d):
+    """Files that grow, and files that are written anew while they are read: these start a new generation, whose lines are numbered from 0."""
+    return _generations(spark, d)
+
+
+@query(f"select source, gen, count(*) n from {_GENERATIONS} where event_type = 'error' group by 1, 2")
+def q_generation_counts(spark, d):
+    """Counts of a live search begin anew with a file's new generation."""
+    path = own_path(spark, "generation-lines")
+    lines = _generations(spark, d)
+    lines.write.parquet(path)
+    return _last(spark, live.live_counts(spark.readStream.schema(lines.schema).parquet(path), P.text(F.col("raw"), "error")))
+
+
+@query(_SQL["q_stream_alerts"])
+def q_alert_delivery(spark, d):
+    """The alerts of a stream, handed batch by batch to a function of the caller's."""
+    path = own_path(spark, "delivered")
+    s = _event_stream(spark, d).filter(P.text(F.col("raw"), "error")).select("source", F.lit("error").alias("rule"), F.timestamp_micros((F.col("line_no") / 4 * 60_000_000).cast("long")).alias("ts"), "raw")
+    alerts = live.live_alerts(s, 3600, timers=False)
+
+    def notify(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
+
+    live.deliver(alerts, notify).option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(alerts.schema).option("recursiveFileLookup", True).parquet(path).select("source", "us", "suppressed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

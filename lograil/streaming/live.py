@@ -191,8 +191,8 @@ def live_filter(lines: DataFrame, matched: Column) -> DataFrame:
 
 
 def live_counts(lines: DataFrame, matched: Column) -> DataFrame:
-    """(source, n): matches so far; for output mode complete or update."""
-    return live_filter(lines, matched).groupBy("source").agg(F.count("*").alias("n"))
+    """(source, gen if lines has it, n): matches so far; for output mode complete or update. A new generation of a file is counted anew."""
+    return live_filter(lines, matched).groupBy(*_keys(lines)[0]).agg(F.count("*").alias("n"))
 
 
 def live_profile(records: DataFrame, column: str) -> DataFrame:

@@ -103,7 +103,7 @@ def profile(records: DataFrame, columns: Mapping[str, str], exact: bool = False,
         key = F.when(F.col("_ok"), F.col(name)) if isinstance(records.schema[name].dataType, T.NumericType) else distinct_key(c, kind)
         aggs.append(F.struct(
             F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.count_if("_ok").alias("records"), F.count_if(~F.col("_ok")).alias("skipped"), F.count(c).alias("count"), F.count_if(F.col("_ok") & F.col(f"_c{i}").isNull()).alias("missing"), F.count(v).alias("numeric_count"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.approx_count_distinct(key, 0.016), F.count(c)).alias("distinct_estimate"), sketch.alias("_sketch"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.least(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(key.isNotNull(), F.xxhash64(key)), 12)), F.count(c)).alias("distinct_estimate"), sketch.alias("_sketch"),
         ))
     out = d.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     if not exact:

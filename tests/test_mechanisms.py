@@ -1,5 +1,6 @@
 """Operators that work in blocks, ranges and batches, against plain loops: encoded files, match sets, alerts, growing files, the merged view, detection, syslog by its RFCs."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -366,3 +367,26 @@ def test_context_in_order(spark, before, after):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert context.context_in_order(ordered.limit(0), F.col("raw") == "hit", before, after).count() == 0
+
+
+def test_exact_percentiles_with_ties_and_bad_bounds(spark, monkeypatch):
+    """Nearest rank by brute force: many ties, few values, signs, one value, none; also where the bounds miss the percentiles."""
+    from lograil.operators import stats
+
+    rows = [(float(i % 7), float((i * 7919) % 3001 - 1500), 5.0 if i else None, None, i % 3 == 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, e double, is_record boolean").repartition(5)
+    columns = dict.fromkeys("abce", "number")
+
+    def nearest(values, p):
+        values = sorted(v for v in values if v is not None)
+        return values[max(math.ceil(p * len(values)), 1) - 1] if values else None
+
+    want = {c: tuple(nearest([r[i] for r in rows if r[4]], p) for p in (0.5, 0.9, 0.99)) for i, c in enumerate("abce")}
+    for bounds in (stats._BOUNDS, [0.1, 0.2] * 3):
+        monkeypatch.setattr(stats, "_BOUNDS", bounds)
+        got = {r["name"]: r for r in stats.profile(d, columns, exact=True).collect()}
+        assert {c: (got[c]["p50"], got[c]["p90"], got[c]["p99"]) for c in "abce"} == want
+        assert {c: (r["records"], r["skipped"], r["count"]) for c, r in got.items()} == {"a": (1000, 2000, 1000), "b": (1000, 2000, 1000), "c": (1000, 2000, 999), "e": (1000, 2000, 0)}
+    state = stats.profile_of(stats.merged_states(stats.profile_state(d.filter("a < 3"), columns).unionByName(stats.profile_state(d.filter("a >= 3"), columns))))
+    assert {(r["name"], r["records"], r["skipped"]) for r in state.collect()} == {(c, 1000, 2000) for c in "abce"}
+    assert stats.profile(d.filter("a > 9"), columns, exact=True).filter("p50 is null and count = 0").count() == 4

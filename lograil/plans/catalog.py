@@ -789,7 +789,7 @@ def q_growing_lines(spark, d):
         os.makedirs(folder, exist_ok=True)
         shutil.copyfile(row["f"].removeprefix("file://"), f"{folder}/{re.search('source=([^/]+)', row['f'])[1]}.log")
     out = own_path(spark, "stream-out")
-    stream = live.growing_lines(spark, folder, f"{own_path(spark, 'progress').removeprefix('file://')}", span=1 << 12, batch=1 << 16)
+    stream = live.growing_lines(spark, folder, f"{own_path(spark, 'progress').removeprefix('file://')}", span=1 << 12, batch=1 << 16, most=64 << 20)
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", own_path(spark, "stream")).trigger(processingTime="0 seconds").start()
     q.processAllAvailable()
     q.stop()
@@ -931,7 +931,7 @@ def _generations(spark, d) -> DataFrame:
                     shutil.copyfileobj(a, b)
 
     out = own_path(spark, "stream-out")
-    stream = live.growing_lines(spark, local, own_path(spark, "progress").removeprefix("file://"), span=1 << 14, batch=1 << 18)
+    stream = live.growing_lines(spark, local, own_path(spark, "progress").removeprefix("file://"), span=1 << 14, batch=1 << 18, most=64 << 20)
     put(0)
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", own_path(spark, "stream")).trigger(processingTime="0 seconds").start()
     q.processAllAvailable()

@@ -19,11 +19,15 @@ from lograil.operators.rules import notifications
 MARK = 64
 #: Bytes that are read at a time, of a range that a task reads, and of a batch.
 CHUNK, SPAN, BATCH = 1 << 20, 32 << 20, 4 << 30
+#: Into how many tasks the ranges of a batch are dealt at least, if there are as many; a task counts one file's ranges, side by side.
+TASKS = 64
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, gen: int, start: int, stop: int):
-        self.path, self.gen, self.start, self.stop = path, gen, start, stop
+class _Ranges(InputPartition):
+    """The bytes of a file from start to stop, in ranges of span bytes."""
+
+    def __init__(self, path: str, gen: int, start: int, stop: int, span: int):
+        self.path, self.gen, self.start, self.stop, self.span = path, gen, start, stop, span
 
 
 def _mark(path: str, done: int) -> str:
@@ -45,11 +49,12 @@ def line_ends(path: str, start: int, stop: int) -> int:
 
 
 def lines_ending(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
-    """(first byte, bytes) of each line whose break is in a range. The first line may begin long before: it is looked for backwards, chunk by chunk."""
+    """(first byte, bytes) of each line whose break is in a range. The first line may begin long before: it is looked for backwards, in ever larger chunks."""
     with open(path, "rb") as f:
-        at = start
+        at, back = start, 256
         while at:
-            low = max(at - CHUNK, 0)
+            back = min(4 * back, CHUNK)
+            low = max(at - back, 0)
             f.seek(low)
             cut = f.read(at - low).rfind(b"\n") + 1
             at = low + cut
@@ -64,13 +69,16 @@ def lines_ending(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]
 class _Growing(DataSourceStreamReader):
     """Offsets are {path: (generation, bytes, digest of the first and last bytes before)}.
 
-    The driver looks at sizes and at those few bytes only. A batch takes up to `batch` new bytes, file by file, and cuts them into ranges of `span` bytes. A file that got shorter, was rewritten at any
+    The driver looks at sizes and at those few bytes only. A batch takes up to `batch` new bytes, file by file, and cuts them into ranges of `span` bytes. As long as more is waiting than it takes, the next one takes twice as much, up to `most`;
+    so the batches of a backlog grow in number with its logarithm, not with its size, until they are that large. A file that got shorter, was rewritten at any
     length, or was removed and came back starts a new generation. What has been offered is kept in the file `progress`, so that a query that starts again goes on where it was; without it, a query can't start again.
     """
 
     def __init__(self, options: dict):
         self.folder, self.progress = options["path"], options.get("progress")
         self.span, self.batch = int(options.get("span", SPAN)), int(options.get("batch", BATCH))
+        self.most = max(int(options.get("most", self.batch)), self.batch)
+        self.now = self.batch
         self.seen: dict = {}
         if self.progress and os.path.exists(self.progress):
             with open(self.progress) as f:
@@ -80,7 +88,7 @@ class _Growing(DataSourceStreamReader):
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        files, left = dict(self.seen), self.batch
+        files, left, waiting = dict(self.seen), self.now, 0
         here = {os.path.join(self.folder, name) for name in os.listdir(self.folder)}
         for path in sorted(here | set(files)):
             gen, done, mark = files.get(path, [0, 0, ""])
@@ -95,8 +103,10 @@ class _Growing(DataSourceStreamReader):
                 gen, done = gen + 1, 0  # truncated, rotated or rewritten
             take = min(size - done, left)
             left -= take
+            waiting += size - done - take
             files[path] = [gen, done + take, _mark(path, done + take)]
         self.seen = files
+        self.now = min(2 * self.now, self.most) if waiting else self.batch
         if self.progress:
             with open(f"{self.progress}.new", "w") as f:
                 json.dump(files, f)
@@ -104,24 +114,27 @@ class _Growing(DataSourceStreamReader):
         return {"files": files}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        new = []
         for path, (gen, done, _) in end["files"].items():
             g, at, _ = start["files"].get(path, [0, 0, ""])
             if g > gen or g == gen and at > done:
                 raise RuntimeError(f"{path} was read further than is known here; a query that starts again needs the progress file of its first run")
-            at = at if g == gen else 0
-            out += [_Range(path, gen, lo, min(lo + self.span, done)) for lo in range(at, done, self.span)]
-        return out or [_Range("", 0, 0, 0)]
+            new.append((path, gen, at if g == gen else 0, done))
+        # Ranges of a task: as many as give TASKS tasks, but no more bytes than a range has by default, unless one range has more.
+        size = sum(done - at for _, _, at, done in new)
+        step = self.span * max(min(size // TASKS, SPAN) // self.span, 1)
+        return [_Ranges(path, gen, lo, min(lo + step, done), self.span) for path, gen, at, done in new for lo in range(at, done, step)] or [_Ranges("", 0, 0, 0, self.span)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        if partition.path:
-            yield partition.path, partition.gen, partition.start, partition.stop, line_ends(partition.path, partition.start, partition.stop)
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        for lo in range(partition.start, partition.stop, partition.span):
+            hi = min(lo + partition.span, partition.stop)
+            yield partition.path, partition.gen, lo, hi, line_ends(partition.path, lo, hi)
 
 
 class GrowingFiles(DataSource):
     """New byte ranges of the files of a mounted folder, with the number of line breaks in each, counted where it is read; for growing_lines. Files may grow, be truncated or rewritten.
 
-    Options: path; span and batch (bytes of a range and of a batch); progress (a file for what has been offered, which belongs to the query's checkpoint).
+    Options: path; span and batch (bytes of a range and of a batch); most (bytes of a batch while more is waiting; batch if it is not given); progress (a file for what has been offered, which belongs to the query's checkpoint).
     """
 
     @classmethod
@@ -157,29 +170,30 @@ def lines_of_ranges(ranges: DataFrame) -> DataFrame:
                 yield path, gen, base + i, at, line[:-1].removesuffix(b"\r").decode("utf-8", "replace")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for b in batches:
             for r in b.itertuples(index=False):
-                held, size = [], 0
                 for row in rows(*r):
                     held.append(row)
                     size += len(row[4])
                     if size > 4 * CHUNK or len(held) >= 50_000:
                         yield pd.DataFrame(held, columns=NAMES)
                         held, size = [], 0
-                if held:
-                    yield pd.DataFrame(held, columns=NAMES)
+        if held:
+            yield pd.DataFrame(held, columns=NAMES)
 
     NAMES = ["source", "gen", "line_no", "byte_off", "raw"]
     return ranges.mapInPandas(run, "source string, gen int, line_no long, byte_off long, raw string")
 
 
-def growing_lines(spark: SparkSession, path: str, progress: str, span: int = SPAN, batch: int = BATCH) -> DataFrame:
+def growing_lines(spark: SparkSession, path: str, progress: str, span: int = SPAN, batch: int = BATCH, most: int | None = None) -> DataFrame:
     """The stream of lines (source, gen, line_no, byte_off, raw) of the growing files of a folder that driver and executors mount, numbered as read_lines numbers them.
 
+    A batch has up to `batch` bytes; while more is waiting each has up to twice as many as the one before, up to `most` (batch if None).
     progress is a file of the driver's that belongs to the query's checkpoint. Executors count the line breaks of ranges, a running sum for each file numbers the ranges, and executors read them, all ranges of a file at the same time.
     """
     spark.dataSource.register(GrowingFiles)
-    options = {"path": path, "span": str(span), "batch": str(batch), "progress": progress}
+    options = {"path": path, "span": str(span), "batch": str(batch), "most": str(most or batch), "progress": progress}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = spark.readStream.format("growing_files").options(**options).load()
     plain = lambda df: df.withColumn("start", F.greatest("start", F.lit(0)))  # noqa: E731  rows from Python are shuffled after a projection only

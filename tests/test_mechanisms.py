@@ -185,6 +185,28 @@ def test_growing_ranges_and_generations(tmp_path):
         read(offsets[-1], live._Growing({"path": str(tmp_path)}).latestOffset())
 
 
+def test_backlog_of_growing_files_takes_few_batches_and_tasks(tmp_path):
+    """Batches double while more is waiting, up to the most, and are small again after it; many ranges make few tasks, and each range is given once."""
+    f = tmp_path / "a.log"
+    f.write_text("".join(f"line {i}\n" for i in range(20_000)))
+    size = f.stat().st_size
+    reader = live._Growing({"path": str(tmp_path), "span": "64", "batch": "256", "most": "65536"})
+    offsets, ranges = [reader.initialOffset()], []
+    while not ranges or ranges[-1][3] < size:
+        offsets.append(reader.latestOffset())
+        parts = reader.partitions(*offsets[-2:])
+        assert len(parts) <= 2 * live.TASKS
+        ranges += [r for p in parts for r in reader.read(p)]
+    ends = [o["files"][str(f)][1] for o in offsets[1:]]
+    taken = [b - a for a, b in zip([0, *ends], ends)]
+    assert taken[:-1] == [min(256 << i, 65536) for i in range(len(taken) - 1)] and len(taken) < 14
+    assert [r[2] for r in ranges] == [0, *[r[3] for r in ranges[:-1]]] and max(r[3] - r[2] for r in ranges) == 64 and sum(r[4] for r in ranges) == 20_000
+    with f.open("a") as out:
+        out.write("x" * 999)
+    offsets.append(reader.latestOffset())
+    assert offsets[-1]["files"][str(f)][1] == size + 256
+
+
 def test_lines_longer_than_chunks(tmp_path, monkeypatch):
     want = ["a", "x" * 2500, "b", "", "y" * 1000, "c"]
     f = tmp_path / "a.log"

@@ -41,17 +41,24 @@ def _stamps() -> dict[str, str]:
     return {family: "|".join(bare(n) for n in sorted(names, key=lambda n: -len(bare(n)))) for family, names in FAMILIES.items()} | {"day_first": DAY_FIRST}
 
 
-def line_parts(raw: Column) -> Column:
-    """struct(family, code, filled) of a text line: the family of the time that it begins with, perhaps behind a level, the kinds of its first parts, and for each whether it has a value.
-
-    The time is found first and stands for one part. Then the line is read part by part: in brackets, or up to a blank. A part is a level (L), something else in brackets (B),
-    a lone sign (S), a word with a colon or a lone sign behind it (G, a logger), or another word (W). Signs are left out but for what they say of the word before.
-    """
-    stamps = _stamps()
-    # The time stands at the line's start, in brackets or not, or behind a first word.
+def _marked(raw: Column) -> Column:
+    """The head of a text line with the time at its start, perhaps behind a level, told apart in one match: marks around the texts of the families, all but one empty, then the head with _TIME for the time. Other heads have no mark."""
+    # The time stands at the line's start, in brackets or not, or behind a first word. No family's text can be read on behind that word by another one, so the first family that fits is the first one in order.
     head = F.translate(F.substring(raw, 1, HEAD), _TIME[0], " ")
-    where = "^((?:[\\[(]?[A-Za-z]+[\\])]?:?[ \\t]+)?)[\\[(]?"
-    marked = F.coalesce(*[F.when(head.rlike(f"{where}(?:{p})(?![\\w:/])"), F.concat(F.lit(f"{family} "), F.regexp_replace(head, f"{where}(?:{p})(?![\\w:/])[\\])]?", "$1" + _TIME))) for family, p in stamps.items()])
+    stamps = _stamps().values()
+    pattern = "^((?:[\\[(]?[A-Za-z]+[\\])]?:?[ \\t]+)?)[\\[(]?(?:" + "|".join(f"({p})" for p in stamps) + ")(?![\\w:/])[\\])]?"
+    return F.regexp_replace(head, pattern, "".join(f"{_TIME[0]}${i}" for i in range(2, len(stamps) + 2)) + f"{_TIME[0]}$1{_TIME}")
+
+
+def _stamped(marked: Column) -> Column:
+    """The family's name and a blank before the head, with every digit 0, as digits tell no parts apart; null for a head without a time."""
+    nth = F.length(marked) - F.length(F.ltrim(marked, F.lit(_TIME[0])))
+    text = F.translate(F.substring_index(marked, _TIME[0], -2), "123456789", "0" * 9)
+    return F.when(marked.startswith(_TIME[0]), F.concat(F.get(F.array(*[F.lit(f"{f} ") for f in _stamps()]), nth - 1), text))
+
+
+def _parts_of(stamped: Column) -> Column:
+    """struct(family, code, filled) of a stamped head, as line_parts gives it."""
 
     def read(text: Column) -> Column:
         tokens = F.slice(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]?|\([^)]*\)?|[^\s\[(]+"), F.lit(0)), 1, PARTS)  # the first one is the family's name
@@ -66,7 +73,16 @@ def line_parts(raw: Column) -> Column:
         code = F.regexp_replace(x["code"], "WS", "G")
         return F.struct(x["family"].alias("family"), F.regexp_replace(code, "S", "").alias("code"), x["filled"].alias("filled"))
 
-    return let(let(marked, lambda m: F.when(m.isNotNull(), read(m))), lambda x: F.when(x.isNotNull(), tidy(x)))
+    return let(let(stamped, lambda m: F.when(m.isNotNull(), read(m))), lambda x: F.when(x.isNotNull(), tidy(x)))
+
+
+def line_parts(raw: Column) -> Column:
+    """struct(family, code, filled) of a text line: the family of the time that it begins with, perhaps behind a level, the kinds of its first parts, and for each whether it has a value.
+
+    The time is found first and stands for one part. Then the line is read part by part: in brackets, or up to a blank. A part is a level (L), something else in brackets (B),
+    a lone sign (S), a word with a colon or a lone sign behind it (G, a logger), or another word (W). Signs are left out but for what they say of the word before.
+    """
+    return _parts_of(let(_marked(raw), _stamped))
 
 
 _TIME = "\u0001T"
@@ -76,7 +92,8 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(source, format, score, nth), best first: coverage x (0.6 + 0.4 x consistency) x trust of each candidate over the first lines, those under 0.5 dropped.
 
     Consistency is the share of the most frequent shape (which fields have a value) among the lines that a format takes. Of the delimited formats, lines of the most
-    frequent number of fields count, and only the best separator is a candidate. All sources and candidates are scored in one job.
+    frequent number of fields count, and only the best separator is a candidate. All sources and candidates are scored in one job: a line is read for those formats only whose signs it has,
+    lines that look the same to all of them are counted, and candidates are told apart on these counts. Text lines look the same if their heads do with every digit 0.
     """
     raw = F.col("raw")
     d = lines.filter(F.col("line_no") < sample).filter(F.length(F.trim("raw")) > 0)
@@ -84,45 +101,56 @@ def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
     d = d.filter(~raw.startswith("#") & ~records.is_continuation(raw)).withColumn("raw", F.translate("raw", ingest.MARK, " ")).join(F.broadcast(w3c), "source", "left")  # a number for each source
     shape = lambda cells: F.array_join(F.transform(cells, lambda c: F.when(F.coalesce(c, F.lit("")) != "", "1").otherwise("0")), "")
     keys = lambda pairs: F.array_join(F.array_sort(F.map_keys(pairs)), " ")
-    tokens = F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: ~t.startswith("="))
-    n_pairs = F.size(F.filter(tokens, lambda t: F.contains(t, F.lit("="))))
-    cells = lambda sep: F.split(F.regexp_replace("raw", '"(?:[^"]|"")*"', "q"), sep, -1)
     w3c_cells = F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " "))
     obj = F.from_json(raw, "map<string,string>")
-
-    def grammar(g) -> Column:
-        """The shape of the fields of a layout, from one match of the line: a mark for each, and a digit after it if it has a value."""
-        marked = F.regexp_replace(raw, "(?d)" + g[0], "".join(f"{ingest.MARK}${i}" for i in range(1, len(g[1]) + 1)))
-        return let(marked, lambda x: F.when(x.startswith(ingest.MARK), F.regexp_replace(x, f"{ingest.MARK}[^{ingest.MARK}]+", f"{ingest.MARK}1")))
-
-    # format -> (number of fields where it tells lines apart, shape or null if the line is none of it, trust)
-    one = F.lit(1)
-    cand = {
-        "access_combined": (one, grammar(ingest.ACCESS_COMBINED), 1.0), "access_common": (one, grammar(ingest.ACCESS_COMMON), 1.0), "syslog_5424": (one, grammar(ingest.SYSLOG_5424), 1.0), "syslog_3164": (one, grammar(ingest.SYSLOG_3164), 1.0),
-        "w3c": (one, F.when(F.size(w3c_cells) == F.col("_w3c"), shape(F.transform(w3c_cells, lambda c: F.nullif(c, F.lit("-"))))), 1.0),
-        "json_lines": (one, F.when(F.ltrim(raw).startswith("{"), keys(F.map_filter(obj, lambda k, v: v.isNotNull()))), 1.0),
-        "logfmt": (one, F.when((n_pairs >= 2) & (2 * n_pairs >= F.size(tokens)), keys(ingest.logfmt_pairs(raw))), TRUST["logfmt"]),
-        **{n: (F.size(cells(sep)), F.when(F.size(cells(sep)) >= 2, shape(cells(sep))), TRUST["delimited"]) for n, sep in DELIMITED.items()},
+    # What is used more than once, computed once: the words of lines with two equals signs, lines with their quoted cells cut short, heads with their times found.
+    words = F.when(F.substring_index(raw, "=", 2) != raw, F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: ~t.startswith("=")))
+    quoted = F.when(F.contains(raw, F.lit('"')), F.regexp_replace("raw", '"(?:[^"]|"")*"', "q")).otherwise(raw)
+    d = ingest.parsed_once(ingest.parsed_once(d.select("source", "raw", "_w3c"), raw=raw, _words=words, _quoted=quoted), _marked=_marked(raw))
+    n_pairs = F.size(F.filter("_words", lambda t: F.contains(t, F.lit("="))))
+    # The mark of each field, and a digit after it if it has a value; a line that is none of a grammar begins with no mark.
+    grammar = lambda g, sign: F.when(sign, F.regexp_replace(raw, "(?d)" + g[0], "".join(f"{ingest.MARK}${i}" for i in range(1, len(g[1]) + 1))))
+    access, month = F.contains(raw, F.lit('] "')), F.substring(raw, 1, 1).isin("<", *{m[0] for m in times.MONTHS.split("|")})
+    grammars = {"access_combined": grammar(ingest.ACCESS_COMBINED, access), "access_common": grammar(ingest.ACCESS_COMMON, access), "syslog_5424": grammar(ingest.SYSLOG_5424, raw.startswith("<")), "syslog_3164": grammar(ingest.SYSLOG_3164, month)}
+    # format -> its shape, or null if the line is none of it. A separated line's shape is its separators, and a sign for each value between them.
+    shapes = {
+        "w3c": F.when(F.col("_w3c").isNotNull() & (F.size(w3c_cells) == F.col("_w3c")), shape(F.transform(w3c_cells, lambda c: F.nullif(c, F.lit("-"))))),
+        "json_lines": F.when(F.ltrim(raw).startswith("{"), keys(F.map_filter(obj, lambda k, v: v.isNotNull()))),
+        "logfmt": F.when(F.col("_words").isNotNull() & (n_pairs >= 2) & (2 * n_pairs >= F.size("_words")), keys(ingest.logfmt_pairs(raw))),
+        **{n: F.when(F.contains("_quoted", F.lit(sep[-1])), F.regexp_replace("_quoted", f"[^{sep[-1]}]+", "1")) for n, sep in DELIMITED.items()},
     }
+    valued = lambda n: F.when(F.col(n).startswith(ingest.MARK), F.regexp_replace(n, f"{ingest.MARK}[^{ingest.MARK}]+", f"{ingest.MARK}1"))
+    # Column by column: the code of all of them together would be too long for the JVM to compile.
+    for n, c in (grammars | shapes | {"_stamped": _stamped(F.col("_marked"))}).items():
+        d = ingest.parsed_once(d, **{n: c})
+        d = ingest.parsed_once(d, **{n: valued(n)}) if n in grammars else d
+    alike = d.groupBy("source", "_stamped", *grammars, *shapes).agg(F.count("*").alias("n"))
+    alike = ingest.parsed_once(alike, _parts=_parts_of(F.col("_stamped")))
+
+    # Candidates: the format, the number of fields where it tells lines apart, the shape, the trust. The one without a name takes every line.
+    one, names = F.lit(1), [*grammars, *shapes, *[f"{name}:{family}" for family in _stamps() for name in LAYOUTS]]
+    fit = lambda format, shape, fields, trust: F.struct(format.alias("format"), fields.alias("fields"), shape.alias("shape"), F.lit(trust).alias("trust"))
+    fits = [fit(F.lit(""), F.lit(""), one, 1.0)]
+    for n in (*grammars, *shapes):
+        sep = DELIMITED.get(n, "")[-1:]
+        fields = F.length(n) - F.length(F.replace(F.col(n), F.lit(sep), F.lit(""))) + 1 if sep else one
+        fits.append(F.when(F.col(n).isNotNull(), fit(F.lit(n), F.col(n), fields, TRUST["delimited" if sep else n] if sep or n in TRUST else 1.0)))
     parts = F.col("_parts")
-    for family in _stamps():
-        for name, (code, fields, trust) in LAYOUTS.items():
-            # The shape: a thread may be empty in its brackets, and a message missing.
-            empty = F.when(parts["filled"].substr(code.index("B") + 1, 1) == "0", "0").otherwise("1") if "B" in code else F.lit("")
-            message = F.when(F.length(parts["code"]) > len(code), "1").otherwise("0")
-            cand[f"{name}:{family}"] = (one, F.when((parts["family"] == family) & parts["code"].startswith(code), F.concat(empty, message)), trust)
-    d = ingest.parsed_once(d, _parts=line_parts(raw))
-    fits = F.array(*[F.struct(F.lit(n).alias("format"), k.alias("fields"), s.alias("shape"), F.lit(t).alias("trust")) for n, (k, s, t) in cand.items()])
-    x = F.explode(F.filter(fits, lambda c: c["shape"].isNotNull())).alias("x")
-    rows = d.select("source", x).select("source", "x.*")
-    shapes = rows.groupBy("source", "format", "trust", "fields", "shape").agg(F.count("*").alias("n"))
-    by = shapes.groupBy("source", "format", "trust", "fields").agg(F.sum("n").alias("hits"), F.max("n").alias("modal"))
+    for name, (code, _, trust) in LAYOUTS.items():
+        # The shape: a thread may be empty in its brackets, and a message missing.
+        empty = F.when(parts["filled"].substr(code.index("B") + 1, 1) == "0", "0").otherwise("1") if "B" in code else F.lit("")
+        message = F.when(F.length(parts["code"]) > len(code), "1").otherwise("0")
+        fits.append(F.when(parts["code"].startswith(code), fit(F.concat(F.lit(f"{name}:"), parts["family"]), F.concat(empty, message), one, trust)))
+    rows = alike.select("source", "n", F.explode(F.array_compact(F.array(*fits))).alias("x")).select("source", "n", "x.*")
+    counted = rows.groupBy("source", "format", "trust", "fields", "shape").agg(F.sum("n").alias("n"))
+    by = counted.groupBy("source", "format", "trust", "fields").agg(F.sum("n").alias("hits"), F.max("n").alias("modal"))
     # The most frequent number of fields; the larger one on ties.
-    best = by.groupBy("source", "format", "trust").agg(F.max(F.struct("hits", "fields", "modal")).alias("m")).join(d.groupBy("source").agg(F.count("*").alias("lines")), "source")
+    best = by.groupBy("source", "format", "trust").agg(F.max(F.struct("hits", "fields", "modal")).alias("m"))
+    best = best.withColumn("lines", F.max(F.when(F.col("format") == "", F.col("m.hits"))).over(W.partitionBy("source"))).filter("format <> ''")
     best = best.withColumn("score", F.col("m.hits") / F.col("lines") * (0.6 + 0.4 * F.col("m.modal") / F.col("m.hits")) * F.col("trust"))
     delimited = F.col("format").isin(*DELIMITED)
     best = best.filter((F.col("score") >= MIN_SCORE) & (~delimited | (F.col("m.hits") >= 0.8 * F.col("lines"))))
-    order = F.element_at(F.create_map(*[v for i, n in enumerate(cand) for v in (F.lit(n), F.lit(i))]), F.col("format"))
+    order = F.element_at(F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))]), F.col("format"))
     best = best.withColumn("_o", order)
     rank = lambda *by: F.row_number().over(W.partitionBy("source", *by).orderBy(F.desc("score"), "_o"))
     best = best.withColumn("_d", rank(F.when(delimited, "d").otherwise(F.col("format")))).filter("_d = 1")

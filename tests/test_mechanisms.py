@@ -412,3 +412,15 @@ def test_exact_percentiles_with_ties_and_bad_bounds(spark, monkeypatch):
     state = stats.profile_of(stats.merged_states(stats.profile_state(d.filter("a < 3"), columns).unionByName(stats.profile_state(d.filter("a >= 3"), columns))))
     assert {(r["name"], r["records"], r["skipped"]) for r in state.collect()} == {(c, 1000, 2000) for c in "abce"}
     assert stats.profile(d.filter("a > 9"), columns, exact=True).filter("p50 is null and count = 0").count() == 4
+
+
+def test_detection_counts_lines_that_look_alike(spark):
+    """Lines are counted by how they look to the formats before candidates are told apart, and digits make no difference to text lines."""
+    lines = spark.range(5000).selectExpr("concat('a', id % 1) source", "id line_no", "concat('2024-01-02 03:04:', lpad(id % 60, 2, '0'), ' INFO event ', id) raw")
+    out = detect.detect_formats(lines, 1 << 40)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    alike = next(x for x in plan[plan.index("explode(") :].splitlines() if "Aggregate [" in x)
+    assert "_stamped" in alike
+    heads = lines.select(detect._stamped(detect._marked(F.col("raw"))).alias("x")).distinct().collect()
+    assert sorted(r["x"] for r in heads) == [f"iso \u0001T INFO event {'0' * n}" for n in (1, 2, 3, 4)]
+    assert [(r["format"], r["score"]) for r in out.filter("nth = 1").collect()] == [("time_level_message:iso", 0.95)]

@@ -281,7 +281,8 @@ def discover_columns(lines: DataFrame, pairs: Column, sample: int = 1000, most:
     from pyspark.sql import Window as W
 
     keys = lines.filter(F.col("line_no") < sample).select("source", "line_no", F.posexplode(F.map_keys(pairs)).alias("pos", "name"))
-    keys = keys.groupBy("source", "name").agg(F.min(F.struct("line_no", "pos")).alias("seen"))
+    # Line and place as one number: the least one needs no sort of all keys, as the least struct would.
+    keys = keys.groupBy("source", "name").agg(F.min(F.col("line_no").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")).alias("seen"))
     name = F.lower("name")
     rank = F.when(name.isin(*KIND_NAMES["timestamp"]), 0).when(name.isin(*KIND_NAMES["level"]), 1).when(name.isin("msg", "message"), 3).otherwise(2)
     nth = F.row_number().over(W.partitionBy("source").orderBy(rank, "seen"))

@@ -424,3 +424,10 @@ def test_detection_counts_lines_that_look_alike(spark):
     heads = lines.select(detect._stamped(detect._marked(F.col("raw"))).alias("x")).distinct().collect()
     assert sorted(r["x"] for r in heads) == [f"iso \u0001T INFO event {'0' * n}" for n in (1, 2, 3, 4)]
     assert [(r["format"], r["score"]) for r in out.filter("nth = 1").collect()] == [("time_level_message:iso", 0.95)]
+
+
+def test_keys_are_found_without_a_sort_of_all(spark):
+    lines = spark.createDataFrame([("a", 3, "x=1 ts=2"), ("a", 1, "y=1 b=2 msg=z"), ("a", 2, "b=2 c=1"), ("a", 1 << 62, "x=1 w=1")], "source string, line_no long, raw string")
+    out = ingest.discover_columns(lines, ingest.logfmt_pairs(F.col("raw")), sample=(1 << 62) + 1)
+    assert "SortAggregate" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert [r["name"] for r in out.orderBy("nth").collect()] == ["ts", "y", "b", "c", "x", "w", "msg"]

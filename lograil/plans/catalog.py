@@ -392,8 +392,8 @@ def q_encodings(spark, d):
     out = []
     for enc in ("UTF-8", "UTF-16LE", "ISO-8859-1"):
         path = own_path(spark, "encoded")
-        _short_lines(spark, d).coalesce(1).select(F.encode("raw", enc).cast("string").alias("raw")).write.option("lineSep", "\r\n").option("encoding", enc).text(path)
-        kind = sources.encodings(spark, f"{path}/*.txt").select("encoding", "line_ending")
+        _short_lines(spark, d).select(F.encode("raw", enc).cast("string").alias("raw")).write.option("lineSep", "\r\n").option("encoding", enc).text(path)
+        kind = sources.encodings(spark, f"{path}/*.txt").select("encoding", "line_ending").distinct()  # the same for all files
         lines = sources.read_encoded(spark, f"{path}/*.txt", enc).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("n_distinct"))
         out.append(kind.crossJoin(F.broadcast(lines)))  # one row each
     return reduce(DataFrame.unionByName, out)

@@ -45,9 +45,10 @@ def encodings(spark: SparkSession, path: str) -> DataFrame:
     """(source, encoding, line_ending) of each file from its first 64 KiB: byte order mark, then share of NULs at even and odd places, then valid UTF-8, else ISO-8859-1."""
     head = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.substring("content", 1, SAMPLE_BYTES).alias("head"))
     x = F.hex("head")
-    pairs = F.length(x) / 4
-    odd = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(pairs).cast("int") - 1, F.lit(0))), lambda i: F.substring(x, i * 4 + 3, F.lit(2))), lambda b: b == "00")) / pairs
-    even = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(pairs).cast("int") - 1, F.lit(0))), lambda i: F.substring(x, i * 4 + 1, F.lit(2))), lambda b: b == "00")) / pairs
+    n = F.floor(F.octet_length("head") / 2).cast("int")  # pairs of bytes
+    of_pairs = lambda which: F.regexp_replace(F.decode(F.substring("head", F.lit(1), 2 * n), "ISO-8859-1"), "(?s)(.)(.)", which)
+    share = lambda bytes_: F.try_divide(n - F.length(F.replace(bytes_, F.lit("\0"), F.lit(""))), F.octet_length("head") / 2)
+    even, odd = share(of_pairs("$1")), share(of_pairs("$2"))
     enc = (
         F.when(x.startswith("EFBBBF"), "UTF-8").when(x.startswith("FFFE"), "UTF-16LE").when(x.startswith("FEFF"), "UTF-16BE")
         .when(odd > 0.3, "UTF-16LE").when(even > 0.3, "UTF-16BE").when(F.is_valid_utf8(F.col("head").cast("string")), "UTF-8").otherwise("ISO-8859-1")

@@ -67,3 +67,15 @@ def test_detect_reads_the_whole_table(spark, tmp_path):
 def test_merge_numbers_events_in_many_tasks(spark, sf_dir):
     out = catalog.queries()["q_merge"](spark, sf_dir)
     assert "row_number" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoded_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A table of several splits becomes several files in each encoding, and the result has a row for each encoding."""
+    cols = "event_id long, user_id long, event_type string, value double, ts timestamp, props string"
+    made = spark.range(0, 400, 1, 4).selectExpr("id event_id", "id % 4 user_id", "'click' event_type", "1.5D value", "timestamp '2024-01-01' ts", "'{\"k\":1}' props").to(spark.createDataFrame([], cols).schema)
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    paths, own = [], catalog.own_path
+    monkeypatch.setattr(catalog, "own_path", lambda s, name: paths.append(own(s, name)) or paths[-1])
+    got = sorted((r["encoding"], r["line_ending"], r["n"], r["n_distinct"]) for r in catalog.queries()["q_encodings"](spark, str(tmp_path)).collect())
+    assert got == [(e, "crlf", 400, 4) for e in ("ISO-8859-1", "UTF-16LE", "UTF-8")]
+    assert all(len(spark.read.format("binaryFile").load(f"{p}/*.txt").select("path").collect()) > 1 for p in paths)

@@ -35,6 +35,27 @@ def test_encoded_files_of_many_splits(spark, tmp_path, encoding, ending, end):
     assert sorted(r["line_no"] for r in got if r["source"].endswith("a.log")) == list(range(len(want)))
 
 
+@pytest.mark.parametrize("encoding", ["UTF-16LE", "UTF-16BE", "UTF-32LE", "UTF-32BE"])
+def test_wide_lines_are_put_together_where_they_are_read(spark, tmp_path, monkeypatch, encoding):
+    """Lines of many pieces, batches and splits are written once, as lines; only those at the edges of splits are in parts."""
+    want = ["", "Ċ਀ഊ" * 3000, "", *(f"Ċ਀ഊ{i}" for i in range(900)), "਀", "Ā" * 5000, "", "ഊਊ" * 40, "", ""]
+    (tmp_path / "a.log").write_bytes("\n".join(want).encode(encoding.lower().replace("le", "-le").replace("be", "-be")))
+    made = {}
+    monkeypatch.setattr(sources, "materialize", lambda df, name, kept=sources.materialize: made.setdefault(name, kept(df, name)))
+    options = {"spark.sql.files.maxPartitionBytes": "3001", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        got = sources.read_encoded(spark, str(tmp_path), encoding).orderBy("line_no").collect()
+        splits, rows = made["splits"].count(), made["pieces"].count()
+    finally:
+        for k in options:
+            spark.conf.unset(k)
+    # As before, a separator at the very end begins no line.
+    assert [(r["line_no"], r["raw"]) for r in got] == list(enumerate(want[:-1]))
+    assert splits > 10 and rows <= len(want) + 2 * splits
+
+
 def test_encoded_files_that_end_at_cr(spark, tmp_path):
     (tmp_path / "a.log").write_bytes("one\rtwo\r\rcrĊ".encode("utf-16-le"))
     assert [r["raw"] for r in sources.read_encoded(spark, str(tmp_path), "UTF-16LE", "cr").orderBy("line_no").collect()] == ["one", "two", "", "crĊ"]

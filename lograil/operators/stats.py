@@ -161,6 +161,8 @@ def top_values(records: DataFrame, columns: Mapping[str, str], n: int = 10) -> D
 
 #: Values that a column's state counts at most. A column of fewer distinct values is counted exactly.
 COUNTERS = 1024
+#: Rows and bytes that are counted at once.
+_COUNTED_ROWS, _COUNTED_BYTES = 1 << 18, 1 << 24
 
 
 def frequent_state(records: DataFrame, columns: Mapping[str, str], counters: int = COUNTERS) -> DataFrame:
@@ -175,8 +177,8 @@ def frequent_state(records: DataFrame, columns: Mapping[str, str], counters: int
     def run(batches):
         held: list[dict] = [{} for _ in names]
         errors = [0] * len(names)
-        for b in batches:
-            for i, column in enumerate(b.columns):
+        for t in _gathered(batches):
+            for i, column in enumerate(t.columns):
                 seen = column.drop_null().value_counts()
                 for value, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
                     held[i][value] = held[i].get(value, 0) + n
@@ -189,6 +191,18 @@ def frequent_state(records: DataFrame, columns: Mapping[str, str], counters: int
     return cells.mapInArrow(run, "name string, value string, count long")
 
 
+def _gathered(batches):
+    """Tables of many batches: the more rows are counted at once, the fewer times a value comes up."""
+    kept = []
+    for b in batches:
+        kept.append(b)
+        if sum(x.num_rows for x in kept) >= _COUNTED_ROWS or sum(x.nbytes for x in kept) >= _COUNTED_BYTES:
+            yield pa.Table.from_batches(kept)
+            kept = []
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def _pruned(counts: dict[str, int], counters: int) -> tuple[dict[str, int], int]:
     """The largest counts less the first that is left out, and how much that took from each value at most."""
     cut = sorted(counts.values(), reverse=True)[counters]
@@ -197,7 +211,7 @@ def _pruned(counts: dict[str, int], counters: int) -> tuple[dict[str, int], int]
 
 def merged_frequent(states: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One state of each column from those of many parts, with as many counters as one part has."""
-    sums = states.groupBy("name", "value").agg(F.sum("count").alias("count"))
+    sums = materialize(states.groupBy("name", "value").agg(F.sum("count").alias("count")), "frequent-sums")  # so that states, which may be scans of all records, are made once
     nth = F.row_number().over(W.partitionBy("name").orderBy(F.col("value").isNull(), F.desc("count"), "value"))
     ranked = sums.filter("value is not null").withColumn("_nth", nth)
     cut = ranked.filter(F.col("_nth") == counters + 1).select("name", F.col("count").alias("_cut"))
@@ -209,23 +223,26 @@ def merged_frequent(states: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def frequent_values(records: DataFrame, columns: Mapping[str, str], n: int = 10, counters: int = COUNTERS, state: DataFrame | None = None) -> DataFrame:
     """(name, value, count, nth): as top_values, without a shuffle of all distinct values where few of them are frequent. Exact.
 
-    A state of at most `counters` values for each column tells which values can be among the first n; those are counted in a second pass. Columns for which it cannot tell, as their values are about
-    equally frequent, are counted in full. state: that of the records, if there is one already.
+    A state of at most `counters` values for each column tells which values can be among the first n; those are counted in a second pass, unless the state has counted all values of the column. Columns for
+    which it cannot tell, as their values are about equally frequent, are counted in full. state: that of the records, if there is one already.
     """
     state = materialize(merged_frequent(state if state is not None else frequent_state(records, columns, counters), counters), "frequent")
     errors = state.filter("value is null").select("name", F.col("count").alias("error"))
     nth = F.row_number().over(W.partitionBy("name").orderBy(F.desc("count"), "value"))
     least = state.filter("value is not null").withColumn("_nth", nth).groupBy("name").agg(F.min(F.when(F.col("_nth") == n, F.col("count"))).alias("least"), F.max("_nth").alias("values"))
     told = {r["name"]: (r["error"], r["least"] or 0) for r in errors.join(least, "name", "left").collect()}  # a row for each column
-    sure = {c: k for c, k in columns.items() if c in told and (told[c][0] == 0 or told[c][0] < told[c][1])}
+    counted = [c for c in columns if c in told and told[c][0] == 0]
+    sure = {c: k for c, k in columns.items() if c in told and 0 < told[c][0] < told[c][1]}
     out = []
+    if counted:
+        out.append(state.filter(F.col("name").isin(*counted) & F.col("value").isNotNull()).withColumn("nth", nth).filter(F.col("nth") <= n).select("name", "value", "count", "nth"))
     if sure:
         lows = F.create_map(*[F.lit(x) for c in sure for x in (c, told[c][1] - told[c][0])])
         wanted = state.filter(F.col("name").isin(*sure) & F.col("value").isNotNull()).filter(F.col("count") >= F.element_at(lows, F.col("name"))).select("name", "value")
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), distinct_key(F.nullif(F.col(c).cast("string"), F.lit("")), k).alias("value")) for c, k in sure.items()])).alias("x")
         counts = records.select(cells).select("x.*").join(F.broadcast(wanted), ["name", "value"]).groupBy("name", "value").count()  # at most `counters` rows for each column
         out.append(counts.withColumn("nth", nth).filter(F.col("nth") <= n).select("name", "value", "count", "nth"))
-    if rest := {c: k for c, k in columns.items() if c not in sure}:
+    if rest := {c: k for c, k in columns.items() if c not in sure and c not in counted}:
         out.append(top_values(records, rest, n))
     return reduce(DataFrame.unionByName, out)
 

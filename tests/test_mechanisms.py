@@ -452,3 +452,25 @@ def test_keys_are_found_without_a_sort_of_all(spark):
     out = ingest.discover_columns(lines, ingest.logfmt_pairs(F.col("raw")), sample=(1 << 62) + 1)
     assert "SortAggregate" not in out._jdf.queryExecution().sparkPlan().toString()
     assert [r["name"] for r in out.orderBy("nth").collect()] == ["ts", "y", "b", "c", "x", "w", "msg"]
+
+
+def test_frequent_values_read_records_twice_at_most(spark):
+    """Once for the states, and once more for columns whose states are not exact."""
+    from lograil.operators import stats
+
+    rng = random.Random(5)
+    rows = [(f"v{int(rng.paretovariate(0.8))}", rng.choice("xyz")) for _ in range(4000)]
+    made, read = spark.createDataFrame(rows, "skewed string, small string").repartition(3), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d, key = made.mapInArrow(seen, made.schema), lambda df: sorted((r["name"], r["nth"], r["value"], r["count"]) for r in df.collect())
+    for columns, times_read in ((["small"], 1), (["skewed", "small"], 2)):
+        kinds_of = dict.fromkeys(columns, "text")
+        want = key(stats.top_values(made, kinds_of, 3))
+        before = read.value
+        assert key(stats.frequent_values(d, kinds_of, 3, counters=40)) == want
+        assert read.value - before == times_read * len(rows)

@@ -557,20 +557,30 @@ def q_bookmarks(spark, d):
 SLICES = 4
 
 
-def _event_files(spark, d) -> str:
-    """Events as lines in files, one slice of the numbers after the other, so that a stream of one file a batch sees each source in order."""
+#: Numbers in a slice for which it has a file more.
+FILE_ROWS = 250_000
+
+
+def _event_files(spark, d) -> tuple[str, int]:
+    """Events as lines in files, one slice of the numbers after the other, so that a stream of one slice a batch sees each source in order; and the number of files of a slice, the same for all."""
     e = table(spark, d, "events")
-    lines = e.select(F.concat(F.lit("app-"), (F.col("user_id") % 4).cast("string")).alias("source"), (F.col("event_id") * 4).alias("line_no"), F.col("event_type").alias("raw"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"), "value")
     path = own_path(spark, "event-lines")
     last = e.agg(F.max("event_id")).first()[0] or 0
+    at = F.floor(F.col("line_no") / 4 * SLICES / (last + 1))
+    numbered = e.withColumn("line_no", F.col("event_id") * 4)
+    sizes = {r["i"]: r["n"] for r in numbered.groupBy(at.alias("i")).agg(F.approx_count_distinct("line_no").alias("n")).collect()}  # a row for each slice
+    # So many numbers for a file that none is left out as empty.
+    files = max(1, min(spark.sparkContext.defaultParallelism, *[sizes.get(i, 0) // FILE_ROWS for i in range(SLICES)]))
     for i in range(SLICES):
-        lines.filter(F.floor(F.col("line_no") / 4 * SLICES / (last + 1)) == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        near = F.col("event_id").between(i * (last + 1) // SLICES - 1, (i + 1) * (last + 1) // SLICES + 1)  # lets the scan leave out what is far off
+        part = numbered.filter(near).filter(at == i).select(F.concat(F.lit("app-"), (F.col("user_id") % 4).cast("string")).alias("source"), "line_no", F.col("event_type").alias("raw"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"), "value")
+        (part.repartition(files, "line_no") if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return path, files
 
 
 def _event_stream(spark, d):
-    path = _event_files(spark, d)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = _event_files(spark, d)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _ended(spark, stream):

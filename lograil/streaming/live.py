@@ -8,6 +8,7 @@ import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -288,15 +289,12 @@ def live_effective_time(lines: DataFrame, ts: Column) -> DataFrame:
     keys, schema = _keys(lines)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else None
-        out = []
-        b = pd.concat(list(batches)).sort_values("line_no")
-        for line_no, raw, us in zip(b["line_no"].tolist(), b["raw"], b["us"].tolist()):
-            if us == us and us is not None and (top is None or us > top):
-                top = int(us)
-            out.append((*key, line_no, raw, top))
-        state.update((top,))
-        yield pd.DataFrame(out, columns=[*keys, "line_no", "raw", "eff_us"]).astype({"eff_us": "Int64"})
+        none = np.iinfo(np.int64).min
+        b = pd.concat(list(batches)).sort_values("line_no", ignore_index=True)
+        us = b["us"].astype("Int64").to_numpy(np.int64, na_value=none)
+        top = np.maximum.accumulate(np.maximum(us, state.get[0] if state.exists and state.get[0] is not None else none))
+        state.update((None if top[-1] == none else int(top[-1]),))
+        yield b[[*keys, "line_no", "raw"]].assign(eff_us=pd.arrays.IntegerArray(top, top == none))
 
     rows = lines.select(*keys, "line_no", "raw", F.unix_micros(ts).alias("us"))
     return rows.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, line_no long, raw string, eff_us long", "top long", "append", GroupStateTimeout.NoTimeout)

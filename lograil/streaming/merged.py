@@ -59,16 +59,18 @@ class MergedView:
         sources = self._write(sources, "sources", k, _SOURCES)
         active = F.lit(now) - F.col("heard") < self.idle_ms
         low = sources.groupBy("merge").agg(F.count_if(active).alias("active"), F.count_if(active & F.col("top").isNull()).alias("untimed"), F.min(F.when(active, F.col("top"))).alias("low"))
-        pool = self._read(spark, "waiting", k - 1, _LINES).unionByName(new).join(low, "merge")
+        # low, given and first have a row for each merge group; an exchange by group would put all lines of a group into one task.
+        pool = self._read(spark, "waiting", k - 1, _LINES).unionByName(new).join(F.broadcast(low), "merge")
         final = (F.col("active") == 0) | ((F.col("untimed") == 0) & (F.col("eff_us").isNull() | (F.col("eff_us") < F.col("low"))))
-        pool = materialize(pool.withColumn("final", final | F.lit(all_final)).drop("active", "untimed", "low"), "pool")
+        pool = pool.withColumn("final", final | F.lit(all_final)).drop("active", "untimed", "low")
         self._write(pool.filter("not final").drop("final"), "waiting", k, _LINES)
         given = self._read(spark, "given", k - 1, _GIVEN)
         place = F.struct(F.col("eff_us").alias("us"), "source", "line_no")
-        out = pool.filter("final").drop("final").join(given, "merge", "left").withColumn("late", F.coalesce(place < F.col("last"), F.lit(False))).withColumn("before", F.coalesce("n", F.lit(0))).drop("n", "last")
-        out = materialize(records.ranked(out, F.col("merge"), F.col("eff_us").asc_nulls_first(), F.col("source"), F.col("line_no"), out="rank"), "final")
+        out = pool.filter("final").drop("final").join(F.broadcast(given), "merge", "left").withColumn("late", F.coalesce(place < F.col("last"), F.lit(False))).withColumn("before", F.coalesce("n", F.lit(0))).drop("n", "last")
+        out = records.ranked(out, F.col("merge"), F.col("eff_us").asc_nulls_first(), F.col("source"), F.col("line_no"), out="rank")
         first = out.groupBy("merge").agg((F.min("rank") - 1).alias("first"), F.count("*").alias("n"), F.max(place).alias("last"))
-        rows = out.join(first.select("merge", "first"), "merge").select("merge", (F.col("before") + F.col("rank") - F.col("first")).alias("nth"), "source", "line_no", "raw", "eff_us", "late")
+        first = materialize(first, "first")
+        rows = out.join(F.broadcast(first.select("merge", "first")), "merge").select("merge", (F.col("before") + F.col("rank") - F.col("first")).alias("nth"), "source", "line_no", "raw", "eff_us", "late")
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={k}")
         given = given.unionByName(first.select("merge", "n", "last")).groupBy("merge").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
         self._write(given, "given", k, _GIVEN)

@@ -79,3 +79,19 @@ def test_encoded_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     got = sorted((r["encoding"], r["line_ending"], r["n"], r["n_distinct"]) for r in catalog.queries()["q_encodings"](spark, str(tmp_path)).collect())
     assert got == [(e, "crlf", 400, 4) for e in ("ISO-8859-1", "UTF-16LE", "UTF-8")]
     assert all(len(spark.read.format("binaryFile").load(f"{p}/*.txt").select("path").collect()) > 1 for p in paths)
+
+
+def test_stream_merge_takes_slices_of_several_files(spark, sf_dir, duck, monkeypatch):
+    """All files of a slice are one batch, and no batch writes its lines again to tell final ones apart."""
+    from lograil.streaming import merged
+
+    batches, made = [], []
+    step = merged.MergedView._step
+    monkeypatch.setattr(catalog, "FILE_ROWS", 50)
+    monkeypatch.setattr(merged, "materialize", lambda df, name, kept=merged.materialize: made.append(name) or kept(df, name))
+    monkeypatch.setattr(merged.MergedView, "_step", lambda view, s, batch, k, now, final: batches.append(batch.count()) or step(view, s, batch, k, now, final))
+    _, files = catalog._event_files(spark, sf_dir)
+    got = [tuple(r) for r in catalog.queries()["q_stream_merge"](spark, sf_dir).orderBy("nth").collect()]
+    want = duck.execute(catalog.oracle_sql()["q_stream_merge"] + " order by nth").fetchall()
+    assert files > 1 and len(batches) == catalog.SLICES + 1 and batches[-1] == 0 and min(batches[:-1]) > 0
+    assert got == want and set(made) == {"first"}

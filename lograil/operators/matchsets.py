@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: What joins two sets: lines of both, of either, of the first only.
 OPERATIONS = {"and": np.bitwise_and, "or": np.bitwise_or, "minus": lambda a, b: a & ~b}
 BLOCK_BYTES = 4096
+#: Blocks of two sets that are unpacked at once: a task holds one batch as it came, and a few MB besides.
+AT_ONCE = 256
 
 
 def _block(line_no: Column) -> Column:
@@ -35,19 +37,21 @@ def combined(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
     op, schema = OPERATIONS[operation], both.drop("other").schema
 
     def run(batches):
+        x, y = (np.zeros((AT_ONCE, BLOCK_BYTES), np.uint8) for _ in range(2))
         for batch in batches:
-            n = batch.num_rows
-            x, y = (np.zeros((n, BLOCK_BYTES), np.uint8) for _ in range(2))
-            for out, column in ((x, batch.column("bits")), (y, batch.column("other"))):
-                for i, bits in enumerate(column):
-                    if bits.is_valid:
-                        got = np.frombuffer(bits.as_buffer(), np.uint8)
-                        out[i, : len(got)] = got
-            got = op(x, y)
-            some = got.any(axis=1)
-            kept = batch.filter(pa.array(some)) if n else batch
-            bits = pa.array([row.tobytes() for row in got[some]], pa.binary())
-            yield pa.RecordBatch.from_arrays([kept.column("source"), kept.column("block"), bits], ["source", "block", "bits"])
+            for part in (batch.slice(at, AT_ONCE) for at in range(0, batch.num_rows, AT_ONCE)):
+                n = part.num_rows
+                for out, column in ((x, part.column("bits")), (y, part.column("other"))):
+                    out[:n] = 0
+                    for i, bits in enumerate(column):
+                        if bits.is_valid:
+                            got = np.frombuffer(bits.as_buffer(), np.uint8)
+                            out[i, : len(got)] = got
+                got = op(x[:n], y[:n])
+                some = got.any(axis=1)
+                kept = part.select(["source", "block"]).filter(pa.array(some))
+                bits = pa.array([row.tobytes() for row in got[some]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*kept.columns, bits], ["source", "block", "bits"])
 
     return both.select("source", "block", "bits", "other").mapInArrow(run, schema)
 

@@ -84,6 +84,20 @@ def test_match_sets(spark):
     assert got == {(s, x): (sum(t == s and y <= x for t, y in sets[0]), sum(t == s for t, _ in sets[0])) for s, x in asked}
 
 
+def test_match_sets_unpack_few_blocks_at_once(spark, monkeypatch):
+    """However many blocks a batch has, bitmaps of few are held open."""
+
+    def both(x, y, most=256):
+        if len(x) > most:
+            raise ValueError(f"{len(x)} blocks at once")
+        return x & y
+
+    monkeypatch.setitem(matchsets.OPERATIONS, "and", both)
+    a, b = (matchsets.match_set(spark.range(0, 2500, step).selectExpr("concat('s', id) source", "id line_no").coalesce(1)).coalesce(1) for step in (1, 2))
+    got = matchsets.restricted(spark.range(2500).selectExpr("concat('s', id) source", "id line_no"), matchsets.combined(a, b, "and"))
+    assert sorted(r["line_no"] for r in got.collect()) == list(range(0, 2500, 2))
+
+
 def plain_alerts(hits, span):
     """Hit by hit."""
     by, out = defaultdict(list), []

@@ -149,23 +149,26 @@ def _wide_lines(spark: SparkSession, paths: str | Sequence[str], sep: str, glob:
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     value = F.col("value").cast("binary")
-    rows = reader.text(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), value.alias("value"))
+    rows = reader.text(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), value.alias("value"))
     size = F.octet_length("value")
     tail = (size >= width - 1) & (F.substring("value", F.greatest(size - (width - 2), F.lit(1)).cast("int"), F.lit(width - 1)) == F.lit(bytes(width - 1)))
-    splits = rows.withColumn("mid", F.monotonically_increasing_id()).groupBy("source", "block").agg(F.sum(size.cast("long") + 1).alias("size"), F.max_by(tail, "mid").alias("tail"))
+    splits = rows.withColumn("mid", F.monotonically_increasing_id()).groupBy("source", "block").agg(F.sum(size.cast("long") + 1).alias("size"), F.max_by(tail, "mid").alias("tail"), F.max("file_size").alias("file_size"))
     by = W.partitionBy("source").orderBy("block")
     before = by.rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.select("source", "block", F.monotonically_increasing_id().alias("split"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("byte_off"), F.coalesce(F.lag("tail").over(by), F.lit(False)).alias("after"))
+    splits = splits.select("source", "block", F.monotonically_increasing_id().alias("split"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("byte_off"), F.coalesce(F.lag("tail").over(by), F.lit(False)).alias("after"), (F.sum("size").over(W.partitionBy("source")) == F.col("file_size")).alias("ended"))
     splits = materialize(splits, "splits")  # a row for each split
     p = rows.join(F.broadcast(splits), ["source", "block"]).select("split", "byte_off", "after", "value")
     p = materialize(p.mapInArrow(_joined_pieces(sep, width, low_first), "split long, nth long, byte_off long, value binary"), "pieces")
     n = p.groupBy("split").agg(F.count_if(F.col("nth") >= 0).alias("n"))
-    n = splits.select("source", "block", "split").join(n, "split").withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "lines": F.sum("n").over(W.partitionBy("source"))})
+    n = splits.select("source", "block", "split", "ended").join(n, "split").withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "lines": F.sum("n").over(W.partitionBy("source"))})
     p = p.join(F.broadcast(n), "split").withColumns({"line_no": F.col("base") + F.col("nth"), "_open": (F.col("nth") < 0) | (F.col("nth") == F.col("n") - 1)})
     joined = F.array_sort(F.collect_list(F.struct("block", "nth", "byte_off", "value")))
-    opened = p.filter("_open").groupBy("source", "line_no").agg(joined.alias("x"), F.first("lines").alias("lines"))
+    opened = p.filter("_open").groupBy("source", "line_no").agg(joined.alias("x"), F.first("lines").alias("lines"), F.first("ended").alias("ended"))
     data = F.aggregate(F.slice("x", 2, 1 << 30), F.col("x")[0]["value"], lambda a, b: F.concat(a, F.lit(sep.encode()), b["value"]))
-    opened = opened.select("source", "line_no", "lines", F.col("x")[0]["byte_off"].alias("byte_off"), data.alias("value"))
+    opened = opened.select("source", "line_no", "lines", "ended", F.col("x")[0]["byte_off"].alias("byte_off"), data.alias("value"))
+    # A separator byte at a file's end, which the reader leaves out, may be the last byte of a letter.
+    whole = F.col("ended") & (F.col("line_no") == F.col("lines") - 1) & ((F.col("byte_off") + size + 1) % width == 0) & (F.lit(low_first) | ~tail)
+    opened = opened.withColumn("value", F.when(whole, F.concat("value", F.lit(sep.encode()))).otherwise(F.col("value"))).drop("ended")
     rows = p.filter("not _open").select("source", "line_no", "lines", "byte_off", "value").unionByName(opened)
     if low_first:  # the rest of the separator before; behind the last separator there is only its rest: no line
         rest = (F.col("line_no") > 0).cast("int") * (width - 1)

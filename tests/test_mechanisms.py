@@ -56,6 +56,17 @@ def test_wide_lines_are_put_together_where_they_are_read(spark, tmp_path, monkey
     assert splits > 10 and rows <= len(want) + 2 * splits
 
 
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be"])
+def test_last_letters_with_the_byte_of_a_line_end(spark, tmp_path, encoding):
+    texts = {"a": "x\nyĊ", "b": "x\ny਀", "c": "ऊ", "d": "x\n", "e": "x\n\n", "f": "x\nĊ\n", "g": "Ċ" * 2000, "h": "\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    got = defaultdict(list)
+    for r in sources.read_encoded(spark, str(tmp_path), encoding.upper().replace("-L", "L").replace("-B", "B")).orderBy("line_no").collect():
+        got[r["source"][-1]].append(r["raw"])
+    assert got == {k: v.removesuffix("\n").split("\n") for k, v in texts.items()}
+
+
 def test_encoded_files_that_end_at_cr(spark, tmp_path):
     (tmp_path / "a.log").write_bytes("one\rtwo\r\rcrĊ".encode("utf-16-le"))
     assert [r["raw"] for r in sources.read_encoded(spark, str(tmp_path), "UTF-16LE", "cr").orderBy("line_no").collect()] == ["one", "two", "", "crĊ"]

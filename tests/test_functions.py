@@ -94,6 +94,20 @@ def test_encodings(spark, tmp_path):
     assert sorted((r["line_no"], r["raw"]) for r in sources.read_encoded(spark, str(tmp_path / "u16"), "UTF-16LE").collect()) == [(0, "hällo"), (1, "you")]
 
 
+def test_encodings_of_cut_samples(spark, tmp_path):
+    """A letter or a line end that the end of the sample goes through does not count, in files longer than the sample only."""
+    n = sources.SAMPLE_BYTES
+    files = {f"{i}-{c}": (b"x" * (n - i) + c.encode() + b"\nend\n", "UTF-8", "lf") for c in "é✓😀" for i in range(1, 4)}
+    files |= {"crlf": (b"x" * (n - 1) + b"\r\nend\r\n", "UTF-8", "lf"), "cr": (b"a\r" + b"x" * n, "UTF-8", "cr"), "wide": (("x" * (n // 2 - 1) + "\r\nend").encode("utf-16-le"), "UTF-16LE", "lf")}
+    files |= {"latin": (b"\xe9 " + b"x" * n, "ISO-8859-1", "lf"), "surrogate": (b"x" * (n - 2) + b"\xed\xa0\x80", "ISO-8859-1", "lf"), "last": (b"x" * (n - 1) + b"\x80\n", "ISO-8859-1", "lf"), "whole": (b"x" * (n - 1) + b"\xe9", "ISO-8859-1", "lf")}
+    for name, (data, _, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["source"].rsplit("/", 1)[1]: (r["encoding"], r["line_ending"]) for r in sources.encodings(spark, str(tmp_path)).collect()}
+    from urllib.parse import unquote
+
+    assert {unquote(k): v for k, v in got.items()} == {k: v[1:] for k, v in files.items()}
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(True, ' a,"b" ', None), (True, "x", "y")], "is_record boolean, a string, b string")
     sinks.write_csv(df, str(tmp_path / "out"), ["a", "b"])

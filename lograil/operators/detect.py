@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lograil.functions import kinds, times
 from lograil.functions.kinds import let
 from lograil.operators import ingest, records
+from lograil.shared import materialize
 
 SAMPLE, MIN_SCORE = 1000, 0.5
 DELIMITED = {"csv": ",", "tsv": "\t", "psv": r"\|", "ssv": ";"}
@@ -86,45 +87,62 @@ def line_parts(raw: Column) -> Column:
 
 
 _TIME = "\u0001T"
+_FIELDS = "#Fields:"
+#: How lines begin that may begin with a time, perhaps behind a first word, and what is neither a separator nor a quote, a blank or a dash.
+_MAY_BE_STAMPED, _PLAIN = r"^(?:[\[(]?[A-Za-z]+[\])]?:?[ \t\x01]+)?[\[(]?(?:[0-9]{2}|[0-9]/|[A-Z][a-z]{2},? )", r'[^,\t|; "\-]+'
+
+
+def _look(raw: Column) -> Column:
+    """What text layouts, separators and fields of #Fields: see of a line: its head with every digit 0 if it may begin with a time, and every run of other letters than separators, quotes, blanks and dashes as one x
+    in the rest. #Fields: stays as it is."""
+    digits = lambda t: F.when(F.octet_length(t) == F.length(t), F.mask(t, *[F.lit(None).cast("string")] * 2, F.lit("0"), F.lit(None).cast("string"))).otherwise(F.translate(t, "123456789", "0" * 9))
+    plain = lambda t: F.regexp_replace(t, _PLAIN, "x")
+    head = F.when(F.length(raw) <= HEAD, digits(raw)).otherwise(F.concat(digits(F.substring(raw, 1, HEAD)), plain(F.substring(raw, HEAD + 1, 1 << 30))))
+    return F.when(raw.startswith(_FIELDS), raw).when(raw.rlike(_MAY_BE_STAMPED), head).otherwise(plain(raw))
 
 
 def detect_formats(lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(source, format, score, nth), best first: coverage x (0.6 + 0.4 x consistency) x trust of each candidate over the first lines, those under 0.5 dropped.
 
     Consistency is the share of the most frequent shape (which fields have a value) among the lines that a format takes. Of the delimited formats, lines of the most
-    frequent number of fields count, and only the best separator is a candidate. All sources and candidates are scored in one job: a line is read for those formats only whose signs it has,
-    lines that look the same to all of them are counted, and candidates are told apart on these counts. Text lines look the same if their heads do with every digit 0.
+    frequent number of fields count, and only the best separator is a candidate. Lines are counted by their looks, and what looks alike is read once for text layouts, separators and fields of
+    #Fields:. Other formats, in which single digits or names count, are read line by line, where a line has their sign. Candidates are told on the counts.
     """
     raw = F.col("raw")
-    d = lines.filter(F.col("line_no") < sample).filter(F.length(F.trim("raw")) > 0)
-    w3c = d.filter(raw.startswith("#Fields:")).groupBy("source").agg(F.min_by(F.size(F.split(F.trim(F.substring("raw", 9, 1 << 20)), r"\s+")), "line_no").alias("_w3c"))
-    d = d.filter(~raw.startswith("#") & ~records.is_continuation(raw)).withColumn("raw", F.translate("raw", ingest.MARK, " ")).join(F.broadcast(w3c), "source", "left")  # a number for each source
+    d = lines.filter(F.col("line_no") < sample).filter(F.length(F.trim("raw")) > 0).filter(raw.startswith(_FIELDS) | (~raw.startswith("#") & ~records.is_continuation(raw)))
+    d = d.select("source", "line_no", F.when(raw.startswith(_FIELDS), raw).otherwise(F.replace("raw", F.lit(ingest.MARK), F.lit(" "))).alias("raw"))
     shape = lambda cells: F.array_join(F.transform(cells, lambda c: F.when(F.coalesce(c, F.lit("")) != "", "1").otherwise("0")), "")
     keys = lambda pairs: F.array_join(F.array_sort(F.map_keys(pairs)), " ")
-    w3c_cells = F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " "))
+    # format -> its shape, or null if the line is none of it.
     obj = F.from_json(raw, "map<string,string>")
-    # What is used more than once, computed once: the words of lines with two equals signs, lines with their quoted cells cut short, heads with their times found.
-    words = F.when(F.substring_index(raw, "=", 2) != raw, F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: ~t.startswith("=")))
-    quoted = F.when(F.contains(raw, F.lit('"')), F.regexp_replace("raw", '"(?:[^"]|"")*"', "q")).otherwise(raw)
-    d = ingest.parsed_once(ingest.parsed_once(d.select("source", "raw", "_w3c"), raw=raw, _words=words, _quoted=quoted), _marked=_marked(raw))
-    n_pairs = F.size(F.filter("_words", lambda t: F.contains(t, F.lit("="))))
+    words = F.filter(F.regexp_extract_all("raw", F.lit(ingest._PAIR), F.lit(0)), lambda t: ~t.startswith("="))
+    pairs = lambda w: F.size(F.filter(w, lambda t: F.contains(t, F.lit("="))))
+    paired = let(words, lambda w: let(pairs(w), lambda n: (n >= 2) & (2 * n >= F.size(w))))
+    signed = {"json_lines": F.when(F.ltrim(raw).startswith("{"), keys(F.map_filter(obj, lambda k, v: v.isNotNull()))), "logfmt": F.when((F.substring_index(raw, "=", 2) != raw) & paired, keys(ingest.logfmt_pairs(raw)))}
     # The mark of each field, and a digit after it if it has a value; a line that is none of a grammar begins with no mark.
     grammar = lambda g, sign: F.when(sign, F.regexp_replace(raw, "(?d)" + g[0], "".join(f"{ingest.MARK}${i}" for i in range(1, len(g[1]) + 1))))
-    access, month = F.contains(raw, F.lit('] "')), F.substring(raw, 1, 1).isin("<", *{m[0] for m in times.MONTHS.split("|")})
-    grammars = {"access_combined": grammar(ingest.ACCESS_COMBINED, access), "access_common": grammar(ingest.ACCESS_COMMON, access), "syslog_5424": grammar(ingest.SYSLOG_5424, raw.startswith("<")), "syslog_3164": grammar(ingest.SYSLOG_3164, month)}
-    # format -> its shape, or null if the line is none of it. A separated line's shape is its separators, and a sign for each value between them.
+    access, pri = F.contains(raw, F.lit('] "')), raw.startswith("<")
+    month = pri | F.substring(raw, 1, 3).isin(*times.MONTHS.split("|"))
+    grammars = {"access_combined": grammar(ingest.ACCESS_COMBINED, access), "access_common": grammar(ingest.ACCESS_COMMON, access), "syslog_5424": grammar(ingest.SYSLOG_5424, pri), "syslog_3164": grammar(ingest.SYSLOG_3164, month)}
+    valued = lambda n: F.when(F.col(n).startswith(ingest.MARK), F.regexp_replace(n, f"{ingest.MARK}[^{ingest.MARK}]+", f"{ingest.MARK}1"))
+    d = d.select("source", "line_no", _look(raw).alias("raw"), *[c.alias(n) for n, c in (signed | grammars).items()]).withColumns({n: valued(n) for n in grammars})
+    looks = materialize(d.groupBy("source", "raw", *signed, *grammars).agg(F.count("*").alias("n"), F.min("line_no").alias("first")), "looks")
+    w3c = looks.filter(raw.startswith(_FIELDS)).groupBy("source").agg(F.min_by(F.size(F.split(F.trim(F.substring("raw", 9, 1 << 20)), r"\s+")), "first").alias("_w3c"))  # a number for each source
+    d = looks.filter(~raw.startswith(_FIELDS)).join(F.broadcast(w3c), "source", "left")
+    w3c_cells = F.when(F.contains(raw, F.lit("\t")), F.split(raw, "\t")).otherwise(F.split(raw, " "))
+    # What is used more than once, computed once: lines with their quoted cells cut short, heads with their times found.
+    quoted = F.when(F.contains(raw, F.lit('"')), F.regexp_replace("raw", '"(?:[^"]|"")*"', "q")).otherwise(raw)
+    d = ingest.parsed_once(d, _quoted=quoted, _marked=_marked(raw))
+    # A separated line's shape is its separators, and a sign for each value between them.
     shapes = {
         "w3c": F.when(F.col("_w3c").isNotNull() & (F.size(w3c_cells) == F.col("_w3c")), shape(F.transform(w3c_cells, lambda c: F.nullif(c, F.lit("-"))))),
-        "json_lines": F.when(F.ltrim(raw).startswith("{"), keys(F.map_filter(obj, lambda k, v: v.isNotNull()))),
-        "logfmt": F.when(F.col("_words").isNotNull() & (n_pairs >= 2) & (2 * n_pairs >= F.size("_words")), keys(ingest.logfmt_pairs(raw))),
         **{n: F.when(F.contains("_quoted", F.lit(sep[-1])), F.regexp_replace("_quoted", f"[^{sep[-1]}]+", "1")) for n, sep in DELIMITED.items()},
     }
-    valued = lambda n: F.when(F.col(n).startswith(ingest.MARK), F.regexp_replace(n, f"{ingest.MARK}[^{ingest.MARK}]+", f"{ingest.MARK}1"))
     # Column by column: the code of all of them together would be too long for the JVM to compile.
-    for n, c in (grammars | shapes | {"_stamped": _stamped(F.col("_marked"))}).items():
+    for n, c in (shapes | {"_stamped": _stamped(F.col("_marked"))}).items():
         d = ingest.parsed_once(d, **{n: c})
-        d = ingest.parsed_once(d, **{n: valued(n)}) if n in grammars else d
-    alike = d.groupBy("source", "_stamped", *grammars, *shapes).agg(F.count("*").alias("n"))
+    shapes = ["w3c", *signed, *DELIMITED]
+    alike = d.groupBy("source", "_stamped", *grammars, *shapes).agg(F.sum("n").alias("n"))
     alike = ingest.parsed_once(alike, _parts=_parts_of(F.col("_stamped")))
 
     # Candidates: the format, the number of fields where it tells lines apart, the shape, the trust. The one without a name takes every line.

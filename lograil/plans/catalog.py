@@ -755,12 +755,15 @@ _SEPARATED = {"tsv": "\t", "psv": "|", "ssv": ";"}
 @query(" union all ".join(f"select '{n}:{f}' source, '{n}:{f}' format, {t}::double score" for f in _STAMPED for n, (_, _, t) in detect.LAYOUTS.items()) + "".join(f" union all select '{n}', '{n}', {t}::double" for n, t in (*((n, 0.85) for n in _SEPARATED), ("access_common", 1.0), ("w3c", 1.0))))
 def q_detect_layouts(spark, d):
     """A source for each layout of text lines and each family of times, for each other separator, and for the formats that q_detect has not. Lines may fit other formats as well; each source has its own among them."""
-    e = spread(event_fields(spark, d))
-    lines = [F.struct(F.lit(f"{n}:{f}").alias("source"), F.expr(raw.replace("t,", f"{t},", 1)).alias("raw")) for f, t in _STAMPED.items() for n, raw in _LAID.items()]
-    lines += [F.struct(F.lit(n).alias("source"), F.concat_ws(sep, "event_type", "level", F.col("user_id").cast("string")).alias("raw")) for n, sep in _SEPARATED.items()]
-    lines.append(F.struct(F.lit("access_common").alias("source"), F.expr("concat('10.0.0.1 - u', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /', event_type, '\" 200 ', event_id)").alias("raw")))
-    lines.append(F.struct(F.lit("w3c").alias("source"), F.expr("if(event_id = 0, '#Fields: date sc-status user', concat(date_format(ts, 'yyyy-MM-dd'), ' 200 ', user_id))").alias("raw")))
-    rows = e.select("event_id", F.explode(F.array(*lines)).alias("x")).select("x.source", F.col("event_id").alias("line_no"), "x.raw")
+    # In two steps, each short enough for the JVM to compile: an event's times, then the lines of each; the others with none.
+    stamps = F.array(*[F.struct(F.lit(f).alias("family"), F.expr(t).alias("t")) for f, t in _STAMPED.items()], F.struct(F.lit(None).cast("string").alias("family"), F.lit("").alias("t")))
+    dealt = event_fields(spark, d).repartition(4 * spark.sparkContext.defaultParallelism)  # an event becomes 65 lines, so all cores get some whatever splits the events are read in
+    e = dealt.select("event_id", "user_id", "event_type", "level", "ts", F.inline(stamps))
+    laid = [F.struct(F.concat(F.lit(f"{n}:"), "family").alias("source"), F.expr(raw).alias("raw")) for n, raw in _LAID.items()]
+    others = [F.struct(F.lit(n).alias("source"), F.concat_ws(sep, "event_type", "level", F.col("user_id").cast("string")).alias("raw")) for n, sep in _SEPARATED.items()]
+    others.append(F.struct(F.lit("access_common").alias("source"), F.expr("concat('10.0.0.1 - u', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /', event_type, '\" 200 ', event_id)").alias("raw")))
+    others.append(F.struct(F.lit("w3c").alias("source"), F.expr("if(event_id = 0, '#Fields: date sc-status user', concat(date_format(ts, 'yyyy-MM-dd'), ' 200 ', user_id))").alias("raw")))
+    rows = e.select(F.col("event_id").alias("line_no"), F.inline(F.when(F.col("family").isNull(), F.array(*others)).otherwise(F.array(*laid)))).select("source", "line_no", "raw")
     return detect.detect_formats(rows, 1 << 40).filter("source = format").select("source", "format", F.round("score", 6).alias("score"))
 
 

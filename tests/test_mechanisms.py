@@ -472,6 +472,30 @@ def test_detection_counts_lines_that_look_alike(spark):
     assert [(r["format"], r["score"]) for r in out.filter("nth = 1").collect()] == [("time_level_message:iso", 0.95)]
 
 
+def test_lines_are_read_by_their_looks(spark, monkeypatch):
+    """Whatever is in a line, its look has the parts, the separators and the cells that it has, and lines whose heads differ in digits only have one look."""
+    rng = random.Random(3)
+    times_of = ["2024-01-02 03:04:05,678", "2024/01/02 03:04:05", "20240102T030405Z", "02/Jan/2024:03:04:05 +0000", "Tue, 2 Jan 2024 03:04:05 +0000", "1/2/2024, 3:04:05 PM", "Jan  2 03:04:05", "03:04:05.678", "1704164645123", "02.01.2024 03:04:05", "٣٤:04:05", "9/9"]
+    words = ["INFO", "[w-17]", "app.Svc:", "-", "--", "", "a,b", '"x, ""y|z"', '"', "p|q", "c;d", "\t", "é9", "٣", "\x01", "\x1e", "😀", "x" * 300, "7" * 260, "[]", "(ERROR)"]
+    rows = ["".join([rng.choice(["", "", "[", "(", "WARN ", "[ERROR]\t", "info: ", "x\x01", "9 "]), rng.choice([*times_of, ""]), *(rng.choice([" ", " ", "\t", ",", "]"]) + rng.choice(words) for _ in range(rng.randrange(7)))]) for _ in range(4000)]
+    d = spark.createDataFrame([(r,) for r in rows if r.strip(" ")], "raw string").withColumn("look", detect._look(F.col("raw")))
+
+    def seen(c):
+        quoted = F.regexp_replace(c, '"(?:[^"]|"")*"', "q")
+        cells = F.when(F.contains(c, F.lit("\t")), F.split(c, "\t")).otherwise(F.split(c, " "))
+        return [detect.line_parts(c), F.transform(cells, lambda x: x.isin("", "-")), *[F.regexp_replace(quoted, f"[^{sep[-1]}]+", "1") for sep in detect.DELIMITED.values()]]
+
+    d = d.select("raw", F.struct(*seen(F.col("raw"))).alias("a"), F.struct(*seen(F.col("look"))).alias("b"))
+    got = d.collect()
+    assert [r["raw"] for r in got if r["a"] != r["b"]] == [] and sum(r["a"][0] is not None for r in got) > 1000
+    made, kept = [], detect.materialize
+    monkeypatch.setattr(detect, "materialize", lambda df, name: made.append(kept(df, name)) or made[-1])
+    head = "concat(lpad(id % 24, 2, '0'), ':', lpad(id % 60, 2, '0'), ':07 INFO event ', 1000 + id)"
+    lines = spark.range(3000).selectExpr("'a' source", "id line_no", f"if(id = 5, '#Fields: a b c', if(id = 7, '#Fields: a', {head})) raw")
+    got = {(r["format"], r["score"]) for r in detect.detect_formats(lines, 1 << 40).collect()}
+    assert got == {("time_level_message:clock", 0.95), ("time_message:clock", 0.6)} and [m.count() for m in made] == [3]
+
+
 def test_keys_are_found_without_a_sort_of_all(spark):
     lines = spark.createDataFrame([("a", 3, "x=1 ts=2"), ("a", 1, "y=1 b=2 msg=z"), ("a", 2, "b=2 c=1"), ("a", 1 << 62, "x=1 w=1")], "source string, line_no long, raw string")
     out = ingest.discover_columns(lines, ingest.logfmt_pairs(F.col("raw")), sample=(1 << 62) + 1)
